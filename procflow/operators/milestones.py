@@ -21,7 +21,9 @@ def step_activities(
 ) -> DataFrame:
     """``activity_key`` and step number of the milestone activities.
 
-    Names match exactly; ``collation="UTF8_LCASE_RTRIM"`` ignores case and trailing blanks.
+    Names match exactly; ``collation="UTF8_LCASE_RTRIM"`` ignores case and trailing blanks. The
+    names are unique in the dimension, so there is at most one row per step and the result may
+    always be broadcast.
     """
     number = F.when(_is_activity(steps[0].activity, collation), 0)
     for i, step in enumerate(steps[1:], 1):
@@ -30,6 +32,20 @@ def step_activities(
     return found.filter(F.col("_step").isNotNull())
 
 
+def _step_events(
+    events: DataFrame, dim_activity: DataFrame, steps: Sequence[Step], collation: str | None
+) -> DataFrame:
+    core = step_activities(dim_activity, steps, collation)
+    return events.filter(F.col("case_id").isNotNull()).join(F.broadcast(core), "activity_key")
+
+
+def _activity_rows(
+    core: DataFrame, dim_activity: DataFrame, activity: str, collation: str | None
+) -> DataFrame:
+    keys = dim_activity.filter(_is_activity(activity, collation)).select("activity_key")
+    return core.join(F.broadcast(keys), "activity_key")
+
+
 def milestones(
     events: DataFrame,
     dim_activity: DataFrame,
@@ -40,10 +56,10 @@ def milestones(
     """One row per case with a ``<step>_ts`` column per step, NULL when not reached.
 
     One scan and one shuffle for all steps. MIN/MAX combine in the map tasks, so a case with very
-    many events still sends one row per task. Cases lacking a ``required`` step are left out.
+    many events still sends one row per task. Cases lacking a ``required`` step are left out, and
+    so are events without a case.
     """
-    core = step_activities(dim_activity, steps, collation)
-    hits = events.join(core, "activity_key")
+    hits = _step_events(events, dim_activity, steps, collation)
     times = [
         (F.min if s.pick == "first" else F.max)(
             F.when(F.col("_step") == i, F.col("timestamp"))
@@ -63,10 +79,9 @@ def core_milestones(
     collation: str | None = None,
 ) -> DataFrame:
     """Long form: one row per case and milestone activity (first or last event, per step)."""
-    core = step_activities(dim_activity, steps, collation)
     firsts = [i for i, s in enumerate(steps) if s.pick == "first"]
     bounds = (
-        events.join(core, "activity_key")
+        _step_events(events, dim_activity, steps, collation)
         .groupBy("case_id", "activity_key", "_step")
         .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
     )
@@ -81,8 +96,8 @@ def as_of_date(
     collation: str | None = None,
 ) -> DataFrame:
     """One row ``As_of_Date``: the latest milestone time of ``activity``."""
-    keys = dim_activity.filter(_is_activity(activity, collation)).select("activity_key")
-    return core.join(keys, "activity_key").agg(F.max("milestone_ts").alias("As_of_Date"))
+    rows = _activity_rows(core, dim_activity, activity, collation)
+    return rows.agg(F.max("milestone_ts").alias("As_of_Date"))
 
 
 def analysis_start(as_of: Column, months_back: int = 7) -> Column:
@@ -97,9 +112,8 @@ def activity_times(
     core: DataFrame, dim_activity: DataFrame, activity: str, name: str, collation: str | None = None
 ) -> DataFrame:
     """Latest milestone time of one activity per case, as column ``name``."""
-    keys = dim_activity.filter(_is_activity(activity, collation)).select("activity_key")
     return (
-        core.join(keys, "activity_key")
+        _activity_rows(core, dim_activity, activity, collation)
         .groupBy(F.col("case_id").alias("Case_ID"))
         .agg(F.max("milestone_ts").alias(name))
     )

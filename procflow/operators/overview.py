@@ -18,6 +18,7 @@ from procflow.functions.classify import (
 from procflow.functions.dates import day_span, months_before, on_or_after, period_label
 from procflow.functions.numeric import clean_double, ratio
 from procflow.functions.percentiles import histogram, percentiles
+from procflow.functions.rows import cases, cases_if, report_rows
 
 
 def case_overview(spans: DataFrame, as_of: Column, snapshot: bool = False) -> DataFrame:
@@ -53,9 +54,10 @@ def case_classification(
 def share_of(df: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
     """Rows per ``keys`` as ``Amount`` and their percentage of the ``within`` group as ``Ratio``.
 
-    The window runs over the counts, one row per key combination, never over the cases.
+    The window runs over the counts, one row per key combination, never over the cases. The keys
+    are classes and periods, so the counts are few.
     """
-    counts = df.groupBy(*keys).agg(F.count("Case_ID").alias("Amount"))
+    counts = report_rows(df.groupBy(*keys).agg(cases().alias("Amount")))
     whole = F.sum("Amount").over(Window.partitionBy(*within))
     return counts.withColumn("Ratio", ratio(F.col("Amount"), whole))
 
@@ -82,12 +84,11 @@ def sla_trend(
 
     ``since`` keeps cases started strictly after that moment. Monthly trends cover all history.
     """
-    cases = overview.filter(F.col("Duration_Type") == kind)
+    chosen = overview.filter(F.col("Duration_Type") == kind)
     if since is not None:
-        cases = cases.filter(F.col("Start_Time") > since)
+        chosen = chosen.filter(F.col("Start_Time") > since)
     status = trend_status(F.col("Duration_Days"), params.target_days, params.watch_days)
-    labelled = cases.select(
-        "Case_ID",
+    labelled = chosen.select(
         period_label(F.col("Start_Time"), period, params.iso_year).alias("Time_Period"),
         F.lit(kind).alias("Cases_Status"),
         status.alias("Risk_Status"),
@@ -105,7 +106,7 @@ def trend_cutoff(as_of: Column, months: int = 3) -> Column:
 
 def backlog_total(classified: DataFrame) -> DataFrame:
     """One row: open cases in the analysis window."""
-    opened = F.count(F.when(F.col("Duration_Type") == OPEN, F.col("Case_ID")))
+    opened = cases_if(F.col("Duration_Type") == OPEN)
     return classified.agg(opened.alias("Total_Number_Of_Open_Cases"))
 
 
@@ -114,11 +115,11 @@ def backlog_aged_share(classified: DataFrame, aged_days: int = 90) -> DataFrame:
 
     No row when there is no such case.
     """
-    aged = F.count(F.when(F.col("Duration_Days") > aged_days, F.col("Case_ID")))
+    aged = cases_if(F.col("Duration_Days") > aged_days)
     return (
         classified.filter(F.col("Duration_Type") == OPEN)
         .groupBy(F.col("Duration_Type").alias("Backlog"))
-        .agg(aged.alias("Amount"), F.count("Case_ID").alias("_open"))
+        .agg(aged.alias("Amount"), cases().alias("_open"))
         .filter(F.col("Amount") > 0)
         .select("Backlog", "Amount", ratio(F.col("Amount"), F.col("_open")).alias("Ratio"))
     )
@@ -136,14 +137,15 @@ def backlog_aged_overview(
         classified.filter(F.col("Duration_Type") == OPEN)
         .groupBy("Duration_Type", "Distribution_Buckets", "Risk_Status")
         .agg(
-            F.count(F.when(is_aged, F.col("Case_ID"))).alias("Amount"),
+            cases_if(is_aged).alias("Amount"),
             F.sum(F.when(is_aged, F.col("Duration_Days"))).alias("_days"),
-            F.count("Case_ID").alias("_open"),
+            cases().alias("_open"),
         )
     )
     total = F.sum("_open").over(Window.partitionBy("Duration_Type"))
     return (
-        counts.withColumn("_total", total)
+        report_rows(counts)
+        .withColumn("_total", total)
         .filter(F.col("Amount") > 0)
         .select(
             "Duration_Type",
@@ -169,6 +171,6 @@ def sla_duration_percentiles(classified: DataFrame, target_days: int = 75) -> Da
         classified.select(stage.alias("Stage"), "Duration_Days"), "Stage", "Duration_Days"
     )
     out = percentiles(hist, ["Stage"], "Duration_Days", {"Median": 0.5, "P90": 0.9})
-    return out.select(
+    return report_rows(out).select(
         "Stage", *[clean_double(F.col(c)).alias(c) for c in ("Median", "P90")]
     ).orderBy(position(F.col("Stage"), labels))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procflow.constants import P2P_STEPS, Step, stage_cols
 from procflow.functions.numeric import ratio
+from procflow.functions.rows import cases, cases_if
 
 
 def quality_check(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
@@ -17,6 +18,6 @@ def quality_check(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame
     for c in stage_cols(steps):
         negative = negative | F.coalesce(F.col(c) < 0, F.lit(False))
     return sb.agg(
-        F.count("Case_ID").alias("Total_Cases"),
-        F.count(F.when(negative, F.col("Case_ID"))).alias("Negative_Cases"),
+        cases().alias("Total_Cases"),
+        cases_if(negative).alias("Negative_Cases"),
     ).withColumn("Negative_Share", ratio(F.col("Negative_Cases"), F.col("Total_Cases")))

@@ -13,6 +13,8 @@ from procflow.functions.dates import day_span, on_or_after
 from procflow.functions.numeric import ratio, to_int, to_percent
 from procflow.functions.ordered import By, dense_ranks, running_sum
 from procflow.functions.percentiles import COUNT, histogram, percentiles
+from procflow.functions.rows import cases as case_count
+from procflow.functions.rows import cases_if, report_rows
 from procflow.operators.stages import (
     share_histogram,
     stage_days,
@@ -45,9 +47,21 @@ def delay_base(
     )
 
 
-def total_delayed(base: DataFrame) -> Column:
-    """Number of delayed cases of the whole base, as a scalar subquery."""
-    return base.filter(F.col("Delay_Flag") == 1).agg(F.count("Case_ID").alias("n")).scalar()
+def segment_counts(base: DataFrame, segment: Segment) -> DataFrame:
+    """Cases and delayed cases per segment key; cases without a segment form one row."""
+    return base.groupBy(segment.key).agg(
+        case_count().alias("Total_cases"), cases_if(F.col("Delay_Flag") == 1).alias("_delayed")
+    )
+
+
+def total_delayed(counts: DataFrame) -> Column:
+    """Delayed cases of all segments together, as a scalar subquery.
+
+    Every segment has a case, so the filter keeps them all. It keeps the case count in the plan:
+    the subquery then needs exactly the shuffle the ranking needs, and Spark runs it once
+    instead of scanning the cases a second time.
+    """
+    return counts.filter(F.col("Total_cases") > 0).agg(F.sum("_delayed").alias("n")).scalar()
 
 
 def segment_rates(base: DataFrame, segment: Segment, min_cases: int = 100) -> DataFrame:
@@ -57,10 +71,7 @@ def segment_rates(base: DataFrame, segment: Segment, min_cases: int = 100) -> Da
     Cases without a segment form a row of their own whose delayed cases count as 0.
     """
     key = F.col(segment.key)
-    delayed = F.count(F.when(F.col("Delay_Flag") == 1, F.col("Case_ID")))
-    counts = base.groupBy(segment.key).agg(
-        F.count("Case_ID").alias("Total_cases"), delayed.alias("_delayed")
-    )
+    counts = segment_counts(base, segment)
     known = F.when(key.isNull(), F.lit(0)).otherwise(F.col("_delayed"))
     kept = counts.filter(F.col("Total_cases") >= min_cases).select(
         key, "Total_cases", known.alias("Delay_cases")
@@ -69,7 +80,7 @@ def segment_rates(base: DataFrame, segment: Segment, min_cases: int = 100) -> Da
     return kept.select(
         "*",
         ratio(delay, F.col("Total_cases")).alias("Delayed_Rate"),
-        ratio(delay, total_delayed(base)).alias("Impact_Share"),
+        ratio(delay, total_delayed(counts)).alias("Impact_Share"),
     )
 
 
@@ -145,7 +156,7 @@ def segment_duration(
         histogram(rows, *keys, "Days"), keys, "Days", {"Median": 0.5, "P90": 0.9}
     )
     both = F.sum(COUNT).over(Window.partitionBy("Stage", segment.key))
-    return groups.select(
+    return report_rows(groups).select(
         *keys,
         both.alias("Cases_Number"),
         *[to_int(F.col(c)).alias(c) for c in ("Median", "P90")],
@@ -163,7 +174,7 @@ def segment_bottleneck(
     ids = [segment.key, segment.rank, *extra]
     hist = share_histogram(seg_base.filter(valid_above(threshold)), ids, None, steps)
     out = percentiles(hist, ["Stage", *ids], "Share", {"_median": 0.5})
-    return out.select(
+    return report_rows(out).select(
         "Stage",
         *ids,
         F.col(COUNT).alias("Cases_Number"),

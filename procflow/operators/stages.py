@@ -20,6 +20,7 @@ from procflow.functions.classify import position
 from procflow.functions.dates import day_span, on_or_after
 from procflow.functions.numeric import clean_double, day_share, ratio, to_percent
 from procflow.functions.percentiles import COUNT, histogram, percentile_of, percentiles
+from procflow.functions.rows import cases, cases_if, report_rows
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -95,7 +96,7 @@ def duration_profile(
     out = percentiles(
         histogram(rows, "Stage", "Days"), ["Stage"], "Days", {"Median": 0.5, "P90": 0.9}
     )
-    return out.select(
+    return report_rows(out).select(
         F.col("Stage").alias(label),
         *[clean_double(F.col(c)).alias(c) for c in ("Median", "P90")],
     ).orderBy(stage_position(label, steps))
@@ -131,10 +132,10 @@ def stage_flags(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
 
 def primary_issue_share(flags: DataFrame) -> DataFrame:
     """Cases per primary issue and their percentage of all cases."""
-    counts = flags.groupBy("Primary_Issue").agg(F.count("Case_ID").alias("Amount"))
-    # At most one row per status: the whole-table window sees seven rows.
+    counts = flags.groupBy("Primary_Issue").agg(cases().alias("Amount"))
+    # One row per status: the whole-table window sees at most seven rows.
     total = F.sum("Amount").over(Window.partitionBy())
-    return counts.withColumn("Ratio", ratio(F.col("Amount"), total)).orderBy(
+    return report_rows(counts).withColumn("Ratio", ratio(F.col("Amount"), total)).orderBy(
         position(F.col("Primary_Issue"), ISSUE_ORDER), "Primary_Issue"
     )
 
@@ -150,8 +151,8 @@ def local_missingness(flags: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> Da
         hit = F.col(f"{a}_{b}_Status") == missing
         reached = F.lit(True) if i == 0 else F.col(ts_col(a)).isNotNull()
         aggs += [
-            F.count(F.when(hit, F.col("Case_ID"))).alias(f"_hit{i}"),
-            F.count(F.when(reached, F.col("Case_ID"))).alias(f"_all{i}"),
+            cases_if(hit).alias(f"_hit{i}"),
+            cases_if(reached).alias(f"_all{i}"),
         ]
         rows.append(
             F.struct(
@@ -208,6 +209,6 @@ def contribution_profile(
     """Median percentage of the lead time spent in each stage, over closed valid cases."""
     hist = share_histogram(sb.filter(population), [], scale, steps)
     median = hist.groupBy("Stage").agg(percentile_of("Share", 0.5).alias("_median"))
-    return median.select(
+    return report_rows(median).select(
         F.col("Stage").alias(label), to_percent(F.col("_median")).alias("Median")
     ).orderBy(stage_position(label, steps))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,21 +46,21 @@ class CaseModel:
     dim_spend_area: DataFrame
     params: Params = Params()
 
-    @property
+    @cached_property
     def as_of(self) -> Column:
         """The as-of date as a scalar subquery: nothing is collected to build a report."""
         return self.as_of_row.scalar()
 
-    @property
+    @cached_property
     def start(self) -> Column:
         return analysis_start(self.as_of, self.params.months_back)
 
-    @property
+    @cached_property
     def started(self) -> DataFrame:
         """Cases that have a first step."""
         return self.cases.filter(F.col(ts_col("PO")).isNotNull())
 
-    @property
+    @cached_property
     def overview(self) -> DataFrame:
         spans = self.started.select(
             "Case_ID",
@@ -68,19 +69,19 @@ class CaseModel:
         )
         return case_overview(spans, self.as_of, self.params.snapshot)
 
-    @property
+    @cached_property
     def classification(self) -> DataFrame:
         return case_classification(self.overview, self.start, self.params.bucket_edges)
 
-    @property
+    @cached_property
     def stage_base(self) -> DataFrame:
         return stage_base(self.started, self.start)
 
-    @property
+    @cached_property
     def stage_flags(self) -> DataFrame:
         return stage_flags(self.stage_base)
 
-    @property
+    @cached_property
     def delay_base(self) -> DataFrame:
         return delay_base(self.cases, self.start, self.params.target_days)
 

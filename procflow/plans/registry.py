@@ -14,8 +14,8 @@ from procflow.plans import reports as rp
 from procflow.plans.model import CaseModel, order_line_model
 from procflow.sources.order_lines import order_line_log, order_line_star
 from procflow.sources.sinks import read_output, write_outputs
-from procflow.sources.staging import shared_folder
-from procflow.sources.star import build_star
+from procflow.sources.staging import once_per_input, shared_folder
+from procflow.sources.star import Star, build_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,8 +47,17 @@ def _analysis_window(m: CaseModel) -> DataFrame:
     )
 
 
+def _built_star(spark: SparkSession, folder: str) -> Star:
+    return once_per_input(
+        spark,
+        f"{folder.rstrip('/')}/lineitem.parquet",
+        "order_line_built_star",
+        lambda: build_star(order_line_log(spark, folder)),
+    )
+
+
 def _star_table(name: str) -> Query:
-    return lambda spark, folder: build_star(order_line_log(spark, folder)).tables()[name]
+    return lambda spark, folder: _built_star(spark, folder).tables()[name]
 
 
 def _report_sink(spark: SparkSession, folder: str) -> DataFrame:

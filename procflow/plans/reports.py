@@ -181,7 +181,8 @@ def spend_area_bottleneck(m: CaseModel) -> DataFrame:
 
 
 def _pareto(m: CaseModel, segment: Segment) -> DataFrame:
-    curve = sg.pareto(_ranking(m, segment), segment, sg.total_delayed(m.delay_base))
+    delayed = sg.total_delayed(sg.segment_counts(m.delay_base, segment))
+    curve = sg.pareto(_ranking(m, segment), segment, delayed)
     return sg.in_rank_order(curve, segment)
 
 

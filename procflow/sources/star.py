@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from procflow.constants import P2P_STEPS, Step
 from procflow.functions.ordered import By, row_numbers
 from procflow.operators.milestones import core_milestones
-from procflow.sources.schema import REQUIRED_TABLES, STAR_SCHEMAS, star_schema
+from procflow.sources.schema import REQUIRED_TABLES, star_schema
+from procflow.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -86,10 +87,12 @@ def build_dimension(log: DataFrame, columns: Mapping[str, str], key: str) -> Dat
     """Distinct members of some log columns with a surrogate key.
 
     ``columns`` maps log column to dimension column. Members with every column NULL are left out.
+    The dimension is computed here, once, and written to the shared folder: the joins that
+    attach its keys need its real size.
     """
     members = log.select(*[F.col(c).alias(d) for c, d in columns.items()]).distinct()
     names = list(columns.values())
-    return surrogate_keys(members.filter(_some(names)), names, key)
+    return stage(surrogate_keys(members.filter(_some(names)), names, key), f"dim-{key}")
 
 
 def case_attributes(log: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
@@ -111,8 +114,9 @@ def case_attributes(log: DataFrame, case_col: str, groups: Sequence[Sequence[str
 
 
 def _lookup(facts: DataFrame, dim: DataFrame, columns: Mapping[str, str], key: str) -> DataFrame:
-    # Unhinted: Spark broadcasts the dimension when its size allows, else joins by shuffle with
-    # adaptive splitting of a member that holds a large part of the facts.
+    # Unhinted: the dimension is a written table, so Spark knows its size. It is broadcast when
+    # that is small, else joined by shuffle with adaptive splitting of a member that holds a
+    # large part of the facts.
     on = reduce(
         lambda a, b: a & b, [facts[c].eqNullSafe(dim[d]) for c, d in columns.items()]
     )
@@ -140,8 +144,8 @@ def build_star(
     """Turn a flat event log into facts and dimensions.
 
     The three mappings name the log columns of each case attribute and their dimension columns.
-    Events are kept as they are, one row each. Save the result with :func:`save_star` before
-    using it for several reports: it is a plan, and each use of it would scan the log again.
+    Events are kept as they are, one row each. The dimensions are computed here; the facts are
+    plans over the log, so save the star with :func:`save_star` before using it more than once.
     """
     dim_activity = build_dimension(
         log.select(F.col(activity_col).alias("activity")), {"activity": "activity"}, "activity_key"
