@@ -70,6 +70,7 @@ class Params:
     target_days: int = 75
     watch_days: int = 90
     bucket_edges: tuple[int, ...] = BUCKET_EDGES
+    risk_labels: tuple[str, ...] = RISK_STATUSES
     aged_days: int = 90
     min_cases: int = 100
     top_vendors: int = 15

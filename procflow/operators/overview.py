@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procflow.constants import BUCKET_EDGES, CLOSED, OPEN, Params, TREND_STATUSES
+from procflow.constants import (
+    BUCKET_EDGES,
+    CLOSED,
+    OPEN,
+    RISK_STATUSES,
+    TREND_STATUSES,
+    Params,
+)
 from procflow.functions.classify import (
     bucket_labels,
     duration_bucket,
@@ -37,9 +44,15 @@ def case_overview(spans: DataFrame, as_of: Column, snapshot: bool = False) -> Da
 
 
 def case_classification(
-    overview: DataFrame, start: Column, edges: Sequence[int] = BUCKET_EDGES
+    overview: DataFrame,
+    start: Column,
+    edges: Sequence[int] = BUCKET_EDGES,
+    labels: Sequence[str] = RISK_STATUSES,
 ) -> DataFrame:
-    """Cases started on or after ``start`` with their duration bucket and risk status."""
+    """Cases started on or after ``start`` with their duration bucket and risk status.
+
+    ``labels`` names the statuses: one per edge and one for durations above the last edge.
+    """
     days = F.col("Duration_Days")
     return overview.filter(on_or_after(F.col("Start_Time"), start)).select(
         "Case_ID",
@@ -47,7 +60,7 @@ def case_classification(
         "Duration_Days",
         "Duration_Type",
         duration_bucket(days, edges).alias("Distribution_Buckets"),
-        risk_status(days, edges).alias("Risk_Status"),
+        risk_status(days, edges, labels).alias("Risk_Status"),
     )
 
 

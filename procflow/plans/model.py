@@ -71,7 +71,8 @@ class CaseModel:
 
     @cached_property
     def classification(self) -> DataFrame:
-        return case_classification(self.overview, self.start, self.params.bucket_edges)
+        p = self.params
+        return case_classification(self.overview, self.start, p.bucket_edges, p.risk_labels)
 
     @cached_property
     def stage_base(self) -> DataFrame:

@@ -82,29 +82,20 @@ def _spend_area() -> Column:
 def _events(items: DataFrame, *carry: Column) -> DataFrame:
     """One row per event of each item, from a single pass over the items."""
     h1, h2, h3 = F.col("h1"), F.col("h2"), F.col("h3")
-    candidates = [
-        (1, F.col("po_min"), F.col("case_no") % 101 != 0),
-        (2, F.col("gr_min"), h1 >= 6),
-        (3, F.col("ir_min"), h2 >= 10),
-        (4, F.col("ci_min"), (h3 >= 25) & (h2 >= 10)),
-        (5, F.col("po_min") + 60, h1 % 4 == 0),
-    ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(key).alias("activity_key"),
-                minute.cast("int").alias("_minute"),
-                happens.alias("_happens"),
-            )
-            for key, minute, happens in candidates
-        ]
-    )
+    minutes = {
+        1: F.when(F.col("case_no") % 101 != 0, F.col("po_min")),
+        2: F.when(h1 >= 6, F.col("gr_min")),
+        3: F.when(h2 >= 10, F.col("ir_min")),
+        4: F.when((h3 >= 25) & (h2 >= 10), F.col("ci_min")),
+        5: F.when(h1 % 4 == 0, F.col("po_min") + 60),
+    }
+    ids = [_case_id(), *carry]
+    wide = items.select(*ids, *[m.cast("int").alias(str(key)) for key, m in minutes.items()])
+    kept = wide.columns[: len(ids)]
+    long = wide.unpivot(kept, [str(key) for key in minutes], "_key", "_minute")
     moment = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("_minute"))
-    return (
-        items.select(_case_id(), *carry, F.inline(rows))
-        .filter("_happens")
-        .withColumn("timestamp", moment)
-        .drop("_minute", "_happens")
+    return long.filter(F.col("_minute").isNotNull()).select(
+        *kept, F.col("_key").cast("int").alias("activity_key"), moment.alias("timestamp")
     )
 
 

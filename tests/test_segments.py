@@ -1,0 +1,224 @@
+from __future__ import annotations
+
+from collections import Counter
+from decimal import Decimal
+
+from conftest import rows
+from pyspark.sql import functions as F
+from test_stages import timed
+
+from procflow.constants import COMPANY, SPEND_AREA, VENDOR, Params
+from procflow.operators import segments as sg
+from procflow.plans import reports as rp
+from procflow.plans.model import CaseModel, case_table
+
+
+def flags(spark, *groups):
+    """Delay base from (vendor, on-time cases, delayed cases)."""
+    data = [
+        (f"{v}-{f}-{i}", f, v)
+        for v, good, bad in groups
+        for f, n in ((0, good), (1, bad))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(data, "Case_ID STRING, Delay_Flag INT, Vendor_key INT")
+
+
+def model(spark, star, **params) -> CaseModel:
+    as_of = spark.sql("SELECT timestamp_ntz'2019-01-31 12:00:00' AS As_of_Date")
+    return CaseModel(case_table(star), as_of, star.dim_spend_area, Params(**params))
+
+
+def test_rates_and_rank(spark):
+    base = flags(spark, (1, 60, 40), (2, 90, 30), (3, 120, 0))
+    out = sg.in_rank_order(sg.segment_ranking(base, VENDOR), VENDOR)
+    assert out.columns == [
+        "Vendor_key", "Total_cases", "Delay_cases", "Delayed_Rate", "Impact_Share", "Vendor_Rank",
+    ]
+    assert rows(out) == [
+        (1, 100, 40, Decimal("40.00"), Decimal("57.14"), 1),
+        (2, 120, 30, Decimal("25.00"), Decimal("42.86"), 2),
+        (3, 120, 0, Decimal("0.00"), Decimal("0.00"), 3),
+    ]
+
+
+def test_small_segments_are_dropped_but_count_in_the_total(spark):
+    base = flags(spark, (1, 60, 40), (2, 50, 49))
+    assert rows(sg.segment_ranking(base, VENDOR)) == [
+        (1, 100, 40, Decimal("40.00"), Decimal("44.94"), 1)
+    ]
+    kept = rows(sg.segment_ranking(base, VENDOR, min_cases=99))
+    assert sorted(r[0] for r in kept) == [1, 2]
+
+
+def test_cases_without_segment(spark):
+    base = flags(spark, (1, 60, 40), (None, 80, 60))
+    assert rows(sg.in_rank_order(sg.segment_ranking(base, VENDOR), VENDOR)) == [
+        (1, 100, 40, Decimal("40.00"), Decimal("40.00"), 1),
+        (None, 140, 0, Decimal("0.00"), Decimal("0.00"), 2),
+    ]
+
+
+def test_ties_share_a_rank_and_ranks_are_dense(spark):
+    base = flags(spark, (5, 90, 10), (4, 90, 10), (3, 100, 20), (2, 100, 5), (1, 100, 5))
+    out = rows(sg.in_rank_order(sg.segment_ranking(base, VENDOR), VENDOR))
+    assert [(r[0], r[5]) for r in out] == [(3, 1), (4, 2), (5, 2), (1, 3), (2, 3)]
+
+
+def test_top_cut_takes_the_smaller_key(spark):
+    base = flags(spark, (5, 90, 10), (4, 90, 10), (3, 100, 20))
+    top = sg.top_segments(base, VENDOR, 2)
+    assert sorted((r["Vendor_key"], r["Vendor_Rank"]) for r in top.collect()) == [(3, 1), (4, 2)]
+
+
+def test_top_agrees_with_the_full_ranking(spark, small):
+    from procflow.plans.model import order_line_model
+
+    base = order_line_model(spark, small).delay_base
+    for segment, n in ((VENDOR, 5), (SPEND_AREA, 7), (COMPANY, 2)):
+        full = sg.in_rank_order(sg.segment_ranking(base, segment, 10), segment)
+        top = sg.in_rank_order(sg.top_segments(base, segment, n, 10), segment)
+        assert rows(top) == rows(full)[:n]
+
+
+def test_no_delayed_cases_give_no_impact(spark):
+    base = flags(spark, (1, 100, 0))
+    assert rows(sg.segment_ranking(base, VENDOR)) == [(1, 100, 0, Decimal("0.00"), None, 1)]
+
+
+def test_rank_over_many_segments_matches_sorting(spark):
+    """Long tail: most segments have impact 0.00, many tie."""
+    groups = [(v, 20 + v % 13, (v * v) % 7 if v > 3 else 400) for v in range(400)]
+    base = flags(spark, *groups)
+    out = rows(sg.segment_ranking(base, VENDOR, min_cases=1))
+    keys = sorted({(r[4], r[3], r[2]) for r in out}, reverse=True)
+    place = {k: i for i, k in enumerate(keys, 1)}
+    assert len(out) == 400
+    assert all(r[5] == place[r[4], r[3], r[2]] for r in out)
+
+
+def test_pareto_runs_over_the_rank_order(spark):
+    base = flags(spark, (5, 90, 10), (4, 90, 10), (3, 100, 20), (None, 90, 40), (9, 1, 20))
+    ranking = sg.segment_ranking(base, VENDOR)
+    delayed = sg.total_delayed(sg.segment_counts(base, VENDOR))
+    out = rows(sg.in_rank_order(sg.pareto(ranking, VENDOR, delayed), VENDOR))
+    assert [(r[0], r[6], r[7]) for r in out] == [
+        (3, 20, Decimal("20.00")),
+        (4, 30, Decimal("30.00")),
+        (5, 40, Decimal("40.00")),
+        (None, 40, Decimal("40.00")),
+    ]
+
+
+def test_delayed_cases_of_segments_never_exceed_the_total(spark, small):
+    from procflow.plans.model import order_line_model
+
+    m = order_line_model(spark, small)
+    total = m.delay_base.filter("Delay_Flag = 1").count()
+    for report in (rp.vendor_pareto, rp.spend_area_pareto, rp.company_pareto):
+        last = report(m).agg(F.max("Cumulative_Delay_cases")).first()[0]
+        assert last <= total
+
+
+def test_delay_base_keeps_negative_and_drops_open(spark, log):
+    timed(log, "neg", 1, 1, -9)
+    timed(log, "late", 10, 10, 56, vendor=None, area=None)
+    timed(log, "limit", 10, 10, 55)
+    log.case("open", PO="2018-07-01").case("old", PO="2018-05-31", CI="2018-07-01")
+    out = model(spark, log.star()).delay_base
+    assert {r[0]: r[3:] for r in rows(out)} == {
+        "neg": (-7, 0, 1, 1, 1),
+        "late": (76, 1, 1, None, None),
+        "limit": (75, 0, 1, 1, 1),
+    }
+
+
+def test_case_missing_from_the_case_table_stays_without_segment(spark, log):
+    timed(log, "A", 1, 1, 1)
+    log.cases.clear()
+    (row,) = rows(model(spark, log.star()).delay_base)
+    assert row[5:] == (None, None, None)
+
+
+def drill_log(log):
+    timed(log, "a1", 10, 10, 10, vendor=1)
+    timed(log, "a2", 20, -1, 11, vendor=1)
+    timed(log, "a3", 30, 20, 30, vendor=1)
+    timed(log, "a4", 0, 40, 60, vendor=1)
+    timed(log, "b1", 1, 1, 80, vendor=2)
+    timed(log, "n1", 1, 1, 90, vendor=None)
+    log.case("a5", PO="2018-07-01", GR="2018-07-02", CI="2018-12-01")
+    return log.star()
+
+
+def test_stage_duration_counts_both_groups(spark, log):
+    m = model(spark, drill_log(log), min_cases=2, top_vendors=5)
+    out = rp.vendor_stage_duration(m)
+    got = {(r["Stage"], r["Delay_flag"]): r for r in out.collect()}
+    assert {r["Vendor_key"] for r in got.values()} == {1}
+    assert {k[0]: r["Cases_Number"] for k, r in got.items()} == {
+        "PO_GR_Days": 4,
+        "GR_IR_Days": 3,
+        "IR_CI_Days": 4,
+    }
+    assert (got["PO_GR_Days", 0]["Median"], got["PO_GR_Days", 0]["P90"]) == (15, 19)
+    assert (got["PO_GR_Days", 1]["Median"], got["PO_GR_Days", 1]["P90"]) == (15, 27)
+    assert got["GR_IR_Days", 0]["Median"] == 10
+    order = [(r["Vendor_Rank"], r["Stage"]) for r in out.collect()]
+    assert [s for _, s in order][::2] == ["PO_GR_Days", "GR_IR_Days", "IR_CI_Days"]
+
+
+def test_bottleneck_takes_delayed_valid_cases(spark, log):
+    m = model(spark, drill_log(log), min_cases=2, top_vendors=5)
+    assert rows(rp.vendor_bottleneck(m)) == [
+        ("PO_GR_Days", 1, 1, 2, Decimal("18.75")),
+        ("GR_IR_Days", 1, 1, 2, Decimal("32.50")),
+        ("IR_CI_Days", 1, 1, 2, Decimal("48.75")),
+    ]
+
+
+def test_cases_without_segment_have_no_drill_down(spark, log):
+    m = model(spark, drill_log(log), min_cases=1, top_vendors=9)
+    assert {r["Vendor_key"] for r in rp.vendor_ranking(m).collect()} == {1, 2, None}
+    assert {r["Vendor_key"] for r in rp.vendor_base(m).collect()} == {1, 2}
+
+
+def test_spend_area_without_name_is_kept(spark, log):
+    log.areas = [(1, "Pumps", "Direct")]
+    timed(log, "a", 10, 10, 80, area=1)
+    timed(log, "b", 10, 10, 90, area=2)
+    timed(log, "c", 10, 10, 1, area=2)
+    m = model(spark, log.star(), min_cases=1)
+    assert [r[:2] for r in rows(rp.spend_area_ranking(m))] == [(1, "Pumps"), (2, None)]
+    named = Counter(
+        (r["Spend_Area_key"], r["Spend_area_sub"], r["Spend_class"])
+        for r in rp.spend_area_bottleneck(m).collect()
+    )
+    assert named == {(1, "Pumps", "Direct"): 3, (2, None, None): 3}
+
+
+def test_skewed_segment_gives_the_same_medians(spark):
+    """A third of all cases in one segment, against brute force."""
+    cases = spark.range(60_000).select(
+        F.concat(F.lit("C"), "id").alias("Case_ID"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40 + 2).cast("int").alias("Vendor_key"),
+        F.lit(1).alias("Vendor_Rank"),
+        (F.col("id") * 7 % 61).cast("int").alias("PO_GR_Days"),
+        (F.col("id") * 11 % 53 - 1).cast("int").alias("GR_IR_Days"),
+        (F.col("id") * 13 % 47).cast("int").alias("IR_CI_Days"),
+    )
+    cases = cases.withColumn("Lead_Time", F.expr("PO_GR_Days + GR_IR_Days + IR_CI_Days"))
+    out = sg.segment_duration(cases, VENDOR).filter("Vendor_key = 1 AND Stage = 'GR_IR_Days'")
+    got = {r["Delay_flag"]: r for r in out.collect()}
+    values = {0: [], 1: []}
+    for i in range(0, 60_000, 3):
+        a, b, c = i * 7 % 61, i * 11 % 53 - 1, i * 13 % 47
+        if b >= 0:
+            values[int(a + b + c > 75)].append(b)
+    for flag, vs in values.items():
+        vs.sort()
+        pos = 0.9 * (len(vs) - 1)
+        low = int(pos)
+        p90 = vs[low] + (pos - low) * (vs[min(low + 1, len(vs) - 1)] - vs[low])
+        assert got[flag]["P90"] == int(round(p90, 9))
+        assert got[flag]["Cases_Number"] == len(values[0]) + len(values[1])

@@ -1,0 +1,193 @@
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from procflow.operators import stages as st
+from procflow.operators.milestones import milestones
+from procflow.operators.quality import quality_check
+
+NORMAL = "Lack abnormality"
+
+
+def base(log):
+    star = log.star()
+    start = F.lit("2018-06-01").cast("date")
+    return st.stage_base(milestones(star.fact_events, star.dim_activity), start)
+
+
+def timed(log, case_id, po_gr, gr_ir, ir_ci, **attributes):
+    """A complete case with the given stage days, starting on 1 July 2018."""
+    from datetime import datetime, timedelta
+
+    t = datetime(2018, 7, 1, 12)
+    times = [t]
+    for days in (po_gr, gr_ir, ir_ci):
+        t += timedelta(days=days)
+        times.append(t)
+    steps = dict(zip(("PO", "GR", "IR", "CI"), (x.isoformat() for x in times)))
+    return log.case(case_id, **attributes, **steps)
+
+
+def test_stage_days_and_window(log):
+    timed(log, "A", 3, 0, 4)
+    log.case("old", PO="2018-05-31 23:59", CI="2018-08-01")
+    (row,) = rows(base(log))
+    assert row[0] == "A" and row[5:] == (3, 0, 4, 7)
+
+
+def test_stage_days_with_gaps(log):
+    log.case("A", PO="2018-07-01", IR="2018-07-05", CI="2018-07-09")
+    (row,) = rows(base(log))
+    assert row[5:] == (None, None, 4, 8)
+
+
+def test_stages_add_up_to_lead_time(log):
+    for i, days in enumerate([(1, 2, 3), (-1, 5, 0), (0, 0, 0), (30, -40, 5)]):
+        timed(log, f"C{i}", *days)
+    assert base(log).filter("PO_GR_Days + GR_IR_Days + IR_CI_Days <> Lead_Time").isEmpty()
+
+
+@pytest.mark.parametrize(
+    "steps, statuses, issue",
+    [
+        (
+            {"IR": "2018-07-05", "CI": "2018-07-06"},
+            ("Missing_GR", "Missing_GR", NORMAL),
+            "Missing_GR",
+        ),
+        ({"GR": "2018-07-05", "CI": "2018-07-06"}, (NORMAL, "Missing_IR", "Missing_IR"), "Missing_IR"),
+        ({"GR": "2018-07-05", "IR": "2018-07-06"}, (NORMAL, NORMAL, "Missing_CI"), "Missing_CI"),
+        ({}, ("Missing_GR", "Missing_GR", "Missing_IR"), "Missing_GR"),
+        ({"CI": "2018-07-06"}, ("Missing_GR", "Missing_GR", "Missing_IR"), "Missing_GR"),
+        (
+            {"GR": "2018-06-20", "IR": "2018-07-06", "CI": "2018-07-07"},
+            ("Invalid_PO_GR", NORMAL, NORMAL),
+            "Invalid_PO_GR",
+        ),
+        (
+            {"GR": "2018-07-05", "IR": "2018-07-03", "CI": "2018-07-07"},
+            (NORMAL, "Invalid_GR_IR", NORMAL),
+            "Invalid_GR_IR",
+        ),
+        (
+            {"GR": "2018-07-05", "IR": "2018-07-09", "CI": "2018-07-07"},
+            (NORMAL, NORMAL, "Invalid_IR_CI"),
+            "Invalid_IR_CI",
+        ),
+        (
+            {"GR": "2018-07-05", "IR": "2018-07-05", "CI": "2018-07-05"},
+            (NORMAL, NORMAL, NORMAL),
+            NORMAL,
+        ),
+    ],
+)
+def test_statuses_and_primary_issue(log, steps, statuses, issue):
+    log.case("A", PO="2018-07-01", **steps)
+    (row,) = rows(st.stage_flags(base(log)))
+    assert row[9:12] == statuses
+    assert row[12] == issue
+
+
+def test_issue_shares_in_order(log):
+    timed(log, "a", 1, 1, 1)
+    timed(log, "b", 1, 1, -1)
+    log.case("c", PO="2018-07-01", GR="2018-07-02", IR="2018-07-03")
+    log.case("d", PO="2018-07-01")
+    third = Decimal("25.00")
+    assert rows(st.primary_issue_share(st.stage_flags(base(log)))) == [
+        (NORMAL, 1, third),
+        ("Missing_GR", 1, third),
+        ("Invalid_IR_CI", 1, third),
+        ("Missing_CI", 1, third),
+    ]
+
+
+def test_local_missingness_uses_cases_that_reached_the_stage(log):
+    log.case("a", PO="2018-07-01")
+    log.case("b", PO="2018-07-01", GR="2018-07-02")
+    log.case("c", PO="2018-07-01", GR="2018-07-02", IR="2018-07-03")
+    log.case("d", PO="2018-07-01", IR="2018-07-03")
+    assert rows(st.local_missingness(st.stage_flags(base(log)))) == [
+        ("Missing_GR", 2, Decimal("50.00")),
+        ("Missing_IR", 1, Decimal("50.00")),
+        ("Missing_CI", 2, Decimal("100.00")),
+    ]
+
+
+def test_local_missingness_without_gaps_is_empty(log):
+    timed(log, "a", 1, 1, 1)
+    assert rows(st.local_missingness(st.stage_flags(base(log)))) == []
+
+
+def test_profiles_by_population(log):
+    timed(log, "a", 10, 20, 30)
+    timed(log, "b", 20, 20, 60)
+    timed(log, "neg", -5, 20, 90)
+    timed(log, "zero", 0, 0, 0)
+    log.case("open", PO="2018-07-01", GR="2018-08-10")
+    sb = base(log)
+    every = {r[0]: r[1] for r in rows(st.duration_profile(sb, st.every_case()))}
+    assert every == {"PO_GR_Days": 15.0, "GR_IR_Days": 20.0, "IR_CI_Days": 45.0}
+    assert rows(st.duration_profile(sb, st.valid_within(), "S")) == [
+        ("PO_GR_Days", 10.0, 10.0),
+        ("GR_IR_Days", 20.0, 20.0),
+        ("IR_CI_Days", 30.0, 30.0),
+    ]
+    assert rows(st.duration_profile(sb, st.valid_above(), "S")) == [
+        ("PO_GR_Days", 20.0, 20.0),
+        ("GR_IR_Days", 20.0, 20.0),
+        ("IR_CI_Days", 60.0, 60.0),
+    ]
+
+
+def test_empty_population_gives_no_rows(log):
+    timed(log, "a", 1, 2, 3)
+    assert rows(st.duration_profile(base(log), st.valid_above())) == []
+    above = F.col("Lead_Time") > 75
+    assert rows(st.contribution_profile(base(log), above)) == []
+
+
+def test_zero_lead_time_has_no_share(log):
+    timed(log, "zero", 0, 0, 0)
+    shares = rows(st.stage_share(base(log)))
+    assert shares == [("zero", 0, None, None, None)]
+    within = F.col("Lead_Time") <= 75
+    assert [r[1] for r in rows(st.contribution_profile(base(log), within))] == [None] * 3
+    timed(log, "a", 1, 2, 4)
+    assert rows(st.contribution_profile(base(log), within)) == [
+        ("PO_GR_Days", Decimal("14.29")),
+        ("GR_IR_Days", Decimal("28.57")),
+        ("IR_CI_Days", Decimal("57.14")),
+    ]
+
+
+def test_shares_are_rounded_before_the_median(log):
+    timed(log, "a", 1, 2, 0)
+    timed(log, "b", 2, 1, 0)
+    (po, *_), rest = rows(st.stage_share(base(log)))[0][2:], None
+    assert po in (Decimal("33.3333"), Decimal("66.6667"))
+    assert rows(st.contribution_profile(base(log), st.every_case()))[0][1] == Decimal("50.00")
+
+
+def test_quality_check(log):
+    timed(log, "a", 1, 1, 1)
+    timed(log, "b", -1, 1, 1)
+    timed(log, "c", 1, -1, -1)
+    log.case("d", PO="2018-07-01")
+    assert rows(quality_check(base(log))) == [(4, 2, Decimal("50.00"))]
+
+
+def test_statuses_split_the_cases(spark, small):
+    from procflow.plans.model import order_line_model
+
+    flags = order_line_model(spark, small).stage_flags
+    total = flags.count()
+    shares = rows(st.primary_issue_share(flags))
+    assert sum(r[1] for r in shares) == total
+    assert abs(sum(r[2] for r in shares) - 100) <= Decimal("0.04")
+    agree = flags.filter("GR_ts IS NULL").select("PO_GR_Status", "GR_IR_Status").distinct()
+    assert rows(agree) == [("Missing_GR", "Missing_GR")]
