@@ -83,6 +83,10 @@ def ts_col(step: str) -> str:
     return f"{step}_ts"
 
 
+def day_col(step: str) -> str:
+    return f"{step}_day"
+
+
 def stage_pairs(steps: tuple[Step, ...] = P2P_STEPS) -> list[tuple[str, str]]:
     """Adjacent milestone names, e.g. ``[("PO", "GR"), ("GR", "IR"), ("IR", "CI")]``."""
     names = [s.name for s in steps]

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procflow.constants import day_col, ts_col
+
+
+def day_of(df: DataFrame, time: str, day: str) -> Column:
+    """The day of a moment: column ``day`` where ``df`` has it, else derived from ``time``.
+
+    Staged tables carry days next to times. A DATE is half as wide, compresses to its few
+    distinct values, and a condition on it skips row groups and pages of a Parquet file, which
+    Spark does not do for zone-free timestamps.
+    """
+    return F.col(day) if day in df.columns else F.col(time).cast("date")
+
+
+def step_day(df: DataFrame, step: str) -> Column:
+    """The day a step was reached, NULL when it was not."""
+    return day_of(df, ts_col(step), day_col(step))
+
 
 def day_span(start: Column, end: Column) -> Column:
     """Calendar-day boundaries crossed from ``start`` to ``end``; NULL when either is NULL.
@@ -25,11 +42,6 @@ def first_of_month(ts: Column, months_back: int) -> Column:
     return F.trunc(F.add_months(ts.cast("date"), -months_back), "MM")
 
 
-def on_or_after(ts: Column, day: Column) -> Column:
-    """``ts >= day`` at midnight, compared zone-free so that the session zone cannot matter."""
-    return ts >= day.cast("timestamp_ntz")
-
-
 def period_label(ts: Column, period: str = "month", iso_year: bool = False) -> Column:
     """``YYYY-MM`` (``"month"``) or ``YYYY-WW`` (``"iso_week"``).
 

@@ -32,13 +32,6 @@ def step_activities(
     return found.filter(F.col("_step").isNotNull())
 
 
-def _step_events(
-    events: DataFrame, dim_activity: DataFrame, steps: Sequence[Step], collation: str | None
-) -> DataFrame:
-    core = step_activities(dim_activity, steps, collation)
-    return events.filter(F.col("case_id").isNotNull()).join(F.broadcast(core), "activity_key")
-
-
 def _activity_rows(
     core: DataFrame, dim_activity: DataFrame, activity: str, collation: str | None
 ) -> DataFrame:
@@ -59,7 +52,8 @@ def milestones(
     many events still sends one row per task. Cases lacking a ``required`` step are left out, and
     so are events without a case.
     """
-    hits = _step_events(events, dim_activity, steps, collation)
+    core = F.broadcast(step_activities(dim_activity, steps, collation))
+    hits = events.filter(F.col("case_id").isNotNull()).join(core, "activity_key")
     times = [
         (F.min if s.pick == "first" else F.max)(
             F.when(F.col("_step") == i, F.col("timestamp"))
@@ -78,15 +72,23 @@ def core_milestones(
     steps: Sequence[Step] = P2P_STEPS,
     collation: str | None = None,
 ) -> DataFrame:
-    """Long form: one row per case and milestone activity (first or last event, per step)."""
-    firsts = [i for i, s in enumerate(steps) if s.pick == "first"]
-    bounds = (
-        _step_events(events, dim_activity, steps, collation)
-        .groupBy("case_id", "activity_key", "_step")
-        .agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    """Long form: one row per case and milestone activity (first or last event, per step).
+
+    Melted from the wide form: shuffling one row per case moves each case id once, where grouping
+    by case and activity would move it once per step.
+    """
+    wide = milestones(events, dim_activity, steps, (), collation)
+    numbered = wide.select(
+        F.col("Case_ID").alias("case_id"),
+        *[F.col(ts_col(s.name)).alias(str(i)) for i, s in enumerate(steps)],
+    )
+    numbers = [str(i) for i in range(len(steps))]
+    long = numbered.unpivot(["case_id"], numbers, "_number", "milestone_ts")
+    reached = long.filter(F.col("milestone_ts").isNotNull()).select(
+        "case_id", F.col("_number").cast("int").alias("_step"), "milestone_ts"
     )
-    picked = F.when(F.col("_step").isin(firsts), F.col("_first")).otherwise(F.col("_last"))
-    return bounds.select("case_id", "activity_key", picked.alias("milestone_ts"))
+    keys = F.broadcast(step_activities(dim_activity, steps, collation))
+    return reached.join(keys, "_step").select("case_id", "activity_key", "milestone_ts")
 
 
 def as_of_date(

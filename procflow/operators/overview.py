@@ -22,7 +22,7 @@ from procflow.functions.classify import (
     risk_status,
     trend_status,
 )
-from procflow.functions.dates import day_span, months_before, on_or_after, period_label
+from procflow.functions.dates import day_of, day_span, months_before, period_label
 from procflow.functions.numeric import clean_double, ratio
 from procflow.functions.percentiles import histogram, percentiles
 from procflow.functions.rows import cases, cases_if, report_rows
@@ -31,16 +31,28 @@ from procflow.functions.rows import cases, cases_if, report_rows
 def case_overview(spans: DataFrame, as_of: Column, snapshot: bool = False) -> DataFrame:
     """Duration of each case: start to end when closed, start to ``as_of`` while open.
 
-    ``spans`` has ``Case_ID, Start_Time, End_Time``; a case is closed when it has an end. By
-    default an end after ``as_of`` counts too; ``snapshot=True`` treats such a case as open.
+    ``spans`` has ``Case_ID, Start_Time, End_Time`` and may have ``Start_Day, End_Day``; a case is
+    closed when it has an end. By default an end after ``as_of`` counts too; ``snapshot=True``
+    treats such a case as open. ``Start_Day`` is carried along for the operators that follow.
     """
-    end = F.col("End_Time")
+    end, end_day = F.col("End_Time"), day_of(spans, "End_Time", "End_Day")
     if snapshot:
-        end = F.when(end <= as_of, end)
-    closed = spans.select("Case_ID", "Start_Time", end.alias("End_Time"))
-    days = day_span(F.col("Start_Time"), F.coalesce(F.col("End_Time"), as_of))
-    kind = F.when(F.col("End_Time").isNotNull(), CLOSED).otherwise(OPEN)
-    return closed.select("*", days.alias("Duration_Days"), kind.alias("Duration_Type"))
+        known = F.col("End_Time") <= as_of
+        end, end_day = F.when(known, end), F.when(known, end_day)
+    start_day = day_of(spans, "Start_Time", "Start_Day")
+    return spans.select(
+        "Case_ID",
+        "Start_Time",
+        end.alias("End_Time"),
+        day_span(start_day, F.coalesce(end_day, as_of.cast("date"))).alias("Duration_Days"),
+        F.when(end_day.isNotNull(), CLOSED).otherwise(OPEN).alias("Duration_Type"),
+        start_day.alias("Start_Day"),
+    )
+
+
+def without_start_day(overview: DataFrame) -> DataFrame:
+    """``overview`` without the day column that repeats its start time."""
+    return overview.drop("Start_Day")
 
 
 def case_classification(
@@ -49,12 +61,12 @@ def case_classification(
     edges: Sequence[int] = BUCKET_EDGES,
     labels: Sequence[str] = RISK_STATUSES,
 ) -> DataFrame:
-    """Cases started on or after ``start`` with their duration bucket and risk status.
+    """Cases started on or after the day ``start`` with their duration bucket and risk status.
 
     ``labels`` names the statuses: one per edge and one for durations above the last edge.
     """
     days = F.col("Duration_Days")
-    return overview.filter(on_or_after(F.col("Start_Time"), start)).select(
+    return overview.filter(day_of(overview, "Start_Time", "Start_Day") >= start).select(
         "Case_ID",
         "Start_Time",
         "Duration_Days",
@@ -95,14 +107,16 @@ def sla_trend(
 ) -> DataFrame:
     """Risk mix per start period for closed (``"Lead Time"``) or open (``"Age days"``) cases.
 
-    ``since`` keeps cases started strictly after that moment. Monthly trends cover all history.
+    ``since`` keeps cases started strictly after that moment; the condition on the day is implied
+    and lets the scan skip earlier ones. Monthly trends cover all history.
     """
+    day = day_of(overview, "Start_Time", "Start_Day")
     chosen = overview.filter(F.col("Duration_Type") == kind)
     if since is not None:
-        chosen = chosen.filter(F.col("Start_Time") > since)
+        chosen = chosen.filter((day >= since.cast("date")) & (F.col("Start_Time") > since))
     status = trend_status(F.col("Duration_Days"), params.target_days, params.watch_days)
     labelled = chosen.select(
-        period_label(F.col("Start_Time"), period, params.iso_year).alias("Time_Period"),
+        period_label(day, period, params.iso_year).alias("Time_Period"),
         F.lit(kind).alias("Cases_Status"),
         status.alias("Risk_Status"),
     )

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procflow.constants import P2P_STEPS, Segment, Step, ts_col
+from procflow.constants import P2P_STEPS, Segment, Step, day_col, ts_col
 from procflow.functions.classify import delay_flag
-from procflow.functions.dates import day_span, on_or_after
+from procflow.functions.dates import day_span, step_day
 from procflow.functions.numeric import ratio, to_int, to_percent
 from procflow.functions.ordered import By, dense_ranks, running_sum
 from procflow.functions.percentiles import COUNT, histogram, percentiles
@@ -32,13 +32,13 @@ def delay_base(
     ``cases`` has the milestones and the segment keys (see ``plans.model.case_table``). Negative
     lead times stay in, with flag 0.
     """
-    first, last = ts_col(steps[0].name), ts_col(steps[-1].name)
-    closed = cases.filter(on_or_after(F.col(first), start) & F.col(last).isNotNull())
-    lead = day_span(F.col(first), F.col(last))
-    return closed.select(
+    first, last = steps[0].name, steps[-1].name
+    begin, end = step_day(cases, first), step_day(cases, last)
+    lead = day_span(begin, end)
+    return cases.filter((begin >= start) & end.isNotNull()).select(
         "Case_ID",
-        first,
-        last,
+        ts_col(first),
+        ts_col(last),
         lead.alias("Lead_Time"),
         delay_flag(lead, threshold).alias("Delay_Flag"),
         F.col("company_key").alias("Company_key"),
@@ -129,11 +129,14 @@ def segment_base(
     ``extra`` names columns of ``top`` to carry along. ``top`` has at most as many rows as its
     limit, so it is broadcast: a segment with a third of all cases is never shuffled by its key.
     """
-    times = [ts_col(s.name) for s in steps]
-    complete = cases.filter(on_or_after(F.col(times[0]), start)).dropna(subset=times)
-    keyed = complete.select("Case_ID", F.col(segment.column).alias(segment.key), *times)
+    days = [day_col(s.name) for s in steps]
+    keyed = cases.filter(step_day(cases, steps[0].name) >= start).select(
+        "Case_ID",
+        F.col(segment.column).alias(segment.key),
+        *[step_day(cases, s.name).alias(d) for s, d in zip(steps, days)],
+    )
     chosen = F.broadcast(top.select(segment.key, segment.rank, *extra))
-    return stage_days(keyed.join(chosen, segment.key), steps).drop(*times)
+    return stage_days(keyed.dropna(subset=days).join(chosen, segment.key), steps).drop(*days)
 
 
 def segment_duration(

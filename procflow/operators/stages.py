@@ -12,12 +12,13 @@ from procflow.constants import (
     NORMAL,
     P2P_STEPS,
     Step,
+    day_col,
     stage_cols,
     stage_pairs,
     ts_col,
 )
 from procflow.functions.classify import position
-from procflow.functions.dates import day_span, on_or_after
+from procflow.functions.dates import day_span, step_day
 from procflow.functions.numeric import clean_double, day_share, ratio, to_percent
 from procflow.functions.percentiles import COUNT, histogram, percentile_of, percentiles
 from procflow.functions.rows import cases, cases_if, report_rows
@@ -36,19 +37,29 @@ def stage_days(ms: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
     A value is NULL when either end is missing and negative when the ends are out of order. The
     stages of a complete case add up to its lead time.
     """
-    days = [
-        day_span(F.col(ts_col(a)), F.col(ts_col(b))).alias(f"{a}_{b}_Days")
-        for a, b in stage_pairs(steps)
-    ]
-    lead = day_span(F.col(ts_col(steps[0].name)), F.col(ts_col(steps[-1].name)))
-    return ms.select("*", *days, lead.alias("Lead_Time"))
+    day = {s.name: step_day(ms, s.name) for s in steps}
+    spans = [day_span(day[a], day[b]).alias(f"{a}_{b}_Days") for a, b in stage_pairs(steps)]
+    lead = day_span(day[steps[0].name], day[steps[-1].name])
+    return ms.select("*", *spans, lead.alias("Lead_Time"))
 
 
 def stage_base(ms: DataFrame, start: Column, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
-    """Open and closed cases whose first step is on or after ``start``, with stage days."""
-    times = [ts_col(s.name) for s in steps]
-    windowed = ms.filter(on_or_after(F.col(times[0]), start)).select("Case_ID", *times)
-    return stage_days(windowed, steps)
+    """Open and closed cases whose first step is on or after the day ``start``, with stage days.
+
+    The days of the steps are carried along for the operators that follow.
+    """
+    first = step_day(ms, steps[0].name)
+    kept = ms.filter(first >= start).select(
+        "Case_ID",
+        *[ts_col(s.name) for s in steps],
+        *[step_day(ms, s.name).alias(day_col(s.name)) for s in steps],
+    )
+    return stage_days(kept, steps)
+
+
+def without_days(df: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
+    """``df`` without the day columns that repeat its times."""
+    return df.drop(*[day_col(s.name) for s in steps])
 
 
 # Populations: named row conditions over a stage base.
@@ -110,7 +121,7 @@ def stage_status(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
     """
     out = []
     for i, (a, b) in enumerate(stage_pairs(steps)):
-        start, end = F.col(ts_col(a)), F.col(ts_col(b))
+        start, end = step_day(sb, a), step_day(sb, b)
         status = F.when(end.isNull(), f"Missing_{b}")
         if i > 0:
             status = F.when(start.isNull(), f"Missing_{a}").when(end.isNull(), f"Missing_{b}")
@@ -149,7 +160,7 @@ def local_missingness(flags: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> Da
     for i, (a, b) in enumerate(stage_pairs(steps)):
         missing = f"Missing_{b}"
         hit = F.col(f"{a}_{b}_Status") == missing
-        reached = F.lit(True) if i == 0 else F.col(ts_col(a)).isNotNull()
+        reached = F.lit(True) if i == 0 else step_day(flags, a).isNotNull()
         aggs += [
             cases_if(hit).alias(f"_hit{i}"),
             cases_if(reached).alias(f"_all{i}"),

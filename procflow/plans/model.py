@@ -8,9 +8,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.constants import CI_ACTIVITY, Params, ts_col
+from procflow.constants import CI_ACTIVITY, P2P_STEPS, Params, day_col, ts_col
 from procflow.operators.milestones import activity_times, analysis_start, as_of_date, milestones
-from procflow.operators.overview import case_classification, case_overview
+from procflow.operators.overview import case_classification, case_overview, trend_cutoff
 from procflow.operators.segments import delay_base
 from procflow.operators.stages import stage_base, stage_flags
 from procflow.sources.order_lines import order_line_star
@@ -21,7 +21,7 @@ KEYS = ("company_key", "vendor_key", "spend_area_key")
 
 
 def case_table(star: Star, collation: str | None = None) -> DataFrame:
-    """One row per case with a milestone: milestone times, ``End_ts`` and the segment keys.
+    """One row per case with a milestone: milestone times and days, its end, the segment keys.
 
     ``End_ts`` is the closing time the SLA reports use. It comes from the core milestone table;
     without one it equals the last clearing event. All joins are on the case, one row per
@@ -32,9 +32,12 @@ def case_table(star: Star, collation: str | None = None) -> DataFrame:
     cases = ms.join(attributes, "Case_ID", "left")
     core = star.fact_case_milestones_core
     if core is None:
-        return cases.withColumn("End_ts", F.col(ts_col("CI")))
-    ends = activity_times(core, star.dim_activity, CI_ACTIVITY, "End_ts", collation)
-    return cases.join(ends, "Case_ID", "left")
+        cases = cases.withColumn("End_ts", F.col(ts_col("CI")))
+    else:
+        ends = activity_times(core, star.dim_activity, CI_ACTIVITY, "End_ts", collation)
+        cases = cases.join(ends, "Case_ID", "left")
+    names = [*[s.name for s in P2P_STEPS], "End"]
+    return cases.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
 
 
 @dataclass(frozen=True)
@@ -51,14 +54,30 @@ class CaseModel:
         """The as-of date as a scalar subquery: nothing is collected to build a report."""
         return self.as_of_row.scalar()
 
+    def _moment(self, derived: Column) -> Column:
+        """A moment derived from the as-of date, as a scalar subquery of its own.
+
+        The derivation then runs once and not per case, and the scan gets a plain comparison,
+        which it can hold against the statistics of each row group. (An aggregate, because
+        Spark would merge a projection with the as-of subquery into one struct-valued subquery,
+        whose fields it does not push into the scan.)
+        """
+        return self.as_of_row.agg(F.max(derived).alias("moment")).scalar()
+
     @cached_property
     def start(self) -> Column:
-        return analysis_start(self.as_of, self.params.months_back)
+        """First day of the analysis window."""
+        return self._moment(analysis_start(F.col("As_of_Date"), self.params.months_back))
+
+    @cached_property
+    def trend_cutoff(self) -> Column:
+        """The weekly trends cover cases started after this moment."""
+        return self._moment(trend_cutoff(F.col("As_of_Date"), self.params.lookback_months))
 
     @cached_property
     def started(self) -> DataFrame:
         """Cases that have a first step."""
-        return self.cases.filter(F.col(ts_col("PO")).isNotNull())
+        return self.cases.filter(F.col(day_col("PO")).isNotNull())
 
     @cached_property
     def overview(self) -> DataFrame:
@@ -66,6 +85,8 @@ class CaseModel:
             "Case_ID",
             F.col(ts_col("PO")).alias("Start_Time"),
             F.col("End_ts").alias("End_Time"),
+            F.col(day_col("PO")).alias("Start_Day"),
+            F.col("End_day").alias("End_Day"),
         )
         return case_overview(spans, self.as_of, self.params.snapshot)
 
@@ -90,7 +111,8 @@ class CaseModel:
 def build_model(star: Star, params: Params = Params(), collation: str | None = None) -> CaseModel:
     """Compute the case table once, into the shared folder, and the as-of date from it.
 
-    Sorting each file by the first step lets the window filter of later reports skip row groups.
+    Sorting each file by the first step lets the window filter of later reports skip row groups
+    and pages. The sort is local to each partition.
     Without a core milestone table the as-of date is the latest first step in the case table,
     one column of a table already written, instead of a second pass over the events.
     """

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from procflow.operators.milestones import as_of_date, core_milestones, milestones
-from procflow.operators.overview import trend_cutoff
-from procflow.operators.stages import stage_share
+from procflow.operators.overview import without_start_day
+from procflow.operators.stages import stage_share, without_days
 from procflow.plans import reports as rp
 from procflow.plans.model import CaseModel, order_line_model
 from procflow.sources.order_lines import order_line_log, order_line_star
@@ -41,9 +41,10 @@ def _as_of_date(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _analysis_window(m: CaseModel) -> DataFrame:
-    cutoff = trend_cutoff(m.as_of, m.params.lookback_months)
     return m.as_of_row.select(
-        m.start.alias("Start_Date"), "As_of_Date", cutoff.alias("Trend_Cutoff")
+        m.start.alias("Start_Date"),
+        "As_of_Date",
+        m.trend_cutoff.alias("Trend_Cutoff"),
     )
 
 
@@ -77,10 +78,10 @@ QUERIES: dict[str, Query] = {
     "milestones": _milestones,
     "as_of_date": _as_of_date,
     "analysis_window": _on_model(_analysis_window),
-    "case_overview": _on_model(lambda m: m.overview),
+    "case_overview": _on_model(lambda m: without_start_day(m.overview)),
     "case_classification": _on_model(lambda m: m.classification),
-    "stage_base": _on_model(lambda m: m.stage_base),
-    "stage_flags": _on_model(lambda m: m.stage_flags),
+    "stage_base": _on_model(lambda m: without_days(m.stage_base)),
+    "stage_flags": _on_model(lambda m: without_days(m.stage_flags)),
     "stage_contribution": _on_model(lambda m: stage_share(m.stage_base)),
     "delay_base": _on_model(lambda m: m.delay_base),
     "vendor_base": _on_model(rp.vendor_base),

@@ -35,8 +35,7 @@ def sla_monthly_open(m: CaseModel) -> DataFrame:
 
 
 def _weekly(m: CaseModel, kind: str) -> DataFrame:
-    since = ov.trend_cutoff(m.as_of, m.params.lookback_months)
-    return ov.sla_trend(m.overview, kind, "iso_week", since, m.params)
+    return ov.sla_trend(m.overview, kind, "iso_week", m.trend_cutoff, m.params)
 
 
 def sla_weekly_closed(m: CaseModel) -> DataFrame:

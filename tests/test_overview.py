@@ -43,7 +43,7 @@ def test_closed_and_open_durations(spark):
         ("after", "2019-01-01", "2019-03-01"),
         ("negative", "2019-01-10", "2019-01-05"),
     )
-    out = {r[0]: r[3:] for r in rows(ov.case_overview(df, as_of_day()))}
+    out = {r[0]: r[3:5] for r in rows(ov.case_overview(df, as_of_day()))}
     assert out == {
         "closed": (1, CLOSED),
         "open": (30, OPEN),
@@ -54,7 +54,7 @@ def test_closed_and_open_durations(spark):
 
 def test_snapshot_reopens_cases_ended_later(spark):
     df = spans(spark, ("after", "2019-01-01", "2019-03-01"), ("same", "2019-01-01", "2019-01-31 12:00"))
-    out = {r[0]: r[2:] for r in rows(ov.case_overview(df, as_of_day(), snapshot=True))}
+    out = {r[0]: r[2:5] for r in rows(ov.case_overview(df, as_of_day(), snapshot=True))}
     assert out == {"after": (None, 30, OPEN), "same": (ts("2019-01-31 12:00"), 30, CLOSED)}
 
 
