@@ -32,9 +32,32 @@ def step_activities(
     return found.filter(F.col("_step").isNotNull())
 
 
-def _activity_rows(
-    core: DataFrame, dim_activity: DataFrame, activity: str, collation: str | None
+def step_events(
+    events: DataFrame,
+    dim_activity: DataFrame,
+    steps: Sequence[Step] = P2P_STEPS,
+    collation: str | None = None,
 ) -> DataFrame:
+    """``case_id, _step, timestamp`` of the events that mark a step and belong to a case."""
+    core = F.broadcast(step_activities(dim_activity, steps, collation))
+    known = events.filter(F.col("case_id").isNotNull())
+    return known.join(core, "activity_key").select("case_id", "_step", "timestamp")
+
+
+def step_times(steps: Sequence[Step] = P2P_STEPS) -> list[Column]:
+    """Aggregates over step events of one case: the time of each step."""
+    return [
+        (F.min if s.pick == "first" else F.max)(
+            F.when(F.col("_step") == i, F.col("timestamp"))
+        ).alias(ts_col(s.name))
+        for i, s in enumerate(steps)
+    ]
+
+
+def activity_rows(
+    core: DataFrame, dim_activity: DataFrame, activity: str, collation: str | None = None
+) -> DataFrame:
+    """The milestones of one activity."""
     keys = dim_activity.filter(_is_activity(activity, collation)).select("activity_key")
     return core.join(F.broadcast(keys), "activity_key")
 
@@ -52,15 +75,8 @@ def milestones(
     many events still sends one row per task. Cases lacking a ``required`` step are left out, and
     so are events without a case.
     """
-    core = F.broadcast(step_activities(dim_activity, steps, collation))
-    hits = events.filter(F.col("case_id").isNotNull()).join(core, "activity_key")
-    times = [
-        (F.min if s.pick == "first" else F.max)(
-            F.when(F.col("_step") == i, F.col("timestamp"))
-        ).alias(ts_col(s.name))
-        for i, s in enumerate(steps)
-    ]
-    reached = hits.groupBy(F.col("case_id").alias("Case_ID")).agg(*times)
+    hits = step_events(events, dim_activity, steps, collation)
+    reached = hits.groupBy(F.col("case_id").alias("Case_ID")).agg(*step_times(steps))
     for name in required:
         reached = reached.filter(F.col(ts_col(name)).isNotNull())
     return reached
@@ -98,7 +114,7 @@ def as_of_date(
     collation: str | None = None,
 ) -> DataFrame:
     """One row ``As_of_Date``: the latest milestone time of ``activity``."""
-    rows = _activity_rows(core, dim_activity, activity, collation)
+    rows = activity_rows(core, dim_activity, activity, collation)
     return rows.agg(F.max("milestone_ts").alias("As_of_Date"))
 
 
@@ -108,14 +124,3 @@ def analysis_start(as_of: Column, months_back: int = 7) -> Column:
     With 7 the window spans eight calendar months, the current one included.
     """
     return first_of_month(as_of, months_back)
-
-
-def activity_times(
-    core: DataFrame, dim_activity: DataFrame, activity: str, name: str, collation: str | None = None
-) -> DataFrame:
-    """Latest milestone time of one activity per case, as column ``name``."""
-    return (
-        _activity_rows(core, dim_activity, activity, collation)
-        .groupBy(F.col("case_id").alias("Case_ID"))
-        .agg(F.max("milestone_ts").alias(name))
-    )

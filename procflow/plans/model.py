@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procflow.constants import CI_ACTIVITY, P2P_STEPS, Params, day_col, ts_col
-from procflow.operators.milestones import activity_times, analysis_start, as_of_date, milestones
+from procflow.operators.milestones import (
+    activity_rows,
+    analysis_start,
+    as_of_date,
+    step_events,
+    step_times,
+)
 from procflow.operators.overview import case_classification, case_overview, trend_cutoff
 from procflow.operators.segments import delay_base
 from procflow.operators.stages import stage_base, stage_flags
@@ -23,21 +29,33 @@ KEYS = ("company_key", "vendor_key", "spend_area_key")
 def case_table(star: Star, collation: str | None = None) -> DataFrame:
     """One row per case with a milestone: milestone times and days, its end, the segment keys.
 
-    ``End_ts`` is the closing time the SLA reports use. It comes from the core milestone table;
-    without one it equals the last clearing event. All joins are on the case, one row per
-    case on either side, and share the partitioning of the milestone aggregation.
+    The rows about a case lie in up to three tables: its events, its attributes (one row per
+    case), and its closing time in the core milestone table, which the SLA reports use; without
+    that table the last clearing event closes the case. The tables are stacked and
+    aggregated by case: one shuffle for all of them, events combined before it, and neither the
+    sorts of a merge join nor the in-memory tables of a hash join.
     """
-    ms = milestones(star.fact_events, star.dim_activity, required=(), collation=collation)
-    attributes = star.fact_cases.select(F.col("case_id").alias("Case_ID"), *KEYS)
-    cases = ms.join(attributes, "Case_ID", "left")
+    about = step_events(star.fact_events, star.dim_activity, collation=collation)
+    attributes = star.fact_cases.filter(F.col("case_id").isNotNull()).select("case_id", *KEYS)
+    about = about.unionByName(attributes, allowMissingColumns=True)
+    end = F.col(ts_col("CI"))
+    aggregates = [*step_times(), *[F.max(k).alias(k) for k in KEYS]]
     core = star.fact_case_milestones_core
-    if core is None:
-        cases = cases.withColumn("End_ts", F.col(ts_col("CI")))
-    else:
-        ends = activity_times(core, star.dim_activity, CI_ACTIVITY, "End_ts", collation)
-        cases = cases.join(ends, "Case_ID", "left")
+    if core is not None:
+        ends = activity_rows(core, star.dim_activity, CI_ACTIVITY, collation)
+        known = ends.filter(F.col("case_id").isNotNull())
+        about = about.unionByName(
+            known.select("case_id", F.col("milestone_ts").alias("_end")), allowMissingColumns=True
+        )
+        aggregates.append(F.max("_end").alias("_end"))
+        end = F.col("_end")
+
+    steps = [ts_col(s.name) for s in P2P_STEPS]
+    cases = about.groupBy(F.col("case_id").alias("Case_ID")).agg(*aggregates)
+    reached = cases.filter(F.coalesce(*[F.col(t) for t in steps]).isNotNull())
+    timed = reached.select("Case_ID", *steps, end.alias("End_ts"), *KEYS)
     names = [*[s.name for s in P2P_STEPS], "End"]
-    return cases.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
+    return timed.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from procflow.constants import Step
 from procflow.operators.milestones import (
-    activity_times,
     analysis_start,
     as_of_date,
     core_milestones,
@@ -90,14 +89,6 @@ def test_as_of_date_and_start(spark, log):
     assert rows(start) == [(date(2019, 2, 1),)]
 
 
-def test_activity_times(log):
-    log.case("A", PO="2018-03-01", CI=["2018-03-05", "2018-03-09"])
-    star = log.star()
-    core = core_milestones(star.fact_events, star.dim_activity)
-    out = activity_times(core, star.dim_activity, "Clear Invoice", "End")
-    assert rows(out) == [("A", ts("2018-03-09"))]
-
-
 def test_long_and_wide_form_agree(spark, small):
     star = order_line_star(spark, small)
     wide = milestones(star.fact_events, star.dim_activity, required=())

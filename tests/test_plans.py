@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -13,6 +14,7 @@ from procflow.plans.model import build_model, case_table, order_line_model
 from procflow.plans.registry import QUERIES
 from procflow.plans.reports import REPORTS
 from procflow.sources.order_lines import order_line_star
+from procflow.sources.star import load_star, save_star
 
 
 def plan(df) -> str:
@@ -58,14 +60,18 @@ def test_scan_reads_the_key_columns_only(spark, small):
         }
 
 
-def test_case_table_shuffles_each_side_once(spark, small):
+def test_case_table_needs_one_shuffle_and_no_sort(spark, small, tmp_path):
+    star = order_line_star(spark, small)
+    core = core_milestones(star.fact_events, star.dim_activity)
+    save_star(replace(star, fact_case_milestones_core=core), str(tmp_path))
+    saved = load_star(spark, str(tmp_path), optional=())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(case_table(order_line_star(spark, small)))
+        text = plan(case_table(saved))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
-    assert "SortMergeJoin" in text
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
+    assert "Sort" not in text
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
