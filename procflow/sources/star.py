@@ -87,12 +87,13 @@ def build_dimension(log: DataFrame, columns: Mapping[str, str], key: str) -> Dat
     """Distinct members of some log columns with a surrogate key.
 
     ``columns`` maps log column to dimension column. Members with every column NULL are left out.
-    The dimension is computed here, once, and written to the shared folder: the joins that
-    attach its keys need its real size.
+    The members and the finished dimension are computed here and written to the shared folder: the
+    numbering reads the members twice, and the joins that attach the keys need the real size.
     """
-    members = log.select(*[F.col(c).alias(d) for c, d in columns.items()]).distinct()
     names = list(columns.values())
-    return stage(surrogate_keys(members.filter(_some(names)), names, key), f"dim-{key}")
+    named = log.select(*[F.col(c).alias(d) for c, d in columns.items()]).filter(_some(names))
+    members = stage(named.distinct(), f"members-{key}")
+    return stage(surrogate_keys(members, names, key), f"dim-{key}")
 
 
 def case_attributes(log: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
