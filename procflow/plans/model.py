@@ -29,17 +29,17 @@ KEYS = ("company_key", "vendor_key", "spend_area_key")
 def case_table(star: Star, collation: str | None = None) -> DataFrame:
     """One row per case with a milestone: milestone times and days, its end, the segment keys.
 
-    The rows about a case lie in up to three tables: its events, its attributes (one row per
-    case), and its closing time in the core milestone table, which the SLA reports use; without
-    that table the last clearing event closes the case. The tables are stacked and
-    aggregated by case: one shuffle for all of them, events combined before it, and neither the
-    sorts of a merge join nor the in-memory tables of a hash join.
+    The rows about a case lie in up to three tables: its events, its attributes (one row, or the
+    smallest key of several), and its closing time in the core milestone table, which the SLA
+    reports use; without that table the last clearing event closes the case. The tables are
+    stacked and aggregated by case: one shuffle for all of them, rows combined before it, and
+    neither the sorts of a merge join nor the in-memory tables of a hash join.
     """
     about = step_events(star.fact_events, star.dim_activity, collation=collation)
     attributes = star.fact_cases.filter(F.col("case_id").isNotNull()).select("case_id", *KEYS)
     about = about.unionByName(attributes, allowMissingColumns=True)
     end = F.col(ts_col("CI"))
-    aggregates = [*step_times(), *[F.max(k).alias(k) for k in KEYS]]
+    aggregates = [*step_times(), *[F.min(k).alias(k) for k in KEYS]]
     core = star.fact_case_milestones_core
     if core is not None:
         ends = activity_rows(core, star.dim_activity, CI_ACTIVITY, collation)

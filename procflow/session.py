@@ -6,12 +6,14 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution picks reducer counts, splits skewed join partitions and turns a shuffle join
 # into a broadcast one when the measured size allows. The session zone is fixed, although every
-# expression is zone-free.
+# expression is zone-free. Call-site capture costs several driver round trips per column
+# expression, more than planning and running a small report.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 V = TypeVar("V")
 
 _local_folders: dict[str, str] = {}
-_staged: dict[tuple[str, ...], tuple[tuple, object]] = {}
+_staged: dict[tuple[str, ...], tuple[SparkSession, tuple, object]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -76,6 +76,7 @@ def once_per_input(spark: SparkSession, path: str, name: str, build: Callable[[]
     """
     slot = (spark.sparkContext.applicationId, name, path)
     state = fingerprint(spark, path)
-    if slot not in _staged or _staged[slot][0] != state:
-        _staged[slot] = (state, build())
-    return _staged[slot][1]
+    held = _staged.get(slot)
+    if held is None or held[0] is not spark or held[1] != state:
+        held = _staged[slot] = (spark, state, build())
+    return held[2]

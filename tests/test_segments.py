@@ -140,6 +140,13 @@ def test_case_missing_from_the_case_table_stays_without_segment(spark, log):
     assert row[5:] == (None, None, None)
 
 
+def test_smallest_of_several_attribute_rows_counts(spark, log):
+    timed(log, "A", 1, 1, 1, vendor=7, company=2)
+    log.cases += [("A", 3, 5, None), ("B", 1, 1, 1), (None, 1, 1, 1)]
+    (row,) = rows(model(spark, log.star()).delay_base)
+    assert row[5:] == (2, 5, 1)
+
+
 def drill_log(log):
     timed(log, "a1", 10, 10, 10, vendor=1)
     timed(log, "a2", 20, -1, 11, vendor=1)
