@@ -76,15 +76,20 @@ def case_classification(
     )
 
 
+def with_share(counts: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Add ``Ratio``: the percentage of ``Amount`` in its ``within`` group."""
+    whole = F.sum("Amount").over(Window.partitionBy(*within))
+    return counts.withColumn("Ratio", ratio(F.col("Amount"), whole))
+
+
 def share_of(df: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
     """Rows per ``keys`` as ``Amount`` and their percentage of the ``within`` group as ``Ratio``.
 
     The window runs over the counts, one row per key combination, never over the cases. The keys
     are classes and periods, so the counts are few.
     """
-    counts = report_rows(df.groupBy(*keys).agg(cases().alias("Amount")))
-    whole = F.sum("Amount").over(Window.partitionBy(*within))
-    return counts.withColumn("Ratio", ratio(F.col("Amount"), whole))
+    counts = df.groupBy(*keys).agg(cases().alias("Amount"))
+    return with_share(report_rows(counts), within)
 
 
 def sla_distribution(
@@ -109,19 +114,26 @@ def sla_trend(
 
     ``since`` keeps cases started strictly after that moment; the condition on the day is implied
     and lets the scan skip earlier ones. Monthly trends cover all history.
+
+    Cases are counted per start day, and only the days are formatted and added up to periods.
     """
     day = day_of(overview, "Start_Time", "Start_Day")
     chosen = overview.filter(F.col("Duration_Type") == kind)
     if since is not None:
         chosen = chosen.filter((day >= since.cast("date")) & (F.col("Start_Time") > since))
     status = trend_status(F.col("Duration_Days"), params.target_days, params.watch_days)
-    labelled = chosen.select(
-        period_label(day, period, params.iso_year).alias("Time_Period"),
-        F.lit(kind).alias("Cases_Status"),
-        status.alias("Risk_Status"),
+    daily = chosen.groupBy(day.alias("_day"), status.alias("Risk_Status")).agg(
+        cases().alias("_cases")
+    )
+    label = period_label(F.col("_day"), period, params.iso_year)
+    counts = (
+        report_rows(daily)
+        .groupBy(
+            label.alias("Time_Period"), F.lit(kind).alias("Cases_Status"), F.col("Risk_Status")
+        )
+        .agg(F.sum("_cases").alias("Amount"))
     )
-    keys = ["Time_Period", "Cases_Status", "Risk_Status"]
-    return share_of(labelled, keys, ["Time_Period"]).orderBy(
+    return with_share(counts, ["Time_Period"]).orderBy(
         F.col("Time_Period").desc(), position(F.col("Risk_Status"), TREND_STATUSES)
     )
 
