@@ -39,9 +39,11 @@ def running_sum(
     """Add ``out``: the sum of ``value`` up to and including each row, in order coarse + fine.
 
     The caller must know a bound on the distinct ``coarse`` values, independent of the number of
-    rows; ``coarse + fine`` must order the rows uniquely.
+    rows; ``coarse + fine`` must order the rows uniquely. The rows are shuffled by ``coarse``
+    once, for the windows and for the totals alike.
     """
     names = [b.name for b in coarse]
+    df = df.repartition(*names)
     before = Window.orderBy(*[b.column for b in coarse]).rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -451,5 +451,7 @@ ORACLE: dict[str, str] = {
         """SELECT l.case_id, d.activity_key, l.ts AS "timestamp"
            FROM flat_log l JOIN d_activity d ON d.activity = l.activity"""
     ),
+    "star_sla_distribution": _sql(_DISTRIBUTION),
+    "star_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key"),
     "report_sink": _sql(_DISTRIBUTION),
 }

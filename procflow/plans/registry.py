@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,11 @@ from procflow.operators.milestones import as_of_date, core_milestones, milestone
 from procflow.operators.overview import without_start_day
 from procflow.operators.stages import stage_share, without_days
 from procflow.plans import reports as rp
-from procflow.plans.model import CaseModel, order_line_model
+from procflow.plans.model import CaseModel, build_model, order_line_model
 from procflow.sources.order_lines import order_line_log, order_line_star
 from procflow.sources.sinks import read_output, write_outputs
 from procflow.sources.staging import once_per_input, shared_folder
-from procflow.sources.star import Star, build_star
+from procflow.sources.star import Star, build_star, load_star, save_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,28 @@ def _star_table(name: str) -> Query:
     return lambda spark, folder: _built_star(spark, folder).tables()[name]
 
 
+def _saved_star_model(spark: SparkSession, folder: str) -> CaseModel:
+    """A model read from star tables on disk, its core milestone table included."""
+
+    def build() -> CaseModel:
+        star = order_line_star(spark, folder)
+        core = core_milestones(star.fact_events, star.dim_activity)
+        star = replace(star, fact_case_milestones_core=core)
+        base = shared_folder(spark)
+        if base is None:
+            return build_model(star)
+        target = f"{base}/procflow/{spark.sparkContext.applicationId}/star-{uuid.uuid4().hex}"
+        save_star(star, target)
+        return build_model(load_star(spark, target, optional=()))
+
+    lines = f"{folder.rstrip('/')}/lineitem.parquet"
+    return once_per_input(spark, lines, "saved_star_model", build)
+
+
+def _on_saved_star(build: Callable[[CaseModel], DataFrame]) -> Query:
+    return lambda spark, folder: build(_saved_star_model(spark, folder))
+
+
 def _report_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Write a report through the sink and read the written file."""
     report = rp.sla_distribution(order_line_model(spark, folder))
@@ -92,5 +115,7 @@ QUERIES: dict[str, Query] = {
     "star_dim_spend_area": _star_table("dim_spend_area"),
     "star_fact_cases": _star_table("fact_cases"),
     "star_fact_events": _star_table("fact_events"),
+    "star_sla_distribution": _on_saved_star(rp.sla_distribution),
+    "star_vendor_ranking": _on_saved_star(rp.vendor_ranking),
     "report_sink": _report_sink,
 }
