@@ -1,4 +1,4 @@
-"""Stage view: days between adjacent milestones, gaps in them, and each stage's part of the whole."""
+"""Stage view: days between adjacent milestones, gaps in them, each stage's part of the whole."""
 
 from __future__ import annotations
 

@@ -23,7 +23,6 @@ def spark(tmp_path_factory):
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
-        "spark.driver.extraJavaOptions": "-Xss4m",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }

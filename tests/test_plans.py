@@ -8,6 +8,7 @@ import re
 from dataclasses import replace
 
 import pytest
+from conftest import TESTDATA
 
 from procflow.operators.milestones import core_milestones, milestones
 from procflow.plans.model import build_model, case_table, order_line_model
@@ -110,7 +111,7 @@ def rows_read(df) -> dict[str, int]:
 
 def test_scan_skips_what_lies_before_the_window(spark):
     """The staged files are sorted by start, so the window start cuts off whole pages."""
-    m = order_line_model(spark, "/root/testdata/sf0.1")
+    m = order_line_model(spark, str(TESTDATA / "sf0.1"))
     total = m.cases.count()
     for df in (m.classification.select("Duration_Days"), m.stage_base.select("Lead_Time")):
         read = [n for scan, n in rows_read(df).items() if "PO_day" in scan]
