@@ -6,9 +6,8 @@ import pytest
 from oracle_check import differences, duckdb_tables
 
 import __spark_entry__ as entry
-
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from procflow.plans.oracle import ORACLE
+from procflow.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +17,7 @@ def con(checked):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
