@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import table
+from procflow.llm.common import new_folder, table
+from procflow.llm.decontaminate import find_benchmark
+from procflow.llm.jaccard_join import jaccard_components
+from procflow.llm.lattice import lattice_scores, piece_path
 from procflow.llm.line_dedup import dedup_lines
+from procflow.llm.packing import pack_documents
+from procflow.llm.quality import THRESHOLD, fit, held_out, score_texts
 from procflow.llm.sharding import shard_documents
+from procflow.llm.simhash import fingerprints_with_neighbours
+from procflow.llm.substring_dedup import remove_repeats
+from procflow.llm.token_files import read_tokens, token_checksums, write_tokens
+from procflow.llm.tokens import encoder_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARD_BYTES = 1 << 20
+#: Ids that end a document.
+FILE_END, PACK_END = 1, 2
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    return out.select(
+    return dedup_lines(documents(spark, folder)).select(
         "row.doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
@@ -26,13 +40,67 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = fit(docs, table(spark, folder, "labels"))
+    scored = score_texts(docs, model, ["doc_id"])
+    predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+    return scored.select("row.doc_id", held_out(4, "row.doc_id").alias("held_out"), "score", predicted)
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    rows = shard_documents(docs, SHARD_BYTES).rows
+    rows = shard_documents(documents(spark, folder), SHARD_BYTES).rows
     return rows.select(F.col("key").alias("doc_id"), "n_bytes", "shard", "depth")
 
 
+def op4_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_scores(documents(spark, folder), piece_path())
+
+
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(documents(spark, folder))
+
+
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints_with_neighbours(documents(spark, folder))
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_benchmark(documents(spark, folder), table(spark, folder, "benchmark"), carry=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    target = new_folder(spark, "token-files")
+    write_tokens(documents(spark, folder), target, encoder_path(), FILE_END)
+    return token_checksums(read_tokens(spark, target))
+
+
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(documents(spark, folder), with_text=False)
+    return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), encoder_path(), PACK_END, with_ids=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_lattice_lm": op4_lattice_lm,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_token_files": op8_token_files,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_packing": op10_packing,
 }
