@@ -26,11 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procflow.llm.common import stage, text_bytes
 
 WINDOW = 10
 SLICE = 100_000
+FOUND = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: A-Z to a-z, digits and a-z and all bytes above 0x7F to themselves, the rest to a blank.
@@ -130,8 +132,7 @@ def _pass(docs: DataFrame, index: dict[bytes, list[tuple]], before: bool) -> Dat
             new = [pa.array(n_words, pa.int64()), pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(kept + new, [*names, "n_words", "spans", "items"])
 
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}"
-    return docs.mapInArrow(match, f"{out}, n_words long, spans array<struct<first:int,end:int>>, items array<string>")
+    return docs.mapInArrow(match, StructType([*schema.fields, *StructType.fromDDL(FOUND).fields]))
 
 
 def find_benchmark(

@@ -164,7 +164,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(t, x, n): the shingles of each set of which linked sets must share one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             n = batch.column(1).to_numpy()
             length = n - (n * percent + 99) // 100 + 1
             heads = [np.frombuffer(s, np.int64, k) for s, k in zip(batch.column(2).to_pylist(), length, strict=True)]

@@ -4,8 +4,10 @@ The arcs of a word's lattice are the pieces of an existing subword vocabulary, t
 character, and the word itself as counted in the training texts. Pieces never join characters
 across white space, so a text's likelihood is the product over its words and its end.
 
-- Piece weights: every distinct training word is segmented with the existing vocabulary; the pieces'
-  counts, weighted by the words' counts, give the probability of each piece (add-``ALPHA``).
+- Piece weights: every distinct training word is segmented with the existing vocabulary, whose own
+  scores (ranks of merges) decide how; the pieces' counts over the distinct words give the
+  probability of each piece (add-``ALPHA``). Words count once each, as the lattice stands in for
+  words that were not counted.
 - Lattice: the log-space forward recursion sums all paths through '▁' + word.
 - Word arcs: a word counted c times of N has (c - D) / N; the mass D * types / N that discounting
   sets free is shared out by the lattice, so unseen words have a probability and all sum to 1. D
@@ -87,7 +89,7 @@ def word_table(docs: DataFrame) -> DataFrame:
 
 
 def piece_counts(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(piece, n) over the training words, each segmented once with the existing vocabulary."""
+    """(piece, n) over the distinct training words, each segmented with the existing vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -96,16 +98,13 @@ def piece_counts(words: DataFrame, vocabulary: str) -> DataFrame:
         total = np.zeros(model.get_piece_size(), np.int64)
         for batch in batches:
             texts = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            c = batch.column(1).to_numpy()
             for low in range(0, len(texts), 4096):
                 ids = model.encode(texts[low : low + 4096], num_threads=1)
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
-                total += np.bincount(flat, np.repeat(c[low : low + 4096], lengths), len(total)).astype(np.int64)
+                total += np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["piece", "n"])
 
-    rows = words.where("c > 0 and word <> x''").select("word", "c").mapInArrow(count, "piece long, n long")
+    rows = words.where("c > 0 and word <> x''").select("word").mapInArrow(count, "piece long, n long")
     return rows.groupBy("piece").agg(F.sum("n").alias("n"))
 
 

@@ -175,7 +175,7 @@ def batches_by_id(docs: DataFrame, batches: int) -> list[DataFrame]:
     The cuts only balance the batches; any cuts give the same kept lines.
     """
     ids = docs.select(F.col("doc_id").cast("double").alias("id"))
-    cuts = ids.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)
+    cuts = ids.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     d = id_or_last()
     edges = [None, *cuts, None]

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from procflow.llm.common import text_bytes
 from procflow.llm.tokens import pieces
@@ -213,4 +214,4 @@ def score_texts(docs: DataFrame, model: Attention | None, carry: list[str] | Non
                 carried = batch.column(0).slice(piece.start, len(scores))
                 yield pa.RecordBatch.from_arrays([carried, pa.array(scores)], ["row", "score"])
 
-    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(judge, StructType([rows.schema["row"], StructField("score", DoubleType())]))

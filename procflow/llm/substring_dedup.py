@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procflow.llm.common import BROADCAST_IDS, id_or_last, keep_ids, stage, text_bytes
 from procflow.llm.words import WordHashes, window_hashes
@@ -51,7 +52,7 @@ def sliding_minimum(x: np.ndarray, n: int) -> np.ndarray:
 
 def halves_and_anchors(words: list[bytes], hashes: WordHashes, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all half windows, and the anchor of every window."""
-    half = window // 2
+    half = (window + 1) // 2
     halves = window_hashes(hashes.of(words), half)
     return halves, sliding_minimum(halves, window - half + 1)
 
@@ -74,7 +75,7 @@ def anchors(keyed: DataFrame, window: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in filter(len, batches):
             ids = batch.column(0).to_numpy()
             found = [np.unique(halves_and_anchors(t.split(), hashes, window)[1]) for t in batch.column(1).to_pylist()]
             flat = np.concatenate(found).view(np.int64)
@@ -86,11 +87,11 @@ def anchors(keyed: DataFrame, window: int) -> DataFrame:
 
 def windows_at(rows: DataFrame, window: int) -> DataFrame:
     """(h1, h2, _d, at) of the windows whose anchor is in the row's list; ``at`` is _t << 32 | place."""
-    half = window // 2
+    half = (window + 1) // 2
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in filter(len, batches):
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = [[], [], [], []]
             for d, t, text, wanted in zip(ids, marks, batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -179,5 +180,5 @@ def _cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = rows.select("row", "_bytes", "places", "entire")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
-    return rows.mapInArrow(cut, schema + (", kept string" if with_text else ""))
+    found = "n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    return rows.mapInArrow(cut, StructType([rows.schema["row"], *StructType.fromDDL(found).fields]))
