@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procflow.llm.common import text_bytes
-from procflow.llm.tokens import WordTokens, pieces, with_end
+from procflow.llm.tokens import WordTokens, encoded_pieces
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 15
@@ -170,12 +170,11 @@ def pack_documents(
         raise ValueError("tiers must be ascending powers of two")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(vocabulary)
+        words = WordTokens.of_worker(vocabulary)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens, with_ids)
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for piece in pieces(texts):
-                ids, bounds = with_end(*words.encode(texts[piece]), end_id)
+            ids_of = batch.column(0).to_pylist()
+            for piece, ids, bounds in encoded_pieces(words, batch.column(1), end_id):
                 for doc_id, a, b in zip(ids_of[piece], bounds, bounds[1:], strict=False):
                     packer.add(doc_id, ids[a:b])
                     if len(packer.pool.order) >= BUFFER:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procflow.llm.common import id_or_last, text_bytes
-from procflow.llm.tokens import WordTokens, pieces, with_end
+from procflow.llm.tokens import WordTokens, encoded_pieces
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Parquet writer settings: row groups of about 32 MB, pages of at most 256 KB and 512 documents.
@@ -40,12 +40,10 @@ def write_tokens(docs: DataFrame, target: str, vocabulary: str, end_id: int) ->
     """Encode every text of ``docs`` and write the ids below ``target`` in ascending doc_id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(vocabulary)
+        words = WordTokens.of_worker(vocabulary)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for piece in pieces(texts):
-                ids, bounds = with_end(*words.encode(texts[piece]), end_id)
+            for piece, ids, bounds in encoded_pieces(words, batch.column(1), end_id):
                 n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [

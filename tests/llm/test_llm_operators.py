@@ -300,8 +300,16 @@ def test_special_names_in_texts(encoder):
 
 
 def test_pieces_cover_all_texts():
-    texts = [b"x" * n for n in (5 << 20, 1, 3 << 20, 2 << 20, 0)]
-    assert [i for p in pieces(texts) for i in range(p.start, p.stop)] == [0, 1, 2, 3, 4] and not list(pieces([]))
+    found = list(pieces(np.array([20 << 20, 1, 6 << 20, 4 << 20, 0])))
+    assert [i for p in found for i in range(p.start, p.stop)] == [0, 1, 2, 3, 4] and len(found) == 3
+    assert not list(pieces(np.empty(0, int)))
+
+
+def test_forgotten_words_are_learned_again(encoder):
+    few = WordTokens(encoder_path(), most=4)
+    for _ in range(3):
+        for text in (b"a bc def ghij kl", b"mno pq a a r", b"s tu v w xyz"):
+            assert few.encode([text])[0].tolist() == encoder.encode([text])[0].tolist()
 
 
 def test_token_files(spark, encoder):
