@@ -11,6 +11,7 @@ parts go straight to the vocabulary's merges; all other words go through the who
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -119,7 +120,12 @@ class WordTokens(dict):
     def _learn(self) -> None:
         """Append the ids of the words that were looked up for the first time."""
         if self.new:
-            ids = self._of_words(self.new)
+            # Hundreds of thousands of new lists make the collector walk all remembered words again and again.
+            gc.disable()
+            try:
+                ids = self._of_words(self.new)
+            finally:
+                gc.enable()
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             more = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
             self.flat = np.concatenate([self.flat, more])
@@ -143,7 +149,8 @@ class WordTokens(dict):
     def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` one after another, and the number of ids of each text."""
         texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
-        texts = texts.cast(pa.large_binary()).cast(pa.large_string())
+        # A copy that begins at offset 0: some kernels read slices from the start of their buffers.
+        texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_binary()).cast(pa.large_string())
         # Lower case is what the normalizer makes of A-Z; only names of special ids must stay as they are.
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)
@@ -153,7 +160,7 @@ class WordTokens(dict):
         bounds = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
         bounds = bounds[split.offsets.to_numpy() - split.offsets[0].as_py()] if len(split) else bounds
         coded = words.filter(some).dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         rows = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
         self._learn()
         row = rows[coded.indices.to_numpy()]

@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -294,6 +295,14 @@ def test_ids_of_words_are_the_ids_of_texts(texts):
     assert ids.tolist() == [i for w in whole for i in w] and counts.tolist() == [len(w) for w in whole]
 
 
+def test_ids_of_slices(encoder):
+    texts = pa.array([t.encode() for t in ("Ünd so", "Weiter ÜÄ", "bis ZUM", "", "Ende é")], pa.binary())
+    for a, b in ((0, 5), (1, 4), (2, 5), (3, 3)):
+        whole = [encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts[a:b].to_pylist()]
+        ids, counts = encoder.encode(texts[a:b])
+        assert ids.tolist() == [i for w in whole for i in w] and counts.tolist() == [len(w) for w in whole]
+
+
 def test_special_names_in_texts(encoder):
     text = "a <|endoftext|> b<|startoftext|>c"
     assert encoder.encode([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
