@@ -43,9 +43,9 @@ from procflow.llm.quality import held_out
 ALPHA = 0.1
 FREQUENT = 100_000
 #: Distinct words that a task counts before it hands them on.
-COUNTED = 250_000
+COUNTED = 200_000
 #: Words of a block of documents; a longer text is a block of its own.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 BLOCK_DOCS = 60_000
 SPACE_MARK = "▁"
 

@@ -33,6 +33,8 @@ from procflow.llm.tokens import pieces
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
 THRESHOLD = 0.7
+#: Bytes of text that are described at once; a byte takes about 50 meanwhile.
+DESCRIBED = 1 << 20
 
 _MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 
@@ -182,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, most: int = TRAIN_DO
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
+            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), DESCRIBED):
                 x, counts = describe(texts[piece])
                 cuts = np.split(x, np.cumsum(counts)[:-1])
                 n = len(counts)
@@ -209,7 +211,7 @@ def score_texts(docs: DataFrame, model: Attention | None, carry: list[str] | Non
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
+            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), DESCRIBED):
                 scores = np.round(model.scores(*describe(texts[piece])), 9)
                 carried = batch.column(0).slice(piece.start, len(scores))
                 yield pa.RecordBatch.from_arrays([carried, pa.array(scores)], ["row", "score"])

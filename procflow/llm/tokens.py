@@ -27,9 +27,11 @@ import pyarrow.compute as pc
 V = TypeVar("V")
 
 #: Texts are encoded in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: Remembered words; beyond it those used least are forgotten.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
+#: Remembered parts of words.
+MOST_PARTS = 50_000
 #: Words handed to the whole encoder at once.
 AT_ONCE = 5000
 
@@ -91,7 +93,7 @@ class WordTokens(dict):
     def _of_part(self, part: str) -> list[int]:
         spelled = part if part.isascii() else part.translate(self.letters)
         ids = [t.id for t in self.merges.tokenize(spelled)]
-        if len(self.parts) >= self.most:
+        if len(self.parts) >= MOST_PARTS:
             self.parts.clear()
         self.parts[part] = ids
         return ids
@@ -99,17 +101,21 @@ class WordTokens(dict):
     def _of_words(self, words: list[str]) -> list[list[int]]:
         out, odd, parts = [], [], self.parts
         for word in words:
-            if not _PLAIN.fullmatch(word):
-                odd.append((len(out), word))
-                out.append([])
-            elif word.isalpha():
-                part = word.lower()
-                out.append(parts.get(part) or self._of_part(part))
-            else:
+            # Most words are letters, or letters with one mark after them: these need no search.
+            last = word[-1]
+            stem = word[:-1] if last in ".,;:!?" else word
+            if stem.isascii() and stem.isalpha():
+                part = stem.lower()
+                ids = parts.get(part) or self._of_part(part)
+                out.append(ids if stem is word else [*ids, *(parts.get(last) or self._of_part(last))])
+            elif _PLAIN.fullmatch(word):
                 ids = []
                 for part in _PARTS.findall(word.lower()):
                     ids += parts.get(part) or self._of_part(part)
                 out.append(ids)
+            else:
+                odd.append((len(out), word))
+                out.append([])
         for low in range(0, len(odd), AT_ONCE):
             some = odd[low : low + AT_ONCE]
             coded = self.tokenizer.encode_batch([text for _, text in some], add_special_tokens=False)
@@ -165,22 +171,23 @@ class WordTokens(dict):
         self._learn()
         row = rows[coded.indices.to_numpy()]
         self.used += np.bincount(row, minlength=len(self.used))
-        starts = self.ends[row]
-        lengths = self.ends[row + 1] - starts
+        lengths = np.diff(self.ends)[row]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
+        place = np.int32 if max(total, len(self.flat)) < 2**31 else np.int64
+        first = (self.ends[row] - ends + lengths).astype(place)
+        ids = self.flat[np.repeat(first, lengths) + np.arange(total, dtype=place)]
         counts = np.diff(np.concatenate([[0], ends])[bounds]) if len(split) else np.empty(0, np.int64)
         if len(self) > self.most:
             self._forget()
         return ids, counts
 
 
-def pieces(lengths: np.ndarray) -> Iterator[slice]:
-    """Slices of texts of these ``lengths``, of about PIECE_BYTES each."""
+def pieces(lengths: np.ndarray, most: int = PIECE_BYTES) -> Iterator[slice]:
+    """Slices of texts of these ``lengths``, of about ``most`` bytes each."""
     start = size = 0
     for i, n in enumerate(lengths.tolist()):
-        if i > start and size + n > PIECE_BYTES:
+        if i > start and size + n > most:
             yield slice(start, i)
             start, size = i, 0
         size += n
