@@ -3,7 +3,9 @@
 from procflow.constants import COMPANY, P2P_STEPS, SPEND_AREA, VENDOR, Params, Segment, Step
 from procflow.plans.model import CaseModel, build_model, case_table
 from procflow.plans.reports import REPORTS, reports
+from procflow.sources.flat_log import read_log
 from procflow.sources.sinks import read_output, write_outputs
+from procflow.sources.staging import remove_staged
 from procflow.sources.star import Star, build_star, load_star, save_star
 
 __all__ = [
@@ -21,6 +23,8 @@ __all__ = [
     "build_star",
     "case_table",
     "load_star",
+    "read_log",
+    "remove_staged",
     "read_output",
     "reports",
     "save_star",

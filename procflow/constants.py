@@ -54,9 +54,13 @@ ISSUE_ORDER = (
     ("Invalid_IR_CI", 6),
 )
 
+#: Percentiles of the duration reports by column name.
+LEVELS = (("Median", 0.5), ("P90", 0.9))
+
 VENDOR = Segment("vendor_key", "Vendor_key", "Vendor_Rank")
 SPEND_AREA = Segment("spend_area_key", "Spend_Area_key", "Spend_Area_Rank")
 COMPANY = Segment("company_key", "Company_key", "Company_Rank")
+SEGMENTS = (COMPANY, VENDOR, SPEND_AREA)
 
 # --- End of fixed values.
 
@@ -77,6 +81,7 @@ class Params:
     top_spend_areas: int = 10
     iso_year: bool = False
     snapshot: bool = False
+    levels: tuple[tuple[str, float], ...] = LEVELS
 
 
 def ts_col(step: str) -> str:

@@ -63,6 +63,57 @@ def running_sum(
     )
 
 
+# Key ranges that rows of one place in the order are numbered in.
+_RANGES = 4096
+
+
+def tied_running_sum(
+    df: DataFrame, value: str, coarse: Sequence[By], key: str, out: str
+) -> DataFrame:
+    """Add ``out``: the sum of ``value`` up to each row, in order coarse, ``value`` down, ``key``.
+
+    ``key`` is a unique integer (NULL last) and ``value`` is not negative. Rows that tie on all
+    but the key are combined before the running sum, so its windows hold distinct values only. The
+    place of a row among its ties times ``value`` is added after; the places are counted per
+    range of the key, so that no group grows with the number of ties. Rows of value 0 need no
+    place.
+    """
+    names = [*[b.name for b in coarse], value]
+    ties = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_ties"))
+    ties = ties.withColumn("_amount", F.col("_ties") * F.col(value))
+    upto = running_sum(ties, "_amount", coarse, [By(value, descending=True)], "_upto")
+    before = upto.select(
+        *[F.col(n).alias(f"_v_{n}") for n in names],
+        (F.col("_upto") - F.col("_amount")).alias("_before"),
+    )
+    placed = _places(df.filter(F.col(value) > 0), names, key)
+    rest = df.filter(~(F.col(value) > 0)).withColumn("_place", F.lit(0).cast("long"))
+    rows = placed.unionByName(rest)
+    joined = rows.join(before, _same(rows, before, names, "_v_"))
+    total = F.col("_before") + F.col("_place") * F.col(value)
+    return joined.select(*df.columns, total.cast("long").alias(out))
+
+
+def _places(df: DataFrame, names: Sequence[str], key: str) -> DataFrame:
+    """Add ``_place``: 1, 2, 3, ... by ``key`` among the rows that agree on ``names``."""
+    ends = df.agg(F.min(key).cast("decimal(20,0)").alias("a"), F.max(key).cast("decimal(20,0)").alias("b"))
+    width = ends.select(F.floor((F.col("b") - F.col("a")) / _RANGES) + 1)
+    low = ends.select("a").scalar()
+    ranged = F.floor((F.col(key).cast("decimal(20,0)") - low) / width.scalar()).cast("int")
+    rows = df.withColumn("_range", F.coalesce(ranged, F.lit(_RANGES + 1)))
+    groups = [*names, "_range"]
+    counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(n).alias(f"_o_{n}") for n in groups],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+    )
+    within = Window.partitionBy(*groups).orderBy(F.col(key).asc_nulls_last())
+    local = rows.withColumn("_within", F.row_number().over(within))
+    joined = local.join(offsets, _same(local, offsets, groups, "_o_"))
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_within")).alias("_place"))
+
+
 def row_numbers(
     df: DataFrame, coarse: Sequence[By], fine: Sequence[By], out: str
 ) -> DataFrame:

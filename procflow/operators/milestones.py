@@ -21,9 +21,8 @@ def step_activities(
 ) -> DataFrame:
     """``activity_key`` and step number of the milestone activities.
 
-    Names match exactly; ``collation="UTF8_LCASE_RTRIM"`` ignores case and trailing blanks. The
-    names are unique in the dimension, so there is at most one row per step and the result may
-    always be broadcast.
+    Names match exactly; ``collation="UTF8_LCASE_RTRIM"`` ignores case and trailing blanks.
+    Several activities can then mark one step, as many as the dimension has spellings of it.
     """
     number = F.when(_is_activity(steps[0].activity, collation), 0)
     for i, step in enumerate(steps[1:], 1):
@@ -39,11 +38,16 @@ def step_events(
     collation: str | None = None,
 ) -> DataFrame:
     """``case_id, _step, timestamp`` of the events that mark a step and belong to a case."""
-    core = F.broadcast(step_activities(dim_activity, steps, collation))
+    core = _small(step_activities(dim_activity, steps, collation), collation)
     known = events.filter(F.col("case_id").isNotNull())
     return known.join(core, "activity_key").select("case_id", "_step", "timestamp")
 
 
+def _small(rows: DataFrame, collation: str | None) -> DataFrame:
+    """A hint for rows that are one per step; with spellings Spark's own size check decides."""
+    return rows if collation else F.broadcast(rows)
+
+
 def step_times(steps: Sequence[Step] = P2P_STEPS) -> list[Column]:
     """Aggregates over step events of one case: the time of each step."""
     return [
@@ -59,7 +63,7 @@ def activity_rows(
 ) -> DataFrame:
     """The milestones of one activity."""
     keys = dim_activity.filter(_is_activity(activity, collation)).select("activity_key")
-    return core.join(F.broadcast(keys), "activity_key")
+    return core.join(_small(keys, collation), "activity_key")
 
 
 def milestones(
@@ -91,8 +95,11 @@ def core_milestones(
     """Long form: one row per case and milestone activity (first or last event, per step).
 
     Melted from the wide form: shuffling one row per case moves each case id once, where grouping
-    by case and activity would move it once per step.
+    by case and activity would move it once per step. With a collation several activities can
+    mark a step and each keeps its own row, so the events are grouped by activity.
     """
+    if collation:
+        return _by_activity(events, dim_activity, steps, collation)
     wide = milestones(events, dim_activity, steps, (), collation)
     numbered = wide.select(
         F.col("Case_ID").alias("case_id"),
@@ -107,6 +114,19 @@ def core_milestones(
     return reached.join(keys, "_step").select("case_id", "activity_key", "milestone_ts")
 
 
+def _by_activity(
+    events: DataFrame, dim_activity: DataFrame, steps: Sequence[Step], collation: str
+) -> DataFrame:
+    core = step_activities(dim_activity, steps, collation)
+    hits = events.filter(F.col("case_id").isNotNull()).join(core, "activity_key")
+    firsts = [i for i, s in enumerate(steps) if s.pick == "first"]
+    ends = hits.groupBy("case_id", "activity_key", "_step").agg(
+        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last")
+    )
+    moment = F.when(F.col("_step").isin(firsts), F.col("_first")).otherwise(F.col("_last"))
+    return ends.select("case_id", "activity_key", moment.alias("milestone_ts"))
+
+
 def as_of_date(
     core: DataFrame,
     dim_activity: DataFrame,

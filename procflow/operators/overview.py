@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procflow.constants import (
     BUCKET_EDGES,
     CLOSED,
+    LEVELS,
     OPEN,
     RISK_STATUSES,
     TREND_STATUSES,
@@ -198,8 +199,10 @@ def backlog_aged_overview(
     )
 
 
-def sla_duration_percentiles(classified: DataFrame, target_days: int = 75) -> DataFrame:
-    """Median and P90 of the durations up to and above the target.
+def sla_duration_percentiles(
+    classified: DataFrame, target_days: int = 75, levels: Sequence[tuple[str, float]] = LEVELS
+) -> DataFrame:
+    """Percentiles of the durations up to and above the target.
 
     The rows are named after lead times, but ages of open cases count as well: the split is on
     the duration only.
@@ -209,7 +212,7 @@ def sla_duration_percentiles(classified: DataFrame, target_days: int = 75) -> Da
     hist = histogram(
         classified.select(stage.alias("Stage"), "Duration_Days"), "Stage", "Duration_Days"
     )
-    out = percentiles(hist, ["Stage"], "Duration_Days", {"Median": 0.5, "P90": 0.9})
+    out = percentiles(hist, ["Stage"], "Duration_Days", dict(levels))
     return report_rows(out).select(
-        "Stage", *[clean_double(F.col(c)).alias(c) for c in ("Median", "P90")]
+        "Stage", *[clean_double(F.col(c)).alias(c) for c, _ in levels]
     ).orderBy(position(F.col("Stage"), labels))

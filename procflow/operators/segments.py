@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procflow.constants import P2P_STEPS, Segment, Step, day_col, ts_col
+from procflow.constants import LEVELS, P2P_STEPS, SEGMENTS, Segment, Step, day_col, ts_col
 from procflow.functions.classify import delay_flag
 from procflow.functions.dates import day_span, step_day
 from procflow.functions.numeric import ratio, to_int, to_percent
-from procflow.functions.ordered import By, dense_ranks, running_sum
+from procflow.functions.ordered import By, dense_ranks, tied_running_sum
 from procflow.functions.percentiles import COUNT, histogram, percentiles
 from procflow.functions.rows import cases as case_count
 from procflow.functions.rows import cases_if, report_rows
@@ -25,7 +25,11 @@ from procflow.operators.stages import (
 
 
 def delay_base(
-    cases: DataFrame, start: Column, threshold: int = 75, steps: Sequence[Step] = P2P_STEPS
+    cases: DataFrame,
+    start: Column,
+    threshold: int = 75,
+    steps: Sequence[Step] = P2P_STEPS,
+    segments: Sequence[Segment] = SEGMENTS,
 ) -> DataFrame:
     """Closed cases started on or after ``start`` with lead time, delay flag and segment keys.
 
@@ -41,9 +45,7 @@ def delay_base(
         ts_col(last),
         lead.alias("Lead_Time"),
         delay_flag(lead, threshold).alias("Delay_Flag"),
-        F.col("company_key").alias("Company_key"),
-        F.col("vendor_key").alias("Vendor_key"),
-        F.col("spend_area_key").alias("Spend_Area_key"),
+        *[F.col(s.column).alias(s.key) for s in segments],
     )
 
 
@@ -145,8 +147,9 @@ def segment_duration(
     extra: Sequence[str] = (),
     threshold: int = 75,
     steps: Sequence[Step] = P2P_STEPS,
+    levels: Sequence[tuple[str, float]] = LEVELS,
 ) -> DataFrame:
-    """Median and P90 days per stage and segment, on-time and delayed cases apart.
+    """Percentiles of the days per stage and segment, on-time and delayed cases apart.
 
     ``Cases_Number`` counts the segment's cases with a valid value for the stage, both groups
     together.
@@ -155,15 +158,13 @@ def segment_duration(
     flagged = seg_base.withColumn("Delay_flag", delay_flag(F.col("Lead_Time"), threshold))
     rows = stage_rows(flagged, [*ids, "Delay_flag"], steps).filter(F.col("Days") >= 0)
     keys = ["Stage", *ids, "Delay_flag"]
-    groups = percentiles(
-        histogram(rows, *keys, "Days"), keys, "Days", {"Median": 0.5, "P90": 0.9}
-    )
+    groups = percentiles(histogram(rows, *keys, "Days"), keys, "Days", dict(levels))
     both = F.sum(COUNT).over(Window.partitionBy("Stage", segment.key))
     return report_rows(groups).select(
         *keys,
         both.alias("Cases_Number"),
-        *[to_int(F.col(c)).alias(c) for c in ("Median", "P90")],
-    ).orderBy(segment.rank, segment.key, stage_position(steps=steps), "Delay_flag")
+        *[to_int(F.col(c)).alias(c) for c, _ in levels],
+    ).orderBy(segment.rank, stage_position(steps=steps), segment.key, "Delay_flag")
 
 
 def segment_bottleneck(
@@ -175,19 +176,20 @@ def segment_bottleneck(
 ) -> DataFrame:
     """Median percentage of the lead time per stage and segment, over delayed valid cases."""
     ids = [segment.key, segment.rank, *extra]
-    hist = share_histogram(seg_base.filter(valid_above(threshold)), ids, None, steps)
+    hist = share_histogram(seg_base.filter(valid_above(threshold, steps)), ids, None, steps)
     out = percentiles(hist, ["Stage", *ids], "Share", {"_median": 0.5})
     return report_rows(out).select(
         "Stage",
         *ids,
         F.col(COUNT).alias("Cases_Number"),
         to_percent(F.col("_median")).alias("Median_Bottleneck"),
-    ).orderBy(segment.rank, segment.key, stage_position(steps=steps))
+    ).orderBy(segment.rank, stage_position(steps=steps), segment.key)
 
 
 def pareto(ranking: DataFrame, segment: Segment, delayed: Column) -> DataFrame:
     """Add the running number of delayed cases in rank order and its share of all ``delayed``."""
-    fine = [*_FINE, By(segment.key)]
-    summed = running_sum(ranking, "Delay_cases", _COARSE, fine, "Cumulative_Delay_cases")
+    summed = tied_running_sum(
+        ranking, "Delay_cases", _COARSE, segment.key, "Cumulative_Delay_cases"
+    )
     share = ratio(F.col("Cumulative_Delay_cases"), delayed)
     return summed.withColumn("Cumulative_Share", share)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procflow.constants import (
     ISSUE_ORDER,
+    LEVELS,
     NORMAL,
     P2P_STEPS,
     Step,
@@ -74,15 +75,15 @@ def every_case() -> Column:
     return F.lit(True)
 
 
-def valid_within(limit: int = 75) -> Column:
+def valid_within(limit: int = 75, steps: Sequence[Step] = P2P_STEPS) -> Column:
     """Valid closed cases that took 1 to ``limit`` days."""
     lead = F.col("Lead_Time")
-    return (lead <= limit) & (lead > 0) & valid_stages()
+    return (lead <= limit) & (lead > 0) & valid_stages(steps)
 
 
-def valid_above(limit: int = 75) -> Column:
+def valid_above(limit: int = 75, steps: Sequence[Step] = P2P_STEPS) -> Column:
     """Valid closed cases that took more than ``limit`` days."""
-    return (F.col("Lead_Time") > limit) & valid_stages()
+    return (F.col("Lead_Time") > limit) & valid_stages(steps)
 
 
 def stage_rows(
@@ -97,19 +98,21 @@ def stage_position(stage: str = "Stage", steps: Sequence[Step] = P2P_STEPS) -> C
 
 
 def duration_profile(
-    sb: DataFrame, population: Column, label: str = "Stage", steps: Sequence[Step] = P2P_STEPS
+    sb: DataFrame,
+    population: Column,
+    label: str = "Stage",
+    steps: Sequence[Step] = P2P_STEPS,
+    levels: Sequence[tuple[str, float]] = LEVELS,
 ) -> DataFrame:
-    """Median and P90 days per stage over a population; negative and missing stages left out.
+    """Percentiles of the days per stage over a population; negative and missing stages left out.
 
     All stages in one pass. A stage without cases gives no row.
     """
     rows = stage_rows(sb.filter(population), [], steps).filter(F.col("Days") >= 0)
-    out = percentiles(
-        histogram(rows, "Stage", "Days"), ["Stage"], "Days", {"Median": 0.5, "P90": 0.9}
-    )
+    out = percentiles(histogram(rows, "Stage", "Days"), ["Stage"], "Days", dict(levels))
     return report_rows(out).select(
         F.col("Stage").alias(label),
-        *[clean_double(F.col(c)).alias(c) for c in ("Median", "P90")],
+        *[clean_double(F.col(c)).alias(c) for c, _ in levels],
     ).orderBy(stage_position(label, steps))
 
 

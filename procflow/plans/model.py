@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procflow.constants import CI_ACTIVITY, P2P_STEPS, Params, day_col, ts_col
+from procflow.constants import P2P_STEPS, SEGMENTS, Params, Segment, Step, day_col, ts_col
 from procflow.operators.milestones import (
     activity_rows,
     analysis_start,
@@ -19,30 +20,33 @@ from procflow.operators.milestones import (
 from procflow.operators.overview import case_classification, case_overview, trend_cutoff
 from procflow.operators.segments import delay_base
 from procflow.operators.stages import stage_base, stage_flags
-from procflow.sources.order_lines import order_line_star
-from procflow.sources.staging import once_per_input, stage
+from procflow.sources.staging import reducers, stage
 from procflow.sources.star import Star
 
-KEYS = ("company_key", "vendor_key", "spend_area_key")
 
-
-def case_table(star: Star, collation: str | None = None) -> DataFrame:
+def case_table(
+    star: Star,
+    collation: str | None = None,
+    steps: Sequence[Step] = P2P_STEPS,
+    segments: Sequence[Segment] = SEGMENTS,
+) -> DataFrame:
     """One row per case with a milestone: milestone times and days, its end, the segment keys.
 
     The rows about a case lie in up to three tables: its events, its attributes (one row, or the
     smallest key of several), and its closing time in the core milestone table, which the SLA
-    reports use; without that table the last clearing event closes the case. The tables are
+    reports use; without that table the last step closes the case. The tables are
     stacked and aggregated by case: one shuffle for all of them, rows combined before it, and
     neither the sorts of a merge join nor the in-memory tables of a hash join.
     """
-    about = step_events(star.fact_events, star.dim_activity, collation=collation)
-    attributes = star.fact_cases.filter(F.col("case_id").isNotNull()).select("case_id", *KEYS)
+    keys = [s.column for s in segments]
+    about = step_events(star.fact_events, star.dim_activity, steps, collation)
+    attributes = star.fact_cases.filter(F.col("case_id").isNotNull()).select("case_id", *keys)
     about = about.unionByName(attributes, allowMissingColumns=True)
-    end = F.col(ts_col("CI"))
-    aggregates = [*step_times(), *[F.min(k).alias(k) for k in KEYS]]
+    end = F.col(ts_col(steps[-1].name))
+    aggregates = [*step_times(steps), *[F.min(k).alias(k) for k in keys]]
     core = star.fact_case_milestones_core
     if core is not None:
-        ends = activity_rows(core, star.dim_activity, CI_ACTIVITY, collation)
+        ends = activity_rows(core, star.dim_activity, steps[-1].activity, collation)
         known = ends.filter(F.col("case_id").isNotNull())
         about = about.unionByName(
             known.select("case_id", F.col("milestone_ts").alias("_end")), allowMissingColumns=True
@@ -50,11 +54,11 @@ def case_table(star: Star, collation: str | None = None) -> DataFrame:
         aggregates.append(F.max("_end").alias("_end"))
         end = F.col("_end")
 
-    steps = [ts_col(s.name) for s in P2P_STEPS]
+    times = [ts_col(s.name) for s in steps]
     cases = about.groupBy(F.col("case_id").alias("Case_ID")).agg(*aggregates)
-    reached = cases.filter(F.coalesce(*[F.col(t) for t in steps]).isNotNull())
-    timed = reached.select("Case_ID", *steps, end.alias("End_ts"), *KEYS)
-    names = [*[s.name for s in P2P_STEPS], "End"]
+    reached = cases.filter(F.coalesce(*[F.col(t) for t in times]).isNotNull())
+    timed = reached.select("Case_ID", *times, end.alias("End_ts"), *keys)
+    names = [*[s.name for s in steps], "End"]
     return timed.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
 
 
@@ -64,8 +68,10 @@ class CaseModel:
 
     cases: DataFrame
     as_of_row: DataFrame
-    dim_spend_area: DataFrame
+    dim_spend_area: DataFrame | None = None
     params: Params = Params()
+    steps: tuple[Step, ...] = P2P_STEPS
+    segments: tuple[Segment, ...] = SEGMENTS
 
     @cached_property
     def as_of(self) -> Column:
@@ -92,18 +98,29 @@ class CaseModel:
         """The weekly trends cover cases started after this moment."""
         return self._moment(trend_cutoff(F.col("As_of_Date"), self.params.lookback_months))
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """The cases as the reports see them: for a snapshot, without steps after the as-of date."""
+        if not self.params.snapshot:
+            return self.cases
+        names = [*[s.name for s in self.steps], "End"]
+        known = {n: F.col(ts_col(n)) <= self.as_of for n in names}
+        return self.cases.withColumns(
+            {c(n): F.when(known[n], F.col(c(n))) for n in names for c in (ts_col, day_col)}
+        )
+
     @cached_property
     def started(self) -> DataFrame:
         """Cases that have a first step."""
-        return self.cases.filter(F.col(day_col("PO")).isNotNull())
+        return self.seen.filter(F.col(day_col(self.steps[0].name)).isNotNull())
 
     @cached_property
     def overview(self) -> DataFrame:
         spans = self.started.select(
             "Case_ID",
-            F.col(ts_col("PO")).alias("Start_Time"),
+            F.col(ts_col(self.steps[0].name)).alias("Start_Time"),
             F.col("End_ts").alias("End_Time"),
-            F.col(day_col("PO")).alias("Start_Day"),
+            F.col(day_col(self.steps[0].name)).alias("Start_Day"),
             F.col("End_day").alias("End_Day"),
         )
         return case_overview(spans, self.as_of, self.params.snapshot)
@@ -115,40 +132,44 @@ class CaseModel:
 
     @cached_property
     def stage_base(self) -> DataFrame:
-        return stage_base(self.started, self.start)
+        return stage_base(self.started, self.start, self.steps)
 
     @cached_property
     def stage_flags(self) -> DataFrame:
-        return stage_flags(self.stage_base)
+        return stage_flags(self.stage_base, self.steps)
 
     @cached_property
     def delay_base(self) -> DataFrame:
-        return delay_base(self.cases, self.start, self.params.target_days)
+        return delay_base(
+            self.seen, self.start, self.params.target_days, self.steps, self.segments
+        )
 
 
-def build_model(star: Star, params: Params = Params(), collation: str | None = None) -> CaseModel:
+def build_model(
+    star: Star,
+    params: Params = Params(),
+    collation: str | None = None,
+    steps: Sequence[Step] = P2P_STEPS,
+    segments: Sequence[Segment] = SEGMENTS,
+    partitions: int | None = None,
+) -> CaseModel:
     """Compute the case table once, into the shared folder, and the as-of date from it.
 
-    Sorting each file by the first step lets the window filter of later reports skip row groups
-    and pages. The sort is local to each partition.
+    ``steps`` are the milestones of the process in their order, ``segments`` the attributes of
+    ``fact_cases`` to rank; ``partitions`` is the number of reducers of the case shuffle, by default
+    the session's. Sorting each file by the first step lets the window filter of later reports skip
+    row groups and pages. The sort is local to each partition.
     Without a core milestone table the as-of date is the latest first step in the case table,
     one column of a table already written, instead of a second pass over the events.
     """
-    po = ts_col("PO")
-    cases = stage(case_table(star, collation).sortWithinPartitions(po), "cases")
+    first = steps[0]
+    with reducers(star.fact_events.sparkSession, partitions):
+        table = case_table(star, collation, steps, segments)
+        cases = stage(table.sortWithinPartitions(ts_col(first.name)), "cases")
     core = star.fact_case_milestones_core
     if core is None:
-        as_of = cases.agg(F.max(po).alias("As_of_Date"))
+        as_of = cases.agg(F.max(ts_col(first.name)).alias("As_of_Date"))
     else:
-        as_of = as_of_date(core, star.dim_activity, collation=collation)
-    return CaseModel(cases, stage(as_of, "as_of"), star.dim_spend_area, params)
-
-
-def order_line_model(spark: SparkSession, folder: str) -> CaseModel:
-    """The model of the order-line log, built once per session and state of the input files."""
-    return once_per_input(
-        spark,
-        f"{folder.rstrip('/')}/lineitem.parquet",
-        "order_line_model",
-        lambda: build_model(order_line_star(spark, folder)),
-    )
+        as_of = as_of_date(core, star.dim_activity, first.activity, collation)
+    as_of = stage(as_of, "as_of")
+    return CaseModel(cases, as_of, star.dim_spend_area, params, tuple(steps), tuple(segments))

@@ -43,6 +43,23 @@ _EVENTS = (
     (4, "ci_min", "h3 >= 25 AND h2 >= 10"),
     (5, "po_min + 60", "h1 % 4 = 0"),
 )
+# Upper edges in days and the labels up to them; the last is for all above.
+_BUCKETS = ((75, "75"), (90, "90"), (120, "120"), (150, "150"), (None, ">150"))
+_RISKS = (
+    (75, "Acceptable"),
+    (90, "Watchlist"),
+    (120, "At Risk"),
+    (150, "Aged"),
+    (None, "Critical"),
+)
+_TRENDS = ((75, "Acceptable"), (90, "Watchlist"), (None, "Overdue"))
+
+
+def _banded(bands: tuple[tuple[int | None, str], ...]) -> str:
+    cases = " ".join(f"WHEN Duration_Days <= {edge} THEN '{label}'" for edge, label in bands[:-1])
+    return f"CASE {cases} ELSE '{bands[-1][1]}' END"
+
+
 _VALID = "PO_GR_Days >= 0 AND GR_IR_Days >= 0 AND IR_CI_Days >= 0"
 
 # Named parts in order of dependency; a query gets those it mentions, directly or indirectly.
@@ -106,14 +123,10 @@ _PARTS: dict[str, str] = {
               GROUP BY case_id) s
         CROSS JOIN bounds b
         LEFT JOIN (SELECT * FROM core WHERE activity_key = 4) e ON e.case_id = s.case_id""",
-    "class": """
+    "class": f"""
         SELECT o.Case_ID, o.Start_Time, o.Duration_Days, o.Duration_Type,
-               CASE WHEN Duration_Days > 150 THEN '>150' WHEN Duration_Days > 120 THEN '150'
-                    WHEN Duration_Days > 90 THEN '120' WHEN Duration_Days > 75 THEN '90'
-                    ELSE '75' END AS Distribution_Buckets,
-               CASE WHEN Duration_Days > 150 THEN 'Critical' WHEN Duration_Days > 120 THEN 'Aged'
-                    WHEN Duration_Days > 90 THEN 'At Risk' WHEN Duration_Days > 75
-                    THEN 'Watchlist' ELSE 'Acceptable' END AS Risk_Status
+               {_banded(_BUCKETS)} AS Distribution_Buckets,
+               {_banded(_RISKS)} AS Risk_Status
         FROM over o JOIN bounds b ON o.Start_Time >= b.start""",
     "sbase": f"""
         SELECT r.*, {_days('PO_ts', 'GR_ts')} AS PO_GR_Days, {_days('GR_ts', 'IR_ts')} AS GR_IR_Days,
@@ -237,23 +250,64 @@ _PARTS["log_cases"] = """
         FROM flat_log GROUP BY case_id"""
 
 
-def _sql(body: str) -> str:
+# As seen at the as-of date: steps after it have not happened.
+_SEEN = ", ".join(f"CASE WHEN {n}_ts <= as_of THEN {n}_ts END AS {n}_ts" for n, _, _ in _STEPS)
+_SNAPSHOT: dict[str, str] = {}
+for _name, _text in _PARTS.items():
+    if _name == "over":
+        _text = _text.replace(
+            "activity_key = 4)", "activity_key = 4 AND milestone_ts <= (SELECT as_of FROM bounds))"
+        )
+    if _name == "sbase":
+        _SNAPSHOT["seen"] = f"SELECT Case_ID, {_SEEN} FROM reached, bounds"
+        _text = _text.replace("FROM reached r", "FROM seen r")
+    _SNAPSHOT[_name] = _text
+
+# User journeys: three steps over the events table, users ranked by the last digit of their id.
+_JOURNEY_VALID = "VIEW_CLICK_Days >= 0 AND CLICK_BUY_Days >= 0"
+_JOURNEY_STAGES = ("VIEW_CLICK_Days", "CLICK_BUY_Days")
+_PARTS["journey"] = """
+        SELECT user_id, min(ts) FILTER (WHERE event_type = 'view') AS VIEW_ts,
+               max(ts) FILTER (WHERE event_type = 'click') AS CLICK_ts,
+               max(ts) FILTER (WHERE event_type = 'purchase') AS BUY_ts
+        FROM events WHERE user_id IS NOT NULL GROUP BY user_id"""
+_PARTS["jbase"] = f"""
+        SELECT CAST(user_id % 10 AS INTEGER) AS Cohort_key, VIEW_ts, CLICK_ts, BUY_ts,
+               {_days('VIEW_ts', 'CLICK_ts')} AS VIEW_CLICK_Days,
+               {_days('CLICK_ts', 'BUY_ts')} AS CLICK_BUY_Days,
+               {_days('VIEW_ts', 'BUY_ts')} AS Lead_Time
+        FROM journey WHERE VIEW_ts >= (SELECT CAST(date_trunc('month', max(VIEW_ts)
+                                              - INTERVAL '7' MONTH) AS DATE) FROM journey)"""
+_PARTS["cohort_counts"] = """
+        SELECT Cohort_key, count(*) AS Total_cases,
+               CAST(count(*) FILTER (WHERE Lead_Time > 20) AS BIGINT) AS Delay_cases
+        FROM jbase WHERE BUY_ts IS NOT NULL GROUP BY Cohort_key"""
+_PARTS["cohort_rates"] = f"""
+        SELECT *, {_pct('Delay_cases', 'Total_cases')} AS Delayed_Rate,
+               {_pct('Delay_cases', '(SELECT sum(Delay_cases) FROM cohort_counts)')} AS Impact_Share
+        FROM cohort_counts WHERE Total_cases >= 5"""
+_PARTS["cohort_ranks"] = """
+        SELECT *, CAST(dense_rank() OVER (ORDER BY Impact_Share DESC, Delayed_Rate DESC,
+                                          Delay_cases DESC) AS INTEGER) AS Cohort_Rank
+        FROM cohort_rates"""
+_PARTS["cohort_top"] = """
+        SELECT Cohort_key, Cohort_Rank FROM cohort_ranks ORDER BY Cohort_Rank, Cohort_key LIMIT 5"""
+
+
+def _sql(body: str, known: dict[str, str] = _PARTS) -> str:
     """Put the parts ``body`` needs in front of it."""
     needed: list[str] = []
     text = body
-    for name in reversed(_PARTS):
+    for name in reversed(known):
         if re.search(rf"\b{name}\b", text):
             needed.insert(0, name)
-            text += _PARTS[name]
-    parts = ",\n".join(f"{n} AS ({_PARTS[n]})" for n in needed)
+            text += known[name]
+    parts = ",\n".join(f"{n} AS ({known[n]})" for n in needed)
     return f"WITH {parts}\n{body}" if needed else body
 
 
 def _trend(kind: str, period: str, extra: str = "") -> str:
-    status = (
-        "CASE WHEN Duration_Days > 90 THEN 'Overdue' WHEN Duration_Days > 75 THEN 'Watchlist' "
-        "ELSE 'Acceptable' END"
-    )
+    status = _banded(_TRENDS)
     return _sql(
         f"""SELECT Time_Period, '{kind}' AS Cases_Status, Risk_Status, Amount,
                    {_pct('Amount', 'sum(Amount) OVER (PARTITION BY Time_Period)')} AS Ratio
@@ -272,20 +326,31 @@ _DOUBLE_PAIR = (
 )
 
 
-def _per_stage(select: str, source: str, where: str) -> str:
+def _per_stage(select: str, source: str, where: str, known: dict[str, str] = _PARTS) -> str:
     """One SELECT per stage; ``{days}``/``{share}`` stand for the stage's column."""
     return _sql(
         " UNION ALL ".join(
             select.format(stage=f"{a}_{b}_Days", share=f"{a}_{b}_Share")
             + f" FROM {source} WHERE {where.format(stage=f'{a}_{b}_Days')} HAVING count(*) > 0"
             for a, b in _STAGES
-        )
+        ),
+        known,
     )
 
 
-def _profile(label: str, where: str) -> str:
+def _profile(label: str, where: str, known: dict[str, str] = _PARTS) -> str:
     pair = _DOUBLE_PAIR.format("{stage}")
-    return _per_stage(f"SELECT '{{stage}}' AS {label}, {pair}", "sbase", where)
+    return _per_stage(f"SELECT '{{stage}}' AS {label}, {pair}", "sbase", where, known)
+
+
+def _journey_profile(label: str, where: str) -> str:
+    return _sql(
+        " UNION ALL ".join(
+            f"SELECT '{s}' AS {label}, {_DOUBLE_PAIR.format(s)} FROM jbase "
+            f"WHERE {s} >= 0 AND {where} HAVING count(*) > 0"
+            for s in _JOURNEY_STAGES
+        )
+    )
 
 
 def _contribution(label: str, where: str) -> str:
@@ -319,8 +384,8 @@ def _segment_bottleneck(source: str, ids: str) -> str:
     )
 
 
-def _ranking(low: str, rank: str, key: str) -> str:
-    return _sql(f"SELECT * FROM {low}_ranks ORDER BY {rank}, {key} NULLS LAST")
+def _ranking(low: str, rank: str, key: str, known: dict[str, str] = _PARTS) -> str:
+    return _sql(f"SELECT * FROM {low}_ranks ORDER BY {rank}, {key} NULLS LAST", known)
 
 
 def _pareto(low: str, rank: str, key: str) -> str:
@@ -344,6 +409,11 @@ _DISTRIBUTION = f"""
            {_pct('count(*)', 'sum(count(*)) OVER (PARTITION BY Duration_Type)')} AS Ratio
     FROM class GROUP BY 1, 2, 3"""
 
+_ISSUES = f"""
+    SELECT Primary_Issue, count(*) AS Amount,
+           {_pct('count(*)', '(SELECT count(*) FROM sbase)')} AS Ratio
+    FROM sflags GROUP BY 1"""
+
 ORACLE: dict[str, str] = {
     "sla_distribution": _sql(_DISTRIBUTION),
     "sla_monthly_closed": _trend("Lead Time", _MONTH),
@@ -377,11 +447,7 @@ ORACLE: dict[str, str] = {
         "Stage_LT_Within_75", f"Lead_Time <= 75 AND Lead_Time > 0 AND {_VALID}"
     ),
     "stage_duration_above": _profile("Stage_LT_Without_75", f"Lead_Time > 75 AND {_VALID}"),
-    "primary_issue_share": _sql(
-        f"""SELECT Primary_Issue, count(*) AS Amount,
-                   {_pct('count(*)', '(SELECT count(*) FROM sbase)')} AS Ratio
-            FROM sflags GROUP BY 1"""
-    ),
+    "primary_issue_share": _sql(_ISSUES),
     "local_missingness": _sql(
         " UNION ALL ".join(
             f"""SELECT 'Missing_{end}' AS Missing, count(*) AS Amount,
@@ -454,4 +520,23 @@ ORACLE: dict[str, str] = {
     "star_sla_distribution": _sql(_DISTRIBUTION),
     "star_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key"),
     "report_sink": _sql(_DISTRIBUTION),
+    "core_milestones_collated": _sql("SELECT * FROM core"),
+    "snapshot_sla_distribution": _sql(_DISTRIBUTION, _SNAPSHOT),
+    "snapshot_stage_duration_all": _profile("Stage_All_Cases", "{stage} >= 0", _SNAPSHOT),
+    "snapshot_primary_issue_share": _sql(_ISSUES, _SNAPSHOT),
+    "snapshot_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key", _SNAPSHOT),
+    "journey_stage_duration": _journey_profile("Stage_All_Cases", "true"),
+    "journey_stage_duration_above": _journey_profile(
+        "Stage_LT_Without_20", f"Lead_Time > 20 AND {_JOURNEY_VALID}"
+    ),
+    "journey_cohort_ranking": _sql("SELECT * FROM cohort_ranks"),
+    "journey_cohort_bottleneck": _sql(
+        " UNION ALL ".join(
+            f"""SELECT '{s}' AS Stage, t.Cohort_key, t.Cohort_Rank, count(*) AS Cases_Number,
+                       {_two_decimals(_median(f'{s} * 100.0 / Lead_Time'))} AS Median_Bottleneck
+                FROM cohort_top t JOIN jbase j ON j.Cohort_key = t.Cohort_key
+                WHERE {_JOURNEY_VALID} AND Lead_Time > 20 GROUP BY t.Cohort_key, t.Cohort_Rank"""
+            for s in _JOURNEY_STAGES
+        )
+    ),
 }

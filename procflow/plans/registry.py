@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from procflow.constants import P2P_STEPS, Params
 from procflow.operators.milestones import as_of_date, core_milestones, milestones
 from procflow.operators.overview import without_start_day
 from procflow.operators.stages import stage_share, without_days
 from procflow.plans import reports as rp
-from procflow.plans.model import CaseModel, build_model, order_line_model
+from procflow.plans.model import CaseModel, build_model
+from procflow.plans.order_line_model import order_line_model
 from procflow.sources.order_lines import order_line_log, order_line_star
 from procflow.sources.sinks import read_output, write_outputs
-from procflow.sources.staging import once_per_input, shared_folder
+from procflow.sources.staging import new_folder, once_per_input
 from procflow.sources.star import Star, build_star, load_star, save_star
+from procflow.sources.user_events import COHORT, JOURNEY, journey_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +40,49 @@ def _milestones(spark: SparkSession, folder: str) -> DataFrame:
 
 def _as_of_date(spark: SparkSession, folder: str) -> DataFrame:
     star = order_line_star(spark, folder)
-    core = core_milestones(star.fact_events, star.dim_activity)
+    core = core_milestones(star.fact_events, star.dim_activity, P2P_STEPS[:1])
     return as_of_date(core, star.dim_activity)
 
 
+def _collated_milestones(spark: SparkSession, folder: str) -> DataFrame:
+    """Core milestones where the dimension spells the activities in capitals with blanks after."""
+    star = order_line_star(spark, folder)
+    spelled = F.concat(F.upper("activity"), F.lit("  ")).alias("activity")
+    activities = star.dim_activity.select("activity_key", spelled)
+    return core_milestones(star.fact_events, activities, collation="UTF8_LCASE_RTRIM")
+
+
+def _on_snapshot(build: Callable[[CaseModel], DataFrame]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        model = order_line_model(spark, folder)
+        return build(replace(model, params=replace(model.params, snapshot=True)))
+
+    return run
+
+
+def _journey_model(spark: SparkSession, folder: str) -> CaseModel:
+    """Three steps of user events, delayed above 20 days, ranked by cohort."""
+    return once_per_input(
+        spark,
+        f"{folder.rstrip('/')}/events.parquet",
+        "journey_model",
+        lambda: build_model(
+            journey_star(spark, folder),
+            Params(target_days=20, min_cases=5),
+            steps=JOURNEY,
+            segments=(COHORT,),
+        ),
+    )
+
+
+def _on_journeys(build: Callable[[CaseModel], DataFrame]) -> Query:
+    return lambda spark, folder: build(_journey_model(spark, folder))
+
+
+def _cohort_bottleneck(m: CaseModel) -> DataFrame:
+    return rp.segment_bottlenecks(m, rp.segment_cases(m, COHORT, 5), COHORT)
+
+
 def _analysis_window(m: CaseModel) -> DataFrame:
     return m.as_of_row.select(
         m.start.alias("Start_Date"),
@@ -69,12 +111,9 @@ def _saved_star_model(spark: SparkSession, folder: str) -> CaseModel:
         star = order_line_star(spark, folder)
         core = core_milestones(star.fact_events, star.dim_activity)
         star = replace(star, fact_case_milestones_core=core)
-        base = shared_folder(spark)
-        if base is None:
-            return build_model(star)
-        target = f"{base}/procflow/{spark.sparkContext.applicationId}/star-{uuid.uuid4().hex}"
+        target = new_folder(spark, "star")
         save_star(star, target)
-        return build_model(load_star(spark, target, optional=()))
+        return build_model(load_star(spark, target))
 
     lines = f"{folder.rstrip('/')}/lineitem.parquet"
     return once_per_input(spark, lines, "saved_star_model", build)
@@ -87,10 +126,7 @@ def _on_saved_star(build: Callable[[CaseModel], DataFrame]) -> Query:
 def _report_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Write a report through the sink and read the written file."""
     report = rp.sla_distribution(order_line_model(spark, folder))
-    base = shared_folder(spark)
-    if base is None:
-        return report
-    target = f"{base}/procflow/{spark.sparkContext.applicationId}/reports-{uuid.uuid4().hex}"
+    target = new_folder(spark, "reports")
     paths = write_outputs({"sla_distribution": report}, target, single_file=["sla_distribution"])
     return read_output(spark, paths["sla_distribution"], report)
 
@@ -118,4 +154,21 @@ QUERIES: dict[str, Query] = {
     "star_sla_distribution": _on_saved_star(rp.sla_distribution),
     "star_vendor_ranking": _on_saved_star(rp.vendor_ranking),
     "report_sink": _report_sink,
+    "core_milestones_collated": _collated_milestones,
+    "snapshot_sla_distribution": _on_snapshot(rp.sla_distribution),
+    "snapshot_stage_duration_all": _on_snapshot(rp.stage_duration_all),
+    "snapshot_primary_issue_share": _on_snapshot(rp.primary_issue_share),
+    "snapshot_vendor_ranking": _on_snapshot(rp.vendor_ranking),
+    "journey_stage_duration": _on_journeys(rp.stage_duration_all),
+    "journey_stage_duration_above": _on_journeys(rp.stage_duration_above),
+    "journey_cohort_ranking": _on_journeys(lambda m: rp.segment_ranking(m, COHORT)),
+    "journey_cohort_bottleneck": _on_journeys(_cohort_bottleneck),
+}
+
+#: What the queries share, built at its first use.
+PREPARED: dict[str, Callable[[SparkSession, str], object]] = {
+    "order_line_model": order_line_model,
+    "built_star": _built_star,
+    "saved_star_model": _saved_star_model,
+    "journey_model": _journey_model,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procflow.constants import CLOSED, COMPANY, OPEN, SPEND_AREA, VENDOR, Segment
@@ -61,24 +61,30 @@ def backlog_aged_overview(m: CaseModel) -> DataFrame:
 
 
 def sla_duration_percentiles(m: CaseModel) -> DataFrame:
-    return ov.sla_duration_percentiles(m.classification, m.params.target_days)
+    return ov.sla_duration_percentiles(
+        m.classification, m.params.target_days, m.params.levels
+    )
 
 
 # --- Bottlenecks
 
 
+def _durations(m: CaseModel, population: Column, label: str) -> DataFrame:
+    return st.duration_profile(m.stage_base, population, label, m.steps, m.params.levels)
+
+
 def stage_duration_all(m: CaseModel) -> DataFrame:
-    return st.duration_profile(m.stage_base, st.every_case(), "Stage_All_Cases")
+    return _durations(m, st.every_case(), "Stage_All_Cases")
 
 
 def stage_duration_within(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return st.duration_profile(m.stage_base, st.valid_within(limit), f"Stage_LT_Within_{limit}")
+    return _durations(m, st.valid_within(limit, m.steps), f"Stage_LT_Within_{limit}")
 
 
 def stage_duration_above(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return st.duration_profile(m.stage_base, st.valid_above(limit), f"Stage_LT_Without_{limit}")
+    return _durations(m, st.valid_above(limit, m.steps), f"Stage_LT_Without_{limit}")
 
 
 def primary_issue_share(m: CaseModel) -> DataFrame:
@@ -86,35 +92,42 @@ def primary_issue_share(m: CaseModel) -> DataFrame:
 
 
 def local_missingness(m: CaseModel) -> DataFrame:
-    return st.local_missingness(m.stage_flags)
+    return st.local_missingness(m.stage_flags, m.steps)
 
 
 def contribution_all(m: CaseModel) -> DataFrame:
-    return st.contribution_profile(m.stage_base, st.every_case())
+    return st.contribution_profile(m.stage_base, st.every_case(), steps=m.steps)
 
 
 def contribution_within(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
     return st.contribution_profile(
-        m.stage_base, F.col("Lead_Time") <= limit, f"Stage_Within_{limit}"
+        m.stage_base, F.col("Lead_Time") <= limit, f"Stage_Within_{limit}", steps=m.steps
     )
 
 
 def contribution_above(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
     return st.contribution_profile(
-        m.stage_base, F.col("Lead_Time") > limit, f"Stage_Without_{limit}"
+        m.stage_base, F.col("Lead_Time") > limit, f"Stage_Without_{limit}", steps=m.steps
     )
 
 
 # --- Segments
 
 
+def segment_ranking(m: CaseModel, segment: Segment) -> DataFrame:
+    """Segments in rank order; ``segment`` may be any of the model's."""
+    return sg.in_rank_order(_ranking(m, segment), segment)
+
+
 def _ranking(m: CaseModel, segment: Segment) -> DataFrame:
     return sg.segment_ranking(m.delay_base, segment, m.params.min_cases)
 
 
 def _spend_texts(m: CaseModel) -> DataFrame:
+    if m.dim_spend_area is None:
+        raise ValueError("the star has no dim_spend_area to name spend areas from")
     return m.dim_spend_area.select(
         F.col("spend_area_key").alias(SPEND_AREA.key),
         F.col("sub_spend_area_text").alias(SPEND_TEXT),
@@ -123,11 +136,11 @@ def _spend_texts(m: CaseModel) -> DataFrame:
 
 
 def vendor_ranking(m: CaseModel) -> DataFrame:
-    return sg.in_rank_order(_ranking(m, VENDOR), VENDOR)
+    return segment_ranking(m, VENDOR)
 
 
 def company_ranking(m: CaseModel) -> DataFrame:
-    return sg.in_rank_order(_ranking(m, COMPANY), COMPANY)
+    return segment_ranking(m, COMPANY)
 
 
 def spend_area_ranking(m: CaseModel) -> DataFrame:
@@ -145,35 +158,54 @@ def spend_area_ranking(m: CaseModel) -> DataFrame:
     return sg.in_rank_order(ordered, SPEND_AREA)
 
 
+def segment_cases(
+    m: CaseModel, segment: Segment, top: int, texts: DataFrame | None = None
+) -> DataFrame:
+    """Complete cases of the ``top`` segments; ``texts`` has names of the segments by their key."""
+    chosen = sg.top_segments(m.delay_base, segment, top, m.params.min_cases)
+    extra: list[str] = []
+    if texts is not None:
+        chosen = chosen.join(texts, segment.key, "left")
+        extra = [c for c in texts.columns if c != segment.key]
+    return sg.segment_base(m.seen, chosen, segment, m.start, extra, m.steps)
+
+
+def segment_durations(
+    m: CaseModel, base: DataFrame, segment: Segment, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    return sg.segment_duration(
+        base, segment, extra, m.params.target_days, m.steps, m.params.levels
+    )
+
+
+def segment_bottlenecks(
+    m: CaseModel, base: DataFrame, segment: Segment, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    return sg.segment_bottleneck(base, segment, extra, m.params.target_days, m.steps)
+
+
 def vendor_base(m: CaseModel) -> DataFrame:
-    top = sg.top_segments(m.delay_base, VENDOR, m.params.top_vendors, m.params.min_cases)
-    return sg.segment_base(m.cases, top, VENDOR, m.start)
+    return segment_cases(m, VENDOR, m.params.top_vendors)
 
 
 def spend_area_base(m: CaseModel) -> DataFrame:
-    top = sg.top_segments(m.delay_base, SPEND_AREA, m.params.top_spend_areas, m.params.min_cases)
-    named = top.join(_spend_texts(m), SPEND_AREA.key, "left")
-    return sg.segment_base(m.cases, named, SPEND_AREA, m.start, (SPEND_TEXT, SPEND_CLASS))
+    return segment_cases(m, SPEND_AREA, m.params.top_spend_areas, _spend_texts(m))
 
 
 def vendor_stage_duration(m: CaseModel) -> DataFrame:
-    return sg.segment_duration(vendor_base(m), VENDOR, threshold=m.params.target_days)
+    return segment_durations(m, vendor_base(m), VENDOR)
 
 
 def vendor_bottleneck(m: CaseModel) -> DataFrame:
-    return sg.segment_bottleneck(vendor_base(m), VENDOR, threshold=m.params.target_days)
+    return segment_bottlenecks(m, vendor_base(m), VENDOR)
 
 
 def spend_area_stage_duration(m: CaseModel) -> DataFrame:
-    return sg.segment_duration(
-        spend_area_base(m), SPEND_AREA, (SPEND_TEXT, SPEND_CLASS), m.params.target_days
-    )
+    return segment_durations(m, spend_area_base(m), SPEND_AREA, (SPEND_TEXT, SPEND_CLASS))
 
 
 def spend_area_bottleneck(m: CaseModel) -> DataFrame:
-    return sg.segment_bottleneck(
-        spend_area_base(m), SPEND_AREA, (SPEND_TEXT, SPEND_CLASS), m.params.target_days
-    )
+    return segment_bottlenecks(m, spend_area_base(m), SPEND_AREA, (SPEND_TEXT, SPEND_CLASS))
 
 
 # --- Concentration and data quality
@@ -198,7 +230,7 @@ def company_pareto(m: CaseModel) -> DataFrame:
 
 
 def stage_quality_check(m: CaseModel) -> DataFrame:
-    return quality_check(m.stage_base)
+    return quality_check(m.stage_base, m.steps)
 
 
 REPORTS: dict[str, Report] = {

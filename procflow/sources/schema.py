@@ -16,13 +16,7 @@ STAR_SCHEMAS: dict[str, str] = {
     "dim_company": "company_key INT, company STRING",
 }
 
-REQUIRED_TABLES = (
-    "fact_events",
-    "fact_case_milestones_core",
-    "fact_cases",
-    "dim_activity",
-    "dim_spend_area",
-)
+REQUIRED_TABLES = ("fact_events", "fact_cases", "dim_activity")
 
 EVENT_LOG_SCHEMA = (
     "case_id STRING, activity STRING, timestamp TIMESTAMP_NTZ, vendor STRING, company STRING, "

@@ -23,13 +23,13 @@ def write_outputs(
 ) -> dict[str, str]:
     """Write each result to ``folder/<name>`` and return the paths.
 
-    Names in ``single_file`` are reports of a few rows, written as one file for spreadsheets;
-    all others keep the partitioning Spark computed them in.
+    Names in ``single_file`` are reports of a few rows, written as one file for spreadsheets (the
+    write alone runs in one task); all others keep the partitioning Spark computed them in.
     """
     options, paths, single = _writer_options(fmt), {}, set(single_file)
     for name, df in results.items():
         paths[name] = f"{folder.rstrip('/')}/{name}"
-        out = df.coalesce(1) if name in single else df
+        out = df.repartition(1) if name in single else df
         out.write.mode("overwrite").format(fmt).options(**options).save(paths[name])
     return paths
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,33 +22,63 @@ _local_folders: dict[str, str] = {}
 _staged: dict[tuple[str, ...], tuple[SparkSession, tuple, object]] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder in local mode.
 
-    On a cluster without the setting there is no folder every executor can reach: ``None``.
+    On a cluster without the setting there is no folder every executor can reach, and computing
+    a table again for each report would cost a pass over the log each time: that is an error.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not sc.master.startswith("local"):
-        return None
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.applicationId not in _local_folders:
         _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="procflow-")
     return _local_folders[sc.applicationId]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a scan of what was written.
+def staging_folder(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{shared_folder(spark)}/procflow/{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the staging folder that nothing uses yet."""
+    return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete every table this application has staged; models that read them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    for slot in [s for s in _staged if s[0] == app]:
+        del _staged[slot]
 
-    Without a shared folder ``df`` is returned as it is: same rows, computed again per use.
+
+@contextmanager
+def reducers(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Plan shuffles with ``n`` reducers inside the block; ``None`` keeps the session's number.
+
+    Adaptive execution merges small reducers but never splits those of an aggregation, so a large
+    log needs more of them than the default.
     """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if n is not None:
+        spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as a scan of what was written."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    app = spark.sparkContext.applicationId
-    path = f"{folder}/procflow/{app}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,7 @@ from procflow.sources.staging import stage
 
 @dataclass(frozen=True)
 class Star:
-    """Facts and dimensions of one event log; the two name-only dimensions may be absent.
+    """Facts and dimensions of one event log; dimensions that only name keys may be absent.
 
     ``fact_case_milestones_core`` may be absent too: the milestones are then taken from the
     events alone.
@@ -27,7 +27,7 @@ class Star:
     fact_events: DataFrame
     fact_cases: DataFrame
     dim_activity: DataFrame
-    dim_spend_area: DataFrame
+    dim_spend_area: DataFrame | None = None
     fact_case_milestones_core: DataFrame | None = None
     dim_vendor: DataFrame | None = None
     dim_company: DataFrame | None = None
@@ -37,28 +37,42 @@ class Star:
         return {name: df for name, df in named.items() if df is not None}
 
 
-def load_star(
-    spark: SparkSession, folder: str, optional: Sequence[str] = ("dim_vendor", "dim_company")
-) -> Star:
-    """Read ``folder/<table>`` as Parquet with the declared schemas (no inference job).
+# The list of the tables that a saved star has.
+_CONTENTS = "star_tables"
+
+
+def load_star(spark: SparkSession, folder: str, tables: Sequence[str] | None = None) -> Star:
+    """Read ``folder/<table>`` as Parquet, every table that :func:`save_star` wrote.
 
-    ``optional`` names the lookup tables to read besides the required ones; pass ``()`` when the
-    folder has none.
+    For a folder written otherwise, ``tables`` names what it has besides the required tables.
+    Columns have the declared types; keys of other segments than the standard ones are read too.
     """
     base = folder.rstrip("/")
-    return Star(
-        **{
-            name: spark.read.schema(star_schema(name)).parquet(f"{base}/{name}")
-            for name in (*REQUIRED_TABLES, *optional)
-        }
-    )
+    if tables is None:
+        tables = [r["name"] for r in spark.read.parquet(f"{base}/{_CONTENTS}").collect()]
+    names = dict.fromkeys((*REQUIRED_TABLES, *tables))
+    return Star(**{name: _read_table(spark, base, name) for name in names})
+
+
+def _read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    if name == "fact_cases":
+        return spark.read.parquet(f"{base}/{name}")
+    return spark.read.schema(star_schema(name)).parquet(f"{base}/{name}")
 
 
 def save_star(star: Star, folder: str) -> None:
-    """Write every table of the star to ``folder/<table>`` as Parquet."""
-    for name, df in star.tables().items():
-        typed = df.select(*[F.col(f.name).cast(f.dataType) for f in star_schema(name)])
-        typed.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    """Write every table of the star to ``folder/<table>`` as Parquet, and the list of them."""
+    base, tables = folder.rstrip("/"), star.tables()
+    for name, df in tables.items():
+        declared = {f.name: f.dataType for f in star_schema(name)}
+        extra = [c for c in df.columns if c not in declared] if name == "fact_cases" else []
+        held = [c for c in declared if c in df.columns or name != "fact_cases"]
+        typed = df.select(*[F.col(c).cast(declared[c]) for c in held], *extra)
+        typed.write.mode("overwrite").parquet(f"{base}/{name}")
+    values = ", ".join(f"('{name}')" for name in tables)
+    spark = star.fact_events.sparkSession
+    listed = spark.sql(f"SELECT * FROM VALUES {values} AS t(name)")
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{base}/{_CONTENTS}")
 
 
 # Hex digits of the MD5 that form the coarse part of the numbering: 16^3 = 4,096 groups at most.
@@ -96,19 +110,17 @@ def build_dimension(log: DataFrame, columns: Mapping[str, str], key: str) -> Dat
     return stage(surrogate_keys(members, names, key), f"dim-{key}")
 
 
-def case_attributes(log: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
+def case_attributes(held: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
     """One row per case with its attributes.
 
     Columns of one group describe the same thing and are chosen together: when a case has
-    several, the smallest one wins. The log is first reduced to its distinct combinations, so
-    the text comparison sees about one row per case instead of one per event.
+    several, the smallest one wins. ``held`` has the distinct combinations of a log, so the
+    text comparison sees about one row per case instead of one per event.
     """
-    flat = [c for g in groups for c in g]
-    distinct = log.select(case_col, *flat).distinct()
     smallest = [
         F.min(F.when(_some(g), F.struct(*g))).alias(f"_g{i}") for i, g in enumerate(groups)
     ]
-    return distinct.groupBy(case_col).agg(*smallest).select(
+    return held.groupBy(case_col).agg(*smallest).select(
         case_col,
         *[F.col(f"_g{i}")[c].alias(c) for i, g in enumerate(groups) for c in g],
     )
@@ -124,11 +136,14 @@ def _lookup(facts: DataFrame, dim: DataFrame, columns: Mapping[str, str], key: s
     return facts.join(dim, on, "left").select(facts["*"], dim[key])
 
 
-VENDOR_COLUMNS = {"vendor": "vendor"}
-COMPANY_COLUMNS = {"company": "company"}
-SPEND_AREA_COLUMNS = {
-    "sub_spend_area": "sub_spend_area_text",
-    "spend_classification": "spend_classification_text",
+# Dimension key -> log columns of the attribute and their dimension columns.
+ATTRIBUTES: dict[str, Mapping[str, str]] = {
+    "company_key": {"company": "company"},
+    "vendor_key": {"vendor": "vendor"},
+    "spend_area_key": {
+        "sub_spend_area": "sub_spend_area_text",
+        "spend_classification": "spend_classification_text",
+    },
 }
 
 
@@ -137,29 +152,30 @@ def build_star(
     case_col: str = "case_id",
     activity_col: str = "activity",
     ts_col: str = "timestamp",
-    vendor: Mapping[str, str] = VENDOR_COLUMNS,
-    company: Mapping[str, str] = COMPANY_COLUMNS,
-    spend_area: Mapping[str, str] = SPEND_AREA_COLUMNS,
+    attributes: Mapping[str, Mapping[str, str]] = ATTRIBUTES,
     steps: Sequence[Step] = P2P_STEPS,
 ) -> Star:
     """Turn a flat event log into facts and dimensions.
 
-    The three mappings name the log columns of each case attribute and their dimension columns.
-    Events are kept as they are, one row each. The dimensions are computed here; the facts are
-    plans over the log, so save the star with :func:`save_star` before using it more than once.
+    ``attributes`` maps the key column of each case attribute to its log columns and their
+    dimension columns; any number of them is allowed, and each key can be ranked as a segment.
+    The standard three have a place for their dimension in the star.
+
+    The log is read three times: for the activities, for the events with their keys, and for the
+    distinct attributes of the cases. These three are written to the shared folder; the other
+    tables follow from them. Events are kept as they are, one row each.
     """
     dim_activity = build_dimension(
         log.select(F.col(activity_col).alias("activity")), {"activity": "activity"}, "activity_key"
     )
-    dims = {
-        "company_key": (company, build_dimension(log, company, "company_key")),
-        "vendor_key": (vendor, build_dimension(log, vendor, "vendor_key")),
-        "spend_area_key": (spend_area, build_dimension(log, spend_area, "spend_area_key")),
-    }
+    flat = dict.fromkeys(c for m in attributes.values() for c in m)
+    held = stage(log.select(case_col, *flat).distinct(), "case-attributes")
+    dims = {key: build_dimension(held, columns, key) for key, columns in attributes.items()}
 
-    cases = case_attributes(log, case_col, [list(m) for m, _ in dims.values()])
-    for key, (columns, dim) in dims.items():
-        cases = _lookup(cases, dim, columns, key)
+    cases = case_attributes(held, case_col, [list(m) for m in attributes.values()])
+    cases = cases.filter(F.col(case_col).isNotNull())
+    for key, columns in attributes.items():
+        cases = _lookup(cases, dims[key], columns, key)
 
     events = _lookup(
         log.select(
@@ -170,14 +186,15 @@ def build_star(
         dim_activity,
         {"_activity": "activity"},
         "activity_key",
-    ).select("case_id", "activity_key", "timestamp")
+    )
+    events = stage(events.select("case_id", "activity_key", "timestamp"), "fact-events")
 
     return Star(
         fact_events=events,
         fact_cases=cases.select(F.col(case_col).alias("case_id"), *dims),
         dim_activity=dim_activity,
-        dim_spend_area=dims["spend_area_key"][1],
+        dim_spend_area=dims.get("spend_area_key"),
         fact_case_milestones_core=core_milestones(events, dim_activity, steps),
-        dim_vendor=dims["vendor_key"][1],
-        dim_company=dims["company_key"][1],
+        dim_vendor=dims.get("vendor_key"),
+        dim_company=dims.get("company_key"),
     )

@@ -131,3 +131,18 @@ def test_hot_case_is_combined_before_the_shuffle(spark, log):
     last = max(i % 5000 for i in hot if i % 4 == 3)
     minutes = lambda t: int((t - ts("2018-01-01")).total_seconds() // 60)
     assert (minutes(out["H"]["PO_ts"]), minutes(out["H"]["CI_ts"])) == (first, last)
+
+
+def test_collated_spellings_keep_one_row_per_activity(spark, log):
+    log.case("A", PO="2018-07-01", CI=["2018-07-09", "2018-07-12"])
+    star = log.star()
+    other = spark.createDataFrame([("A", 7, ts("2018-07-10"))], star.fact_events.schema)
+    names = spark.createDataFrame([(1, "create purchase order item "), (4, "Clear Invoice"), (7, "CLEAR INVOICE ")], star.dim_activity.schema)
+    out = core_milestones(star.fact_events.unionByName(other), names, collation="UTF8_LCASE_RTRIM")
+    assert sorted(rows(out)) == [("A", 1, ts("2018-07-01")), ("A", 4, ts("2018-07-12")), ("A", 7, ts("2018-07-10"))]
+
+
+def test_events_without_a_case_mark_nothing(spark, log):
+    log.case(None, PO="2018-07-01").case("A", PO="2018-07-02")
+    star = log.star()
+    assert [r["Case_ID"] for r in milestones(star.fact_events, star.dim_activity).collect()] == ["A"]

@@ -72,7 +72,7 @@ def test_top_cut_takes_the_smaller_key(spark):
 
 
 def test_top_agrees_with_the_full_ranking(spark, small):
-    from procflow.plans.model import order_line_model
+    from procflow.plans.order_line_model import order_line_model
 
     base = order_line_model(spark, small).delay_base
     for segment, n in ((VENDOR, 5), (SPEND_AREA, 7), (COMPANY, 2)):
@@ -111,7 +111,7 @@ def test_pareto_runs_over_the_rank_order(spark):
 
 
 def test_delayed_cases_of_segments_never_exceed_the_total(spark, small):
-    from procflow.plans.model import order_line_model
+    from procflow.plans.order_line_model import order_line_model
 
     m = order_line_model(spark, small)
     total = m.delay_base.filter("Delay_Flag = 1").count()
@@ -229,3 +229,42 @@ def test_skewed_segment_gives_the_same_medians(spark):
         p90 = vs[low] + (pos - low) * (vs[min(low + 1, len(vs) - 1)] - vs[low])
         assert got[flag]["P90"] == int(round(p90, 9))
         assert got[flag]["Cases_Number"] == len(values[0]) + len(values[1])
+
+
+def test_tied_ranks_are_ordered_by_stage_first(spark, log):
+    for v in (1, 2):
+        timed(log, f"a{v}", 10, 20, 90, vendor=v)
+        timed(log, f"b{v}", 10, 20, 10, vendor=v)
+    m = model(spark, log.star(), min_cases=1, top_vendors=5)
+    stages = ["PO_GR_Days", "GR_IR_Days", "IR_CI_Days"]
+    found = [(r["Vendor_Rank"], r["Stage"], r["Vendor_key"]) for r in rp.vendor_bottleneck(m).collect()]
+    assert found == [(1, s, v) for s in stages for v in (1, 2)]
+    found = [(r["Stage"], r["Vendor_key"], r["Delay_flag"]) for r in rp.vendor_stage_duration(m).collect()]
+    assert found == [(s, v, f) for s in stages for v in (1, 2) for f in (0, 1)]
+
+
+def test_pareto_has_no_hot_group(spark):
+    """Most segments share one place in the order; the sums agree with a plain running sum."""
+    n = 20_000
+    ranking = spark.range(n).select(
+        F.col("id").cast("int").alias("Vendor_key"),
+        F.lit(Decimal("0.00")).alias("Impact_Share"),
+        F.lit(Decimal("1.00")).alias("Delayed_Rate"),
+        F.when(F.col("id") % 10 == 0, 0).otherwise(1 + (F.col("id") % 4 == 0).cast("int")).cast("long").alias("Delay_cases"),
+    )
+    ranking = ranking.unionByName(ranking.limit(1).withColumn("Vendor_key", F.lit(None).cast("int")))
+    out = sg.pareto(ranking, VENDOR, F.lit(100))
+    got = {r["Vendor_key"]: r["Cumulative_Delay_cases"] for r in out.collect()}
+    order = sorted(
+        ((r["Vendor_key"], r["Delay_cases"]) for r in ranking.collect()),
+        key=lambda r: (-r[1], r[0] is None, r[0] or 0),
+    )
+    total, wanted = 0, {}
+    for key, amount in order:
+        total += amount
+        wanted[key] = total
+    assert got == wanted
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # No window runs over (impact, rate) alone but that of the combined ties.
+    ranges = [line for line in plan.splitlines() if "row_number" in line and "windowspecdefinition" in line]
+    assert ranges and all("_range" in line for line in ranges)

@@ -7,9 +7,23 @@ import pytest
 from conftest import rows, ts
 from pyspark.sql import functions as F
 
-from procflow import Params, build_model, build_star, load_star, read_output, reports, save_star
+from procflow import (
+    Params,
+    Segment,
+    VENDOR,
+    build_model,
+    build_star,
+    load_star,
+    read_log,
+    read_output,
+    reports,
+    save_star,
+)
+from procflow.constants import CLOSED, OPEN
+from procflow.plans import reports as rp
 from procflow import write_outputs
-from procflow.plans.model import case_table, order_line_model
+from procflow.plans.model import case_table
+from procflow.plans.order_line_model import order_line_model
 from procflow.plans.reports import REPORTS
 from procflow.sources import staging
 from procflow.sources.order_lines import order_line_log, order_line_star
@@ -171,22 +185,135 @@ def test_staged_table_lies_in_the_shared_folder(spark):
     assert df.count() == 10
 
 
-def test_staging_without_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(staging, "shared_folder", lambda s: None)
-    df = spark.range(3)
-    assert staging.stage(df, "x") is df
+class Cluster:
+    """What ``shared_folder`` asks of a session, here of one on a cluster without the setting."""
+
+    class sparkContext:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Cluster)
+
+
+def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "shared_folder", lambda s: str(tmp_path))
+    monkeypatch.setattr(staging, "_staged", {})
+    staging.stage(spark.range(3), "x")
+    assert list(tmp_path.rglob("part-*"))
+    staging.remove_staged(spark)
+    assert not list(tmp_path.rglob("part-*"))
+
+
+def test_case_shuffle_takes_the_given_reducers(spark, small):
+    star = order_line_star(spark, small)
+    with staging.reducers(spark, 37):
+        text = case_table(star)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(case_id" in text and ", 37)" in text
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert build_model(star, partitions=5).cases.count() == order_line_model(spark, small).cases.count()
+
+
+def test_star_builder_scans_the_log_three_times(spark, small):
+    reads = []
+    log = order_line_log(spark, small)
+    original = staging.stage
+
+    def counted(df, name):
+        reads.append((name, df._jdf.queryExecution().executedPlan().toString().count("lineitem")))
+        return original(df, name)
+
+    import procflow.sources.star as module
+
+    module.stage, kept = counted, module.stage
+    try:
+        star = build_star(log)
+    finally:
+        module.stage = kept
+    assert sum(n > 0 for _, n in reads) == 3 and sum(n for _, n in reads) == 3
+    for df in star.tables().values():
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_line_cases_are_unique(spark, small):
+    cases = order_line_star(spark, small).fact_cases
+    assert cases.count() == cases.select("case_id").distinct().count()
+
+
+@pytest.mark.parametrize("core", [True, False])
+def test_load_what_was_saved(spark, log, tmp_path, core):
+    log.case("A", PO="2018-07-01", CI="2018-07-09")
+    log.areas = [(1, "Pumps", "Direct")]
+    star = log.star([("A", 1, ts("2018-07-01"))] if core else None)
+    save_star(star, str(tmp_path))
+    loaded = load_star(spark, str(tmp_path))
+    assert set(loaded.tables()) == set(star.tables()) and (loaded.fact_case_milestones_core is not None) == core
+    assert rows(build_model(loaded).cases.select("Case_ID")) == [("A",)]
+    some = load_star(spark, str(tmp_path), tables=["dim_spend_area"])
+    assert rows(some.dim_spend_area) == [(1, "Pumps", "Direct")] and some.dim_vendor is None
+
+
+def test_flat_log_from_csv(spark, tmp_path):
+    lines = ["Case;Step;When;Supplier;Plant", "A;Create Purchase Order Item;01-07-2018 10:00;V1;North"]
+    lines += ["A;Clear Invoice;09-07-2018 23:59;V1;North", "B;Create Purchase Order Item;02-07-2018 08:30;;South"]
+    lines += ["B;Clear Invoice;not a time;;South", "C;Clear Invoice;;V2;"]
+    (tmp_path / "log.csv").write_text("\n".join(lines))
+    names = {"case_id": "Case", "activity": "Step", "timestamp": "When", "vendor": "Supplier"}
+    log = read_log(spark, str(tmp_path / "log.csv"), "csv", names, "dd-MM-yyyy HH:mm", {"sep": ";"})
+    assert dict(log.dtypes)["timestamp"] == "timestamp_ntz"
+    star = build_star(log, attributes={"vendor_key": {"vendor": "vendor"}, "plant_key": {"Plant": "plant"}})
+    assert star.dim_spend_area is None and star.dim_vendor.count() == 2
+    save_star(star, str(tmp_path / "star"))
+    plant = Segment("plant_key", "Plant_key", "Plant_Rank")
+    m = build_model(load_star(spark, str(tmp_path / "star")), Params(min_cases=1), segments=(VENDOR, plant))
+    assert {(r["Case_ID"], r["Lead_Time"]) for r in m.stage_base.collect()} == {("A", 8), ("B", None)}
+    assert [r["Total_cases"] for r in rp.segment_ranking(m, plant).collect()] == [1]
+    with pytest.raises(ValueError, match="timestamp"):
+        read_log(spark, str(tmp_path / "log.csv"), "csv", {"case_id": "Case", "activity": "Step"}, options={"sep": ";"})
+
+
+def test_flat_log_round_trip_of_other_formats(spark, small, tmp_path):
+    log = order_line_log(spark, small)
+    log.write.parquet(str(tmp_path / "parquet"))
+    log.write.option("header", True).csv(str(tmp_path / "csv"))
+    for fmt in ("parquet", "csv"):
+        back = read_log(spark, str(tmp_path / fmt), fmt).select(*log.columns)
+        assert back.exceptAll(log).isEmpty() and log.exceptAll(back).isEmpty()
+
+
+def test_snapshot_holds_in_every_view(spark, log):
+    log.case("A", PO="2018-07-01", GR="2018-07-02", IR="2018-07-03", CI="2019-05-01")
+    log.case("B", PO="2019-01-01", GR="2019-01-02", IR="2019-01-03", CI="2019-01-01")
+    star = log.star()
+    whole, seen = (build_model(star, Params(min_cases=1, snapshot=s)) for s in (False, True))
+    assert {r["Case_ID"]: r["Duration_Type"] for r in seen.overview.collect()} == {"A": OPEN, "B": CLOSED}
+    assert rows(REPORTS["backlog_total"](seen)) == [(1,)] and rows(REPORTS["backlog_total"](whole)) == [(0,)]
+    assert sorted(r["Case_ID"] for r in whole.delay_base.collect()) == ["A", "B"]
+    assert [r["Case_ID"] for r in seen.delay_base.collect()] == ["B"]
+    issues = {r["Case_ID"]: r["Primary_Issue"] for r in seen.stage_flags.collect()}
+    assert issues["A"] == "Missing_CI"
 
 
 def test_model_is_built_once_until_the_input_changes(spark, small, tmp_path):
     folder = tmp_path / "data"
     folder.mkdir()
-    shutil.copy(f"{small}/lineitem.parquet", folder / "lineitem.parquet")
+    shutil.copyfile(f"{small}/lineitem.parquet", folder / "lineitem.parquet")
     first = order_line_model(spark, str(folder))
     assert order_line_model(spark, str(folder)) is first
     lines = spark.read.parquet(f"{small}/lineitem.parquet").limit(100)
     lines.coalesce(1).write.parquet(str(tmp_path / "part"))
     part = next(f for f in os.listdir(tmp_path / "part") if f.startswith("part-"))
-    shutil.copy(tmp_path / "part" / part, folder / "lineitem.parquet")
+    shutil.copyfile(tmp_path / "part" / part, folder / "lineitem.parquet")
     second = order_line_model(spark, str(folder))
     assert second is not first
     assert second.cases.count() < first.cases.count()

@@ -6,9 +6,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from procflow.constants import P2P_STEPS, VENDOR, Params
 from procflow.operators import stages as st
 from procflow.operators.milestones import milestones
 from procflow.operators.quality import quality_check
+from procflow.plans.model import build_model
 
 NORMAL = "Lack abnormality"
 
@@ -182,7 +184,7 @@ def test_quality_check(log):
 
 
 def test_statuses_split_the_cases(spark, small):
-    from procflow.plans.model import order_line_model
+    from procflow.plans.order_line_model import order_line_model
 
     flags = order_line_model(spark, small).stage_flags
     total = flags.count()
@@ -191,3 +193,18 @@ def test_statuses_split_the_cases(spark, small):
     assert abs(sum(r[2] for r in shares) - 100) <= Decimal("0.04")
     agree = flags.filter("GR_ts IS NULL").select("PO_GR_Status", "GR_IR_Status").distinct()
     assert rows(agree) == [("Missing_GR", "Missing_GR")]
+
+
+def test_other_steps_and_levels(spark, log):
+    steps = (P2P_STEPS[0], P2P_STEPS[2], P2P_STEPS[3])
+    log.case("A", PO="2018-07-01", IR="2018-07-11", CI="2018-10-01")
+    log.case("B", PO="2018-07-01", IR="2018-07-21", CI="2018-07-31")
+    params = Params(min_cases=1, levels=(("P25", 0.25), ("P75", 0.75)))
+    m = build_model(log.star(), params, steps=steps, segments=(VENDOR,))
+    from procflow.plans import reports as rp
+
+    assert rows(rp.stage_duration_all(m)) == [("PO_IR_Days", 12.5, 17.5), ("IR_CI_Days", 28.0, 64.0)]
+    assert rows(rp.stage_duration_within(m)) == [("PO_IR_Days", 20.0, 20.0), ("IR_CI_Days", 10.0, 10.0)]
+    assert [r["Stage"] for r in rp.vendor_bottleneck(m).collect()] == ["PO_IR_Days", "IR_CI_Days"]
+    assert rp.sla_duration_percentiles(m).columns == ["Stage", "P25", "P75"]
+    assert rows(rp.local_missingness(m)) == []
