@@ -16,7 +16,7 @@ from oracle_check import differences, duckdb_tables  # noqa: E402
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from procflow.llm.oracle import ORACLE  # noqa: E402
-from procflow.llm.queries import QUERIES, documents  # noqa: E402
+from procflow.llm.queries import NEAR_BITS, QUERIES, documents  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,15 @@ def test_one_row_per_document(spark, checked, rows, name):
     assert [d for (d,) in found(spark, checked, name, "doc_id")] == sorted(d for d, _ in rows)
 
 
+def test_search_within_the_radius(spark, checked):
+    marks = {d: m for d, m in found(spark, checked, "op6_simhash", "doc_id", "fingerprint")}
+    asked = dict(tuple(r) for r in QUERIES["op6_simhash"](spark, checked).select("doc_id", "n_within").collect())
+    others = [int(m, 16) for m in set(marks.values())]
+    for d, n in asked.items():
+        mine = int(marks[d], 16)
+        assert n == (None if d % 20 else sum(0 < (mine ^ m).bit_count() <= NEAR_BITS for m in others))
+
+
 def test_packing_holds_all_ids(spark, checked):
     out = QUERIES["op10_packing"](spark, checked).collect()
     by_doc, by_sequence = {}, Counter()
