@@ -42,4 +42,94 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, substr(bits, 1, depth) AS shard, dept
 FROM best JOIN addressed USING (doc_id, n_bytes)
 """
 
-ORACLE: dict[str, str] = {"op1_line_dedup": LINE_DEDUP, "op3_sharding": SHARDING}
+# Words of the similarity operators, and of benchmark windows.
+_WORD = r"[^\x20\x09-\x0D]+"
+_BENCHMARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(pattern: str, lowered: bool) -> str:
+    text = "coalesce(text, '')"
+    text = f"translate({text}, '{_UPPER}', '{_LOWER}')" if lowered else text
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+JACCARD_JOIN = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, {_words(_WORD, True)} AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * m >= 80 * (p.n + q.n - m)
+), reached AS (
+    SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y
+), least AS (
+    SELECT x, min(y) AS y FROM reached GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
+FROM split d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.x = d.doc_id
+"""
+
+DECONTAMINATE = f"""
+WITH d AS (
+    SELECT doc_id, {_words(_BENCHMARK_WORD, True)} AS w FROM documents
+), b AS (
+    SELECT item_id, {_words(_BENCHMARK_WORD, True)} AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT n FROM windows
+), places AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)
+), found AS (
+    SELECT doc_id, p.n, i, item_id FROM places p JOIN windows w ON w.k = p.k AND w.n = p.n
+), hit AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY 1
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (
+    SELECT doc_id, {_words(_WORD, False)} AS w FROM documents
+), places AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), owners AS (
+    SELECT k, min(doc_id) AS owner FROM places GROUP BY k
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place
+    FROM (SELECT p.doc_id, i FROM places p JOIN owners o ON o.k = p.k WHERE owner < doc_id)
+), words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d
+), kept AS (
+    SELECT w.doc_id, count(*) FILTER (g.place IS NOT NULL) AS n_removed,
+           string_agg(word, ' ' ORDER BY w.place) FILTER (g.place IS NULL) AS kept
+    FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP,
+    "op3_sharding": SHARDING,
+    "op5_jaccard_join": JACCARD_JOIN,
+    "op7_decontaminate": DECONTAMINATE,
+    "op9_substring_dedup": SUBSTRING_DEDUP,
+}
