@@ -115,7 +115,7 @@ class Packer:
         offset = 0
         for r in rests:
             n = len(r.ids)
-            row = (r.doc_id, r.start, n, zlib.crc32(r.ids.tobytes()), r.doc_tokens)
+            row = (r.doc_id, r.start, n, zlib.crc32(r.ids.astype("<u4", copy=False)), r.doc_tokens)
             row += (self.base + self.sequences, offset, tier, step)
             self.rows.append((*row, r.ids) if self.with_ids else row)
             offset += n

@@ -87,8 +87,8 @@ def token_checksums(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             bounds = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
+            ids = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
             lengths = pa.array(np.diff(bounds), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lengths, pa.array(crc, pa.int64())],

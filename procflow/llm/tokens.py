@@ -152,8 +152,23 @@ class WordTokens(dict):
         self.clear()
         self.update(zip(words, range(len(words)), strict=True))
 
-    def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``texts`` one after another, and the number of ids of each text."""
+    def _row_of_end(self, end_id: int) -> int:
+        """Row of the one id; its key is no word, as it has a blank."""
+        key = f"end {end_id}"
+        if key not in self:
+            self[key] = len(self)
+            self.flat = np.append(self.flat, np.uint32(end_id))
+            self.ends = np.append(self.ends, self.ends[-1] + 1)
+            self.used = np.append(self.used, 0)
+        return self[key]
+
+    def encode(
+        self, texts: pa.Array | list[bytes], end_id: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` one after another, and the number of ids of each text.
+
+        With ``end_id`` every text ends with that id.
+        """
         texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
         # A copy that begins at offset 0: some kernels read slices from the start of their buffers.
         texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_binary()).cast(pa.large_string())
@@ -170,6 +185,9 @@ class WordTokens(dict):
         rows = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
         self._learn()
         row = rows[coded.indices.to_numpy()]
+        if end_id is not None:
+            row = np.insert(row, bounds[1:], self._row_of_end(end_id))
+            bounds = bounds + np.arange(len(bounds))
         self.used += np.bincount(row, minlength=len(self.used))
         lengths = np.diff(self.ends)[row]
         ends = np.cumsum(lengths)
@@ -198,10 +216,5 @@ def pieces(lengths: np.ndarray, most: int = PIECE_BYTES) -> Iterator[slice]:
 def encoded_pieces(words: WordTokens, texts: pa.Array, end_id: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Slices of ``texts`` with their ids, ``end_id`` after each text, and the texts' bounds in them."""
     for piece in pieces(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
-        yield piece, *with_end(*words.encode(texts[piece.start : piece.stop]), end_id)
-
-
-def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Append ``end_id`` to every document; returns ids and the documents' bounds."""
-    ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32)
-    return ids, np.concatenate([[0], np.cumsum(counts + 1)])
+        ids, counts = words.encode(texts[piece.start : piece.stop], end_id)
+        yield piece, ids, np.concatenate([[0], np.cumsum(counts)])

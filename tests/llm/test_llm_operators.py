@@ -314,6 +314,13 @@ def test_pieces_cover_all_texts():
     assert not list(pieces(np.empty(0, int)))
 
 
+def test_end_ids(encoder):
+    for texts in ([], [b""], [b"a b", b"", b"c"], [b"", b"<|end x"]):
+        ids, counts = encoder.encode(texts, 7)
+        wanted = [[*encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 7] for t in texts]
+        assert ids.tolist() == [i for w in wanted for i in w] and counts.tolist() == [len(w) for w in wanted]
+
+
 def test_forgotten_words_are_learned_again(encoder):
     few = WordTokens(encoder_path(), most=4)
     for _ in range(3):
