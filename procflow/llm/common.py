@@ -34,9 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path that does not exist yet, below the shared folder."""
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A path that does not exist yet, below this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete all that the operators staged in this application; results that read it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
 from conftest import TESTDATA  # noqa: E402
 
-from procflow.llm import decontaminate, lattice, packing, quality, simhash  # noqa: E402
+from procflow.llm import common, decontaminate, lattice, packing, quality, simhash  # noqa: E402
 from procflow.llm.common import keep_ids, new_folder, table  # noqa: E402
 from procflow.llm.components import components  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
@@ -181,6 +181,13 @@ def test_components(spark):
     assert found == {i: 0 for i in range(41)} | {i: 90 for i in (90, 95, 100)} | {i: 500 for i in range(500, 530)}
 
 
+def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda s: str(tmp_path))
+    assert common.stage(spark.range(5), "five").count() == 5 and list(tmp_path.rglob("part-*"))
+    common.remove_staged(spark)
+    assert not list(tmp_path.rglob("part-*"))
+
+
 def test_keep_ids_by_either_way(spark):
     df, ids = spark.range(100).withColumnRenamed("id", "k"), spark.createDataFrame([(3,), (5,), (3,)], "k long")
     assert sorted(tuples(keep_ids(df, ids, "k"), "k")) == sorted(tuples(keep_ids(df, ids, "k", most=0), "k")) == [(3,), (5,)]
