@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from procflow.llm.common import stage, text_bytes
+from procflow.llm.words import small_batches
 
 WINDOW = 10
 SLICE = 100_000
@@ -65,7 +66,7 @@ def word_counts(texts: DataFrame, wanted: frozenset[bytes]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for text in batch.column(0).to_pylist():
                 found.update(filter(wanted.__contains__, words_of(text)))
         yield pa.RecordBatch.from_arrays(
@@ -116,7 +117,7 @@ def _pass(docs: DataFrame, index: dict[bytes, list[tuple]], before: bool) -> Dat
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "_bytes"):
             n_words, all_spans, all_items = [], [], []
             old = [batch.column(c).to_pylist() for c in ("spans", "items")] if before else None
             for k, text in enumerate(batch.column("_bytes").to_pylist()):

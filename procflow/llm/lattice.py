@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from procflow.llm.common import stage, text_bytes
 from procflow.llm.quality import held_out
+from procflow.llm.words import small_batches
 
 ALPHA = 0.1
 FREQUENT = 100_000
@@ -75,7 +76,7 @@ def word_table(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["word", "c", "n"])
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
                 words.append(b"")
@@ -255,7 +256,7 @@ def packed_occurrences(docs: DataFrame, frequent: dict[bytes, tuple[bool, float,
             ids, found, heads, size, block = LocalIds(first), [], [], 0, block + 1
 
         ids, found, heads, size = LocalIds(first), [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             for doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.lower().split()
                 words.append(b"")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from procflow.llm.common import text_bytes
-from procflow.llm.tokens import pieces
+from procflow.llm.words import small_batches
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
@@ -182,15 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, most: int = TRAIN_DO
     """Learn from the labelled documents outside the held-out fold; None without any."""
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), DESCRIBED):
-                x, counts = describe(texts[piece])
-                cuts = np.split(x, np.cumsum(counts)[:-1])
-                n = len(counts)
-                columns = [batch.column(0).slice(piece.start, n), batch.column(1).slice(piece.start, n)]
-                columns.append(pa.array([c.tobytes() for c in cuts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "x"])
+        for batch in small_batches(batches, 2, DESCRIBED):
+            x, counts = describe(batch.column(2).to_pylist())
+            cuts = [c.tobytes() for c in np.split(x, np.cumsum(counts)[:-1])]
+            columns = [batch.column(0), batch.column(1), pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "x"])
 
     rows = training_rows(docs, labels, folds, most)
     rows = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "_bytes")
@@ -209,11 +205,8 @@ def score_texts(docs: DataFrame, model: Attention | None, carry: list[str] | Non
         return rows.select("row", F.lit(0.5).alias("score"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for piece in pieces(np.fromiter(map(len, texts), np.int64, len(texts)), DESCRIBED):
-                scores = np.round(model.scores(*describe(texts[piece])), 9)
-                carried = batch.column(0).slice(piece.start, len(scores))
-                yield pa.RecordBatch.from_arrays([carried, pa.array(scores)], ["row", "score"])
+        for batch in small_batches(batches, 1, DESCRIBED):
+            scores = np.round(model.scores(*describe(batch.column(1).to_pylist())), 9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "score"])
 
     return rows.mapInArrow(judge, StructType([rows.schema["row"], StructField("score", DoubleType())]))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procflow.llm.common import id_or_last, stage, text_bytes
-from procflow.llm.words import K2, WordHashes, mix, window_hashes
+from procflow.llm.words import K2, WordHashes, mix, small_batches, window_hashes
 
 BITS = 128
 TERM_WORDS = 3
@@ -91,7 +91,7 @@ def fingerprints_with_neighbours(docs: DataFrame) -> DataFrame:
         hashes, part, before = WordHashes(), TaskContext.get().partitionId(), None
         schema = pa.schema([(c, t) for c, t in zip(names, types, strict=True)])
         empty = dict.fromkeys(names)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mark = fingerprint(text, hashes)
@@ -123,7 +123,7 @@ def fingerprints_with_neighbours(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         schema = pa.schema(list(zip(names[:7], types[:7], strict=True)))
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             rows = []
             for r in batch.to_pylist():
                 a, b = (fingerprint(r[c], hashes) for c in ("text", "other"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from procflow.llm.common import BROADCAST_IDS, id_or_last, keep_ids, stage, text_bytes
-from procflow.llm.words import WordHashes, window_hashes
+from procflow.llm.words import WordHashes, small_batches, window_hashes
 
 WINDOW = 50
 
@@ -75,7 +75,7 @@ def anchors(keyed: DataFrame, window: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in filter(len, batches):
+        for batch in small_batches(batches, 1):
             ids = batch.column(0).to_numpy()
             found = [np.unique(halves_and_anchors(t.split(), hashes, window)[1]) for t in batch.column(1).to_pylist()]
             flat = np.concatenate(found).view(np.int64)
@@ -91,7 +91,7 @@ def windows_at(rows: DataFrame, window: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in filter(len, batches):
+        for batch in small_batches(batches, 2):
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = [[], [], [], []]
             for d, t, text, wanted in zip(ids, marks, batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
 def _cut(rows: DataFrame, window: int, with_text: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             n_words, n_removed, digests, kept_texts = [], [], [], []
             for text, places, everything in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = text.split()

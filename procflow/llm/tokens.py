@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from procflow.llm.words import pieces
+
 V = TypeVar("V")
 
-#: Texts are encoded in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
 #: Remembered words; beyond it those used least are forgotten.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 #: Remembered parts of words.
 MOST_PARTS = 50_000
 #: Words handed to the whole encoder at once.
@@ -201,18 +201,6 @@ class WordTokens(dict):
         return ids, counts
 
 
-def pieces(lengths: np.ndarray, most: int = PIECE_BYTES) -> Iterator[slice]:
-    """Slices of texts of these ``lengths``, of about ``most`` bytes each."""
-    start = size = 0
-    for i, n in enumerate(lengths.tolist()):
-        if i > start and size + n > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += n
-    if start < len(lengths):
-        yield slice(start, len(lengths))
-
-
 def encoded_pieces(words: WordTokens, texts: pa.Array, end_id: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Slices of ``texts`` with their ids, ``end_id`` after each text, and the texts' bounds in them."""
     for piece in pieces(pc.binary_length(texts).to_numpy(zero_copy_only=False)):

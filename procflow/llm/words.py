@@ -6,9 +6,16 @@ definition of words and case throughout this package.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+#: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
+PIECE_BYTES = 4 << 20
+
 # Odd 64-bit multipliers.
 K1 = np.uint64(0x9E3779B97F4A7C15)
 K2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,3 +71,25 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     if not len(h):
         return h
     return np.unique(window_hashes(h, min(n, len(h))))
+
+
+def pieces(lengths: np.ndarray, most: int = PIECE_BYTES) -> Iterator[slice]:
+    """Slices of texts of these ``lengths``, of about ``most`` bytes each."""
+    start = size = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and size + n > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(lengths):
+        yield slice(start, len(lengths))
+
+
+def small_batches(
+    batches: Iterator[pa.RecordBatch], column: int | str, most: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the texts in ``column`` (bytes) are about ``most`` at a time."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        for piece in pieces(lengths, most):
+            yield batch.slice(piece.start, piece.stop - piece.start)
