@@ -10,15 +10,16 @@ component of every document, so links inside a component that is known already n
    is sent once (4 bytes of hash, 2 of place), and per block the counts come back.
 2. *Copies.* Equal sets become one node.
 3. *Pivots and Voronoi regions.* Two linked sets share a shingle among the (100 - percent)% + 1
-   with the smallest hashes of each. The sets that hold such a shingle are a region around a
-   pivot, the set of them with the highest (random) priority. A set may be on the boundary of many
-   regions and is replicated to them; its home is the pivot with which it shares the most. Its
-   distance to the home pivot is computed exactly, and pairs within the threshold are linked.
-4. *Recursion with triangle windows.* Regions whose sets all belong to one component are finished. In
-   the others a new pivot is drawn for each of the next rounds, outside the largest component
-   first. After ``rounds`` of them the remaining sets are joined pairwise, exactly: within a
-   shingle's region, across components, inside the window of sizes, and inside the window that
-   the triangle inequality leaves, |d(x, p) - d(y, p)| <= threshold, for a common home pivot p.
+   with the smallest hashes of each. The sets that hold such a shingle are in the region of a
+   pivot, the one of them with the highest (random) priority; sets on the boundary of several
+   regions are replicated to them. A set's home is the pivot with which it shares the most. Its
+   distance to the home is computed, and within the threshold the two are linked.
+4. *Regions, exactly.* Regions whose sets all belong to one component by now are finished. The
+   others are joined set by set: a small one in one task; a large one is cut once more, into rings
+   of equal distance to the pivot, and into cells. By the triangle inequality the distances of
+   two linked sets to the pivot differ by the threshold at most, so cells are replicated only to
+   the rings inside that window. Two cells are joined by products of their 0/1 matrices, which
+   give all intersections; of the links found, those that connect components are returned.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; shingles are compared by 64-bit hashes.
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from procflow.llm.common import NO_ID, id_or_last, keep_ids, power_of_two, stage, text_bytes
 from procflow.llm.components import components
-from procflow.llm.words import WordHashes, shingle_set
+from procflow.llm.words import WordHashes, shingle_set, small_batches
 
 WORDS = 5
 PERCENT = 80
@@ -51,6 +52,12 @@ BLOCK_SHINGLES = 1_500_000
 SHARD_SHINGLES = 2_000_000
 BLOCK_DOCS = 60_000
 SHARED = 65_535
+#: Sets and shingles of a cell that one task joins (two cells at a time), and rings of distance 0 to 1.
+CELL_SETS = 500
+CELL_SHINGLES = 1_000_000
+RINGS = 50
+#: Numbers of a 0/1 matrix at once.
+MATRIX = 4_000_000
 
 PROFILE = np.dtype([("d", "<i8"), ("n", "<i8"), ("shared", "<i8"), ("key", "S16"), ("last", "u1")])
 
@@ -93,7 +100,7 @@ def _blocks(docs: DataFrame, bits: int) -> DataFrame:
             rows += [(k, number, tokens[a:b].tobytes(), place[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sets.append(shingle_set(hashes.of(text.lower().split()), WORDS))
                 ids.append(d)
@@ -152,7 +159,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             sets = [shingle_set(hashes.of(t.lower().split()), WORDS) for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["_d", "n", "shingles"])
@@ -182,7 +189,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 4):
             common = [
                 len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
                 for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
@@ -201,57 +208,128 @@ def _linked(percent: int) -> Column:
     return F.lit(100) * F.col("common") >= F.lit(percent) * _union()
 
 
-def _sizes_allow(a: str, b: str, percent: int) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def _home_links(members: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): sets within the threshold of their home, the pivot with which they share the most."""
+    shared = members.join(pivots, "t").where("x <> p").groupBy("x", "p").agg(F.count(F.lit(1)).alias("shared"))
+    home = shared.groupBy("x").agg(F.max(F.struct("shared", F.negative("p").alias("p")))["p"].alias("p"))
+    found = distances(home.select("x", F.negative("p").alias("y")), sets)
+    return stage(found.where(_linked(percent)).select("x", "y"), "home-links")
 
 
-def _open_regions(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """``members`` of the regions whose sets belong to more than one component, with it as ``c``."""
+def _open_regions(members: DataFrame, pivots: DataFrame, links: DataFrame) -> DataFrame:
+    """(p, x, n, c): the regions whose shingles join several components ``c``."""
     known = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     known = known.select(F.col("node").alias("x"), F.col("component").alias("c"))
-    rows = members.drop("c").join(known, "x", "left").withColumn("c", F.coalesce("c", "x"))
-    rows = stage(rows, name)
+    rows = members.join(pivots, "t").join(known, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    rows = stage(rows, "regions")
     several = rows.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    several = stage(several.where("low < high").select("t"), f"{name}-open")
-    return stage(rows.join(several, "t", "left_semi"), f"{name}-rows")
-
-
-def _in_windows(percent: int) -> Column:
-    """Sizes and distances to a common home pivot leave room for a link of the two sets."""
-    apart = (F.col("home") == F.col("home_y")) & (F.abs(F.col("r") - F.col("r_y")) > (100 - percent) / 100 + 1e-9)
-    return _sizes_allow("n", "n_y", percent) & ~F.coalesce(apart, F.lit(False))
-
-
-def link_sets(sets: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+    several = stage(several.where("low < high").select("t"), "open-shingles")
+    return stage(rows.join(several, "t", "left_semi").select("p", "x", "n", "c").distinct(), "open-regions")
+
+
+def _cells(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, x, n, c, ring, cell): regions cut into cells that one task can join.
+
+    A small region is one cell. A large one is cut into rings by the distance to its pivot, and a
+    ring into as many cells as its sets and shingles need.
+    """
+    size = regions.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    large = size.where((F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES)).select("p")
+    large = stage(large, "large-regions")
+    small = regions.join(large, "p", "left_anti")
+    small = small.withColumn("ring", F.lit(0)).withColumn("cell", F.lit(0))
+    inside = regions.join(large, "p", "left_semi")
+    to_pivot = distances(inside.where("x <> p").select("x", F.col("p").alias("y")), sets)
+    apart = F.lit(RINGS) * (_union() - F.col("common")) / _union()
+    to_pivot = to_pivot.select("x", F.col("y").alias("p"), F.floor(apart).cast("int").alias("ring"))
+    inside = inside.join(to_pivot, ["x", "p"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    inside = stage(inside, "rings")
+    need = inside.groupBy("p", "ring").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells")
+    )
+    cell = F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")
+    inside = inside.join(need, ["p", "ring"]).withColumn("cell", cell)
+    return stage(small.unionByName(inside.select(*small.columns)), "cells")
+
+
+def _cell_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """(p, ring, cell, pair): the pairs of cells that each cell takes part in.
+
+    The distances of two linked sets to one pivot differ by the threshold at most, so only rings
+    that near are paired.
+    """
+    one = stage(cells.select("p", "ring", "cell").distinct(), "cell-list")
+    other = one.select("p", F.col("ring").alias("ring_b"), F.col("cell").alias("cell_b"))
+    reach = (100 - percent) * RINGS // 100 + 1
+    near = F.col("ring_b").between(F.col("ring"), F.col("ring") + reach)
+    ordered = F.struct("ring", "cell") <= F.struct(F.col("ring_b").alias("ring"), F.col("cell_b").alias("cell"))
+    pairs = one.join(other, "p").where(near & ordered)
+    pair = F.xxhash64("p", "ring", "cell", "ring_b", "cell_b").alias("pair")
+    first = pairs.select("p", "ring", "cell", pair)
+    second = pairs.select("p", F.col("ring_b").alias("ring"), F.col("cell_b").alias("cell"), pair)
+    return first.unionAll(second).distinct()
+
+
+def _joined_cells(percent: int):
+    """The exact join of the sets of two cells: links that connect their components."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("x", "ascending")])
+        x, c = table.column("x").to_numpy(), table.column("c").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        _, token, uses = np.unique(flat, return_inverse=True, return_counts=True)
+        # Only shingles of several sets count; they are numbered anew.
+        some = uses[token] > 1
+        number = np.cumsum(uses > 1) - 1
+        token, owner = number[token[some]], owner[some]
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(1, MATRIX // max(1, len(sets)))
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+            a, b = np.searchsorted(token, [low, low + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[a:b], token[a:b] - low] = 1
+            common += part @ part.T
+        near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        near &= c[:, None] != c[None, :]
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while root.get(i, i) != i:
+                i = root[i]
+            return i
+
+        links = []
+        for i, j in np.argwhere(np.triu(near)).tolist():
+            u, v = find(int(c[i])), find(int(c[j]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                links.append((x[i], x[j]))
+        left, right = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right, pa.int64())})
+
+    return join
+
+
+def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x, y): links that connect every component of the similarity graph of ``sets``."""
     members = stage(prefixes(sets, percent), "region-members")
     pivots = members.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("x"), "x"))["x"].alias("p"))
     pivots = stage(pivots.where("size > 1").select("t", "p"), "pivots")
-    regions = members.join(pivots, "t").where("x <> p").groupBy("x", "p").agg(F.count(F.lit(1)).alias("shared"))
-    home = regions.groupBy("x").agg(F.max(F.struct("shared", F.negative("p").alias("p")))["p"].alias("p"))
-    found = stage(distances(home.select("x", F.negative("p").alias("y")), sets), "home-distances")
-    links = found.where(_linked(percent)).select("x", "y")
-    at_home = found.select("x", F.col("y").alias("home"), (F.lit(1) - F.col("common") / _union()).alias("r"))
-    rows = members.join(pivots.select("t"), "t", "left_semi").join(at_home, "x", "left")
-    rows = _open_regions(rows, links, "regions")
-    other = [F.col(a).alias(b) for a, b in (("x", "y"), ("n", "n_y"), ("c", "c_y"), ("home", "home_y"), ("r", "r_y"))]
-    for k in range(rounds):
-        if rows.isEmpty():
-            return links
-        # A region's next pivot is drawn from its smallest component; the same one wins in most regions.
-        size = rows.groupBy("t", "c").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("h"), "x", "n", "c", "home", "r")).alias("p"))
-        drawn = size.groupBy("t").agg(F.min(F.struct("size", "p"))["p"].alias("p")).select("t", "p.*")
-        meet = rows.join(drawn.select("t", *other), "t").where("c <> c_y").where(_in_windows(percent))
-        new = stage(distances(meet.select("x", "y").distinct(), sets), f"round-{k}")
-        links = links.unionAll(new.where(_linked(percent)).select("x", "y"))
-        rows = _open_regions(rows, links, f"regions-{k}")
-    # What is left: pairs across the components of a region, each once.
-    pairs = rows.join(rows.select("t", *other), "t").where("c < c_y").where(_in_windows(percent))
-    last = stage(distances(pairs.select("x", "y").distinct(), sets), "window-pairs")
-    return links.unionAll(last.where(_linked(percent)).select("x", "y"))
-
-
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+    links = _home_links(members, pivots, sets, percent)
+    regions = _open_regions(members, pivots, links)
+    cells = _cells(regions, sets, percent)
+    keyed = cells.join(_cell_pairs(cells, percent), ["p", "ring", "cell"]).select("pair", "x", "c")
+    # A set's shingles travel once per pair of cells that it takes part in.
+    held = keyed.distinct().join(sets.select(F.col("_d").alias("x"), "shingles"), "x")
+    rest = held.groupBy("pair").applyInArrow(_joined_cells(percent), "x long, y long")
+    return links.unionAll(stage(rest, "region-links"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     texts = docs.select(id_or_last().alias("_d"), text_bytes().alias("_bytes"))
     size = texts.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
@@ -261,7 +339,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, rounds: int = 2)
     alone = profiles(keep_ids(texts, nodes.withColumnRenamed("node", "_d"), "_d"), nodes.agg(F.sum("n")).first()[0] or 0)
     alone = stage(_near(alone, percent).join(nodes.select("key"), "key", "left_semi").select("_d", "n"), "near-sets")
     sets = stage(shingle_sets(keep_ids(texts, alone, "_d")).where("n > 0"), "shingle-sets")
-    links = link_sets(sets, percent, rounds)
+    links = link_sets(sets, percent)
     # Copies are linked through their class; rows of one doc_id through that id.
     same = near.join(nodes, "key").where("_d <> node").select(F.col("_d").alias("x"), F.col("node").alias("y")).distinct()
     known = components(links.unionAll(same).select(F.col("x").alias("u"), F.col("y").alias("v")))

@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
 from conftest import TESTDATA  # noqa: E402
 
-from procflow.llm import common, decontaminate, lattice, packing, quality, simhash  # noqa: E402
+from procflow.llm import common, decontaminate, jaccard_join, lattice, packing, quality, simhash  # noqa: E402
 from procflow.llm.common import keep_ids, new_folder, table  # noqa: E402
 from procflow.llm.components import components  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
@@ -31,7 +31,8 @@ from procflow.llm.queries import PACK_END  # noqa: E402
 from procflow.llm.sharding import shard_documents  # noqa: E402
 from procflow.llm.substring_dedup import remove_repeats  # noqa: E402
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens  # noqa: E402
-from procflow.llm.tokens import WordTokens, encoder_path, pieces  # noqa: E402
+from procflow.llm.tokens import WordTokens, encoder_path  # noqa: E402
+from procflow.llm.words import pieces  # noqa: E402
 
 SCHEMA = "doc_id long, text string, row string, key int, `_d` string, lines string, spans int, n long"
 
@@ -147,16 +148,16 @@ def test_sharding_of_little(spark):
 # N-gram Jaccard join
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_jaccard_join(spark, rounds):
+def test_jaccard_join(spark):
     rows = messy()
-    found = tuples(jaccard_components(frame(spark, rows), rounds=rounds), "doc_id", "n_shingles", "component_id")
+    found = tuples(jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
     assert order(found) == order(plain.jaccard(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_of_edited_copies(spark, seed):
-    """Chains of copies, some just inside and some just outside the threshold."""
+@pytest.mark.parametrize(("seed", "cell"), [(1, 500), (2, 500), (3, 4), (4, 2)])
+def test_jaccard_join_of_edited_copies(spark, monkeypatch, seed, cell):
+    """Chains of copies, some just inside and some just outside the threshold; also with tiny cells."""
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", cell)
     rng = random.Random(seed)
     rows = []
     for _ in range(6):
