@@ -11,17 +11,24 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from procflow.plans.order_line_model import order_line_model  # noqa: E402
 from procflow.plans.registry import PREPARED, QUERIES  # noqa: E402
+from procflow.plans.reports import REPORTS  # noqa: E402
 from procflow.session import session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+#: With copies, the model and the reports also run over so many skewed copies of the order lines.
+SKEW_COPIES = int(os.environ.get("BENCH_SKEW_COPIES", "0"))
 ONLY = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 
 
@@ -35,6 +42,33 @@ def run(spark, query) -> None:
     query(spark, FOLDER).write.format("noop").mode("overwrite").save()
 
 
+def skewed_copy(spark, copies: int) -> str:
+    """``copies`` times the order lines, a sixth of them in one case and a third with one vendor."""
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    many = lines.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    draw = F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "copy"), F.lit(6))
+    order = F.when(draw == 0, 1).otherwise(F.col("l_orderkey") + F.col("copy") * 10_000_000)
+    target = tempfile.mkdtemp(prefix="procflow-skew-")
+    many.select(
+        order.cast("long").alias("l_orderkey"),
+        "l_partkey",
+        F.when(draw < 2, 1).otherwise(F.col("l_suppkey")).cast("long").alias("l_suppkey"),
+        F.when(draw == 0, 1).otherwise(F.col("l_linenumber")).cast("int").alias("l_linenumber"),
+    ).write.parquet(f"{target}/lineitem.parquet")
+    return target
+
+
+def skewed_run(spark) -> dict:
+    """Seconds of the model build and of each report's first run over the skewed copy."""
+    folder = skewed_copy(spark, SKEW_COPIES)
+    out = {"model": round(clock(lambda: order_line_model(spark, folder)), 3)}
+    for name in REPORTS:
+        noop = lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()  # noqa: B023, E731
+        out[name] = round(clock(noop), 3)
+    return out
+
+
 def main() -> None:
     spark = session(
         "procflow-bench",
@@ -53,6 +87,7 @@ def main() -> None:
         first[name] = round(times[0], 3)
         warm[name] = round(statistics.median(times), 3)
     total = sum(prepare.values()) + sum(warm.values())
+    skew = {"skewed": skewed_run(spark)} if SKEW_COPIES else {}
     print(
         json.dumps(
             {
@@ -67,6 +102,7 @@ def main() -> None:
                 "cpus": int(CPUS),
                 "runs": RUNS,
                 "spark": spark.version,
+                **skew,
             }
         )
     )
