@@ -18,7 +18,8 @@ component of every document, so links inside a component that is known already n
    others are joined set by set: a small one in one task; a large one is cut once more, into rings
    of equal distance to the pivot, and into cells. By the triangle inequality the distances of
    two linked sets to the pivot differ by the threshold at most, so cells are replicated only to
-   the rings inside that window. Two cells are joined by products of their 0/1 matrices, which
+   the rings inside that window, and sets of the pivot's component are not compared with each
+   other. Two cells are joined by products of their 0/1 matrices, which
    give all intersections; of the links found, those that connect components are returned.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; shingles are compared by 64-bit hashes.
@@ -227,47 +228,54 @@ def _open_regions(members: DataFrame, pivots: DataFrame, links: DataFrame) -> Da
     return stage(rows.join(several, "t", "left_semi").select("p", "x", "n", "c").distinct(), "open-regions")
 
 
-def _cells(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(p, x, n, c, ring, cell): regions cut into cells that one task can join.
+CELL = ["p", "ring", "core", "cell"]
 
-    A small region is one cell. A large one is cut into rings by the distance to its pivot, and a
-    ring into as many cells as its sets and shingles need.
+
+def _cells(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, x, c, ring, core, cell): regions cut into cells that one task can join.
+
+    A small region is one cell. A large one is cut into rings by the distance to its pivot, a ring
+    into the sets of the pivot's component (``core``) and the others, and each of these into as
+    many cells as its sets and shingles need.
     """
     size = regions.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     large = size.where((F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES)).select("p")
     large = stage(large, "large-regions")
+    zero = F.lit(0)
     small = regions.join(large, "p", "left_anti")
-    small = small.withColumn("ring", F.lit(0)).withColumn("cell", F.lit(0))
+    small = small.withColumns({"ring": zero, "core": F.lit(False), "cell": zero})
     inside = regions.join(large, "p", "left_semi")
     to_pivot = distances(inside.where("x <> p").select("x", F.col("p").alias("y")), sets)
     apart = F.lit(RINGS) * (_union() - F.col("common")) / _union()
     to_pivot = to_pivot.select("x", F.col("y").alias("p"), F.floor(apart).cast("int").alias("ring"))
-    inside = inside.join(to_pivot, ["x", "p"], "left").withColumn("ring", F.coalesce("ring", F.lit(0)))
+    of_pivot = inside.where("x = p").select("p", F.col("c").alias("c_p"))
+    inside = inside.join(to_pivot, ["x", "p"], "left").join(of_pivot, "p")
+    inside = inside.withColumns({"ring": F.coalesce("ring", zero), "core": F.col("c") == F.col("c_p")})
     inside = stage(inside, "rings")
-    need = inside.groupBy("p", "ring").agg(
+    need = inside.groupBy("p", "ring", "core").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells")
     )
     cell = F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")
-    inside = inside.join(need, ["p", "ring"]).withColumn("cell", cell)
-    return stage(small.unionByName(inside.select(*small.columns)), "cells")
+    inside = inside.join(need, ["p", "ring", "core"]).withColumn("cell", cell)
+    columns = [*CELL, "x", "c"]
+    return stage(small.select(*columns).unionByName(inside.select(*columns)), "cells")
 
 
 def _cell_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """(p, ring, cell, pair): the pairs of cells that each cell takes part in.
+    """(*CELL, pair): the pairs of cells that each cell takes part in.
 
     The distances of two linked sets to one pivot differ by the threshold at most, so only rings
-    that near are paired.
+    that near are paired. Cells of the pivot's component are not paired with each other.
     """
-    one = stage(cells.select("p", "ring", "cell").distinct(), "cell-list")
-    other = one.select("p", F.col("ring").alias("ring_b"), F.col("cell").alias("cell_b"))
+    one = stage(cells.select(*CELL).distinct(), "cell-list")
+    other = one.select("p", *[F.col(c).alias(f"{c}_b") for c in CELL[1:]])
     reach = (100 - percent) * RINGS // 100 + 1
     near = F.col("ring_b").between(F.col("ring"), F.col("ring") + reach)
-    ordered = F.struct("ring", "cell") <= F.struct(F.col("ring_b").alias("ring"), F.col("cell_b").alias("cell"))
-    pairs = one.join(other, "p").where(near & ordered)
-    pair = F.xxhash64("p", "ring", "cell", "ring_b", "cell_b").alias("pair")
-    first = pairs.select("p", "ring", "cell", pair)
-    second = pairs.select("p", F.col("ring_b").alias("ring"), F.col("cell_b").alias("cell"), pair)
-    return first.unionAll(second).distinct()
+    here, there = (F.struct(*[F.col(f"{c}{end}").alias(c) for c in CELL[1:]]) for end in ("", "_b"))
+    pairs = one.join(other, "p").where(near & (here <= there) & ~(F.col("core") & F.col("core_b")))
+    pair = F.xxhash64("p", here, there).alias("pair")
+    second = pairs.select("p", *[F.col(f"{c}_b").alias(c) for c in CELL[1:]], pair)
+    return pairs.select(*CELL, pair).unionAll(second).distinct()
 
 
 def _joined_cells(percent: int):
@@ -321,8 +329,8 @@ def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     pivots = stage(pivots.where("size > 1").select("t", "p"), "pivots")
     links = _home_links(members, pivots, sets, percent)
     regions = _open_regions(members, pivots, links)
-    cells = _cells(regions, sets, percent)
-    keyed = cells.join(_cell_pairs(cells, percent), ["p", "ring", "cell"]).select("pair", "x", "c")
+    cells = _cells(regions, sets)
+    keyed = cells.join(_cell_pairs(cells, percent), CELL).select("pair", "x", "c")
     # A set's shingles travel once per pair of cells that it takes part in.
     held = keyed.distinct().join(sets.select(F.col("_d").alias("x"), "shingles"), "x")
     rest = held.groupBy("pair").applyInArrow(_joined_cells(percent), "x long, y long")
