@@ -19,6 +19,7 @@ table gives no rows; other columns are passed through, whatever their names.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,15 +143,24 @@ class LineRuns:
                 self._write(merged.repartition(self.buckets, "key"), level + 1)
             level += 1
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Take in a batch; returns it with ``lines`` (all), ``gone`` (dropped positions), ``kept``."""
+    def ingest(self, docs: DataFrame) -> str:
+        """Take in the keys of a batch that no run has; returns the new run."""
         fresh = keyed_lines(docs, self.min_chars).groupBy("key").agg(F.min("_d").alias("owner"))
         for run in self.runs():
             fresh = fresh.join(self.run(run).select("key"), "key", "left_anti")
-        mine = self.run(self._write(fresh, 0))
+        mine = self._write(fresh, 0)
         self._compact()
         self._commit()
-        return self._cleaned(docs, mine)
+        return mine
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Take in a batch; returns it with ``lines`` (all), ``gone`` (dropped positions), ``kept``."""
+        return self._cleaned(docs, self.run(self.ingest(docs)))
+
+    def clean(self, docs: DataFrame) -> DataFrame:
+        """The same for documents that are all in the runs: one pass, however many batches they came in."""
+        held = [self.run(run) for run in self.runs()]
+        return self._cleaned(docs, reduce(DataFrame.unionAll, held))
 
     def _cleaned(self, docs: DataFrame, mine: DataFrame) -> DataFrame:
         lines = keyed_lines(docs, self.min_chars)
@@ -194,8 +204,6 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: i
     """All of ``docs`` through fresh runs, batch by batch: (row, lines, gone, kept)."""
     spark = docs.sparkSession
     runs = LineRuns(spark, new_folder(spark, "line-runs"), fanout, min_chars=min_chars)
-    out = None
     for part in batches_by_id(docs, batches):
-        cleaned = runs.add(part)
-        out = cleaned if out is None else out.unionAll(cleaned)
-    return out
+        runs.ingest(part)
+    return runs.clean(docs)
