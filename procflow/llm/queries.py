@@ -15,7 +15,7 @@ from procflow.llm.line_dedup import dedup_lines
 from procflow.llm.packing import pack_documents
 from procflow.llm.quality import THRESHOLD, fit, held_out, score_texts
 from procflow.llm.sharding import shard_documents
-from procflow.llm.simhash import fingerprints_with_neighbours, within_radius
+from procflow.llm.simhash import fingerprints_with_neighbours, near_classes
 from procflow.llm.substring_dedup import remove_repeats
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens
 from procflow.llm.tokens import encoder_path
@@ -23,8 +23,9 @@ from procflow.llm.tokens import encoder_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARD_BYTES = 1 << 20
-#: The radius of the fingerprint search in bits, and the blocks of its tables.
-NEAR_BITS, NEAR_BLOCKS = 2, 4
+#: The radius of the fingerprint search in bits, and the blocks of its tables. At sf0.1 all 293 pairs
+#: with different shingle sets and a 5-word Jaccard similarity of 0.8 or more lie within 21 bits.
+NEAR_BITS, NEAR_BLOCKS = 23, 6
 #: Ids that end a document.
 FILE_END, PACK_END = 1, 2
 
@@ -64,14 +65,16 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    """``n_within``: for every row whose id is divisible by 20, the other fingerprints in the radius."""
+    """For every row whose id is divisible by 20: the fingerprints, rows and classes in the radius.
+
+    ``partners`` names classes of equal fingerprints, its own included; their rows are those of the
+    result with these fingerprints (``simhash.partner_ids``).
+    """
     out = fingerprints_with_neighbours(documents(spark, folder))
     asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
-    found = within_radius(out, NEAR_BITS, NEAR_BLOCKS, out.where(asked))
-    found = found.groupBy(F.col("query").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n_within"))
-    searched = out.where(asked).join(found, "fingerprint", "left").fillna(0, "n_within")
-    rest = out.where(~asked).withColumn("n_within", F.lit(None).cast("long"))
-    return rest.unionByName(searched)
+    found = near_classes(out, asked, NEAR_BITS, NEAR_BLOCKS).withColumnRenamed("query", "fingerprint")
+    searched = out.where(asked).join(found, "fingerprint", "left")
+    return searched.unionByName(out.where(~asked), allowMissingColumns=True)
 
 
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ from procflow.llm.common import keep_ids, new_folder, table  # noqa: E402
 from procflow.llm.components import components  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
 from procflow.llm.line_dedup import LineRuns, dedup_lines  # noqa: E402
-from procflow.llm.queries import PACK_END  # noqa: E402
+from procflow.llm.queries import PACK_END, QUERIES  # noqa: E402
 from procflow.llm.sharding import shard_documents  # noqa: E402
 from procflow.llm.substring_dedup import remove_repeats  # noqa: E402
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens  # noqa: E402
@@ -237,6 +237,43 @@ def test_block_tables_find_all_within_the_radius(spark, radius, blocks):
     assert {r["fingerprint"] for r in asked.collect()} == {b if a == texts[0] else a for a, b, _ in wanted if texts[0] in (a, b)}
 
 
+@pytest.mark.parametrize(("radius", "blocks", "chunk"), [(23, 6, 1 << 20), (23, 6, 16), (20, 8, 16), (2, 8, 16)])
+def test_near_classes_hold_all_rows_within_the_radius(spark, monkeypatch, radius, blocks, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "PART", 8)
+    rng = random.Random(radius)
+    marks = []
+    for _ in range(12):
+        m = rng.getrandbits(128)
+        marks += [m, m] + [m ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(1, 30))) for _ in range(6)]
+    rows = [(i, f"{m:032x}") for i, m in enumerate(marks)] + [(None, f"{marks[0]:032x}")]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    found = simhash.near_classes(df, F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False)), radius, blocks)
+    found = df.join(found, F.col("query") == F.col("fingerprint"))
+    near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    asked = {m for d, m in rows if d is not None and d % 4 == 0}
+    wanted = {(d, e, near(a, b)) for d, a in rows for e, b in rows if a in asked and d != e and near(a, b) <= radius}
+    assert {tuple(r) for r in simhash.partner_ids(df.join(found.select("query", "partners").distinct(), F.col("query") == F.col("fingerprint"), "left").drop("query")).collect()} == wanted
+    for r in found.collect():
+        inside = [b for _, b in rows if near(r["fingerprint"], b) <= radius]
+        assert (r["n_within"], r["n_partners"]) == (len(set(inside)) - 1, len(inside) - 1)
+        assert [p["distance"] for p in r["partners"]] == sorted(near(r["fingerprint"], b) for b in set(inside))
+        assert all(p["n_docs"] == inside.count(p["fingerprint"]) for p in r["partners"])
+
+
+def test_near_copies_are_partners(spark, tmp_path):
+    """An exact copy, and one with a changed word in 200 (Jaccard similarity over 0.8), are found by doc_id."""
+    rng = random.Random(8)
+    base = sentence(rng, 200).split()
+    edited = [*base[:90], "changed", *base[91:]]
+    rows = [(20, " ".join(base)), (21, " ".join(edited)), (22, " ".join(base)), (23, sentence(rng, 200))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op6_simhash"](spark, str(tmp_path))
+    assert [(r["n_within"], r["n_partners"]) for r in out.where("doc_id = 20").collect()] == [(1, 2)]
+    found = dict(tuples(simhash.partner_ids(out), "partner_id", "distance"))
+    assert set(found) == {21, 22} and found[22] == 0 < found[21]
+
+
 # Benchmark decontamination
 
 ITEMS = [(1, "The quick, brown fox jumps over the lazy dog and then some"), (2, "short item"), (3, None), (None, "no id of item")]
