@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from procflow.llm.common import stage, table  # noqa: E402
+from procflow.llm.common import id_or_last, stage, table  # noqa: E402
 from procflow.llm.decontaminate import find_benchmark  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
 from procflow.llm.line_dedup import dedup_lines  # noqa: E402
@@ -43,12 +43,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    found = jaccard_components(docs)
-    # What goes is known by doc_id; documents without one go when their group has one with it.
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)")
-    gone = stage(gone.select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each group of linked rows: the one with the smallest doc_id, rows without one last.
+
+    Each row of the written input is a node of its own, whatever its doc_id; of rows that share the
+    smallest doc_id the order of the text hashes, then of the rows, decides. Texts without words are
+    linked with nothing and stay.
+    """
+    row = F.monotonically_increasing_id()
+    # Written with their numbers, so that all later reads see the same ones.
+    rows = stage(docs.select(row.alias("row_id"), F.struct(*docs.columns).alias("row")), "numbered-rows")
+    found = jaccard_components(rows.select(F.col("row_id").alias("doc_id"), "row.text"))
+    found = stage(found.select(F.col("doc_id").alias("row_id"), "component_id"), "row-components")
+    order = F.struct(id_or_last("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text"), "row_id")
+    # Only groups of several rows are ordered.
+    linked = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    linked = stage(found.join(linked, "component_id", "left_semi"), "linked-rows")
+    ordered = stage(rows.select("row_id", order.alias("place")).join(linked, "row_id"), "ordered-rows")
+    first = ordered.groupBy("component_id").agg(F.min("place")["row_id"].alias("row_id"))
+    gone = stage(linked.select("row_id").join(first, "row_id", "left_anti"), "near-duplicates")
+    return rows.join(gone, "row_id", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import plain  # noqa: E402
 from conftest import TESTDATA  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
 from procflow.llm import common, decontaminate, jaccard_join, lattice, packing, quality, simhash  # noqa: E402
 from procflow.llm.common import keep_ids, new_folder, table  # noqa: E402
 from procflow.llm.components import components  # noqa: E402
@@ -176,6 +177,22 @@ def test_jaccard_join_of_nothing(spark):
     assert tuples(jaccard_components(frame(spark, [(4, None)])), "*") == [(4, 0, 4)]
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    """Rows are judged one by one: shared or missing doc_ids neither join nor save them."""
+    rng = random.Random(12)
+    five, nine, other, copied, twice = (sentence(rng, 60) for _ in range(5))
+    rows = [(5, five), (9, nine), (None, five), (None, nine), (None, other), (None, copied), (None, copied), (12, twice), (12, twice)]
+    rows += [(30, sentence(rng, 60)), (30, five), (40, None), (None, "")]
+    kept = tuples(corpus_pipeline.near_duplicates(spark, frame(spark, rows), ""), "doc_id", "text")
+    assert order(kept) == order([(5, five), (9, nine), (None, other), (None, copied), (12, twice), rows[9], (40, None), (None, "")])
+    kept = tuples(corpus_pipeline.near_duplicates(spark, frame(spark, messy()), ""), "doc_id", "text")
+    # Numbered rows: each component of the plain join keeps exactly one.
+    numbered = sorted(messy(), key=lambda r: (r[0] is None, r[0] or 0))
+    groups = plain.jaccard([(i, t) for i, (_, t) in enumerate(numbered)])
+    assert len(kept) == len({c for _, _, c in groups}) and (None, "A line without id\nshared line here") in kept
+    assert sorted(str(d) for d, _ in kept) == sorted(str(numbered[c][0]) for c in {c for _, _, c in groups})
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 200)] + [(500, i) for i in range(501, 530)]
     found = dict(tuples(components(spark.createDataFrame(links, "u long, v long")), "node", "component"))
