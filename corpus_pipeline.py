@@ -71,8 +71,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its place in its document and in its sequence."""
-    return pack_documents(docs, encoder_path(), PACK_END, with_ids=False)
+    """One row per piece of a document: its place in its document and in its sequence, and its ids."""
+    return pack_documents(docs, encoder_path(), PACK_END)
 
 
 STAGES: list[tuple[str, Stage]] = [

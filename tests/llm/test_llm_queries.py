@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -106,5 +108,13 @@ def test_pipeline(spark, small):
     assert set(packed) == set(texts[4])
 
 
+def test_pipeline_writes_the_ids_of_the_sequences(spark, small):
+    """The packed pieces hold the ids themselves: with their places, those of the whole documents."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
+    out = corpus_pipeline.packing(spark, docs, small).collect()
+    assert out and all(len(r["ids"]) == r["length"] for r in out)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in out)
+
+
 def test_pipeline_query(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
