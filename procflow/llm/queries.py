@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procflow.llm.byte_bpe import ByteVocabulary, encode_documents
 from procflow.llm.common import new_folder, table
 from procflow.llm.decontaminate import find_benchmark
 from procflow.llm.jaccard_join import jaccard_components
@@ -104,6 +105,23 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), encoder_path(), PACK_END, with_ids=False)
 
 
+def byte_vocabulary() -> ByteVocabulary:
+    """The public vocabulary of many languages and its pattern."""
+    import public_tokenizers
+
+    return ByteVocabulary.of_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = byte_vocabulary()
+    return encode_documents(documents(spark, folder), vocabulary).select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(vocabulary.id_bytes(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(vocabulary.token_bytes(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -115,4 +133,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op13_byte_bpe": op13_byte_bpe,
 }
