@@ -126,10 +126,52 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+_ENTRIES, _ROUNDS = 16, 6
+
+
+def _nearest(k: int) -> str:
+    """The nearest entry of round k's codebook for every part: its squared distance times the entries, plus its index."""
+    return f"""near{k} AS MATERIALIZED (
+    SELECT r, p, min(d * {_ENTRIES} + e) AS best
+    FROM (SELECT r, p, e, sum((x - c) * (x - c)) AS d FROM comps JOIN book{k} USING (p, j) GROUP BY r, p, e) GROUP BY r, p
+)"""
+
+
+def _moved(k: int) -> str:
+    """The codebook after round k: floored means of the parts of each used entry."""
+    return f"""book{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, b.j, coalesce((s - ((s % n) + n) % n) // n, c) AS c
+    FROM book{k} b LEFT JOIN (
+        SELECT p, best % {_ENTRIES} AS e, j, sum(x)::BIGINT AS s, count(*) AS n
+        FROM comps JOIN near{k} USING (r, p) GROUP BY ALL
+    ) m ON m.p = b.p AND m.e = b.e AND m.j = b.j
+)"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding, len(embedding) // 8 AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comps AS MATERIALIZED (
+    SELECT r, (i // w)::INT AS p, (i % w)::INT AS j, floor(embedding[i + 1]::DOUBLE * 4096)::BIGINT AS x
+    FROM (SELECT r, w, embedding, unnest(range(0, len(embedding))) AS i FROM kept)
+), book0 AS MATERIALIZED (
+    SELECT p, r AS e, j, x AS c FROM comps WHERE r < {_ENTRIES}
+), {", ".join(f"{_nearest(k)}, {_moved(k)}" for k in range(_ROUNDS))}, {_nearest(_ROUNDS)}, coded AS (
+    SELECT r, string_agg(printf('%02x', (best % {_ENTRIES})::INT), '' ORDER BY p) AS code, sum(best // {_ENTRIES})::BIGINT AS error
+    FROM near{_ROUNDS} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) FROM book{_ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op3_sharding": SHARDING,
     "op5_jaccard_join": JACCARD_JOIN,
     "op7_decontaminate": DECONTAMINATE,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op12_vector_codes": VECTOR_CODES,
 }

@@ -20,6 +20,7 @@ from procflow.llm.simhash import fingerprints_with_neighbours, near_classes
 from procflow.llm.substring_dedup import remove_repeats
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens
 from procflow.llm.tokens import encoder_path
+from procflow.llm.vector_codes import compress_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +106,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), encoder_path(), PACK_END, with_ids=False)
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes = compress_vectors(table(spark, folder, "embeddings"))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return codes.label_errors().select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(codes.digest()).alias("codebooks_sha256"),
+    )
+
+
 def byte_vocabulary() -> ByteVocabulary:
     """The public vocabulary of many languages and its pattern."""
     import public_tokenizers
@@ -133,5 +146,6 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op12_vector_codes": op12_vector_codes,
     "op13_byte_bpe": op13_byte_bpe,
 }
