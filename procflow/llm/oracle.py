@@ -126,6 +126,47 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+_PIECE_END = r"[.,;:!?\x0A-\x0D]"
+_PHRASE_WORD = r"[^\x20\x09]+"
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_PIECE_END}')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, regexp_extract_all(piece, '{_PHRASE_WORD}') AS w FROM pieces
+), grams AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS m))
+), f AS MATERIALIZED (
+    SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+    SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 10
+), dropped AS (
+    SELECT DISTINCT c.lang, c.phrase
+    FROM (SELECT lang, a, array_to_string(w[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE m = 3)) longer
+    JOIN candidates c ON c.lang = longer.lang AND c.phrase = longer.phrase AND c.m = 2
+    WHERE 100 * longer.a >= 50 * c.a
+), cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:m], ' ') AS q
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r,
+           1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p JOIN f y ON y.lang = c.lang AND y.phrase = q
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM weakest ANTI JOIN dropped USING (lang, phrase)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 _ENTRIES, _ROUNDS = 16, 6
 
 
@@ -173,5 +214,6 @@ ORACLE: dict[str, str] = {
     "op5_jaccard_join": JACCARD_JOIN,
     "op7_decontaminate": DECONTAMINATE,
     "op9_substring_dedup": SUBSTRING_DEDUP,
+    "op11_collocations": COLLOCATIONS,
     "op12_vector_codes": VECTOR_CODES,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procflow.llm.byte_bpe import ByteVocabulary, encode_documents
+from procflow.llm.collocations import mine_phrases
 from procflow.llm.common import new_folder, table
 from procflow.llm.decontaminate import find_benchmark
 from procflow.llm.jaccard_join import jaccard_components
@@ -106,6 +107,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), encoder_path(), PACK_END, with_ids=False)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_phrases(table(spark, folder, "documents").select("text", "lang"))
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     codes = compress_vectors(table(spark, folder, "embeddings"))
     digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
@@ -146,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
     "op13_byte_bpe": op13_byte_bpe,
 }
