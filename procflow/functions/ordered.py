@@ -3,17 +3,20 @@
 ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task. Here the order is
 split into a *coarse* prefix, whose distinct values are known to be few, and a *fine* rest. Each
 coarse group runs its own window in parallel, and the totals of the groups before it are
-added as an offset. Only the few per-group totals meet in one task and are broadcast.
+added as an offset. Only the few per-group totals meet in one task and are broadcast. Where no
+such prefix is known, :func:`ranged_sum` finds ranges of about equal size by sampling.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procflow.sources.staging import stage
+
 
 class By:
     """A sort key: a column name and its direction."""
@@ -63,55 +66,50 @@ def running_sum(
     )
 
 
-# Key ranges that rows of one place in the order are numbered in.
-_RANGES = 4096
+# Columns that a ranged sum adds to what it stages.
+_RANGE, _WITHIN = "_range", "_within"
 
 
-def tied_running_sum(
-    df: DataFrame, value: str, coarse: Sequence[By], key: str, out: str
+def ranged_sum(
+    df: DataFrame,
+    value: str,
+    order: Sequence[By],
+    out: str,
+    groups: Sequence[str] = (),
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` up to each row, in order coarse, ``value`` down, ``key``.
-
-    ``key`` is a unique integer (NULL last) and ``value`` is not negative. Rows that tie on all
-    but the key are combined before the running sum, so its windows hold distinct values only. The
-    place of a row among its ties times ``value`` is added after; the places are counted per
-    range of the key, so that no group grows with the number of ties. Rows of value 0 need no
-    place.
+    """Add ``out``: the sum of ``value`` up to and including each row, in ``order``, per group.
+
+    Nothing needs to be known about the keys. Spark samples them and deals the rows to ranges of
+    about equal size, wherever they lie close together: a group that holds most rows is spread over
+    as many ranges as its rows need, and so are ties on all but the last key. Each range runs its
+    window; the totals of the ranges before, one row per range and group, are added as an offset.
+    ``order`` must order the rows of a group uniquely. The ranged rows are written to the shared
+    folder with the number of their range, as a second sampling could cut elsewhere. ``totals`` names
+    further columns to add: the sum of a column over the whole group.
     """
-    names = [*[b.name for b in coarse], value]
-    ties = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_ties"))
-    ties = ties.withColumn("_amount", F.col("_ties") * F.col(value))
-    upto = running_sum(ties, "_amount", coarse, [By(value, descending=True)], "_upto")
-    before = upto.select(
-        *[F.col(n).alias(f"_v_{n}") for n in names],
-        (F.col("_upto") - F.col("_amount")).alias("_before"),
+    totals = totals or {}
+    names = list(groups)
+    keys = [*[F.col(g).asc_nulls_last() for g in names], *[b.column for b in order]]
+    ranged = stage(df.repartitionByRange(*keys).withColumn(_RANGE, F.spark_partition_id()), "ranged")
+    place = [_RANGE, *names]
+    within = (
+        Window.partitionBy(*place)
+        .orderBy(*[b.column for b in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = _places(df.filter(F.col(value) > 0), names, key)
-    rest = df.filter(~(F.col(value) > 0)).withColumn("_place", F.lit(0).cast("long"))
-    rows = placed.unionByName(rest)
-    joined = rows.join(before, _same(rows, before, names, "_v_"))
-    total = F.col("_before") + F.col("_place") * F.col(value)
-    return joined.select(*df.columns, total.cast("long").alias(out))
-
-
-def _places(df: DataFrame, names: Sequence[str], key: str) -> DataFrame:
-    """Add ``_place``: 1, 2, 3, ... by ``key`` among the rows that agree on ``names``."""
-    ends = df.agg(F.min(key).cast("decimal(20,0)").alias("a"), F.max(key).cast("decimal(20,0)").alias("b"))
-    width = ends.select(F.floor((F.col("b") - F.col("a")) / _RANGES) + 1)
-    low = ends.select("a").scalar()
-    ranged = F.floor((F.col(key).cast("decimal(20,0)") - low) / width.scalar()).cast("int")
-    rows = df.withColumn("_range", F.coalesce(ranged, F.lit(_RANGES + 1)))
-    groups = [*names, "_range"]
-    counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(n).alias(f"_o_{n}") for n in groups],
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+    sums = [F.sum(column).alias(name) for name, column in totals.items()]
+    held = ranged.groupBy(*place).agg(F.sum(value).alias("_total"), *sums)
+    whole = Window.partitionBy(*names)
+    earlier = whole.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(
+        *[F.col(n).alias(f"_o_{n}") for n in place],
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+        *[F.sum(name).over(whole).alias(name) for name in totals],
     )
-    within = Window.partitionBy(*groups).orderBy(F.col(key).asc_nulls_last())
-    local = rows.withColumn("_within", F.row_number().over(within))
-    joined = local.join(offsets, _same(local, offsets, groups, "_o_"))
-    return joined.select(*df.columns, (F.col("_offset") + F.col("_within")).alias("_place"))
+    local = ranged.withColumn(_WITHIN, F.sum(value).over(within))
+    joined = local.join(offsets, _same(local, offsets, place, "_o_"))
+    return joined.select(*df.columns, (F.col("_before") + F.col(_WITHIN)).alias(out), *totals)
 
 
 def row_numbers(

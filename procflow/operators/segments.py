@@ -11,8 +11,8 @@ from procflow.constants import LEVELS, P2P_STEPS, SEGMENTS, Segment, Step, day_c
 from procflow.functions.classify import delay_flag
 from procflow.functions.dates import day_span, step_day
 from procflow.functions.numeric import ratio, to_int, to_percent
-from procflow.functions.ordered import By, dense_ranks, tied_running_sum
-from procflow.functions.percentiles import COUNT, histogram, percentiles
+from procflow.functions.ordered import By, dense_ranks, ranged_sum
+from procflow.functions.percentiles import COUNT, histogram, percentiles, selected_percentiles
 from procflow.functions.rows import cases as case_count
 from procflow.functions.rows import cases_if, report_rows
 from procflow.operators.stages import (
@@ -174,10 +174,14 @@ def segment_bottleneck(
     threshold: int = 75,
     steps: Sequence[Step] = P2P_STEPS,
 ) -> DataFrame:
-    """Median percentage of the lead time per stage and segment, over delayed valid cases."""
+    """Median percentage of the lead time per stage and segment, over delayed valid cases.
+
+    Shares are not rounded, so a segment can have as many distinct ones as cases: the median is
+    selected by rank.
+    """
     ids = [segment.key, segment.rank, *extra]
     hist = share_histogram(seg_base.filter(valid_above(threshold, steps)), ids, None, steps)
-    out = percentiles(hist, ["Stage", *ids], "Share", {"_median": 0.5})
+    out = selected_percentiles(hist, ["Stage", *ids], "Share", {"_median": 0.5})
     return report_rows(out).select(
         "Stage",
         *ids,
@@ -187,9 +191,12 @@ def segment_bottleneck(
 
 
 def pareto(ranking: DataFrame, segment: Segment, delayed: Column) -> DataFrame:
-    """Add the running number of delayed cases in rank order and its share of all ``delayed``."""
-    summed = tied_running_sum(
-        ranking, "Delay_cases", _COARSE, segment.key, "Cumulative_Delay_cases"
-    )
-    share = ratio(F.col("Cumulative_Delay_cases"), delayed)
-    return summed.withColumn("Cumulative_Share", share)
+    """Add the running number of delayed cases in rank order and its share of all ``delayed``.
+
+    The ranking is computed here, into the shared folder, in ranges of its order.
+    """
+    order = [*_COARSE, *_FINE, By(segment.key)]
+    counted = ranking.withColumn("_delayed", delayed)
+    summed = ranged_sum(counted, "Delay_cases", order, "Cumulative_Delay_cases")
+    share = ratio(F.col("Cumulative_Delay_cases"), F.col("_delayed"))
+    return summed.withColumn("Cumulative_Share", share).drop("_delayed")

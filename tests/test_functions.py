@@ -24,8 +24,8 @@ from procflow.functions.dates import (
     period_label,
 )
 from procflow.functions.numeric import day_share, ratio, to_int, to_percent
-from procflow.functions.ordered import By, dense_ranks, row_numbers, running_sum
-from procflow.functions.percentiles import histogram, percentiles
+from procflow.functions.ordered import By, dense_ranks, ranged_sum, row_numbers, running_sum
+from procflow.functions.percentiles import histogram, percentiles, selected_percentiles
 
 FEW = settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -222,3 +222,52 @@ def test_row_numbers_do_not_depend_on_partitions(spark):
     ]
     assert numbered[0] == numbered[1]
     assert sorted(r[2] for r in numbered[0]) == list(range(1, 501))
+
+
+@FEW
+@given(ORDERED)
+def test_ranged_sum_matches_loop(spark, data):
+    data = [(a, i, v) for i, (a, _, v) in enumerate(data)]
+    df = spark.createDataFrame(data, "a INT, b INT, v INT").repartition(3)
+    for groups in ([], ["a"]):
+        order = [By("b", True)] if groups else [By("a", True), By("b")]
+        got = ranged_sum(df, "v", order, "total", groups)
+        want, total = [], {}
+        for a, b, v in sorted(data, key=(lambda r: -r[1]) if groups else lambda r: (_descending(r[0]), r[1])):
+            total[a if groups else 0] = total.get(a if groups else 0, 0) + v
+            want.append((a, b, v, total[a if groups else 0]))
+        assert sorted(rows(got), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_ranges_are_even_for_ties_and_a_far_key(spark):
+    """40,000 rows that tie on the first key, one of them far away: every range has its share."""
+    far = F.when(F.col("id") == 0, F.lit(10**15)).otherwise(F.col("id"))
+    df = spark.range(40_000).select(F.lit(1).alias("tie"), far.alias("key"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranged_sum(df, "v", [By("tie"), By("key")], "place")
+        largest = out.select("place").agg(F.max("place"), F.countDistinct("place")).first()
+        scan = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).toString()
+        assert tuple(largest) == (40_000, 40_000) and "_range" in scan
+        files = spark.read.parquet(out.inputFiles()[0].rsplit("/", 1)[0])
+        sizes = [r["count"] for r in files.groupBy("_range").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
+@FEW
+@given(
+    st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.integers(0, 2)), st.one_of(st.none(), st.integers(-20, 20)), st.integers(1, 4)
+        ),
+        max_size=60,
+    )
+)
+def test_selected_percentiles_are_those_of_one_buffer(spark, data):
+    df = spark.createDataFrame(data, "g INT, v INT, _n INT").repartition(3)
+    named = {"low": 0.0, "m": 0.5, "p": 0.9, "high": 1.0}
+    got = {r["g"]: tuple(r) for r in selected_percentiles(df, ["g"], "v", named).collect()}
+    want = {r["g"]: tuple(r) for r in percentiles(df, ["g"], "v", named).collect()}
+    assert got == want

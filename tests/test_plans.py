@@ -132,7 +132,7 @@ def final_lines(plan: str) -> list[str]:
     return kept
 
 
-@pytest.mark.parametrize("name", ["vendor_ranking", "spend_area_ranking", "vendor_pareto"])
+@pytest.mark.parametrize("name", ["vendor_ranking", "spend_area_ranking", "company_ranking"])
 def test_ranking_scans_the_cases_once(spark, small, name):
     """All uses of the segment counts, the total included, read the same shuffle of one scan."""
     df = REPORTS[name](order_line_model(spark, small)).select("*")
@@ -151,7 +151,7 @@ def test_small_reports_sort_without_a_range_shuffle(spark, small, name):
 
 
 def test_drill_down_broadcasts_only_the_top_segments(spark, small):
-    text = plan(REPORTS["vendor_bottleneck"](order_line_model(spark, small)))
+    text = plan(REPORTS["vendor_stage_duration"](order_line_model(spark, small)))
     assert "TakeOrderedAndProject" in text
     assert "SortMergeJoin" not in text
 
@@ -160,3 +160,11 @@ def test_building_a_model_from_a_core_table_needs_no_collect(spark, log):
     log.case("A", PO="2018-07-01", CI="2018-07-09")
     m = build_model(log.star())
     assert m.as_of_row.columns == ["As_of_Date"]
+
+
+@pytest.mark.parametrize("name", ["vendor_pareto", "vendor_bottleneck"])
+def test_ranged_reports_read_the_ranges_alone(spark, small, name):
+    """The ranked or counted rows are written once with their ranges; the sums scan neither cases nor counts again."""
+    df = REPORTS[name](order_line_model(spark, small))
+    text = plan(df)
+    assert "_range" in text and "PO_day" not in text and "rangepartitioning(_range" not in text

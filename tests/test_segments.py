@@ -265,6 +265,6 @@ def test_pareto_has_no_hot_group(spark):
         wanted[key] = total
     assert got == wanted
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # No window runs over (impact, rate) alone but that of the combined ties.
-    ranges = [line for line in plan.splitlines() if "row_number" in line and "windowspecdefinition" in line]
-    assert ranges and all("_range" in line for line in ranges)
+    # Every window runs within one range of the order, or over the totals of the ranges.
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("_range" in line for line in windows)
