@@ -24,6 +24,10 @@ from procflow.sources.staging import reducers, stage
 from procflow.sources.star import Star
 
 
+#: Closing time from the core milestone table, where there is one.
+END_COLUMN = "_end"
+
+
 def case_table(
     star: Star,
     collation: str | None = None,
@@ -38,26 +42,42 @@ def case_table(
     stacked and aggregated by case: one shuffle for all of them, rows combined before it, and
     neither the sorts of a merge join nor the in-memory tables of a hash join.
     """
+    about, aggregates = case_rows(star, collation, steps, segments)
+    cases = about.groupBy(F.col("case_id").alias("Case_ID")).agg(*aggregates)
+    return finished_cases(cases, steps, segments)
+
+
+def case_rows(
+    star: Star,
+    collation: str | None = None,
+    steps: Sequence[Step] = P2P_STEPS,
+    segments: Sequence[Segment] = SEGMENTS,
+) -> tuple[DataFrame, list[Column]]:
+    """All rows about the cases, stacked, and the aggregates over the rows of one case."""
     keys = [s.column for s in segments]
     about = step_events(star.fact_events, star.dim_activity, steps, collation)
     attributes = star.fact_cases.filter(F.col("case_id").isNotNull()).select("case_id", *keys)
     about = about.unionByName(attributes, allowMissingColumns=True)
-    end = F.col(ts_col(steps[-1].name))
     aggregates = [*step_times(steps), *[F.min(k).alias(k) for k in keys]]
     core = star.fact_case_milestones_core
     if core is not None:
         ends = activity_rows(core, star.dim_activity, steps[-1].activity, collation)
         known = ends.filter(F.col("case_id").isNotNull())
         about = about.unionByName(
-            known.select("case_id", F.col("milestone_ts").alias("_end")), allowMissingColumns=True
+            known.select("case_id", F.col("milestone_ts").alias(END_COLUMN)), allowMissingColumns=True
         )
-        aggregates.append(F.max("_end").alias("_end"))
-        end = F.col("_end")
+        aggregates.append(F.max(END_COLUMN).alias(END_COLUMN))
+    return about, aggregates
 
+
+def finished_cases(
+    cases: DataFrame, steps: Sequence[Step] = P2P_STEPS, segments: Sequence[Segment] = SEGMENTS
+) -> DataFrame:
+    """The case table from the aggregated rows: cases with a milestone, their end, the days."""
     times = [ts_col(s.name) for s in steps]
-    cases = about.groupBy(F.col("case_id").alias("Case_ID")).agg(*aggregates)
+    end = F.col(END_COLUMN if END_COLUMN in cases.columns else times[-1])
     reached = cases.filter(F.coalesce(*[F.col(t) for t in times]).isNotNull())
-    timed = reached.select("Case_ID", *times, end.alias("End_ts"), *keys)
+    timed = reached.select("Case_ID", *times, end.alias("End_ts"), *[s.column for s in segments])
     names = [*[s.name for s in steps], "End"]
     return timed.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
 

@@ -525,6 +525,9 @@ ORACLE: dict[str, str] = {
     "snapshot_stage_duration_all": _profile("Stage_All_Cases", "{stage} >= 0", _SNAPSHOT),
     "snapshot_primary_issue_share": _sql(_ISSUES, _SNAPSHOT),
     "snapshot_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key", _SNAPSHOT),
+    "milestones_incremental": _sql("SELECT * FROM reached WHERE PO_ts IS NOT NULL"),
+    "incremental_sla_distribution": _sql(_DISTRIBUTION),
+    "incremental_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key"),
     "journey_stage_duration": _journey_profile("Stage_All_Cases", "true"),
     "journey_stage_duration_above": _journey_profile(
         "Stage_LT_Without_20", f"Lead_Time > 20 AND {_JOURNEY_VALID}"

@@ -13,9 +13,17 @@ from procflow.operators.milestones import as_of_date, core_milestones, milestone
 from procflow.operators.overview import without_start_day
 from procflow.operators.stages import stage_share, without_days
 from procflow.plans import reports as rp
+from procflow.plans.case_state import CaseState
 from procflow.plans.model import CaseModel, build_model
 from procflow.plans.order_line_model import order_line_model
-from procflow.sources.order_lines import order_line_log, order_line_star
+from procflow.sources.order_lines import (
+    dim_spend_area,
+    fact_cases,
+    fact_events,
+    order_line_log,
+    order_line_star,
+    read_lines,
+)
 from procflow.sources.sinks import read_output, write_outputs
 from procflow.sources.staging import new_folder, once_per_input
 from procflow.sources.star import Star, build_star, load_star, save_star
@@ -38,6 +46,28 @@ def _milestones(spark: SparkSession, folder: str) -> DataFrame:
     return milestones(star.fact_events, star.dim_activity)
 
 
+def _grown_state(spark: SparkSession, folder: str) -> CaseState:
+    """The order lines in two batches: those of even orders, then the others and a few of the first again."""
+
+    def build() -> CaseState:
+        lines, star = read_lines(spark, folder), order_line_star(spark, folder)
+        even = F.col("l_orderkey") % 2 == 0
+        state = CaseState.create(spark, new_folder(spark, "case-state"), buckets=16)
+        for part in (lines.filter(even), lines.filter(~even | (F.col("l_orderkey") % 10 == 0))):
+            state = state.add(replace(star, fact_events=fact_events(part), fact_cases=fact_cases(part)))
+        return state
+
+    return once_per_input(spark, f"{folder.rstrip('/')}/lineitem.parquet", "grown_state", build)
+
+
+def _milestones_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    return _grown_state(spark, folder).milestones()
+
+
+def _on_grown_state(build: Callable[[CaseModel], DataFrame]) -> Query:
+    return lambda spark, folder: build(_grown_state(spark, folder).model(dim_spend_area(spark)))
+
+
 def _as_of_date(spark: SparkSession, folder: str) -> DataFrame:
     star = order_line_star(spark, folder)
     core = core_milestones(star.fact_events, star.dim_activity, P2P_STEPS[:1])
@@ -159,6 +189,9 @@ QUERIES: dict[str, Query] = {
     "snapshot_stage_duration_all": _on_snapshot(rp.stage_duration_all),
     "snapshot_primary_issue_share": _on_snapshot(rp.primary_issue_share),
     "snapshot_vendor_ranking": _on_snapshot(rp.vendor_ranking),
+    "milestones_incremental": _milestones_incremental,
+    "incremental_sla_distribution": _on_grown_state(rp.sla_distribution),
+    "incremental_vendor_ranking": _on_grown_state(rp.vendor_ranking),
     "journey_stage_duration": _on_journeys(rp.stage_duration_all),
     "journey_stage_duration_above": _on_journeys(rp.stage_duration_above),
     "journey_cohort_ranking": _on_journeys(lambda m: rp.segment_ranking(m, COHORT)),
@@ -171,4 +204,5 @@ PREPARED: dict[str, Callable[[SparkSession, str], object]] = {
     "built_star": _built_star,
     "saved_star_model": _saved_star_model,
     "journey_model": _journey_model,
+    "grown_state": _grown_state,
 }
