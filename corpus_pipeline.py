@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from procflow.llm.common import id_or_last, stage, table  # noqa: E402
 from procflow.llm.decontaminate import find_benchmark  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
-from procflow.llm.line_dedup import dedup_lines  # noqa: E402
+from procflow.llm.line_dedup import SPACE, dedup_lines  # noqa: E402
 from procflow.llm.packing import pack_documents  # noqa: E402
 from procflow.llm.quality import THRESHOLD, fit, score_texts  # noqa: E402
 from procflow.llm.queries import PACK_END  # noqa: E402
@@ -34,12 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a smaller doc_id holds; n_chars follows the text."""
+    """The documents without the lines that a smaller doc_id holds; n_chars follows the text.
+
+    A document that held nothing else is a copy of what other documents keep, and goes whole; one
+    that had no text before stays as it was.
+    """
     row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
         length = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
         row = row.withField("n_chars", length)
-    return dedup_lines(docs).select(row.alias("row")).select("row.*")
+    emptied = (F.size("gone") > 0) & (F.btrim("kept", F.lit(SPACE)) == "")
+    return dedup_lines(docs).where(~emptied).select(row.alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
