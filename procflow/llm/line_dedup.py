@@ -18,6 +18,8 @@ table gives no rows; other columns are passed through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -98,7 +100,8 @@ class LineRuns:
 
     def _table(self, run: str) -> str:
         """The catalogue's name of a run; its folder is registered when it is not known yet."""
-        name = "line_run_" + "".join(c if c.isalnum() else "_" for c in f"{self.folder[-40:]}_{run}").lower()
+        # Of the whole path, so that runs of two folders never share a table.
+        name = "line_run_" + hashlib.sha256(f"{self.folder}/{run}".encode()).hexdigest()
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({RUN_COLUMNS}) USING parquet CLUSTERED BY (key) "
             f"SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'"
@@ -113,7 +116,8 @@ class LineRuns:
 
     def _write(self, rows: DataFrame, level: int) -> str:
         self.written += 1
-        run = f"level{level}-{self.written:06d}"
+        # A name never used before: the folder of a run that broke off is not written to again.
+        run = f"level{level}-{uuid.uuid4().hex}"
         writer = rows.select("key", "owner").write.format("parquet").mode("append")
         writer.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self._table(run))
         while len(self.levels) <= level:

@@ -19,7 +19,8 @@ are in that document, too, which is a source of the same windows with a smaller
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined cases: null and empty texts have no words; a
 document of fewer words than a window keeps all; rows without doc_id are one document after all
 others; rows that share a doc_id are one document, so nothing is removed from one for the other's
-sake; an empty table gives no rows; other columns are passed through.
+sake (each row is worked on by its own number in a written copy); a very long text is one row's work,
+and sends its repeated windows only; an empty table gives no rows; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,72 +58,73 @@ def halves_and_anchors(words: list[bytes], hashes: WordHashes, window: int) -> t
     return halves, sliding_minimum(halves, window - half + 1)
 
 
-def _keys() -> list[Column]:
-    """doc_id with a stand-in, and 31 bits of the text's hash."""
-    mark = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0x7FFFFFFF)
-    return [id_or_last().alias("_d"), mark.alias("_t")]
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_r, _d, row): the rows with a number of their own, written so that all later reads see the same."""
+    row = F.monotonically_increasing_id().alias("_r")
+    return stage(docs.select(row, id_or_last().alias("_d"), F.struct(*docs.columns).alias("row")), "numbered-texts")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(_d, _t) of the documents whose whole text also belongs to a smaller doc_id."""
-    keyed = docs.select(*_keys(), F.unhex(F.md5(text_bytes())).alias("m"))
+def copies(rows: DataFrame) -> DataFrame:
+    """(_r) of the rows whose whole text also belongs to a smaller doc_id."""
+    keyed = rows.select("_r", "_d", F.unhex(F.md5(text_bytes("row.text"))).alias("m"))
     first = stage(keyed.groupBy("m").agg(F.min("_d").alias("first"), F.max("_d").alias("last")).where("first < last"), "copied-texts")
-    return keyed.join(first, "m").where("_d > first").select("_d", "_t").distinct()
+    return keyed.join(first, "m").where("_d > first").select("_r")
 
 
 def anchors(keyed: DataFrame, window: int) -> DataFrame:
-    """(anchor, _d), once per document row."""
+    """(anchor, _d, _r), once per row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in small_batches(batches, 1):
-            ids = batch.column(0).to_numpy()
-            found = [np.unique(halves_and_anchors(t.split(), hashes, window)[1]) for t in batch.column(1).to_pylist()]
+        for batch in small_batches(batches, 2):
+            found = [np.unique(halves_and_anchors(t.split(), hashes, window)[1]) for t in batch.column(2).to_pylist()]
             flat = np.concatenate(found).view(np.int64)
-            doc = np.repeat(ids, [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(doc)], ["anchor", "_d"])
+            of_row = [np.repeat(batch.column(i).to_numpy(), [len(f) for f in found]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flat, *of_row)], ["anchor", "_d", "_r"])
 
-    return keyed.select("_d", "_bytes").mapInArrow(find, "anchor long, _d long")
+    return keyed.select("_d", "_r", "_bytes").mapInArrow(find, "anchor long, _d long, _r long")
 
 
 def windows_at(rows: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, _d, at) of the windows whose anchor is in the row's list; ``at`` is _t << 32 | place."""
+    """(h1, h2, _d, _r, place) of the windows whose anchor is in the row's list."""
     half = (window + 1) // 2
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_batches(batches, 2):
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = [[], [], [], []]
-            for d, t, text, wanted in zip(ids, marks, batch.column(2).to_pylist(), batch.column(3), strict=True):
+            ids, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = [[], [], [], [], []]
+            for d, r, text, wanted in zip(ids, numbers, batch.column(2).to_pylist(), batch.column(3), strict=True):
                 halves, of_window = halves_and_anchors(text.split(), hashes, window)
                 wanted = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(np.isin(of_window, wanted))
                 out[0].append(halves[at].view(np.int64))
                 out[1].append(halves[at + window - half].view(np.int64))
                 out[2].append(np.full(len(at), d))
-                out[3].append(at + (int(t) << 32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h1", "h2", "_d", "at"])
+                out[3].append(np.full(len(at), r))
+                out[4].append(at.astype(np.int32))
+            names = ["h1", "h2", "_d", "_r", "place"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
-    return rows.select("_d", "_t", "_bytes", "wanted").mapInArrow(extend, "h1 long, h2 long, _d long, at long")
+    rows = rows.select("_d", "_r", "_bytes", "wanted")
+    return rows.mapInArrow(extend, "h1 long, h2 long, _d long, _r long, place int")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(_d, _t, places: starts of the windows to remove) and (_d, _t) of whole copies."""
-    whole = stage(copies(docs), "whole-copies")
-    first = _without(docs.select(*_keys(), text_bytes().alias("_bytes")), whole, ["_d", "_t"])
-    held = anchors(first, window)
+def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(_r, places: starts of the windows to remove) and (_r) of whole copies, for numbered rows."""
+    whole = stage(copies(rows), "whole-copies")
+    first = _without(rows.select("_r", "_d", text_bytes("row.text").alias("_bytes")), whole, ["_r"])
+    held = stage(anchors(first, window), "anchors")
     repeated = held.groupBy("anchor").agg(F.min("_d").alias("a"), F.max("_d").alias("b")).where("a < b").select("anchor")
     repeated = stage(repeated, "repeated-anchors")
-    wanted = held.join(repeated, "anchor").groupBy("_d").agg(F.collect_set("anchor").alias("wanted"))
+    # A row's own anchors, as many as its text has at most.
+    wanted = held.join(repeated, "anchor").groupBy("_r").agg(F.collect_set("anchor").alias("wanted"))
     wanted = stage(wanted, "wanted-anchors")
-    rows = keep_ids(first, wanted, "_d").join(wanted, "_d")
-    found = windows_at(rows, window)
+    found = windows_at(keep_ids(first, wanted, "_r").join(wanted, "_r"), window)
     owner = found.groupBy("h1", "h2").agg(F.min("_d").alias("owner"), F.max("_d").alias("b"))
     owner = stage(owner.where("owner < b").select("h1", "h2", "owner"), "window-owners")
     lost = found.join(owner, ["h1", "h2"]).where("_d > owner")
-    text = F.shiftright("at", 32).alias("_t")
-    lost = lost.groupBy("_d", text).agg(F.collect_set(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
+    lost = lost.groupBy("_r").agg(F.collect_set("place").alias("places"))
     return stage(lost, "lost-windows"), whole
 
 
@@ -144,13 +146,14 @@ def covered(places: np.ndarray, window: int, n: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """(row, n_words, n_removed, kept_sha256[, kept]) for every row of ``docs``; ``kept`` are the words left."""
-    lost, whole = repeated_windows(docs, window)
-    carried = docs.columns if with_text else [c for c in docs.columns if c != "text"]
-    every = docs.select(F.struct(*carried).alias("row"), *_keys(), text_bytes().alias("_bytes"))
-    change = lost.select("_d", "_t", "places", F.lit(False).alias("entire"))
-    change = change.unionAll(whole.select("_d", "_t", F.array().cast("array<int>"), F.lit(True)))
-    changed = keep_ids(every, change, "_d").join(change, ["_d", "_t"], "left")
-    same = _without(every, change, ["_d"]).withColumn("places", F.lit(None).cast("array<int>")).withColumn("entire", F.lit(False))
+    rows = numbered(docs)
+    lost, whole = repeated_windows(rows, window)
+    carried = [F.col("row")[c].alias(c) for c in docs.columns if with_text or c != "text"]
+    every = rows.select(F.struct(*carried).alias("row"), "_r", text_bytes("row.text").alias("_bytes"))
+    change = lost.select("_r", "places", F.lit(False).alias("entire"))
+    change = change.unionAll(whole.select("_r", F.array().cast("array<int>"), F.lit(True)))
+    changed = keep_ids(every, change, "_r").join(change, "_r")
+    same = _without(every, change, ["_r"]).withColumn("places", F.lit(None).cast("array<int>")).withColumn("entire", F.lit(False))
     return _cut(changed, window, with_text).unionAll(_cut(same, window, with_text))
 
 

@@ -101,6 +101,32 @@ def test_runs_are_compacted_and_reopened(spark):
     assert len(held) == len(set(map(bytes, held))) == 7 + 60
 
 
+def test_a_batch_that_broke_off_drops_nothing_later(spark, monkeypatch):
+    folder = new_folder(spark, "runs")
+    LineRuns(spark, folder, buckets=2).add(frame(spark, [(1, "a line of the first batch")]))
+
+    def lost(self):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(LineRuns, "_commit", lost)
+        with pytest.raises(RuntimeError):
+            LineRuns.reopen(spark, folder).ingest(frame(spark, [(5, "a line of the lost batch")]))
+    runs = LineRuns.reopen(spark, folder)
+    runs.add(frame(spark, [(8, "something unrelated here")]))
+    out = runs.add(frame(spark, [(10, "a line of the lost batch")])).collect()
+    assert [(r["gone"], r["kept"]) for r in out] == [([], "a line of the lost batch")]
+
+
+def test_folders_of_one_ending_are_apart(spark):
+    end = "x" * 60
+    a, b = (LineRuns(spark, f"{new_folder(spark, name)}/{end}", buckets=2) for name in "ab")
+    a.add(frame(spark, [(1, "a line of corpus a")]))
+    b.add(frame(spark, [(1, "a line of corpus b")]))
+    assert [r.run(r.runs()[0]).count() for r in (a, b)] == [1, 1]
+    assert [r["gone"] for r in b.add(frame(spark, [(2, "a line of corpus a")])).collect()] == [[]]
+
+
 def test_a_batch_reads_runs_without_shuffling_them(spark):
     runs = LineRuns(spark, new_folder(spark, "runs"), buckets=8)
     runs.add(frame(spark, [(1, "some long line\nand another one")]))

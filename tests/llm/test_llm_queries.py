@@ -96,8 +96,15 @@ def test_pipeline(spark, small):
     texts = [{r["doc_id"]: r["text"] for r in k.collect()} for k in kept[:-1]]
     quality = {r["doc_id"]: r["predicted"] for r in QUERIES["op2_quality"](spark, small).collect()}
     assert set(texts[1]) == {d for d, p in quality.items() if p} and len(texts[1]) < len(texts[0])
-    lines = {d: digest for d, _, _, digest in plain.line_dedup(list(texts[1].items()))}
-    assert {d: plain.sha(t.encode()) for d, t in texts[2].items()} == lines
+    judged = plain.line_dedup(list(texts[1].items()))
+    held = {d: plain.sha(t.encode()) for d, t in texts[2].items()}
+    assert held.items() <= {d: digest for d, _, _, digest in judged}.items()
+    # What went lost lines, and had nothing else; nothing empty is left but what was empty before.
+    lost_lines = {d for d, _, dropped, _ in judged if dropped}
+    assert set(texts[1]) - set(texts[2]) <= lost_lines
+    assert all(texts[2][d].strip() for d in set(texts[2]) & lost_lines)
+    untouched = set(texts[1]) - lost_lines
+    assert untouched <= set(texts[2])
     assert set(texts[3]) == {d for d, _, c in plain.jaccard(list(texts[2].items())) if c == d}
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(texts[4]) == {r[0] for r in plain.decontaminate(list(texts[3].items()), items) if not r[-1]}
@@ -118,3 +125,24 @@ def test_pipeline_writes_the_ids_of_the_sequences(spark, small):
 
 def test_pipeline_query(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_whole_copies_do_not_reach_the_sequences(spark):
+    """Copies lose all lines to the first of them and go; empty documents of the input stay."""
+    body = "first line of the text\nand a second one of it"
+    rows = [(1, body), (2, body), (3, f" {body.upper()}\n\n"), (4, "a line of its own"), (5, ""), (6, None), (7, f"{body}\nshort")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert out == {1: body, 4: "a line of its own", 5: "", 6: "", 7: "short"}
+
+
+@pytest.mark.parametrize("name", ["documents", "benchmark"])
+def test_pipeline_over_empty_tables(spark, small, tmp_path, name):
+    for table in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{small}/{table}.parquet")
+        (df.limit(0) if table == name else df).write.parquet(f"{tmp_path}/{table}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for work in ("line dedup", "n-gram Jaccard join", "benchmark decontamination"):
+        docs = stages[work](spark, docs, str(tmp_path))
+    assert (docs.count() == 0) == (name == "documents")
