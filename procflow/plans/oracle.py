@@ -238,6 +238,17 @@ _PARTS["d_activity"] = f"""
 _PARTS["d_vendor"] = f"""
         SELECT {_member_key((('vendor', 'vendor'),))} AS vendor_key, vendor
         FROM (SELECT DISTINCT vendor FROM flat_log WHERE vendor IS NOT NULL)"""
+_PARTS["d_vendor_first"] = f"""
+        SELECT {_member_key((('vendor', 'vendor'),))} AS vendor_key, vendor
+        FROM (SELECT DISTINCT concat('VENDOR_', l_suppkey) AS vendor FROM events_log
+              WHERE case_no % 97 <> 0 AND l_orderkey < 40)"""
+_PARTS["d_vendor_grown"] = f"""
+        SELECT vendor_key, vendor FROM d_vendor_first
+        UNION ALL
+        SELECT CAST((SELECT coalesce(max(vendor_key), 0) FROM d_vendor_first)
+                    + {_member_key((('vendor', 'vendor'),))} AS INTEGER), vendor
+        FROM (SELECT DISTINCT vendor FROM flat_log
+              WHERE vendor IS NOT NULL AND vendor NOT IN (SELECT vendor FROM d_vendor_first))"""
 _PARTS["d_company"] = f"""
         SELECT {_member_key((('company', 'company'),))} AS company_key, company
         FROM (SELECT DISTINCT company FROM flat_log)"""
@@ -520,6 +531,9 @@ ORACLE: dict[str, str] = {
     "star_sla_distribution": _sql(_DISTRIBUTION),
     "star_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key"),
     "report_sink": _sql(_DISTRIBUTION),
+    "report_published": _sql(_DISTRIBUTION),
+    "star_keys_after_growth": _sql("SELECT * FROM d_vendor_grown"),
+    "star_collated_cases": _sql("SELECT case_id, vendor, company FROM log_cases"),
     "core_milestones_collated": _sql("SELECT * FROM core"),
     "snapshot_sla_distribution": _sql(_DISTRIBUTION, _SNAPSHOT),
     "snapshot_stage_duration_all": _profile("Stage_All_Cases", "{stage} >= 0", _SNAPSHOT),

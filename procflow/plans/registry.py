@@ -20,11 +20,12 @@ from procflow.sources.order_lines import (
     dim_spend_area,
     fact_cases,
     fact_events,
+    flat_log,
     order_line_log,
     order_line_star,
     read_lines,
 )
-from procflow.sources.sinks import read_output, write_outputs
+from procflow.sources.sinks import publish_outputs, published, read_output, write_outputs
 from procflow.sources.staging import new_folder, once_per_input
 from procflow.sources.star import Star, build_star, load_star, save_star
 from procflow.sources.user_events import COHORT, JOURNEY, journey_star
@@ -153,6 +154,37 @@ def _on_saved_star(build: Callable[[CaseModel], DataFrame]) -> Query:
     return lambda spark, folder: build(_saved_star_model(spark, folder))
 
 
+def _star_keys_after_growth(spark: SparkSession, folder: str) -> DataFrame:
+    """Vendors of a star over the first orders, then of one over all orders that keeps its keys."""
+    lines = read_lines(spark, folder)
+    first = build_star(flat_log(lines.filter(F.col("l_orderkey") < 40)))
+    return build_star(flat_log(lines), known=first.dimensions()).dim_vendor
+
+
+def _star_collated_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Case facts of a log in which every other order spells its attributes and activities in capitals."""
+    log = order_line_log(spark, folder)
+    odd = F.substring("case_id", -1, 1).isin("1", "3", "5", "7")
+    texts = ["activity", "vendor", "company", "sub_spend_area", "spend_classification"]
+    spelled = {c: F.when(odd, F.concat(F.upper(c), F.lit(" "))).otherwise(F.lower(c)) for c in texts}
+    star = build_star(log.withColumns(spelled), collation="UTF8_LCASE_RTRIM")
+    named = star.fact_cases
+    for dim, key in ((star.dim_vendor, "vendor_key"), (star.dim_company, "company_key")):
+        named = named.join(dim, key, "left")
+    return named.select("case_id", F.rtrim(F.upper("vendor")).alias("vendor"), F.rtrim(F.upper("company")).alias("company"))
+
+
+def _report_published(spark: SparkSession, folder: str) -> DataFrame:
+    """A report published twice, read as its readers find it."""
+    model = order_line_model(spark, folder)
+    target, name = new_folder(spark, "published"), "sla_distribution"
+    publish_outputs({"backlog_total": rp.backlog_total(model)}, target)
+    report = rp.sla_distribution(model)
+    publish_outputs({name: report}, target, single_file=[name])
+    path, fmt = published(spark, target)[name]
+    return read_output(spark, path, report, fmt)
+
+
 def _report_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Write a report through the sink and read the written file."""
     report = rp.sla_distribution(order_line_model(spark, folder))
@@ -184,6 +216,9 @@ QUERIES: dict[str, Query] = {
     "star_sla_distribution": _on_saved_star(rp.sla_distribution),
     "star_vendor_ranking": _on_saved_star(rp.vendor_ranking),
     "report_sink": _report_sink,
+    "report_published": _report_published,
+    "star_keys_after_growth": _star_keys_after_growth,
+    "star_collated_cases": _star_collated_cases,
     "core_milestones_collated": _collated_milestones,
     "snapshot_sla_distribution": _on_snapshot(rp.sla_distribution),
     "snapshot_stage_duration_all": _on_snapshot(rp.stage_duration_all),

@@ -149,7 +149,12 @@ def order_line_star(spark: SparkSession, folder: str) -> Star:
 
 def order_line_log(spark: SparkSession, folder: str) -> DataFrame:
     """The same events as a flat log with text attributes, the input of the star builder."""
-    items = purchase_items(read_lines(spark, folder))
+    return flat_log(read_lines(spark, folder))
+
+
+def flat_log(lines: DataFrame) -> DataFrame:
+    """The flat log of some order lines."""
+    items = purchase_items(lines)
     area = _spend_area()
     events = _events(
         items,

@@ -36,6 +36,10 @@ class Star:
         named = {f.name: getattr(self, f.name) for f in fields(self)}
         return {name: df for name, df in named.items() if df is not None}
 
+    def dimensions(self) -> dict[str, DataFrame]:
+        """The dimensions by key column, to build a later star with the same keys."""
+        return {f"{n.removeprefix('dim_')}_key": df for n, df in self.tables().items() if n.startswith("dim_")}
+
 
 # The list of the tables that a saved star has.
 _CONTENTS = "star_tables"
@@ -97,17 +101,50 @@ def _some(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
 
 
-def build_dimension(log: DataFrame, columns: Mapping[str, str], key: str) -> DataFrame:
+def _collated(column: Column, collation: str | None) -> Column:
+    return F.collate(column, collation) if collation else column
+
+
+def _member_match(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], collation: str | None) -> Column:
+    """Whether columns of ``left`` name the member in columns of ``right``; NULL equals NULL."""
+    return reduce(
+        lambda a, b: a & b,
+        [_collated(left[c], collation).eqNullSafe(_collated(right[d], collation)) for c, d in pairs.items()],
+    )
+
+
+def build_dimension(
+    log: DataFrame,
+    columns: Mapping[str, str],
+    key: str,
+    known: DataFrame | None = None,
+    collation: str | None = None,
+) -> DataFrame:
     """Distinct members of some log columns with a surrogate key.
 
     ``columns`` maps log column to dimension column. Members with every column NULL are left out.
     The members and the finished dimension are computed here and written to the shared folder: the
     numbering reads the members twice, and the joins that attach the keys need the real size.
+
+    ``known`` is the dimension so far: its members keep their keys, and new ones are numbered after
+    its highest key, so facts that were loaded before still point to the right members. With a
+    collation, spellings that it makes equal are one member, named by the known spelling or else by
+    the smallest one.
     """
     names = list(columns.values())
     named = log.select(*[F.col(c).alias(d) for c, d in columns.items()]).filter(_some(names))
-    members = stage(named.distinct(), f"members-{key}")
-    return stage(surrogate_keys(members, names, key), f"dim-{key}")
+    members = named.distinct()
+    if collation:
+        alike = [F.collate(F.col(c), collation).alias(f"_c_{c}") for c in names]
+        first = F.min(F.struct(*names)).alias("_member")
+        members = members.groupBy(*alike).agg(first).select("_member.*")
+    if known is None:
+        return stage(surrogate_keys(stage(members, f"members-{key}"), names, key), f"dim-{key}")
+    same = _member_match(members, known, {c: c for c in names}, collation)
+    fresh = stage(members.join(known, same, "left_anti"), f"members-{key}")
+    highest = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("n")).scalar()
+    numbered = surrogate_keys(fresh, names, key).withColumn(key, (F.col(key) + highest).cast("int"))
+    return stage(known.select(key, *names).unionByName(numbered), f"dim-{key}")
 
 
 def case_attributes(held: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
@@ -126,13 +163,13 @@ def case_attributes(held: DataFrame, case_col: str, groups: Sequence[Sequence[st
     )
 
 
-def _lookup(facts: DataFrame, dim: DataFrame, columns: Mapping[str, str], key: str) -> DataFrame:
+def _lookup(
+    facts: DataFrame, dim: DataFrame, columns: Mapping[str, str], key: str, collation: str | None = None
+) -> DataFrame:
     # Unhinted: the dimension is a written table, so Spark knows its size. It is broadcast when
     # that is small, else joined by shuffle with adaptive splitting of a member that holds a
     # large part of the facts.
-    on = reduce(
-        lambda a, b: a & b, [facts[c].eqNullSafe(dim[d]) for c, d in columns.items()]
-    )
+    on = _member_match(facts, dim, columns, collation)
     return facts.join(dim, on, "left").select(facts["*"], dim[key])
 
 
@@ -154,6 +191,8 @@ def build_star(
     ts_col: str = "timestamp",
     attributes: Mapping[str, Mapping[str, str]] = ATTRIBUTES,
     steps: Sequence[Step] = P2P_STEPS,
+    known: Mapping[str, DataFrame] | None = None,
+    collation: str | None = None,
 ) -> Star:
     """Turn a flat event log into facts and dimensions.
 
@@ -164,18 +203,30 @@ def build_star(
     The log is read three times: for the activities, for the events with their keys, and for the
     distinct attributes of the cases. These three are written to the shared folder; the other
     tables follow from them. Events are kept as they are, one row each.
+
+    ``known`` are dimensions of an earlier star by key column (``Star.dimensions``): their members keep
+    their keys. ``collation`` (e.g. ``UTF8_LCASE_RTRIM``) makes spellings one member, of activities and
+    of all attributes.
     """
+    known = known or {}
     dim_activity = build_dimension(
-        log.select(F.col(activity_col).alias("activity")), {"activity": "activity"}, "activity_key"
+        log.select(F.col(activity_col).alias("activity")),
+        {"activity": "activity"},
+        "activity_key",
+        known.get("activity_key"),
+        collation,
     )
     flat = dict.fromkeys(c for m in attributes.values() for c in m)
     held = stage(log.select(case_col, *flat).distinct(), "case-attributes")
-    dims = {key: build_dimension(held, columns, key) for key, columns in attributes.items()}
+    dims = {
+        key: build_dimension(held, columns, key, known.get(key), collation)
+        for key, columns in attributes.items()
+    }
 
     cases = case_attributes(held, case_col, [list(m) for m in attributes.values()])
     cases = cases.filter(F.col(case_col).isNotNull())
     for key, columns in attributes.items():
-        cases = _lookup(cases, dims[key], columns, key)
+        cases = _lookup(cases, dims[key], columns, key, collation)
 
     events = _lookup(
         log.select(
@@ -186,6 +237,7 @@ def build_star(
         dim_activity,
         {"_activity": "activity"},
         "activity_key",
+        collation,
     )
     events = stage(events.select("case_id", "activity_key", "timestamp"), "fact-events")
 
@@ -194,7 +246,7 @@ def build_star(
         fact_cases=cases.select(F.col(case_col).alias("case_id"), *dims),
         dim_activity=dim_activity,
         dim_spend_area=dims.get("spend_area_key"),
-        fact_case_milestones_core=core_milestones(events, dim_activity, steps),
+        fact_case_milestones_core=core_milestones(events, dim_activity, steps, collation),
         dim_vendor=dims.get("vendor_key"),
         dim_company=dims.get("company_key"),
     )

@@ -27,6 +27,7 @@ from procflow.plans.order_line_model import order_line_model
 from procflow.plans.reports import REPORTS
 from procflow.sources import staging
 from procflow.sources.order_lines import order_line_log, order_line_star
+from procflow.sources.sinks import publish_outputs, published
 from procflow.sources.schema import event_log_schema
 from procflow.sources.star import Star, case_attributes, surrogate_keys
 
@@ -317,3 +318,55 @@ def test_model_is_built_once_until_the_input_changes(spark, small, tmp_path):
     second = order_line_model(spark, str(folder))
     assert second is not first
     assert second.cases.count() < first.cases.count()
+
+
+def test_keys_survive_growth(spark):
+    """Members of the first star keep their keys; those of later logs are numbered after them."""
+    first = build_star(tiny_log(spark))
+    more = tiny_log(spark).unionAll(
+        flat(
+            spark,
+            ("D", "Change Price", "2018-07-01", "Aaa", "Com", "g", "Pumps", "Direct"),
+            ("E", "Change Price", "2018-07-01", "Zzz", "New", "g", "Valves", None),
+        )
+    )
+    grown = build_star(more, known=first.dimensions())
+    for name in ("dim_activity", "dim_vendor", "dim_company", "dim_spend_area"):
+        old, new = ({r[1:]: r[0] for r in rows(s.tables()[name])} for s in (first, grown))
+        assert old.items() <= new.items() and len(new) > len(old)
+        assert sorted(new.values()) == list(range(1, len(new) + 1))
+    again = build_star(more, known=grown.dimensions())
+    assert sorted(rows(again.dim_vendor)) == sorted(rows(grown.dim_vendor))
+    assert sorted(rows(again.fact_cases), key=str) == sorted(rows(grown.fact_cases), key=str)
+
+
+def test_spellings_of_a_member_are_one(spark):
+    po = "Create Purchase Order Item"
+    log = flat(
+        spark,
+        ("A", po, "2018-07-01", "Vee", "Com", "g", "Pumps", None),
+        ("B", po.upper(), "2018-07-02", "VEE ", "com", "g", "PUMPS", None),
+        ("C", f"{po} ", "2018-07-03", "Wee", None, "g", "pumps ", "Direct"),
+    )
+    star = build_star(log, collation="UTF8_LCASE_RTRIM")
+    assert [star.tables()[n].count() for n in ("dim_activity", "dim_vendor", "dim_company", "dim_spend_area")] == [1, 2, 1, 2]
+    cases = {r["case_id"]: r for r in star.fact_cases.collect()}
+    assert cases["A"][1:] == cases["B"][1:] and cases["A"]["vendor_key"] != cases["C"]["vendor_key"]
+    assert sorted(r[0] for r in rows(star.dim_vendor.select("vendor"))) == ["VEE ", "Wee"]
+    known = build_star(log, known=star.dimensions(), collation="UTF8_LCASE_RTRIM")
+    assert sorted(rows(known.dim_vendor)) == sorted(rows(star.dim_vendor))
+
+
+def test_a_failed_run_leaves_the_published_set(spark, tmp_path):
+    folder = str(tmp_path / "reports")
+    with pytest.raises(ValueError, match="nothing"):
+        published(spark, folder)
+    old = {"a": spark.range(3), "b": spark.range(2)}
+    publish_outputs(old, folder, "csv", single_file=["a"])
+    broken = spark.range(2).select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        publish_outputs({"a": spark.range(9), "b": broken}, folder)
+    found = {n: read_output(spark, path, old[n], fmt).count() for n, (path, fmt) in published(spark, folder).items()}
+    assert found == {"a": 3, "b": 2}
+    publish_outputs({"c": spark.range(4)}, folder)
+    assert {n: fmt for n, (_, fmt) in published(spark, folder).items()} == {"c": "parquet"}
