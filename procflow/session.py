@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution picks reducer counts, splits skewed join partitions and turns a shuffle join
-# into a broadcast one when the measured size allows. The session zone is fixed, although every
+# Adaptive execution merges small reducers (it never splits those of an aggregation, see
+# ``staging.reducers``), splits skewed join partitions and turns a shuffle join into a broadcast
+# one when the measured size allows. The session zone is fixed, although every
 # expression is zone-free. Call-site capture costs several driver round trips per column
 # expression, more than planning and running a small report.
 SETTINGS = {
