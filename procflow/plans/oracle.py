@@ -532,6 +532,11 @@ ORACLE: dict[str, str] = {
     "star_vendor_ranking": _ranking("vendor", "Vendor_Rank", "Vendor_key"),
     "report_sink": _sql(_DISTRIBUTION),
     "report_published": _sql(_DISTRIBUTION),
+    "rejected_events": _sql(
+        """SELECT CASE WHEN n % 89 = 0 THEN 'no activity' WHEN n % 83 = 0 THEN 'unreadable time'
+                       WHEN n % 79 = 0 THEN 'no time' ELSE 'kept' END AS reason, count(*) AS rows
+           FROM (SELECT CAST(substr(case_id, 2) AS BIGINT) AS n FROM flat_log) GROUP BY 1"""
+    ),
     "star_keys_after_growth": _sql("SELECT * FROM d_vendor_grown"),
     "star_collated_cases": _sql("SELECT case_id, vendor, company FROM log_cases"),
     "core_milestones_collated": _sql("SELECT * FROM core"),

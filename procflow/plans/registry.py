@@ -16,6 +16,7 @@ from procflow.plans import reports as rp
 from procflow.plans.case_state import CaseState
 from procflow.plans.model import CaseModel, build_model
 from procflow.plans.order_line_model import order_line_model
+from procflow.sources.flat_log import check_log, raw_log
 from procflow.sources.order_lines import (
     dim_spend_area,
     fact_cases,
@@ -174,6 +175,22 @@ def _star_collated_cases(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("case_id", F.rtrim(F.upper("vendor")).alias("vendor"), F.rtrim(F.upper("company")).alias("company"))
 
 
+def _rejected_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The order-line log as text with faults in it, by what becomes of its rows."""
+    log = order_line_log(spark, folder)
+    number = F.substring("case_id", 2, 20).cast("long")
+    text = F.date_format("timestamp", "dd-MM-yyyy HH:mm")
+    faulty = log.withColumns(
+        {
+            "timestamp": F.when(number % 83 == 0, "31-02-2018 00:00").when(number % 79 != 0, text),
+            "activity": F.when(number % 89 == 0, F.lit(" ")).otherwise(F.col("activity")),
+        }
+    )
+    raw, target = new_folder(spark, "raw-log"), new_folder(spark, "checked-log")
+    faulty.write.parquet(raw)
+    return check_log(raw_log(spark, raw, "parquet"), target, "dd-MM-yyyy HH:mm").counts()
+
+
 def _report_published(spark: SparkSession, folder: str) -> DataFrame:
     """A report published twice, read as its readers find it."""
     model = order_line_model(spark, folder)
@@ -217,6 +234,7 @@ QUERIES: dict[str, Query] = {
     "star_vendor_ranking": _on_saved_star(rp.vendor_ranking),
     "report_sink": _report_sink,
     "report_published": _report_published,
+    "rejected_events": _rejected_events,
     "star_keys_after_growth": _star_keys_after_growth,
     "star_collated_cases": _star_collated_cases,
     "core_milestones_collated": _collated_milestones,

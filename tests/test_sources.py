@@ -27,6 +27,7 @@ from procflow.plans.order_line_model import order_line_model
 from procflow.plans.reports import REPORTS
 from procflow.sources import staging
 from procflow.sources.order_lines import order_line_log, order_line_star
+from procflow.sources.flat_log import BAD_TIME, KEPT, NO_ACTIVITY, NO_CASE, NO_TIME, check_log
 from procflow.sources.sinks import publish_outputs, published
 from procflow.sources.schema import event_log_schema
 from procflow.sources.star import Star, case_attributes, surrogate_keys
@@ -370,3 +371,39 @@ def test_a_failed_run_leaves_the_published_set(spark, tmp_path):
     assert found == {"a": 3, "b": 2}
     publish_outputs({"c": spark.range(4)}, folder)
     assert {n: fmt for n, (_, fmt) in published(spark, folder).items()} == {"c": "parquet"}
+
+
+def test_rows_of_a_log_are_kept_or_rejected_with_a_reason(spark, tmp_path):
+    data = [
+        ("A", "Pay", "01-07-2018 10:00", "x"),
+        (None, "Pay", "nothing", "x"),
+        (" ", None, None, "x"),
+        ("B", None, "01-07-2018 10:00", "x"),
+        ("B", "Pay", None, None),
+        ("C", "Pay", "31-02-2018 10:00", "x"),
+        ("C", "Pay", "25-03-2018 02:30", "x"),
+    ]
+    raw = spark.createDataFrame(data, "case_id string, activity string, timestamp string, vendor string")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        checked = check_log(raw, str(tmp_path / "checked"), "dd-MM-yyyy HH:mm")
+        kept = sorted(rows(checked.kept))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The second time does not exist in that zone; a time without zone is kept as it is.
+    assert kept == [("A", "Pay", ts("2018-07-01 10:00"), "x"), ("C", "Pay", ts("2018-03-25 02:30"), "x")]
+    assert {tuple(r) for r in checked.counts().collect()} == {
+        (KEPT, 2), (NO_CASE, 2), (NO_ACTIVITY, 1), (NO_TIME, 1), (BAD_TIME, 1)
+    }
+    bad = checked.rejected.filter(F.col("reason") == BAD_TIME).collect()
+    assert [(r["case_id"], r["timestamp"]) for r in bad] == [("C", "31-02-2018 10:00")]
+
+
+def test_checking_an_empty_log_or_one_with_real_times(spark, tmp_path):
+    schema = "case_id string, activity string, timestamp timestamp_ntz"
+    empty = check_log(spark.createDataFrame([], schema), str(tmp_path / "empty"))
+    assert empty.counts().count() == 0
+    some = spark.createDataFrame([("A", "Pay", ts("2018-07-01")), ("A", "Pay", None)], schema)
+    checked = check_log(some, str(tmp_path / "some"))
+    assert rows(checked.kept) == [("A", "Pay", ts("2018-07-01"))]
+    assert [r["reason"] for r in checked.rejected.collect()] == [NO_TIME]
