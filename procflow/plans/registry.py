@@ -155,24 +155,38 @@ def _on_saved_star(build: Callable[[CaseModel], DataFrame]) -> Query:
     return lambda spark, folder: build(_saved_star_model(spark, folder))
 
 
-def _star_keys_after_growth(spark: SparkSession, folder: str) -> DataFrame:
-    """Vendors of a star over the first orders, then of one over all orders that keeps its keys."""
-    lines = read_lines(spark, folder)
-    first = build_star(flat_log(lines.filter(F.col("l_orderkey") < 40)))
-    return build_star(flat_log(lines), known=first.dimensions()).dim_vendor
+def _grown_star(spark: SparkSession, folder: str) -> Star:
+    """A star over all orders that keeps the keys of one over the first orders."""
+
+    def build() -> Star:
+        lines = read_lines(spark, folder)
+        first = build_star(flat_log(lines.filter(F.col("l_orderkey") < 40)))
+        return build_star(flat_log(lines), known=first.dimensions())
+
+    return once_per_input(spark, f"{folder.rstrip('/')}/lineitem.parquet", "grown_star", build)
+
+
+def _collated_star(spark: SparkSession, folder: str) -> Star:
+    """A star of the log with half of its cases spelling activities and attributes in capitals."""
+
+    def build() -> Star:
+        log = order_line_log(spark, folder)
+        odd = F.substring("case_id", -1, 1).isin("1", "3", "5", "7")
+        texts = ["activity", "vendor", "company", "sub_spend_area", "spend_classification"]
+        spelled = {c: F.when(odd, F.concat(F.upper(c), F.lit(" "))).otherwise(F.lower(c)) for c in texts}
+        return build_star(log.withColumns(spelled), collation="UTF8_LCASE_RTRIM")
+
+    return once_per_input(spark, f"{folder.rstrip('/')}/lineitem.parquet", "collated_star", build)
 
 
 def _star_collated_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Case facts of a log in which every other order spells its attributes and activities in capitals."""
-    log = order_line_log(spark, folder)
-    odd = F.substring("case_id", -1, 1).isin("1", "3", "5", "7")
-    texts = ["activity", "vendor", "company", "sub_spend_area", "spend_classification"]
-    spelled = {c: F.when(odd, F.concat(F.upper(c), F.lit(" "))).otherwise(F.lower(c)) for c in texts}
-    star = build_star(log.withColumns(spelled), collation="UTF8_LCASE_RTRIM")
+    """Case facts of the collated star with the names that their keys stand for, in capitals."""
+    star = _collated_star(spark, folder)
     named = star.fact_cases
     for dim, key in ((star.dim_vendor, "vendor_key"), (star.dim_company, "company_key")):
         named = named.join(dim, key, "left")
-    return named.select("case_id", F.rtrim(F.upper("vendor")).alias("vendor"), F.rtrim(F.upper("company")).alias("company"))
+    names = [F.rtrim(F.upper(c)).alias(c) for c in ("vendor", "company")]
+    return named.select("case_id", *names)
 
 
 def _rejected_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,7 +249,7 @@ QUERIES: dict[str, Query] = {
     "report_sink": _report_sink,
     "report_published": _report_published,
     "rejected_events": _rejected_events,
-    "star_keys_after_growth": _star_keys_after_growth,
+    "star_keys_after_growth": lambda spark, folder: _grown_star(spark, folder).dim_vendor,
     "star_collated_cases": _star_collated_cases,
     "core_milestones_collated": _collated_milestones,
     "snapshot_sla_distribution": _on_snapshot(rp.sla_distribution),
@@ -258,4 +272,6 @@ PREPARED: dict[str, Callable[[SparkSession, str], object]] = {
     "saved_star_model": _saved_star_model,
     "journey_model": _journey_model,
     "grown_state": _grown_state,
+    "grown_star": _grown_star,
+    "collated_star": _collated_star,
 }
