@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procflow.functions.ordered import By, ranged_sum
-
-COUNT = "_n"
+from procflow.functions.rows import COUNT, cases
 
 
 def histogram(df: DataFrame, *cols: str) -> DataFrame:
-    """Number of rows per distinct combination of ``cols``, in column ``_n``."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(COUNT))
+    """Number of rows per distinct combination of ``cols``, in column ``_n``; the rows of a counted
+    table count as often as they say."""
+    return df.groupBy(*cols).agg(cases(df).alias(COUNT))
 
 
 def percentile_of(value: Column | str, p: float) -> Column:

@@ -26,7 +26,7 @@ from procflow.functions.classify import (
 from procflow.functions.dates import day_of, day_span, months_before, period_label
 from procflow.functions.numeric import clean_double, ratio
 from procflow.functions.percentiles import histogram, percentiles
-from procflow.functions.rows import cases, cases_if, report_rows
+from procflow.functions.rows import COUNT, cases, cases_if, counted, report_rows
 
 
 def case_overview(spans: DataFrame, as_of: Column, snapshot: bool = False) -> DataFrame:
@@ -56,6 +56,21 @@ def without_start_day(overview: DataFrame) -> DataFrame:
     return overview.drop("Start_Day")
 
 
+def counted_overview(overview: DataFrame, since: Column) -> DataFrame:
+    """``overview`` counted per start day, type and duration: as many rows as the calendar allows.
+
+    All reports below take this table in place of the cases. They tell days apart, but for one moment:
+    those that look back to ``since`` leave out cases started earlier on the day it lies in. The cases
+    after it are therefore counted apart, and each row has the latest start of its cases.
+    """
+    day = day_of(overview, "Start_Time", "Start_Day").alias("Start_Day")
+    after = (F.col("Start_Time") > since).alias("_after")
+    counts = overview.groupBy(day, after, "Duration_Type", "Duration_Days").agg(
+        F.max("Start_Time").alias("Start_Time"), cases(overview).alias(COUNT)
+    )
+    return counts.drop("_after")
+
+
 def case_classification(
     overview: DataFrame,
     start: Column,
@@ -64,11 +79,12 @@ def case_classification(
 ) -> DataFrame:
     """Cases started on or after the day ``start`` with their duration bucket and risk status.
 
-    ``labels`` names the statuses: one per edge and one for durations above the last edge.
+    ``labels`` names the statuses: one per edge and one for durations above the last edge. A counted
+    overview keeps its counts and has no case ids.
     """
     days = F.col("Duration_Days")
     return overview.filter(day_of(overview, "Start_Time", "Start_Day") >= start).select(
-        "Case_ID",
+        *(counted(overview) or ["Case_ID"]),
         "Start_Time",
         "Duration_Days",
         "Duration_Type",
@@ -89,7 +105,7 @@ def share_of(df: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataF
     The window runs over the counts, one row per key combination, never over the cases. The keys
     are classes and periods, so the counts are few.
     """
-    counts = df.groupBy(*keys).agg(cases().alias("Amount"))
+    counts = df.groupBy(*keys).agg(cases(df).alias("Amount"))
     return with_share(report_rows(counts), within)
 
 
@@ -124,7 +140,7 @@ def sla_trend(
         chosen = chosen.filter((day >= since.cast("date")) & (F.col("Start_Time") > since))
     status = trend_status(F.col("Duration_Days"), params.target_days, params.watch_days)
     daily = chosen.groupBy(day.alias("_day"), status.alias("Risk_Status")).agg(
-        cases().alias("_cases")
+        cases(chosen).alias("_cases")
     )
     label = period_label(F.col("_day"), period, params.iso_year)
     counts = (
@@ -146,7 +162,7 @@ def trend_cutoff(as_of: Column, months: int = 3) -> Column:
 
 def backlog_total(classified: DataFrame) -> DataFrame:
     """One row: open cases in the analysis window."""
-    opened = cases_if(F.col("Duration_Type") == OPEN)
+    opened = cases_if(F.col("Duration_Type") == OPEN, classified)
     return classified.agg(opened.alias("Total_Number_Of_Open_Cases"))
 
 
@@ -155,11 +171,11 @@ def backlog_aged_share(classified: DataFrame, aged_days: int = 90) -> DataFrame:
 
     No row when there is no such case.
     """
-    aged = cases_if(F.col("Duration_Days") > aged_days)
+    aged = cases_if(F.col("Duration_Days") > aged_days, classified)
     return (
         classified.filter(F.col("Duration_Type") == OPEN)
         .groupBy(F.col("Duration_Type").alias("Backlog"))
-        .agg(aged.alias("Amount"), cases().alias("_open"))
+        .agg(aged.alias("Amount"), cases(classified).alias("_open"))
         .filter(F.col("Amount") > 0)
         .select("Backlog", "Amount", ratio(F.col("Amount"), F.col("_open")).alias("Ratio"))
     )
@@ -173,13 +189,16 @@ def backlog_aged_overview(
     One pass: every open case is counted per bucket, so the counts also give the total.
     """
     is_aged = F.col("Duration_Days") > aged_days
+    days = F.col("Duration_Days")
+    for count in counted(classified):
+        days = days * F.col(count)
     counts = (
         classified.filter(F.col("Duration_Type") == OPEN)
         .groupBy("Duration_Type", "Distribution_Buckets", "Risk_Status")
         .agg(
-            cases_if(is_aged).alias("Amount"),
-            F.sum(F.when(is_aged, F.col("Duration_Days"))).alias("_days"),
-            cases().alias("_open"),
+            cases_if(is_aged, classified).alias("Amount"),
+            F.sum(F.when(is_aged, days)).alias("_days"),
+            cases(classified).alias("_open"),
         )
     )
     total = F.sum("_open").over(Window.partitionBy("Duration_Type"))
@@ -210,7 +229,9 @@ def sla_duration_percentiles(
     labels = [f"Lead Time <= {target_days} days", f"Lead Time > {target_days} days"]
     stage = F.when(F.col("Duration_Days") <= target_days, labels[0]).otherwise(labels[1])
     hist = histogram(
-        classified.select(stage.alias("Stage"), "Duration_Days"), "Stage", "Duration_Days"
+        classified.select(stage.alias("Stage"), "Duration_Days", *counted(classified)),
+        "Stage",
+        "Duration_Days",
     )
     out = percentiles(hist, ["Stage"], "Duration_Days", dict(levels))
     return report_rows(out).select(

@@ -75,15 +75,24 @@ def every_case() -> Column:
     return F.lit(True)
 
 
+def lead_within(limit: int = 75) -> Column:
+    """A lead time of 1 to ``limit`` days."""
+    return (F.col("Lead_Time") <= limit) & (F.col("Lead_Time") > 0)
+
+
+def lead_above(limit: int = 75) -> Column:
+    """A lead time of more than ``limit`` days."""
+    return F.col("Lead_Time") > limit
+
+
 def valid_within(limit: int = 75, steps: Sequence[Step] = P2P_STEPS) -> Column:
     """Valid closed cases that took 1 to ``limit`` days."""
-    lead = F.col("Lead_Time")
-    return (lead <= limit) & (lead > 0) & valid_stages(steps)
+    return lead_within(limit) & valid_stages(steps)
 
 
 def valid_above(limit: int = 75, steps: Sequence[Step] = P2P_STEPS) -> Column:
     """Valid closed cases that took more than ``limit`` days."""
-    return (F.col("Lead_Time") > limit) & valid_stages(steps)
+    return lead_above(limit) & valid_stages(steps)
 
 
 def stage_rows(
@@ -109,7 +118,29 @@ def duration_profile(
     All stages in one pass. A stage without cases gives no row.
     """
     rows = stage_rows(sb.filter(population), [], steps).filter(F.col("Days") >= 0)
-    out = percentiles(histogram(rows, "Stage", "Days"), ["Stage"], "Days", dict(levels))
+    return counted_durations(histogram(rows, "Stage", "Days"), every_case(), label, steps, levels)
+
+
+def stage_counts(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
+    """Cases counted per ``Stage``, its ``Days`` and, for valid closed cases, their ``Lead_Time``.
+
+    Stages that are missing or negative are left out. As many rows as the calendar allows; the
+    duration and contribution profiles read nothing else.
+    """
+    lead = F.when(valid_stages(steps), F.col("Lead_Time"))
+    rows = stage_rows(sb.withColumn("Lead_Time", lead), ["Lead_Time"], steps)
+    return histogram(rows.filter(F.col("Days") >= 0), "Stage", "Days", "Lead_Time")
+
+
+def counted_durations(
+    counts: DataFrame,
+    population: Column,
+    label: str = "Stage",
+    steps: Sequence[Step] = P2P_STEPS,
+    levels: Sequence[tuple[str, float]] = LEVELS,
+) -> DataFrame:
+    """:func:`duration_profile` from :func:`stage_counts`; ``population`` is a condition on them."""
+    out = percentiles(counts.filter(population), ["Stage"], "Days", dict(levels))
     return report_rows(out).select(
         F.col("Stage").alias(label),
         *[clean_double(F.col(c)).alias(c) for c, _ in levels],
@@ -144,9 +175,21 @@ def stage_flags(sb: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
     return primary_issue(stage_status(sb, steps), steps)
 
 
+def flag_counts(flags: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
+    """Cases counted per statuses and steps reached: a few dozen rows that stand for all cases.
+
+    Each row has one of the days of its cases for every step that they reached.
+    """
+    statuses = [f"{a}_{b}_Status" for a, b in stage_pairs(steps)]
+    reached = [step_day(flags, s.name).isNotNull().alias(f"_{s.name}") for s in steps]
+    days = [F.min(step_day(flags, s.name)).alias(day_col(s.name)) for s in steps]
+    counts = flags.groupBy(*statuses, "Primary_Issue", *reached).agg(*days, cases(flags).alias(COUNT))
+    return counts.drop(*[f"_{s.name}" for s in steps])
+
+
 def primary_issue_share(flags: DataFrame) -> DataFrame:
-    """Cases per primary issue and their percentage of all cases."""
-    counts = flags.groupBy("Primary_Issue").agg(cases().alias("Amount"))
+    """Cases per primary issue and their percentage of all cases; ``flags`` may be counted."""
+    counts = flags.groupBy("Primary_Issue").agg(cases(flags).alias("Amount"))
     # One row per status: the whole-table window sees at most seven rows.
     total = F.sum("Amount").over(Window.partitionBy())
     return report_rows(counts).withColumn("Ratio", ratio(F.col("Amount"), total)).orderBy(
@@ -157,7 +200,8 @@ def primary_issue_share(flags: DataFrame) -> DataFrame:
 def local_missingness(flags: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
     """Per stage: cases whose end is missing, as a percentage of those that reached its start.
 
-    All stages are counted in one pass over the cases; a status nobody has gives no row.
+    All stages are counted in one pass over the cases; a status nobody has gives no row. ``flags`` may
+    be counted.
     """
     aggs, rows = [], []
     for i, (a, b) in enumerate(stage_pairs(steps)):
@@ -165,8 +209,8 @@ def local_missingness(flags: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> Da
         hit = F.col(f"{a}_{b}_Status") == missing
         reached = F.lit(True) if i == 0 else step_day(flags, a).isNotNull()
         aggs += [
-            cases_if(hit).alias(f"_hit{i}"),
-            cases_if(reached).alias(f"_all{i}"),
+            cases_if(hit, flags).alias(f"_hit{i}"),
+            cases_if(reached, flags).alias(f"_all{i}"),
         ]
         rows.append(
             F.struct(
@@ -209,6 +253,10 @@ def share_histogram(
     pairs = histogram(
         stage_rows(closed, [*keys, "Lead_Time"], steps), *keys, "Stage", "Lead_Time", "Days"
     )
+    return _shares(pairs, keys, scale)
+
+
+def _shares(pairs: DataFrame, keys: Sequence[str], scale: int | None) -> DataFrame:
     share = day_share(F.col("Days"), F.col("Lead_Time"), scale)
     return pairs.select(*keys, "Stage", share.alias("Share"), COUNT)
 
@@ -221,7 +269,22 @@ def contribution_profile(
     steps: Sequence[Step] = P2P_STEPS,
 ) -> DataFrame:
     """Median percentage of the lead time spent in each stage, over closed valid cases."""
-    hist = share_histogram(sb.filter(population), [], scale, steps)
+    return _median_shares(share_histogram(sb.filter(population), [], scale, steps), label, steps)
+
+
+def counted_contribution(
+    counts: DataFrame,
+    population: Column,
+    label: str = "Stage",
+    scale: int | None = 4,
+    steps: Sequence[Step] = P2P_STEPS,
+) -> DataFrame:
+    """:func:`contribution_profile` from :func:`stage_counts`; ``population`` is a condition on them."""
+    closed = counts.filter(F.col("Lead_Time").isNotNull() & population)
+    return _median_shares(_shares(closed, [], scale), label, steps)
+
+
+def _median_shares(hist: DataFrame, label: str, steps: Sequence[Step]) -> DataFrame:
     median = hist.groupBy("Stage").agg(percentile_of("Share", 0.5).alias("_median"))
     return report_rows(median).select(
         F.col("Stage").alias(label), to_percent(F.col("_median")).alias("Median")

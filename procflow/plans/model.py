@@ -17,15 +17,22 @@ from procflow.operators.milestones import (
     step_events,
     step_times,
 )
-from procflow.operators.overview import case_classification, case_overview, trend_cutoff
+from procflow.operators.overview import (
+    case_classification,
+    case_overview,
+    counted_overview,
+    trend_cutoff,
+)
 from procflow.operators.segments import delay_base
-from procflow.operators.stages import stage_base, stage_flags
+from procflow.operators.stages import flag_counts, stage_base, stage_counts, stage_flags
 from procflow.sources.staging import reducers, stage
 from procflow.sources.star import Star
 
 
 #: Closing time from the core milestone table, where there is one.
 END_COLUMN = "_end"
+#: First day of the month of a case's first step: the folders of the staged case table.
+START_MONTH = "Start_month"
 
 
 def case_table(
@@ -134,9 +141,25 @@ class CaseModel:
         """Cases that have a first step."""
         return self.seen.filter(F.col(day_col(self.steps[0].name)).isNotNull())
 
+    @cached_property
+    def in_window(self) -> DataFrame:
+        """Cases that may lie in the analysis window: those of its months.
+
+        The window starts on the first of a month. On a table that lies in folders by month, earlier
+        files are not even opened; other tables are returned whole, as every operator applies the
+        exact condition itself.
+        """
+        if START_MONTH not in self.cases.columns:
+            return self.seen
+        return self.seen.filter(F.col(START_MONTH) >= self.start)
+
     @cached_property
     def overview(self) -> DataFrame:
-        spans = self.started.select(
+        return self._overview(self.started)
+
+    def _overview(self, cases: DataFrame) -> DataFrame:
+        first_day = F.col(day_col(self.steps[0].name))
+        spans = cases.filter(first_day.isNotNull()).select(
             "Case_ID",
             F.col(ts_col(self.steps[0].name)).alias("Start_Time"),
             F.col("End_ts").alias("End_Time"),
@@ -148,11 +171,12 @@ class CaseModel:
     @cached_property
     def classification(self) -> DataFrame:
         p = self.params
-        return case_classification(self.overview, self.start, p.bucket_edges, p.risk_labels)
+        seen = self._overview(self.in_window)
+        return case_classification(seen, self.start, p.bucket_edges, p.risk_labels)
 
     @cached_property
     def stage_base(self) -> DataFrame:
-        return stage_base(self.started, self.start, self.steps)
+        return stage_base(self.in_window, self.start, self.steps)
 
     @cached_property
     def stage_flags(self) -> DataFrame:
@@ -161,9 +185,32 @@ class CaseModel:
     @cached_property
     def delay_base(self) -> DataFrame:
         return delay_base(
-            self.seen, self.start, self.params.target_days, self.steps, self.segments
+            self.in_window, self.start, self.params.target_days, self.steps, self.segments
         )
 
+    # Counted once for all reports that need no single case: their size is bounded by the calendar,
+    # and 17 reports read them instead of the case table. Written at first use.
+
+    @cached_property
+    def sla_counts(self) -> DataFrame:
+        """The overview counted per start day, type and duration."""
+        return stage(counted_overview(self.overview, self.trend_cutoff), "sla_counts")
+
+    @cached_property
+    def classification_counts(self) -> DataFrame:
+        p = self.params
+        return case_classification(self.sla_counts, self.start, p.bucket_edges, p.risk_labels)
+
+    @cached_property
+    def stage_counts(self) -> DataFrame:
+        """The stage base counted per stage, its days and the lead time."""
+        return stage(stage_counts(self.stage_base, self.steps), "stage_counts")
+
+    @cached_property
+    def flag_counts(self) -> DataFrame:
+        """The stage flags counted per statuses and steps reached."""
+        return stage(flag_counts(self.stage_flags, self.steps), "flag_counts")
+
 
 def build_model(
     star: Star,
@@ -177,15 +224,19 @@ def build_model(
 
     ``steps`` are the milestones of the process in their order, ``segments`` the attributes of
     ``fact_cases`` to rank; ``partitions`` is the number of reducers of the case shuffle, by default
-    the session's. Sorting each file by the first step lets the window filter of later reports skip
-    row groups and pages. The sort is local to each partition.
+    the session's. The finished cases are dealt to ranges of the first step (and of the case id, so that
+    a day with a third of all cases is split) and written in folders by its month: a window reads the
+    files of its months only, and in these the sort lets it skip row groups and pages. There are about as
+    many files as reducers and months together.
     Without a core milestone table the as-of date is the latest first step in the case table,
     one column of a table already written, instead of a second pass over the events.
     """
     first = steps[0]
     with reducers(star.fact_events.sparkSession, partitions):
         table = case_table(star, collation, steps, segments)
-        cases = stage(table.sortWithinPartitions(ts_col(first.name)), "cases")
+        day = day_col(first.name)
+        table = table.withColumn(START_MONTH, F.trunc(day, "MM")).repartitionByRange(day, "Case_ID")
+        cases = stage(table.sortWithinPartitions(START_MONTH, ts_col(first.name)), "cases", [START_MONTH])
     core = star.fact_case_milestones_core
     if core is None:
         as_of = cases.agg(F.max(ts_col(first.name)).alias("As_of_Date"))

@@ -265,9 +265,15 @@ QUERIES: dict[str, Query] = {
     "journey_cohort_bottleneck": _on_journeys(_cohort_bottleneck),
 }
 
+def _counted_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    m = order_line_model(spark, folder)
+    return [m.sla_counts, m.stage_counts, m.flag_counts]
+
+
 #: What the queries share, built at its first use.
 PREPARED: dict[str, Callable[[SparkSession, str], object]] = {
     "order_line_model": order_line_model,
+    "counted_tables": _counted_tables,
     "built_star": _built_star,
     "saved_star_model": _saved_star_model,
     "journey_model": _journey_model,

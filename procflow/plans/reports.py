@@ -1,4 +1,8 @@
-"""The reports: each a function of the case model, returning one result table."""
+"""The reports: each a function of the case model, returning one result table.
+
+Those of the SLA, backlog and bottleneck sections read the model's counted tables, which are written
+at their first use; the others read the case table.
+"""
 
 from __future__ import annotations
 
@@ -23,19 +27,19 @@ SPEND_CLASS = "Spend_class"
 
 
 def sla_distribution(m: CaseModel) -> DataFrame:
-    return ov.sla_distribution(m.classification, m.params.bucket_edges)
+    return ov.sla_distribution(m.classification_counts, m.params.bucket_edges)
 
 
 def sla_monthly_closed(m: CaseModel) -> DataFrame:
-    return ov.sla_trend(m.overview, CLOSED, params=m.params)
+    return ov.sla_trend(m.sla_counts, CLOSED, params=m.params)
 
 
 def sla_monthly_open(m: CaseModel) -> DataFrame:
-    return ov.sla_trend(m.overview, OPEN, params=m.params)
+    return ov.sla_trend(m.sla_counts, OPEN, params=m.params)
 
 
 def _weekly(m: CaseModel, kind: str) -> DataFrame:
-    return ov.sla_trend(m.overview, kind, "iso_week", m.trend_cutoff, m.params)
+    return ov.sla_trend(m.sla_counts, kind, "iso_week", m.trend_cutoff, m.params)
 
 
 def sla_weekly_closed(m: CaseModel) -> DataFrame:
@@ -47,22 +51,22 @@ def sla_weekly_open(m: CaseModel) -> DataFrame:
 
 
 def backlog_total(m: CaseModel) -> DataFrame:
-    return ov.backlog_total(m.classification)
+    return ov.backlog_total(m.classification_counts)
 
 
 def backlog_aged_share(m: CaseModel) -> DataFrame:
-    return ov.backlog_aged_share(m.classification, m.params.aged_days)
+    return ov.backlog_aged_share(m.classification_counts, m.params.aged_days)
 
 
 def backlog_aged_overview(m: CaseModel) -> DataFrame:
     return ov.backlog_aged_overview(
-        m.classification, m.params.aged_days, m.params.bucket_edges
+        m.classification_counts, m.params.aged_days, m.params.bucket_edges
     )
 
 
 def sla_duration_percentiles(m: CaseModel) -> DataFrame:
     return ov.sla_duration_percentiles(
-        m.classification, m.params.target_days, m.params.levels
+        m.classification_counts, m.params.target_days, m.params.levels
     )
 
 
@@ -70,7 +74,7 @@ def sla_duration_percentiles(m: CaseModel) -> DataFrame:
 
 
 def _durations(m: CaseModel, population: Column, label: str) -> DataFrame:
-    return st.duration_profile(m.stage_base, population, label, m.steps, m.params.levels)
+    return st.counted_durations(m.stage_counts, population, label, m.steps, m.params.levels)
 
 
 def stage_duration_all(m: CaseModel) -> DataFrame:
@@ -79,37 +83,37 @@ def stage_duration_all(m: CaseModel) -> DataFrame:
 
 def stage_duration_within(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return _durations(m, st.valid_within(limit, m.steps), f"Stage_LT_Within_{limit}")
+    return _durations(m, st.lead_within(limit), f"Stage_LT_Within_{limit}")
 
 
 def stage_duration_above(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return _durations(m, st.valid_above(limit, m.steps), f"Stage_LT_Without_{limit}")
+    return _durations(m, st.lead_above(limit), f"Stage_LT_Without_{limit}")
 
 
 def primary_issue_share(m: CaseModel) -> DataFrame:
-    return st.primary_issue_share(m.stage_flags)
+    return st.primary_issue_share(m.flag_counts)
 
 
 def local_missingness(m: CaseModel) -> DataFrame:
-    return st.local_missingness(m.stage_flags, m.steps)
+    return st.local_missingness(m.flag_counts, m.steps)
 
 
 def contribution_all(m: CaseModel) -> DataFrame:
-    return st.contribution_profile(m.stage_base, st.every_case(), steps=m.steps)
+    return st.counted_contribution(m.stage_counts, st.every_case(), steps=m.steps)
 
 
 def contribution_within(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return st.contribution_profile(
-        m.stage_base, F.col("Lead_Time") <= limit, f"Stage_Within_{limit}", steps=m.steps
+    return st.counted_contribution(
+        m.stage_counts, F.col("Lead_Time") <= limit, f"Stage_Within_{limit}", steps=m.steps
     )
 
 
 def contribution_above(m: CaseModel) -> DataFrame:
     limit = m.params.target_days
-    return st.contribution_profile(
-        m.stage_base, F.col("Lead_Time") > limit, f"Stage_Without_{limit}", steps=m.steps
+    return st.counted_contribution(
+        m.stage_counts, F.col("Lead_Time") > limit, f"Stage_Without_{limit}", steps=m.steps
     )
 
 
@@ -167,7 +171,7 @@ def segment_cases(
     if texts is not None:
         chosen = chosen.join(texts, segment.key, "left")
         extra = [c for c in texts.columns if c != segment.key]
-    return sg.segment_base(m.seen, chosen, segment, m.start, extra, m.steps)
+    return sg.segment_base(m.in_window, chosen, segment, m.start, extra, m.steps)
 
 
 def segment_durations(
@@ -269,5 +273,7 @@ REPORTS: dict[str, Report] = {
 
 
 def reports(model: CaseModel) -> dict[str, DataFrame]:
-    """Every report of the model, by name, as a plan that runs when it is written or shown."""
+    """Every report of the model, by name, as a plan that runs when it is written or shown.
+
+    The counted tables that they share are written here."""
     return {name: build(model) for name, build in REPORTS.items()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import TypeVar
 
@@ -75,11 +75,15 @@ def reducers(spark: SparkSession, n: int | None) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a scan of what was written."""
+def stage(df: DataFrame, name: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as a scan of what was written.
+
+    Rows are laid in folders by the columns ``folders``, which must be the last ones: a condition on
+    them leaves out whole folders.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -165,3 +165,47 @@ def test_other_edges_come_with_their_labels(spark):
         ov.case_classification(over, first_day(), (10, 20))
     (row,) = rows(ov.case_classification(over, first_day(), (10, 20), ("low", "mid", "high")))
     assert row[4:] == ("20", "mid")
+
+
+def test_counted_overview_gives_the_rows_of_the_cases(spark):
+    """Every report over the counted table equals the one over the cases, on the day of the cut too."""
+    df = spans(
+        spark,
+        ("A", "2018-10-31 11:59", "2018-11-30"),
+        ("B", "2018-10-31 12:00", "2018-11-30"),
+        ("C", "2018-10-31 12:01", "2018-11-30"),
+        ("D", "2018-10-31 23:00", "2018-11-30"),
+        ("E", "2018-07-01", None),
+        ("F", "2018-07-01 05:00", None),
+        ("G", "2018-05-31", "2019-01-31"),
+        ("H", "2018-08-03", None),
+        ("I", "2018-12-31", "2018-12-30"),
+        ("J", "2019-01-30", None),
+    )
+    cut = F.lit("2018-10-31 12:00:00").cast("timestamp_ntz")
+    plain = ov.case_overview(df, as_of_day())
+    few = ov.counted_overview(plain, cut)
+    assert few.count() < plain.count()
+    for kind in (CLOSED, OPEN):
+        for period, since in (("month", None), ("iso_week", cut)):
+            want = rows(ov.sla_trend(plain, kind, period, since))
+            assert want and rows(ov.sla_trend(few, kind, period, since)) == want
+    (after,) = [r for r in rows(ov.sla_trend(few, CLOSED, "month", cut)) if r[0] == "2018-10"]
+    assert after[3] == 2
+    whole, counts = (ov.case_classification(d, first_day()) for d in (plain, few))
+    for report in (
+        ov.sla_distribution,
+        ov.backlog_total,
+        ov.backlog_aged_share,
+        ov.backlog_aged_overview,
+        ov.sla_duration_percentiles,
+    ):
+        assert rows(report(counts)) == rows(report(whole))
+
+
+def test_counted_overview_without_cases(spark):
+    cut = F.lit("2018-10-31").cast("timestamp_ntz")
+    few = ov.counted_overview(ov.case_overview(spans(spark, ("A", None, None)).limit(0), as_of_day()), cut)
+    counts = ov.case_classification(few, first_day())
+    assert rows(ov.backlog_total(counts)) == [(0,)]
+    assert rows(ov.sla_distribution(counts)) == rows(ov.backlog_aged_overview(counts)) == []

@@ -9,15 +9,19 @@ from dataclasses import replace
 
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 from procflow.operators.milestones import core_milestones, milestones
-from procflow.plans.model import build_model, case_table
+from procflow.plans.model import START_MONTH, build_model, case_table
 from procflow.plans.order_line_model import order_line_model
 from procflow.plans.registry import QUERIES
 from procflow.plans.reports import REPORTS
 from procflow.sources.order_lines import order_line_star
 from procflow.sources.star import load_star, save_star
 
+#: The reports over counted tables: all of the SLA, backlog and bottleneck sections.
+COUNTED = list(REPORTS)[:17]
+
 
 def plan(df) -> str:
     out = io.StringIO()
@@ -84,15 +88,15 @@ def test_reports_do_not_read_case_ids(spark, small, name):
         assert "Case_ID" not in s
 
 
-@pytest.mark.parametrize("name", ["sla_distribution", "stage_duration_all", "vendor_ranking"])
+@pytest.mark.parametrize("name", ["classification", "stage_base", "delay_base"])
 def test_window_start_reaches_the_scan(spark, small, name):
-    text = plan(REPORTS[name](order_line_model(spark, small)))
+    text = plan(getattr(order_line_model(spark, small), name))
     assert re.search(r"PushedFilters: \[.*IsNotNull\(PO_day\)", text)
     assert re.search(r"DataFilters: .*PO_day#\d+ >= (Reused)?Subquery|PO_day#\d+ >= Subquery", text)
 
 
-def rows_read(df) -> dict[str, int]:
-    """Rows each Parquet scan handed on, from the metrics of the executed plan."""
+def rows_read(df, metric: str = "numOutputRows") -> dict[str, int]:
+    """Rows each Parquet scan handed on, or another of its metrics, from the executed plan."""
     df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df = df.select("*")
@@ -101,7 +105,7 @@ def rows_read(df) -> dict[str, int]:
         while todo:
             node = todo.pop()
             if "Scan parquet" in node.nodeName():
-                count = node.metrics().get("numOutputRows").get().value()
+                count = node.metrics().get(metric).get().value()
                 found[node.toString().split("\n")[0]] = count
             children = node.children()
             todo += [children.apply(i) for i in range(children.size())]
@@ -119,6 +123,37 @@ def test_scan_skips_what_lies_before_the_window(spark):
         assert read and max(read) < 0.8 * total
 
 
+def test_window_opens_the_files_of_its_months_only(spark):
+    """The case table lies in folders by month; files before the window are not in the scan at all."""
+    m = order_line_model(spark, str(TESTDATA / "sf0.1"))
+    files = spark.read.parquet(*m.cases.inputFiles()).select(F.input_file_name().alias("f"))
+    month = F.regexp_extract("f", START_MONTH + "=([0-9-]+)", 1)
+    within = {r["f"] for r in files.distinct().filter(month.try_cast("date") >= m.start).collect()}
+    assert 0 < len(within) < len(m.cases.inputFiles())
+    for df in (m.classification.select("Duration_Days"), m.stage_base.select("Lead_Time"), m.delay_base):
+        opened = [n for scan, n in rows_read(df, "numFiles").items() if "PO_day" in scan]
+        assert opened == [len(within)]
+
+
+def test_a_day_with_most_cases_is_split_over_files(spark, log):
+    for i in range(60):
+        log.case(f"C{i}", PO="2018-07-01" if i % 3 else "2018-05-01", CI="2018-07-09")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = build_model(log.star(), partitions=6)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert split.cases.count() == 60
+    assert split.cases.filter("PO_day = '2018-07-01'").select(F.input_file_name()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counted_reports_scan_no_cases(spark, small, name):
+    """17 reports read the counted tables, whatever the number of cases."""
+    files = REPORTS[name](order_line_model(spark, small)).inputFiles()
+    assert files and not [f for f in files if "/cases-" in f or "lineitem" in f]
+
+
 def final_lines(plan: str) -> list[str]:
     """Lines of an adaptive plan without the initial plans, those of subqueries included."""
     kept, skip = [], None

@@ -208,3 +208,28 @@ def test_other_steps_and_levels(spark, log):
     assert [r["Stage"] for r in rp.vendor_bottleneck(m).collect()] == ["PO_IR_Days", "IR_CI_Days"]
     assert rp.sla_duration_percentiles(m).columns == ["Stage", "P25", "P75"]
     assert rows(rp.local_missingness(m)) == []
+
+
+def test_counted_stages_and_flags_give_the_rows_of_the_cases(log):
+    for i, days in enumerate([(1, 2, 3), (1, 2, 3), (0, 0, 0), (30, 40, 5), (30, 46, 0), (30, 46, 9), (-1, 5, 0), (90, -5, 0)]):
+        timed(log, f"C{i}", *days)
+    log.case("no IR", PO="2018-07-01", GR="2018-07-02", CI="2018-07-03")
+    log.case("PO only", PO="2018-07-01")
+    log.case("no GR", PO="2018-07-01", IR="2018-07-09", CI="2018-07-08")
+    cases = base(log)
+    counts, flags = st.stage_counts(cases), st.stage_flags(cases)
+    lead = F.col("Lead_Time")
+    for counted, plain in (
+        (st.every_case(), st.every_case()),
+        (st.lead_within(75), st.valid_within(75)),
+        (st.lead_above(75), st.valid_above(75)),
+    ):
+        want = rows(st.duration_profile(cases, plain))
+        assert want and rows(st.counted_durations(counts, counted)) == want
+    for part in (st.every_case(), lead <= 75, lead > 75):
+        want = rows(st.contribution_profile(cases, part))
+        assert want and rows(st.counted_contribution(counts, part)) == want
+    few = st.flag_counts(flags)
+    assert few.count() < flags.count()
+    assert rows(st.primary_issue_share(few)) == rows(st.primary_issue_share(flags))
+    assert rows(st.local_missingness(few)) == rows(st.local_missingness(flags))
