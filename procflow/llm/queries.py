@@ -16,7 +16,7 @@ from procflow.llm.lattice import lattice_scores, piece_path
 from procflow.llm.line_dedup import dedup_lines
 from procflow.llm.packing import pack_documents
 from procflow.llm.quality import THRESHOLD, fit, held_out, score_texts
-from procflow.llm.sharding import shard_documents
+from procflow.llm.sharding import write_shards
 from procflow.llm.simhash import fingerprints_with_neighbours, near_classes
 from procflow.llm.substring_dedup import remove_repeats
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens
@@ -55,8 +55,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    rows = shard_documents(documents(spark, folder), SHARD_BYTES).rows
-    return rows.select(F.col("key").alias("doc_id"), "n_bytes", "shard", "depth")
+    """Each document's size and shard, as found in the written shards."""
+    held = write_shards(documents(spark, folder), SHARD_BYTES).read()
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return held.select("doc_id", n_bytes, "shard", F.length("shard").alias("depth"))
 
 
 def op4_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,9 +9,14 @@ through the next bits, until every bucket fits or holds one row.
 
 After the 64 bits of the key hash, 64 bits of a row number follow, so rows with one key split too.
 
-Defined cases: a null key hashes like the text 'null'; a null text has 0 bytes; repeated rows are
-rows of their own; a row that is larger than the limit gets a shard of its own, which exceeds it;
-an empty table gives no rows and no shards.
+``write_shards`` then moves the documents: a written copy holds each row's address, so that a lost
+executor cannot change a row number; the rows meet their shard by address and are dealt by shard, one
+folder and file each. No shard exceeds the limit but for a single row, so no task is hot.
+
+Defined cases: a null key hashes like the text 'null'; a null text has 0 bytes and its row lies in the
+shard of its address like any other; repeated rows are rows of their own; a row that is larger than the
+limit gets a shard of its own, which exceeds it (a very long text stays whole); an empty table gives no
+rows, no shards and an empty directory; other columns, whatever their names, are written as they are.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructType
 from pyspark.sql import functions as F
 
-from procflow.llm.common import stage
+from procflow.llm.common import new_folder, stage
 
 KEY_BITS = 64
 ALL_BITS = 128
@@ -66,12 +72,27 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 def shard_documents(docs: DataFrame, limit: int, key: str = "doc_id", spare_bits: int = 4) -> Sharding:
     """Shards of at most ``limit`` bytes of text, by the hash of column ``key``."""
-    rows = docs.select(
+    rows = stage(docs.select(*_address(key)), "shard-rows")
+    return _sharding(_places(rows, limit, spare_bits))
+
+
+def _address(key: str) -> list[Column]:
+    return [
         F.col(key).alias("key"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.concat(key_bits(F.col(key)), key_bits(F.monotonically_increasing_id())).alias("bits"),
+    ]
+
+
+def _sharding(places: DataFrame) -> Sharding:
+    shards = places.groupBy("shard", "depth").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
     )
-    rows = stage(rows, "shard-rows")
+    return Sharding(places.drop("bits"), shards)
+
+
+def _places(rows: DataFrame, limit: int, spare_bits: int) -> DataFrame:
+    """(key, n_bytes, shard, depth, bits) of each row of the staged table (key, n_bytes, bits)."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     step = max(1, math.ceil(math.log2(max(total, 1) / limit)) if total > limit else 0) + spare_bits
     placed, open_rows, low = None, rows, 0
@@ -89,7 +110,45 @@ def shard_documents(docs: DataFrame, limit: int, key: str = "doc_id", spare_bits
             break
         open_rows = stage(with_depth.where("depth is null").drop("cell", "depth"), "shard-open")
         low, step = high + 1, spare_bits * 2
-    out = placed.select("key", "n_bytes", F.col("bits").substr(F.lit(1), F.col("depth")).alias("shard"), "depth")
-    out = stage(out, "shard-places")
-    shards = out.groupBy("shard", "depth").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
-    return Sharding(out, shards)
+    shard = F.col("bits").substr(F.lit(1), F.col("depth")).alias("shard")
+    return stage(placed.select("key", "n_bytes", shard, "depth", "bits"), "shard-places")
+
+
+@dataclass
+class ShardFiles:
+    """Documents in one folder per shard below ``folder``; ``column`` names the folders' column."""
+
+    spark: SparkSession
+    folder: str
+    schema: StructType
+    column: str
+    sharding: Sharding
+
+    def read(self, shard: str | None = None) -> DataFrame:
+        """The documents of all shards, or of one, with their shard's bits in ``column``."""
+        held = self.spark.read.schema(self.schema).parquet(self.folder)
+        if shard is not None:
+            held = held.where(F.col(self.column) == MARK + shard)
+        return held.withColumn(self.column, F.substring(self.column, len(MARK) + 1, ALL_BITS))
+
+
+#: Begins the name of a shard in folder names, which cannot be empty.
+MARK = "b"
+
+
+def write_shards(
+    docs: DataFrame, limit: int, key: str = "doc_id", spare_bits: int = 4, folder: str | None = None
+) -> ShardFiles:
+    """Write the documents by shard, one file each, to ``folder`` (by default one in the shared folder)."""
+    spark = docs.sparkSession
+    folder = folder or new_folder(spark, "shards")
+    held = stage(docs.select(*_address(key), F.struct("*").alias("doc")), "shard-documents")
+    places = _places(held.select("key", "n_bytes", "bits"), limit, spare_bits)
+    column, taken = "shard", {c.lower() for c in docs.columns}
+    while column in taken:
+        column = f"_{column}"
+    name = F.concat(F.lit(MARK), "shard").alias(column)
+    moved = held.select("bits", "doc").join(places.select("bits", "shard"), "bits").select("doc.*", name)
+    moved.repartition(column).write.partitionBy(column).parquet(folder)
+    schema = StructType([*docs.schema.fields]).add(column, StringType())
+    return ShardFiles(spark, folder, schema, column, _sharding(places))

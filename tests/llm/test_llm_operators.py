@@ -29,7 +29,7 @@ from procflow.llm.components import components  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
 from procflow.llm.line_dedup import LineRuns, dedup_lines  # noqa: E402
 from procflow.llm.queries import PACK_END, QUERIES  # noqa: E402
-from procflow.llm.sharding import shard_documents  # noqa: E402
+from procflow.llm.sharding import shard_documents, write_shards  # noqa: E402
 from procflow.llm.substring_dedup import remove_repeats  # noqa: E402
 from procflow.llm.token_files import read_tokens, token_checksums, write_tokens  # noqa: E402
 from procflow.llm.tokens import WordTokens, encoder_path  # noqa: E402
@@ -172,6 +172,33 @@ def test_sharding_of_little(spark):
     assert [r["shard"] for r in shard_documents(frame(spark, [(1, "abc")]), 10).rows.collect()] == [""]
 
 
+def test_shards_read_back_from_their_files(spark):
+    """All rows and columns, one file a shard, no file over the limit but for a single row."""
+    rows = messy() + [(7, "y" * 40)] * 60
+    docs = frame(spark, rows).withColumn("Shard", F.lit("taken")).withColumn("doc", F.lit(1)).withColumn("bits", F.lit("b"))
+    made = write_shards(docs, 2000)
+    held = made.read()
+    assert made.column == "_shard" and held.columns == [*docs.columns, "_shard"]
+    assert order(tuples(held, *docs.columns)) == order(tuples(docs, *docs.columns))
+    size = {}
+    for shard, text, file in held.select("_shard", "text", F.input_file_name()).collect():
+        n, total, files = size.get(shard, (0, 0, set()))
+        size[shard] = (n + 1, total + len((text or "").encode()), files | {file})
+    assert len(size) > 4
+    assert all(len(files) == 1 and (total <= 2000 or n == 1) for n, total, files in size.values())
+    listed = {r["shard"]: (r["n_rows"], r["n_bytes"]) for r in made.sharding.shards.collect()}
+    assert listed == {s: (n, total) for s, (n, total, _) in size.items()}
+    one = max(size)
+    assert made.read(one).count() == size[one][0]
+
+
+def test_shard_files_of_little(spark):
+    empty = write_shards(frame(spark, []), 10)
+    assert empty.read().count() == 0 and empty.sharding.directory().count() == 0
+    (row,) = write_shards(frame(spark, [(None, None)]), 10).read().collect()
+    assert (row["doc_id"], row["text"], row["shard"]) == (None, None, "")
+
+
 # N-gram Jaccard join
 
 
