@@ -56,9 +56,8 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's size and shard, as found in the written shards."""
-    held = write_shards(documents(spark, folder), SHARD_BYTES).read()
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return held.select("doc_id", n_bytes, "shard", F.length("shard").alias("depth"))
+    rows = write_shards(documents(spark, folder), SHARD_BYTES).sharding().rows
+    return rows.select(F.col("key").alias("doc_id"), "n_bytes", "shard", "depth")
 
 
 def op4_lattice_lm(spark: SparkSession, folder: str) -> DataFrame:

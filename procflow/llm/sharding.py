@@ -9,9 +9,9 @@ through the next bits, until every bucket fits or holds one row.
 
 After the 64 bits of the key hash, 64 bits of a row number follow, so rows with one key split too.
 
-``write_shards`` then moves the documents: a written copy holds each row's address, so that a lost
-executor cannot change a row number; the rows meet their shard by address and are dealt by shard, one
-folder and file each. No shard exceeds the limit but for a single row, so no task is hot.
+``write_shards`` then moves the documents: each finds its shard in the directory by its address and
+is dealt by shard, one folder and file each. No shard exceeds the limit but for a single row, so no
+task is hot.
 
 Defined cases: a null key hashes like the text 'null'; a null text has 0 bytes and its row lies in the
 shard of its address like any other; repeated rows are rows of their own; a row that is larger than the
@@ -70,48 +70,63 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return cells.select("cell").join(best, "cell", "left")
 
 
-def shard_documents(docs: DataFrame, limit: int, key: str = "doc_id", spare_bits: int = 4) -> Sharding:
-    """Shards of at most ``limit`` bytes of text, by the hash of column ``key``."""
-    rows = stage(docs.select(*_address(key)), "shard-rows")
-    return _sharding(_places(rows, limit, spare_bits))
+def _levels(rows: DataFrame, limit: int, low: int, high: int, top: int, step: int) -> list[tuple[int, DataFrame]]:
+    """The directory of the staged table (n_bytes, bits), as tables (cell, depth) for growing cell lengths.
 
+    A cell without a depth does not fit as a whole; its rows go on to the next length, up to ``top``.
+    """
+    levels = []
+    while True:
+        high = min(high, top)
+        named = rows.withColumn("cell", F.substring("bits", 1, high))
+        cells = named.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
+        leaves = _leaves(stage(cells, "shard-cells"), low, high, limit)
+        if high == ALL_BITS:
+            leaves = leaves.withColumn("depth", F.coalesce("depth", F.lit(ALL_BITS)))
+        leaves = stage(leaves, "shard-leaves")
+        levels.append((high, leaves))
+        too_large = leaves.where("depth is null").select("cell")
+        if high == top or not too_large.limit(1).count():
+            return levels
+        rows = named.join(too_large, "cell", "left_semi").drop("cell")
+        low, high = high + 1, high + step
+
+
+def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` with ``depth`` and ``shard``; both null where no level has a place for the address."""
+    depths = []
+    for i, (bits, leaves) in enumerate(levels):
+        rows = rows.withColumn("_cell", F.substring("bits", 1, bits))
+        rows = rows.join(leaves.select(F.col("cell").alias("_cell"), F.col("depth").alias(f"_{i}")), "_cell", "left")
+        rows, depths = rows.drop("_cell"), [*depths, f"_{i}"]
+    rows = rows.withColumn("depth", F.coalesce(*depths)).drop(*depths)
+    return rows.withColumn("shard", F.col("bits").substr(F.lit(1), F.col("depth")))
+
+
+def _first_bits(rows: DataFrame, limit: int, spare_bits: int) -> int:
+    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    return (math.ceil(math.log2(total / limit)) if total > limit else 0) + spare_bits
 
-def _address(key: str) -> list[Column]:
-    return [
-        F.col(key).alias("key"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.concat(key_bits(F.col(key)), key_bits(F.monotonically_increasing_id())).alias("bits"),
-    ]
 
+def _n_bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
 
-def _sharding(places: DataFrame) -> Sharding:
-    shards = places.groupBy("shard", "depth").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes")
-    )
-    return Sharding(places.drop("bits"), shards)
 
+def _row_bits() -> Column:
+    return key_bits(F.monotonically_increasing_id())
 
-def _places(rows: DataFrame, limit: int, spare_bits: int) -> DataFrame:
-    """(key, n_bytes, shard, depth, bits) of each row of the staged table (key, n_bytes, bits)."""
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    step = max(1, math.ceil(math.log2(max(total, 1) / limit)) if total > limit else 0) + spare_bits
-    placed, open_rows, low = None, rows, 0
-    while True:
-        high = min(low + step, ALL_BITS)
-        cell = F.substring("bits", 1, high).alias("cell")
-        cells = open_rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
-        cells = stage(_leaves(stage(cells, "shard-cells"), low, high, limit), "shard-leaves")
-        with_depth = open_rows.withColumn("cell", F.substring("bits", 1, high)).join(cells, "cell")
-        if high == ALL_BITS:
-            with_depth = with_depth.withColumn("depth", F.coalesce("depth", F.lit(ALL_BITS)))
-        done = with_depth.where("depth is not null")
-        placed = done if placed is None else placed.unionByName(done)
-        if high == ALL_BITS or not cells.where("depth is null").limit(1).count():
-            break
-        open_rows = stage(with_depth.where("depth is null").drop("cell", "depth"), "shard-open")
-        low, step = high + 1, spare_bits * 2
-    shard = F.col("bits").substr(F.lit(1), F.col("depth")).alias("shard")
-    return stage(placed.select("key", "n_bytes", shard, "depth", "bits"), "shard-places")
+
+def shard_documents(docs: DataFrame, limit: int, key: str = "doc_id", spare_bits: int = 4) -> Sharding:
+    """Shards of at most ``limit`` bytes of text, by the hash of column ``key``."""
+    address = F.concat(key_bits(F.col(key)), _row_bits()).alias("bits")
+    rows = stage(docs.select(F.col(key).alias("key"), _n_bytes(), address), "shard-rows")
+    levels = _levels(rows, limit, 0, _first_bits(rows, limit, spare_bits), ALL_BITS, spare_bits * 2)
+    out = stage(_placed(rows, levels).select("key", "n_bytes", "shard", "depth"), "shard-places")
+    return Sharding(out, _sizes(out))
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("shard", "depth").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @dataclass
@@ -122,7 +137,6 @@ class ShardFiles:
     folder: str
     schema: StructType
     column: str
-    sharding: Sharding
 
     def read(self, shard: str | None = None) -> DataFrame:
         """The documents of all shards, or of one, with their shard's bits in ``column``."""
@@ -131,6 +145,12 @@ class ShardFiles:
             held = held.where(F.col(self.column) == MARK + shard)
         return held.withColumn(self.column, F.substring(self.column, len(MARK) + 1, ALL_BITS))
 
+    def sharding(self, key: str = "doc_id") -> Sharding:
+        """Rows, sizes and directory as found in the files."""
+        shard = F.col(self.column)
+        rows = self.read().select(F.col(key).alias("key"), _n_bytes(), shard.alias("shard"), F.length(shard).alias("depth"))
+        return Sharding(rows, _sizes(rows))
+
 
 #: Begins the name of a shard in folder names, which cannot be empty.
 MARK = "b"
@@ -139,16 +159,30 @@ MARK = "b"
 def write_shards(
     docs: DataFrame, limit: int, key: str = "doc_id", spare_bits: int = 4, folder: str | None = None
 ) -> ShardFiles:
-    """Write the documents by shard, one file each, to ``folder`` (by default one in the shared folder)."""
+    """Write the documents by shard, one file each, to ``folder`` (by default one in the shared folder).
+
+    Texts are shuffled once. Only rows whose key alone exceeds the limit are copied first, with a number
+    that tells them apart; a lost executor then cannot change it.
+    """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
-    held = stage(docs.select(*_address(key), F.struct("*").alias("doc")), "shard-documents")
-    places = _places(held.select("key", "n_bytes", "bits"), limit, spare_bits)
+    addressed = docs.select(
+        F.col(key).alias("key"), _n_bytes(), key_bits(F.col(key)).alias("bits"), F.struct("*").alias("doc")
+    )
+    rows = stage(addressed.select("n_bytes", "bits"), "shard-rows")
+    levels = _levels(rows, limit, 0, _first_bits(rows, limit, spare_bits), KEY_BITS, spare_bits * 2)
+    placed = _placed(addressed, levels)
+    bits, last = levels[-1]
+    if bits == KEY_BITS and last.where("depth is null").limit(1).count():
+        large = last.where("depth is null").select(F.col("cell").alias("bits"))
+        numbered = addressed.join(large, "bits", "left_semi").withColumn("bits", F.concat("bits", _row_bits()))
+        numbered = stage(numbered.select(*addressed.columns), "shard-large-keys")
+        parts = _levels(numbered.select("n_bytes", "bits"), limit, KEY_BITS + 1, KEY_BITS + spare_bits, ALL_BITS, spare_bits * 2)
+        placed = placed.where("depth is not null").unionByName(_placed(numbered, parts))
     column, taken = "shard", {c.lower() for c in docs.columns}
     while column in taken:
         column = f"_{column}"
-    name = F.concat(F.lit(MARK), "shard").alias(column)
-    moved = held.select("bits", "doc").join(places.select("bits", "shard"), "bits").select("doc.*", name)
+    moved = placed.select("doc.*", F.concat(F.lit(MARK), "shard").alias(column))
     moved.repartition(column).write.partitionBy(column).parquet(folder)
     schema = StructType([*docs.schema.fields]).add(column, StringType())
-    return ShardFiles(spark, folder, schema, column, _sharding(places))
+    return ShardFiles(spark, folder, schema, column)

@@ -174,7 +174,7 @@ def test_sharding_of_little(spark):
 
 def test_shards_read_back_from_their_files(spark):
     """All rows and columns, one file a shard, no file over the limit but for a single row."""
-    rows = messy() + [(7, "y" * 40)] * 60
+    rows = messy() + [(7, "y" * 40)] * 60 + [(None, "z" * 90)] * 80 + [(None, None)] * 3
     docs = frame(spark, rows).withColumn("Shard", F.lit("taken")).withColumn("doc", F.lit(1)).withColumn("bits", F.lit("b"))
     made = write_shards(docs, 2000)
     held = made.read()
@@ -186,7 +186,7 @@ def test_shards_read_back_from_their_files(spark):
         size[shard] = (n + 1, total + len((text or "").encode()), files | {file})
     assert len(size) > 4
     assert all(len(files) == 1 and (total <= 2000 or n == 1) for n, total, files in size.values())
-    listed = {r["shard"]: (r["n_rows"], r["n_bytes"]) for r in made.sharding.shards.collect()}
+    listed = {r["shard"]: (r["n_rows"], r["n_bytes"]) for r in made.sharding().shards.collect()}
     assert listed == {s: (n, total) for s, (n, total, _) in size.items()}
     one = max(size)
     assert made.read(one).count() == size[one][0]
@@ -194,7 +194,7 @@ def test_shards_read_back_from_their_files(spark):
 
 def test_shard_files_of_little(spark):
     empty = write_shards(frame(spark, []), 10)
-    assert empty.read().count() == 0 and empty.sharding.directory().count() == 0
+    assert empty.read().count() == 0 and empty.sharding().directory().count() == 0
     (row,) = write_shards(frame(spark, [(None, None)]), 10).read().collect()
     assert (row["doc_id"], row["text"], row["shard"]) == (None, None, "")
 
