@@ -3,15 +3,18 @@
 Removed are the words that a window of ``window`` words covers whose word sequence also starts in a
 document with a smaller doc_id.
 
-Level 1, half windows. Of each window, the smallest hash of the half windows inside it is its
-anchor. Equal windows have equal anchors, and neighbouring windows mostly share theirs, so only a
-few per cent of all places are sent: (anchor, doc_id), once per document. Anchors that a single
-document holds end here, and with them all windows they stand for.
-
-Level 2, whole windows. Windows with a repeated anchor are extended to full length: the key is the
-pair of hashes of their halves (128 bits). The smallest document of each key is found with a
-map-side minimum and joined back; that window is removed from all other documents. No longer level
-is needed, as longer repeats are covered by these windows.
+The levels double a short length until it is half a window (13, 25 words, then the window of 50).
+At each level the smallest hash of the runs of that length inside a window is the window's anchor.
+Equal windows have equal anchors, and neighbouring windows mostly share theirs, so only a few per
+cent of all places are sent: (anchor, doc_id), once per row. Anchors that a single document holds
+end there, and with them all windows they stand for; only windows whose anchor is repeated are
+extended to the next length, in the rows that have such windows. The loop ends when no candidates
+survive, or at the whole window.
+
+Whole windows. The key of a window that survived all levels is the pair of hashes of its halves
+(128 bits). The smallest document of each key is found with a map-side minimum and joined back; that
+window is removed from all other documents. No longer level is needed, as longer repeats are covered
+by these windows.
 
 Documents whose whole text also belongs to a smaller doc_id are set aside first: all their windows
 are in that document, too, which is a source of the same windows with a smaller doc_id.
@@ -38,6 +41,8 @@ from procflow.llm.common import BROADCAST_IDS, id_or_last, keep_ids, stage, text
 from procflow.llm.words import WordHashes, small_batches, window_hashes
 
 WINDOW = 50
+#: The first level's length is the largest one of at most so many words that doubles to a window.
+START = 13
 
 
 def sliding_minimum(x: np.ndarray, n: int) -> np.ndarray:
@@ -51,11 +56,23 @@ def sliding_minimum(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def halves_and_anchors(words: list[bytes], hashes: WordHashes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all half windows, and the anchor of every window."""
-    half = (window + 1) // 2
-    halves = window_hashes(hashes.of(words), half)
-    return halves, sliding_minimum(halves, window - half + 1)
+def levels(window: int, start: int = START) -> list[int]:
+    """Lengths below a window, ascending: each at least half the next one, the last half a window."""
+    sizes = [(window + 1) // 2]
+    while sizes[0] > max(start, 1):
+        sizes.insert(0, (sizes[0] + 1) // 2)
+    return sizes
+
+
+def window_anchors(h: np.ndarray, size: int, window: int) -> np.ndarray:
+    """The anchor of every window over word hashes ``h``: its smallest hash of ``size`` words."""
+    return sliding_minimum(window_hashes(h, size), window - size + 1)
+
+
+def surviving(h: np.ndarray, wanted: pa.Scalar, size: int, window: int) -> np.ndarray:
+    """Starts of the windows whose anchor of the level ``size`` is wanted."""
+    known = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.flatnonzero(np.isin(window_anchors(h, size, window), known))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -71,23 +88,29 @@ def copies(rows: DataFrame) -> DataFrame:
     return keyed.join(first, "m").where("_d > first").select("_r")
 
 
-def anchors(keyed: DataFrame, window: int) -> DataFrame:
-    """(anchor, _d, _r), once per row."""
+def anchors(rows: DataFrame, size: int, window: int, before: int | None) -> DataFrame:
+    """(anchor, _d, _r), once per row, of the windows that survived the level ``before`` (all, if None)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_batches(batches, 2):
-            found = [np.unique(halves_and_anchors(t.split(), hashes, window)[1]) for t in batch.column(2).to_pylist()]
+            found = []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                h = hashes.of(text.split())
+                of_window = window_anchors(h, size, window)
+                if before is not None:
+                    of_window = of_window[surviving(h, batch.column(3)[k], before, window)]
+                found.append(np.unique(of_window))
             flat = np.concatenate(found).view(np.int64)
             of_row = [np.repeat(batch.column(i).to_numpy(), [len(f) for f in found]) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (flat, *of_row)], ["anchor", "_d", "_r"])
 
-    return keyed.select("_d", "_r", "_bytes").mapInArrow(find, "anchor long, _d long, _r long")
+    columns = ["_d", "_r", "_bytes"] + ([] if before is None else ["wanted"])
+    return rows.select(*columns).mapInArrow(find, "anchor long, _d long, _r long")
 
 
-def windows_at(rows: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, _d, _r, place) of the windows whose anchor is in the row's list."""
-    half = (window + 1) // 2
+def windows_at(rows: DataFrame, size: int, window: int) -> DataFrame:
+    """(h1, h2, _d, _r, place) of the windows that survived the level ``size``, half a window."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -95,11 +118,10 @@ def windows_at(rows: DataFrame, window: int) -> DataFrame:
             ids, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = [[], [], [], [], []]
             for d, r, text, wanted in zip(ids, numbers, batch.column(2).to_pylist(), batch.column(3), strict=True):
-                halves, of_window = halves_and_anchors(text.split(), hashes, window)
-                wanted = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                at = np.flatnonzero(np.isin(of_window, wanted))
+                h = hashes.of(text.split())
+                halves, at = window_hashes(h, size), surviving(h, wanted, size, window)
                 out[0].append(halves[at].view(np.int64))
-                out[1].append(halves[at + window - half].view(np.int64))
+                out[1].append(halves[at + window - size].view(np.int64))
                 out[2].append(np.full(len(at), d))
                 out[3].append(np.full(len(at), r))
                 out[4].append(at.astype(np.int32))
@@ -110,17 +132,22 @@ def windows_at(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(extend, "h1 long, h2 long, _d long, _r long, place int")
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(rows: DataFrame, window: int = WINDOW, start: int = START) -> tuple[DataFrame, DataFrame]:
     """(_r, places: starts of the windows to remove) and (_r) of whole copies, for numbered rows."""
     whole = stage(copies(rows), "whole-copies")
     first = _without(rows.select("_r", "_d", text_bytes("row.text").alias("_bytes")), whole, ["_r"])
-    held = stage(anchors(first, window), "anchors")
-    repeated = held.groupBy("anchor").agg(F.min("_d").alias("a"), F.max("_d").alias("b")).where("a < b").select("anchor")
-    repeated = stage(repeated, "repeated-anchors")
-    # A row's own anchors, as many as its text has at most.
-    wanted = held.join(repeated, "anchor").groupBy("_r").agg(F.collect_set("anchor").alias("wanted"))
-    wanted = stage(wanted, "wanted-anchors")
-    found = windows_at(keep_ids(first, wanted, "_r").join(wanted, "_r"), window)
+    alive, before = first, None
+    for size in levels(window, start):
+        held = stage(anchors(alive, size, window, before), "anchors")
+        repeated = held.groupBy("anchor").agg(F.min("_d").alias("a"), F.max("_d").alias("b")).where("a < b").select("anchor")
+        repeated = stage(repeated, "repeated-anchors")
+        # A row's own anchors, as many as its text has at most.
+        wanted = held.join(repeated, "anchor").groupBy("_r").agg(F.collect_set("anchor").alias("wanted"))
+        wanted = stage(wanted, "wanted-anchors")
+        if wanted.isEmpty():
+            return rows.select("_r", F.array().cast("array<int>").alias("places")).where("false"), whole
+        alive, before = keep_ids(first, wanted, "_r").join(wanted, "_r"), size
+    found = stage(windows_at(alive, before, window), "surviving-windows")
     owner = found.groupBy("h1", "h2").agg(F.min("_d").alias("owner"), F.max("_d").alias("b"))
     owner = stage(owner.where("owner < b").select("h1", "h2", "owner"), "window-owners")
     lost = found.join(owner, ["h1", "h2"]).where("_d > owner")
@@ -144,10 +171,10 @@ def covered(places: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, start: int = START) -> DataFrame:
     """(row, n_words, n_removed, kept_sha256[, kept]) for every row of ``docs``; ``kept`` are the words left."""
     rows = numbered(docs)
-    lost, whole = repeated_windows(rows, window)
+    lost, whole = repeated_windows(rows, window, start)
     carried = [F.col("row")[c].alias(c) for c in docs.columns if with_text or c != "text"]
     every = rows.select(F.struct(*carried).alias("row"), "_r", text_bytes("row.text").alias("_bytes"))
     change = lost.select("_r", "places", F.lit(False).alias("entire"))
