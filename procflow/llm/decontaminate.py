@@ -3,12 +3,19 @@
 A window is ``n`` consecutive words of a benchmark item; an item of fewer words is one window. A
 document contains a window only if it contains the window's rarest word, so that one word is the
 necessary prefix (containment of 1 needs a prefix of one token under any order; the corpus
-frequency makes it the most selective). Each document looks its words up among the prefix words,
-drops places where the window would reach beyond the document (positional and length bounds), and
-compares the remaining places word by word.
+frequency makes it the most selective). The words of the windows are counted in all documents once,
+and each window is joined with the counts of its words to find its prefix.
 
-The windows are handed to the tasks in slices of at most ``SLICE`` windows, whose size is counted
-before they are gathered; a larger benchmark takes more passes over the documents.
+A document looks at the places of prefix words only. A place is a candidate for the windows that have
+this word at a certain position and a certain length; it is dropped where such a window would reach
+beyond the document (positional and length bounds). The words there are then joined with the words
+of the windows, which verifies the containment exactly; the join is salted by rows.
+
+Tasks learn what to look at from three filters of 2**``FILTER_BITS`` bits (2 MB each): the words of
+windows, the prefix words with position and length, the windows. A filter has the same size for any
+benchmark and is built by an aggregation; it never misses, and what it lets through wrongly (more
+of a benchmark of many millions of windows) the joins drop. Nothing else of the benchmark or of the
+documents goes through the driver, and documents are read twice, whatever the benchmark's size.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered.
 
@@ -19,12 +26,12 @@ its own; an empty benchmark or table gives no hits or no rows; other columns are
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,7 +39,12 @@ from procflow.llm.common import stage, text_bytes
 from procflow.llm.words import small_batches
 
 WINDOW = 10
-SLICE = 100_000
+#: A filter has 2 to this power bits.
+FILTER_BITS = 24
+#: Words counted by a task before it sends them on.
+COUNTED = 1 << 18
+#: Rows of one window are joined in so many parts.
+SALTS = 16
 FOUND = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -61,43 +73,93 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(cut, "item_id string, window binary").distinct()
 
 
-def word_counts(texts: DataFrame, wanted: frozenset[bytes]) -> DataFrame:
-    """(word, n): how often each wanted word occurs in all of ``texts``."""
+class Filter:
+    """A set of byte strings as bits of their hashes: has no false negatives, and always the same size."""
+
+    seed = 42
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    @classmethod
+    def of(cls, values: DataFrame, column: str) -> Filter:
+        bit = F.pmod(F.xxhash64(F.col(column).cast("binary")), F.lit(1 << FILTER_BITS)) + 1
+        maps = values.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("at"))
+        maps = maps.groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits"))
+        bits = bytearray(1 << FILTER_BITS >> 3)
+        # 2**FILTER_BITS / 32,768 rows of 4 KB at most.
+        for k, of_bucket in maps.collect():
+            bits[(k - 1) * len(of_bucket) : k * len(of_bucket)] = of_bucket
+        return cls(bytes(bits))
+
+    def __contains__(self, value: bytes) -> bool:
+        bit = xxhash.xxh64_intdigest(value, self.seed) & ((1 << FILTER_BITS) - 1)
+        return bool(self.bits[bit >> 3] >> (bit & 7) & 1)
+
+
+class Remembered(dict):
+    """``find`` of words, remembered up to a bound."""
+
+    most = 200_000
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: bytes):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = self.find(word)
+        return out
+
+
+def word_counts(texts: DataFrame, wanted: Filter) -> DataFrame:
+    """(word, n): how often each word in the filter occurs in all of ``texts``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        found, known = Counter(), Remembered(wanted.__contains__)
+
+        def out() -> pa.RecordBatch:
+            rows = [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(rows, ["word", "n"])
+
         for batch in small_batches(batches, 0):
             for text in batch.column(0).to_pylist():
-                found.update(filter(wanted.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"]
-        )
+                found.update(filter(known.__getitem__, words_of(text)))
+                if len(found) > COUNTED:
+                    yield out()
+        yield out()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def prefix_index(windows: dict[bytes, list[str]], counts: dict[bytes, int]) -> dict[bytes, list[tuple]]:
-    """rarest word -> (its place in the window, the window's words, its items)."""
-    index: dict[bytes, list[tuple]] = {}
-    for window, items in windows.items():
-        words = window.split(b" ")
-        at = min(range(len(words)), key=lambda i: (counts.get(words[i], 0), words[i], i))
-        index.setdefault(words[at], []).append((at, words, tuple(items)))
-    return index
-
-
-def matches(words: list[bytes], index: dict[bytes, list[tuple]]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged spans of the words that lie in a window, and the items whose windows occur."""
-    spans, items = [], set()
-    if not index.keys().isdisjoint(words):
-        n = len(words)
-        for i in [i for i, w in enumerate(words) if w in index]:
-            for at, window, ids in index[words[i]]:
-                start, end = i - at, i - at + len(window)
-                if start >= 0 and end <= n and words[start:end] == window:
-                    spans.append((start, end))
-                    items.update(ids)
-    return merged(spans), items
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, at, size) of the windows: their rarest word, its place, and their length; distinct."""
+    words = F.transform(F.split(F.col("window").cast("string"), " "), lambda w: w.cast("binary"))
+    places = windows.select("window", F.size(words).alias("size"), F.posexplode(words).alias("at", "word"))
+    places = places.join(counts, "word", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("p")
+    return places.groupBy("window", "size").agg(rarest).select("p.word", "p.at", "size").distinct()
+
+
+def _shaped(word: Column | bytes, at: Column | int, size: Column | int):
+    """A prefix word with its position and its window's length as one byte string."""
+    if isinstance(word, bytes):
+        return b"%b %d %d" % (word, at, size)
+    return F.concat(word, F.lit(" ").cast("binary"), F.concat_ws(" ", at, size).cast("binary"))
+
+
+def candidates(
+    words: list[bytes], shapes_of: dict[bytes, list[tuple[int, int]]], windows: Filter
+) -> list[tuple[bytes, int, int]]:
+    """(words joined by blanks, first, end) of the places that a window may have."""
+    out, n = [], len(words)
+    for i, shapes in enumerate(map(shapes_of.__getitem__, words)):
+        for at, size in shapes:
+            first, end = i - at, i - at + size
+            if first >= 0 and end <= n and (found := b" ".join(words[first:end])) in windows:
+                out.append((found, first, end))
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,46 +172,64 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, index: dict[bytes, list[tuple]], before: bool) -> DataFrame:
-    """Add what ``index`` matches to (n_words, spans, items) of the passes before."""
-    schema = docs.drop("n_words", "spans", "items").schema
-    names = schema.names
-    spans_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+def _looked_up(docs: DataFrame, words: Filter, prefix: Filter, shapes: list[tuple[int, int]], windows: Filter) -> DataFrame:
+    """(row, _r, n_words, places: candidates) of (row, _r, _bytes)."""
+    places_type = pa.list_(pa.struct([("window", pa.binary()), ("first", pa.int32()), ("end", pa.int32())]))
+    names = ["window", "first", "end"]
+
+    def find(word: bytes) -> list[tuple[int, int]]:
+        return [s for s in shapes if _shaped(word, *s) in prefix] if word in words else []
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes_of = Remembered(find)
+        for batch in small_batches(batches, 2):
+            n_words, places = [], []
+            for text in batch.column(2).to_pylist():
+                of_text = words_of(text)
+                n_words.append(len(of_text))
+                places.append([dict(zip(names, c, strict=True)) for c in candidates(of_text, shapes_of, windows)])
+            new = [pa.array(n_words, pa.int64()), pa.array(places, places_type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["row", "_r", "n_words", "places"])
+
+    new = StructType.fromDDL("n_words long, places array<struct<window:binary,first:int,end:int>>")
+    return docs.mapInArrow(look, StructType([*docs.schema.fields[:2], *new.fields]))
+
+
+def _hits(looked_up: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_r, spans: merged, items) of the rows in which windows occur: places whose words are a window's."""
+    held = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = looked_up.select("_r", F.explode("places").alias("p"))
+    # Rows, not places: each window of a row is joined once, with all its places.
+    places = places.groupBy("_r", "p.window").agg(F.collect_list(F.struct("p.first", "p.end")).alias("spans"))
+    places = places.withColumn("salt", F.pmod(F.xxhash64("_r"), F.lit(SALTS)).cast("int"))
+    found = places.join(held, ["window", "salt"]).groupBy("_r").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged([(s["first"], s["end"]) for s in of_row]) for of_row in batch.column(1).to_pylist()]
+            spans = [[{"first": a, "end": b} for a, b in of_row] for of_row in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.column(1).type), batch.column(2)], ["_r", "spans", "items"])
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_bytes"):
-            n_words, all_spans, all_items = [], [], []
-            old = [batch.column(c).to_pylist() for c in ("spans", "items")] if before else None
-            for k, text in enumerate(batch.column("_bytes").to_pylist()):
-                words = words_of(text)
-                spans, items = matches(words, index)
-                if old:
-                    spans = merged(spans + [(s["first"], s["end"]) for s in old[0][k]])
-                    items |= set(old[1][k])
-                n_words.append(len(words))
-                all_spans.append([{"first": a, "end": b} for a, b in spans])
-                all_items.append(sorted(items))
-            kept = [batch.column(name) for name in names]
-            new = [pa.array(n_words, pa.int64()), pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(kept + new, [*names, "n_words", "spans", "items"])
-
-    return docs.mapInArrow(match, StructType([*schema.fields, *StructType.fromDDL(FOUND).fields]))
-
-
-def find_benchmark(
-    docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = SLICE, carry: list[str] | None = None
-) -> DataFrame:
+    return found.mapInArrow(merge, "_r long, " + FOUND.partition(", ")[2])
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, n: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """(row: struct of ``carry``, by default all columns, n_words, spans, items) for every row of ``docs``."""
     windows = stage(benchmark_windows(items, n), "benchmark-windows")
-    slices = max(1, math.ceil(windows.count() / most))
     texts = docs.select(text_bytes().alias("_bytes"))
-    out = docs.select(F.struct(*(carry or docs.columns)).alias("row"), text_bytes().alias("_bytes"))
-    for k in range(slices):
-        mine = windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == k) if slices > 1 else windows
-        held: dict[bytes, list[str]] = {}
-        for row in mine.toLocalIterator():
-            held.setdefault(bytes(row["window"]), []).append(row["item_id"])
-        wanted = frozenset(w for window in held for w in window.split(b" "))
-        counts = {bytes(r["word"]): r["n"] for r in word_counts(texts, wanted).toLocalIterator()} if wanted else {}
-        out = _pass(out, prefix_index(held, counts), k > 0)
-    return out.drop("_bytes")
+    of_windows = windows.select(F.explode(F.split(F.col("window").cast("string"), " ")).alias("word"))
+    counts = stage(word_counts(texts, Filter.of(of_windows, "word")), "benchmark-word-counts")
+    prefix = stage(prefixes(windows, counts), "benchmark-prefixes")
+    # At most n * (n + 1) / 2 shapes.
+    shapes = [tuple(s) for s in prefix.select("at", "size").distinct().collect()]
+    shaped = prefix.select(_shaped(F.col("word"), F.col("at"), F.col("size")).alias("shaped"))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_r"), text_bytes().alias("_bytes"))
+    found = _looked_up(rows, Filter.of(prefix, "word"), Filter.of(shaped, "shaped"), shapes, Filter.of(windows, "window"))
+    found = stage(found, "benchmark-candidates")
+    hits = stage(_hits(found, windows), "benchmark-hits")
+    out = found.select("row", "_r", "n_words").join(hits, "_r", "left")
+    none = {c: F.array().cast(hits.schema[c].dataType) for c in ("spans", "items")}
+    return out.select("row", "n_words", *[F.coalesce(c, none[c]).alias(c) for c in none])

@@ -23,7 +23,7 @@ import plain  # noqa: E402
 from conftest import TESTDATA  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from procflow.llm import common, decontaminate, jaccard_join, lattice, packing, quality, simhash  # noqa: E402
+from procflow.llm import common, decontaminate, jaccard_join, lattice, packing, quality, simhash, substring_dedup  # noqa: E402
 from procflow.llm.common import keep_ids, new_folder, table  # noqa: E402
 from procflow.llm.components import components  # noqa: E402
 from procflow.llm.jaccard_join import jaccard_components  # noqa: E402
@@ -350,18 +350,45 @@ ITEMS = [(1, "The quick, brown fox jumps over the lazy dog and then some"), (2,
 ITEMS += [(4, "short item"), (5, "..."), (6, "naïve Café 42")]
 
 
-@pytest.mark.parametrize("most", [1000, 2])
-def test_decontamination(spark, most):
+@pytest.mark.parametrize("bits", [24, 16])
+def test_decontamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     rows = messy() + [(70, "QUICK brown fox jumps over the lazy dog; and then some. short"), (71, "a Short item here short-item"), (72, "naïve café 42")]
     rows += [(73, "quick brown fox jumps over the lazy dog and"), (74, "the " * 50 + "quick brown fox jumps over the lazy dog and then")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontaminate.find_benchmark(frame(spark, rows), items, most=most)
+    out = decontaminate.find_benchmark(frame(spark, rows), items)
     n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
     found = tuples(out, "row.doc_id", "n_words", n_hit, F.size("items"), digest, F.size("spans") > 0)
     assert order(found) == order(plain.decontaminate(rows, ITEMS))
 
 
+def test_filters_hold_what_they_were_built_of(spark):
+    values = [b"", b"a", "é ß".encode(), b"x" * 300, *(f"w{i}".encode() for i in range(3000))]
+    held = decontaminate.Filter.of(spark.createDataFrame([(bytearray(v),) for v in values], "v binary"), "v")
+    assert all(v in held for v in values) and sum(f"other {i}".encode() in held for i in range(3000)) < 30
+
+
+def test_prefix_of_a_window_is_its_rarest_word(spark):
+    windows = decontaminate.benchmark_windows(spark.createDataFrame([(1, "the rare the common"), (2, "common new common")], "item_id long, text string"))
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"the", 9), (b"rare", 2), (b"common", 5))], "word binary, n long")
+    assert sorted(tuples(decontaminate.prefixes(windows, counts), F.col("word").cast("string"), "at", "size")) == [("new", 1, 3), ("rare", 1, 4)]
+
+
+def test_decontamination_of_random_texts(spark, monkeypatch):
+    """Few words, so that windows overlap and their rarest words are frequent; filters that let most through."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 15)
+    monkeypatch.setattr(decontaminate, "COUNTED", 2)
+    rng = random.Random(21)
+    items = [(i, sentence(rng, rng.randrange(1, 9), 3)) for i in range(12)] + [(1, "w0 w1 w2 w0")]
+    rows = [(i % 30, sentence(rng, rng.randrange(0, 40), 4)) for i in range(40)]
+    out = decontaminate.find_benchmark(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 4)
+    n_hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
+    digest = F.sha2(F.concat_ws(",", F.array_sort("items")), 256)
+    found = tuples(out, "row.doc_id", "n_words", n_hit, F.size("items"), digest, F.size("spans") > 0)
+    assert order(found) == order(plain.decontaminate(rows, items, 4))
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["items"] for r in decontaminate.find_benchmark(frame(spark, [(1, "a b")]), none).collect()] == [[]]
@@ -377,16 +404,30 @@ def test_substring_dedup(spark):
     assert order(found) == order(plain.substring_dedup(rows))
 
 
-@pytest.mark.parametrize(("window", "seed"), [(4, 1), (7, 2), (10, 3)])
-def test_substring_dedup_with_many_repeats(spark, window, seed):
+@pytest.mark.parametrize(("window", "start", "seed"), [(4, 13, 1), (7, 1, 2), (10, 2, 3), (23, 3, 4)])
+def test_substring_dedup_with_many_repeats(spark, window, start, seed):
     rng = random.Random(seed)
     parts = [sentence(rng, rng.randrange(3, 15), 3) for _ in range(8)]
     rows = [(i, "  ".join(rng.choices(parts, k=rng.randrange(1, 6)))) for i in range(60)]
-    out = remove_repeats(frame(spark, rows), window)
+    out = remove_repeats(frame(spark, rows), window, start=start)
     assert order(tuples(out, "row.doc_id", "n_words", "n_removed", "kept_sha256")) == order(plain.substring_dedup(rows, window))
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in out.collect())
 
 
+def test_levels_of_substring_dedup(spark, monkeypatch):
+    """Lengths double up to a window; each level reads the rows that the one before left, and the loop ends without any."""
+    assert [substring_dedup.levels(w) for w in (1, 13, 50, 200)] == [[1], [7], [13, 25], [13, 25, 50, 100]]
+    assert substring_dedup.levels(50, 3) == [2, 4, 7, 13, 25]
+    rng, seen, plain_anchors = random.Random(9), [], substring_dedup.anchors
+    monkeypatch.setattr(substring_dedup, "anchors", lambda rows, size, *a: seen.append((size, rows.count())) or plain_anchors(rows, size, *a))
+    long, short = sentence(rng, 60), sentence(rng, 20)
+    rows = [(1, f"{sentence(rng, 9)} {long}"), (2, f"{sentence(rng, 7)} {long}"), (3, f"{short} {sentence(rng, 60)}"), (4, f"{sentence(rng, 70)} {short}"), (5, sentence(rng, 90))]
+    out = tuples(remove_repeats(frame(spark, rows)), "row.doc_id", "n_words", "n_removed", "kept_sha256")
+    assert order(out) == order(plain.substring_dedup(rows)) and seen[0] == (13, 5) and seen[1][0] == 25 and 2 <= seen[1][1] <= 4
+    seen.clear()
+    assert remove_repeats(frame(spark, rows[4:])).count() == 1 and seen == [(13, 1)]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
