@@ -28,7 +28,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -96,27 +98,19 @@ class Filter:
         bit = xxhash.xxh64_intdigest(value, self.seed) & ((1 << FILTER_BITS) - 1)
         return bool(self.bits[bit >> 3] >> (bit & 7) & 1)
 
-
-class Remembered(dict):
-    """``find`` of words, remembered up to a bound."""
-
-    most = 200_000
-
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.find(word)
-        return out
+    def among(self, texts: list[list[bytes]]) -> set[bytes]:
+        """The words of ``texts`` that are in the filter; each is looked up once."""
+        words = list(set().union(*texts))
+        bit = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(self.seed)), np.uint64, len(words))
+        bit = (bit & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        return set(compress(words, np.frombuffer(self.bits, np.uint8)[bit >> 3] >> (bit & 7) & 1))
 
 
 def word_counts(texts: DataFrame, wanted: Filter) -> DataFrame:
     """(word, n): how often each word in the filter occurs in all of ``texts``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = Counter(), Remembered(wanted.__contains__)
+        found = Counter()
 
         def out() -> pa.RecordBatch:
             rows = [pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())]
@@ -124,8 +118,10 @@ def word_counts(texts: DataFrame, wanted: Filter) -> DataFrame:
             return pa.RecordBatch.from_arrays(rows, ["word", "n"])
 
         for batch in small_batches(batches, 0):
-            for text in batch.column(0).to_pylist():
-                found.update(filter(known.__getitem__, words_of(text)))
+            texts = [words_of(t) for t in batch.column(0).to_pylist()]
+            known = wanted.among(texts)
+            for words in texts:
+                found.update(filter(known.__contains__, words))
                 if len(found) > COUNTED:
                     yield out()
         yield out()
@@ -154,8 +150,10 @@ def candidates(
 ) -> list[tuple[bytes, int, int]]:
     """(words joined by blanks, first, end) of the places that a window may have."""
     out, n = [], len(words)
-    for i, shapes in enumerate(map(shapes_of.__getitem__, words)):
-        for at, size in shapes:
+    if shapes_of.keys().isdisjoint(words):
+        return out
+    for i in [i for i, w in enumerate(words) if w in shapes_of]:
+        for at, size in shapes_of[words[i]]:
             first, end = i - at, i - at + size
             if first >= 0 and end <= n and (found := b" ".join(words[first:end])) in windows:
                 out.append((found, first, end))
@@ -177,15 +175,12 @@ def _looked_up(docs: DataFrame, words: Filter, prefix: Filter, shapes: list[tupl
     places_type = pa.list_(pa.struct([("window", pa.binary()), ("first", pa.int32()), ("end", pa.int32())]))
     names = ["window", "first", "end"]
 
-    def find(word: bytes) -> list[tuple[int, int]]:
-        return [s for s in shapes if _shaped(word, *s) in prefix] if word in words else []
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes_of = Remembered(find)
         for batch in small_batches(batches, 2):
             n_words, places = [], []
-            for text in batch.column(2).to_pylist():
-                of_text = words_of(text)
+            texts = [words_of(t) for t in batch.column(2).to_pylist()]
+            shapes_of = {w: [s for s in shapes if _shaped(w, *s) in prefix] for w in words.among(texts)}
+            for of_text in texts:
                 n_words.append(len(of_text))
                 places.append([dict(zip(names, c, strict=True)) for c in candidates(of_text, shapes_of, windows)])
             new = [pa.array(n_words, pa.int64()), pa.array(places, places_type)]
