@@ -81,10 +81,20 @@ def finished_cases(
     cases: DataFrame, steps: Sequence[Step] = P2P_STEPS, segments: Sequence[Segment] = SEGMENTS
 ) -> DataFrame:
     """The case table from the aggregated rows: cases with a milestone, their end, the days."""
+    return with_days(ended_cases(cases, steps, segments), steps)
+
+
+def ended_cases(
+    cases: DataFrame, steps: Sequence[Step] = P2P_STEPS, segments: Sequence[Segment] = SEGMENTS
+) -> DataFrame:
+    """The case table without the days, which follow from its times."""
     times = [ts_col(s.name) for s in steps]
     end = F.col(END_COLUMN if END_COLUMN in cases.columns else times[-1])
     reached = cases.filter(F.coalesce(*[F.col(t) for t in times]).isNotNull())
-    timed = reached.select("Case_ID", *times, end.alias("End_ts"), *[s.column for s in segments])
+    return reached.select("Case_ID", *times, end.alias("End_ts"), *[s.column for s in segments])
+
+
+def with_days(timed: DataFrame, steps: Sequence[Step] = P2P_STEPS) -> DataFrame:
     names = [*[s.name for s in steps], "End"]
     return timed.withColumns({day_col(n): F.col(ts_col(n)).cast("date") for n in names})
 
@@ -233,9 +243,12 @@ def build_model(
     """
     first = steps[0]
     with reducers(star.fact_events.sparkSession, partitions):
-        table = case_table(star, collation, steps, segments)
-        day = day_col(first.name)
-        table = table.withColumn(START_MONTH, F.trunc(day, "MM")).repartitionByRange(day, "Case_ID")
+        about, aggregates = case_rows(star, collation, steps, segments)
+        table = about.groupBy(F.col("case_id").alias("Case_ID")).agg(*aggregates)
+        day = F.col(ts_col(first.name)).cast("date")
+        # The days are added behind the shuffle: they need not travel.
+        dealt = ended_cases(table, steps, segments).repartitionByRange(day, "Case_ID")
+        table = with_days(dealt, steps).withColumn(START_MONTH, F.trunc(day_col(first.name), "MM"))
         cases = stage(table.sortWithinPartitions(START_MONTH, ts_col(first.name)), "cases", [START_MONTH])
     core = star.fact_case_milestones_core
     if core is None:
