@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from procflow.constants import P2P_STEPS, SEGMENTS, Params, Segment, Step, ts_col
 from procflow.plans.model import CaseModel, case_rows, finished_cases
-from procflow.sources.staging import stage
+from procflow.sources.staging import COMPRESSION, small_tasks, stage
 from procflow.sources.star import Star
 
 BUCKET = "bucket"
 _LOG = "versions"
+#: Files that a task holds open; with rows of more buckets it sorts the rest.
+MOST_WRITERS = 32
 
 
 @dataclass(frozen=True)
@@ -97,10 +99,15 @@ class CaseState:
         merged = batch.drop(BUCKET)
         if held is not None:
             merged = merged.unionByName(held, allowMissingColumns=True)
-        merged = merged.groupBy("Case_ID").agg(*self._columns(merged)).withColumn(BUCKET, bucket)
+        # One shuffle for the merge and the files: ranges hold equal cases and few buckets each, so there are
+        # about as many files as reducers and buckets together, and no task holds a bucket whole.
+        merged = merged.withColumn(BUCKET, bucket).repartitionByRange(BUCKET, "Case_ID")
+        if held is not None:
+            merged = merged.groupBy(BUCKET, "Case_ID").agg(*self._columns(merged)).select(*merged.columns)
         place = f"cases-{uuid.uuid4().hex}"
-        # A bucket is one file: the rows are dealt by it, and every later batch reads it whole.
-        merged.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/{place}")
+        written = merged.write.option("compression", COMPRESSION).partitionBy(BUCKET)
+        with small_tasks(self.spark, writers=min(self.buckets, MOST_WRITERS)):
+            written.parquet(f"{self.folder}/{place}")
         places = {**dict(self.places), **dict.fromkeys(touched, place)}
         grown = replace(self, version=self.version + 1, places=tuple(sorted(places.items())))
         grown._commit()

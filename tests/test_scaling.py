@@ -7,6 +7,7 @@ from conftest import Log
 from pyspark.sql import F
 
 import procflow.plans.model as model_module
+from procflow.plans.case_state import CaseState
 from procflow.plans.model import build_model
 from procflow.sources import staging
 
@@ -52,3 +53,20 @@ def test_days_do_not_travel(spark, monkeypatch):
     build_model(Log(spark).case("A", PO="2018-07-01", CI="2018-07-09").star())
     text = dict(staged)["cases"].split("== Physical")[0]
     assert "GR_day" in text and "GR_day" not in text.partition("RepartitionByExpression")[2].partition("AdaptiveSparkPlan")[0]
+
+
+def test_a_bucket_is_merged_and_written_by_several_tasks(spark):
+    log, late = Log(spark), Log(spark)
+    for i in range(400):
+        log.case(f"c{i}", PO="2018-07-01")
+        late.case(f"c{i * 2}", PO="2018-06-01", GR="2018-08-01")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        state = CaseState.create(spark, staging.new_folder(spark, "state"), buckets=1).add(log.star())
+        state = state.add(late.star())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(state.cases().inputFiles()) > 1
+    found = {r["Case_ID"]: (r["PO_ts"].month, r["GR_ts"] and r["GR_ts"].month) for r in state.milestones().collect()}
+    assert len(found) == 600 == state.milestones().count()
+    assert found["c1"] == (7, None) and found["c2"] == (6, 8) and found["c798"] == (6, 8)
