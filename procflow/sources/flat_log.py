@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from procflow.sources.schema import event_log_schema
+from procflow.sources.staging import COMPRESSION, small_tasks
 
 
 def read_log(
@@ -120,7 +121,10 @@ def check_log(log: DataFrame, folder: str, timestamp_format: str | None = None)
         .when(F.col("timestamp").isNull(), BAD_TIME)
         .otherwise(KEPT)
     )
-    read.drop("_raw").withColumn("reason", reason).write.partitionBy("reason").parquet(folder)
+    sorted_out = read.drop("_raw").withColumn("reason", reason)
+    # A task writes all five folders side by side: sorting its rows by reason would spill a large log whole.
+    with small_tasks(log.sparkSession, writers=5):
+        sorted_out.write.option("compression", COMPRESSION).partitionBy("reason").parquet(folder)
     schema = StructType([*read.drop("_raw").schema.fields, StructField("reason", StringType())])
     rows = log.sparkSession.read.schema(schema).parquet(folder)
     kept = rows.filter(F.col("reason") == KEPT).select(*names, "timestamp")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pytest
-from conftest import Log
+from conftest import Log, rows
 from pyspark.sql import F
 
 import procflow.plans.model as model_module
+import procflow.sources.flat_log as flat_log_module
 from procflow.plans.case_state import CaseState
 from procflow.plans.model import build_model
 from procflow.sources import staging
+from procflow.sources.flat_log import check_log
 
 READ = "spark.sql.files.maxPartitionBytes"
 
@@ -70,3 +72,20 @@ def test_a_bucket_is_merged_and_written_by_several_tasks(spark):
     found = {r["Case_ID"]: (r["PO_ts"].month, r["GR_ts"] and r["GR_ts"].month) for r in state.milestones().collect()}
     assert len(found) == 600 == state.milestones().count()
     assert found["c1"] == (7, None) and found["c2"] == (6, 8) and found["c798"] == (6, 8)
+
+
+def test_a_checked_log_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    held, original = [], staging.small_tasks
+
+    def spy(session, writers=0):
+        held.append(writers)
+        return original(session, writers)
+
+    monkeypatch.setattr(flat_log_module, "small_tasks", spy, raising=False)
+    log = spark.createDataFrame(
+        [("A", "Pay", "01-07-2018 10:00"), (None, "Pay", "x"), ("A", None, "x"), ("A", "Pay", None), ("A", "Pay", "x")],
+        "case_id string, activity string, timestamp string",
+    )
+    checked = check_log(log.coalesce(1), str(tmp_path / "checked"), "dd-MM-yyyy HH:mm")
+    # As many folders as writers: one task needs no sort for all reasons.
+    assert held == [5] and sorted(r["rows"] for r in checked.counts().collect()) == [1] * 5
