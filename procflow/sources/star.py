@@ -13,7 +13,7 @@ from procflow.constants import P2P_STEPS, Step
 from procflow.functions.ordered import By, row_numbers
 from procflow.operators.milestones import core_milestones
 from procflow.sources.schema import REQUIRED_TABLES, star_schema
-from procflow.sources.staging import stage
+from procflow.sources.staging import COMPRESSION, small_tasks, stage
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,8 @@ def save_star(star: Star, folder: str) -> None:
         extra = [c for c in df.columns if c not in declared] if name == "fact_cases" else []
         held = [c for c in declared if c in df.columns or name != "fact_cases"]
         typed = df.select(*[F.col(c).cast(declared[c]) for c in held], *extra)
-        typed.write.mode("overwrite").parquet(f"{base}/{name}")
+        with small_tasks(df.sparkSession):
+            typed.write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{base}/{name}")
     values = ", ".join(f"('{name}')" for name in tables)
     spark = star.fact_events.sparkSession
     listed = spark.sql(f"SELECT * FROM VALUES {values} AS t(name)")
