@@ -174,6 +174,24 @@ def _lookup(
     return facts.join(dim, on, "left").select(facts["*"], dim[key])
 
 
+def _spelled_keys(
+    log: DataFrame,
+    columns: Mapping[str, str],
+    key: str,
+    known: DataFrame | None,
+    collation: str,
+) -> tuple[DataFrame, DataFrame]:
+    """The dimension of some log columns, and the key of every spelling that the log has.
+
+    Collated texts can be neither hashed nor joined by hash: they are sorted, and all rows that name one
+    member meet in one task. So only the distinct spellings are compared by collation, and the
+    facts find their key by the spelling itself.
+    """
+    spellings = stage(log.select(*columns).distinct(), f"spellings-{key}")
+    dim = build_dimension(spellings, columns, key, known, collation)
+    return dim, stage(_lookup(spellings, dim, columns, key, collation), f"spelled-{key}")
+
+
 # Dimension key -> log columns of the attribute and their dimension columns.
 ATTRIBUTES: dict[str, Mapping[str, str]] = {
     "company_key": {"company": "company"},
@@ -210,24 +228,24 @@ def build_star(
     of all attributes.
     """
     known = known or {}
-    dim_activity = build_dimension(
-        log.select(F.col(activity_col).alias("activity")),
-        {"activity": "activity"},
-        "activity_key",
-        known.get("activity_key"),
-        collation,
-    )
+    def dimension(held: DataFrame, columns: Mapping[str, str], key: str) -> tuple[DataFrame, DataFrame, dict]:
+        """The dimension, and the table and columns in which facts find its key."""
+        if collation:
+            return *_spelled_keys(held, columns, key, known.get(key), collation), {c: c for c in columns}
+        dim = build_dimension(held, columns, key, known.get(key))
+        return dim, dim, dict(columns)
+
+    activities = log.select(F.col(activity_col).alias("activity"))
+    dim_activity, named, _ = dimension(activities, {"activity": "activity"}, "activity_key")
     flat = dict.fromkeys(c for m in attributes.values() for c in m)
     held = stage(log.select(case_col, *flat).distinct(), "case-attributes")
-    dims = {
-        key: build_dimension(held, columns, key, known.get(key), collation)
-        for key, columns in attributes.items()
-    }
+    found = {key: dimension(held, columns, key) for key, columns in attributes.items()}
+    dims = {key: dim for key, (dim, *_) in found.items()}
 
     cases = case_attributes(held, case_col, [list(m) for m in attributes.values()])
     cases = cases.filter(F.col(case_col).isNotNull())
-    for key, columns in attributes.items():
-        cases = _lookup(cases, dims[key], columns, key, collation)
+    for key, (_, keys, columns) in found.items():
+        cases = _lookup(cases, keys, columns, key)
 
     events = _lookup(
         log.select(
@@ -235,10 +253,9 @@ def build_star(
             F.col(activity_col).alias("_activity"),
             F.col(ts_col).cast("timestamp_ntz").alias("timestamp"),
         ),
-        dim_activity,
+        named,
         {"_activity": "activity"},
         "activity_key",
-        collation,
     )
     events = stage(events.select("case_id", "activity_key", "timestamp"), "fact-events")
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import pytest
 from conftest import Log, rows
-from pyspark.sql import F
+from pyspark.sql import functions as F
+from test_sources import flat, tiny_log
 
 import procflow.plans.model as model_module
 import procflow.sources.flat_log as flat_log_module
+import procflow.sources.star as star_module
 from procflow.plans.case_state import CaseState
 from procflow.plans.model import build_model
 from procflow.sources import staging
 from procflow.sources.flat_log import check_log
+from procflow.sources.star import build_star
 
 READ = "spark.sql.files.maxPartitionBytes"
 
@@ -89,3 +92,24 @@ def test_a_checked_log_is_written_without_a_sort(spark, tmp_path, monkeypatch):
     checked = check_log(log.coalesce(1), str(tmp_path / "checked"), "dd-MM-yyyy HH:mm")
     # As many folders as writers: one task needs no sort for all reasons.
     assert held == [5] and sorted(r["rows"] for r in checked.counts().collect()) == [1] * 5
+
+
+def test_only_distinct_spellings_are_compared_by_collation(spark, monkeypatch):
+    staged = spied_stage(monkeypatch, star_module)
+    po = "Create Purchase Order Item"
+    log = tiny_log(spark).unionAll(
+        flat(
+            spark,
+            ("D", po.upper(), "2018-07-01", "VEE ", "COM", "g", "PUMPS", "direct"),
+            ("E", f"{po} ", "2018-07-01", None, None, None, None, None),
+            (None, "Pay", "2018-07-01", "Wee", None, None, None, None),
+        )
+    )
+    star = build_star(log, collation="UTF8_LCASE_RTRIM")
+    events = dict(staged)["fact-events"]
+    assert "UTF8_LCASE_RTRIM" not in events and "collate" not in events.lower()
+    assert star.fact_events.count() == log.count()
+    keys = {(r["case_id"]): (r["vendor_key"], r["company_key"], r["spend_area_key"]) for r in star.fact_cases.collect()}
+    assert len(keys) == 5 and keys["A"] == keys["D"] and keys["E"] == keys["C"] == (None, None, None)
+    assert star.fact_events.where("activity_key is null").count() == 0
+    assert sorted(r[0] for r in rows(star.dim_vendor.select("vendor"))) == ["VEE ", "Wee"]
