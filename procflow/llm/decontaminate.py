@@ -45,6 +45,8 @@ WINDOW = 10
 FILTER_BITS = 24
 #: Words counted by a task before it sends them on.
 COUNTED = 1 << 18
+#: Texts are cut into words so many bytes at a time: their words take about ten times as much.
+WORD_PIECE = 1 << 20
 #: Rows of one window are joined in so many parts.
 SALTS = 16
 FOUND = "n_words long, spans array<struct<first:int,end:int>>, items array<string>"
@@ -117,7 +119,7 @@ def word_counts(texts: DataFrame, wanted: Filter) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays(rows, ["word", "n"])
 
-        for batch in small_batches(batches, 0):
+        for batch in small_batches(batches, 0, WORD_PIECE):
             texts = [words_of(t) for t in batch.column(0).to_pylist()]
             known = wanted.among(texts)
             for words in texts:
@@ -176,7 +178,7 @@ def _looked_up(docs: DataFrame, words: Filter, prefix: Filter, shapes: list[tupl
     names = ["window", "first", "end"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
+        for batch in small_batches(batches, 2, WORD_PIECE):
             n_words, places = [], []
             texts = [words_of(t) for t in batch.column(2).to_pylist()]
             shapes_of = {w: [s for s in shapes if _shaped(w, *s) in prefix] for w in words.among(texts)}
