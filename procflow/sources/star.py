@@ -148,20 +148,41 @@ def build_dimension(
     return stage(known.select(key, *names).unionByName(numbered), f"dim-{key}")
 
 
-def case_attributes(held: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
-    """One row per case with its attributes.
+def _place(key: str) -> str:
+    return f"_place_{key}"
+
+
+def attribute_places(held: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """The distinct texts of some columns with ``_place_<key>``: numbers that ascend in their order.
+
+    NULL comes before all texts, as in the order of structs; a row of NULLs only comes last.
+    Spark samples the order and deals the rows to ranges, in which they are numbered.
+    """
+    texts = stage(held.select(*columns).distinct(), f"spellings-{key}")
+    order = [(~_some(columns)).asc(), *[F.col(c).asc_nulls_first() for c in columns]]
+    ranged = texts.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(ranged.withColumn(_place(key), F.monotonically_increasing_id()), f"places-{key}")
+
+
+def case_places(held: DataFrame, case_col: str, places: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per case with the ``_place_<key>`` of its attributes.
 
     Columns of one group describe the same thing and are chosen together: when a case has
-    several, the smallest one wins. ``held`` has the distinct combinations of a log, so the
-    text comparison sees about one row per case instead of one per event.
+    several, the smallest one wins. ``held`` has the distinct combinations of a log, about one row
+    per case. Numbers are compared instead of texts: they aggregate by hash, texts only sorted.
     """
-    smallest = [
-        F.min(F.when(_some(g), F.struct(*g))).alias(f"_g{i}") for i, g in enumerate(groups)
-    ]
-    return held.groupBy(case_col).agg(*smallest).select(
-        case_col,
-        *[F.col(f"_g{i}")[c].alias(c) for i, g in enumerate(groups) for c in g],
-    )
+    for key, texts in places.items():
+        held = _lookup(held, texts, {c: c for c in texts.columns if c != _place(key)}, _place(key))
+    return held.groupBy(case_col).agg(*[F.min(_place(key)).alias(_place(key)) for key in places])
+
+
+def case_attributes(held: DataFrame, case_col: str, groups: Sequence[Sequence[str]]) -> DataFrame:
+    """One row per case with its attributes, each group of columns chosen as in :func:`case_places`."""
+    places = {f"g{i}": attribute_places(held, list(g), f"g{i}") for i, g in enumerate(groups)}
+    cases = case_places(held, case_col, places)
+    for key, texts in places.items():
+        cases = cases.join(texts, _place(key), "left")
+    return cases.select(case_col, *[c for g in groups for c in g])
 
 
 def _lookup(
@@ -175,21 +196,21 @@ def _lookup(
 
 
 def _spelled_keys(
-    log: DataFrame,
+    spellings: DataFrame,
     columns: Mapping[str, str],
     key: str,
     known: DataFrame | None,
-    collation: str,
+    collation: str | None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The dimension of some log columns, and the key of every spelling that the log has.
+    """The dimension of some log columns, and ``spellings``, their distinct texts, with its key.
 
     Collated texts can be neither hashed nor joined by hash: they are sorted, and all rows that name one
     member meet in one task. So only the distinct spellings are compared by collation, and the
     facts find their key by the spelling itself.
     """
-    spellings = stage(log.select(*columns).distinct(), f"spellings-{key}")
     dim = build_dimension(spellings, columns, key, known, collation)
-    return dim, stage(_lookup(spellings, dim, columns, key, collation), f"spelled-{key}")
+    named = _lookup(spellings, dim, columns, key, collation)
+    return dim, stage(named, f"spelled-{key}") if collation else named
 
 
 # Dimension key -> log columns of the attribute and their dimension columns.
@@ -221,31 +242,37 @@ def build_star(
 
     The log is read three times: for the activities, for the events with their keys, and for the
     distinct attributes of the cases. These three are written to the shared folder; the other
-    tables follow from them. Events are kept as they are, one row each.
+    tables follow from them. Events are kept as they are, one row each. Texts are numbered in their
+    order once each, so that the smallest attribute of a case is found by numbers.
 
     ``known`` are dimensions of an earlier star by key column (``Star.dimensions``): their members keep
     their keys. ``collation`` (e.g. ``UTF8_LCASE_RTRIM``) makes spellings one member, of activities and
     of all attributes.
     """
     known = known or {}
-    def dimension(held: DataFrame, columns: Mapping[str, str], key: str) -> tuple[DataFrame, DataFrame, dict]:
-        """The dimension, and the table and columns in which facts find its key."""
-        if collation:
-            return *_spelled_keys(held, columns, key, known.get(key), collation), {c: c for c in columns}
-        dim = build_dimension(held, columns, key, known.get(key))
-        return dim, dim, dict(columns)
-
     activities = log.select(F.col(activity_col).alias("activity"))
-    dim_activity, named, _ = dimension(activities, {"activity": "activity"}, "activity_key")
+    if collation:
+        activities = stage(activities.distinct(), "spellings-activity_key")
+        dim_activity, named = _spelled_keys(
+            activities, {"activity": "activity"}, "activity_key", known.get("activity_key"), collation
+        )
+    else:
+        dim_activity = named = build_dimension(
+            activities, {"activity": "activity"}, "activity_key", known.get("activity_key")
+        )
+
     flat = dict.fromkeys(c for m in attributes.values() for c in m)
     held = stage(log.select(case_col, *flat).distinct(), "case-attributes")
-    found = {key: dimension(held, columns, key) for key, columns in attributes.items()}
-    dims = {key: dim for key, (dim, *_) in found.items()}
-
-    cases = case_attributes(held, case_col, [list(m) for m in attributes.values()])
-    cases = cases.filter(F.col(case_col).isNotNull())
-    for key, (_, keys, columns) in found.items():
-        cases = _lookup(cases, keys, columns, key)
+    places = {key: attribute_places(held, list(columns), key) for key, columns in attributes.items()}
+    found = {
+        key: _spelled_keys(places[key], columns, key, known.get(key), collation)
+        for key, columns in attributes.items()
+    }
+    dims = {key: dim for key, (dim, _) in found.items()}
+
+    cases = case_places(held.filter(F.col(case_col).isNotNull()), case_col, places)
+    for key, (_, keys) in found.items():
+        cases = cases.join(keys.select(_place(key), key), _place(key), "left")
 
     events = _lookup(
         log.select(

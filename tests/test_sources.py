@@ -89,6 +89,25 @@ def test_several_attribute_values_smallest_wins(spark):
     assert rows(out) == [("A", "a", "c", "Pumps", "z")]
 
 
+def test_case_facts_are_aggregated_by_hash(spark):
+    df = flat(
+        spark,
+        ("A", "x", "2018-07-01", None, "c", "g", None, "z"),
+        ("A", "x", "2018-07-01", "v10", None, "g", "Pumps", "a"),
+        ("A", "x", "2018-07-01", "v9", "C", "g", None, None),
+        ("B", "x", "2018-07-01", None, None, "g", None, None),
+        (None, "x", "2018-07-01", "v0", "a", "g", "Air", "a"),
+    )
+    star = build_star(df)
+    assert "SortAggregate" not in star.fact_cases._jdf.queryExecution().executedPlan().toString()
+    named = star.fact_cases
+    for dim in (star.dim_vendor, star.dim_company, star.dim_spend_area):
+        named = named.join(dim, dim.columns[0], "left")
+    # NULL is smaller than a text, but a row of NULLs only names nothing.
+    texts = ["case_id", "vendor", "company", "sub_spend_area_text", "spend_classification_text"]
+    assert sorted(rows(named.select(*texts))) == [("A", "v10", "C", None, "z"), ("B", None, None, None, None)]
+
+
 def test_surrogate_keys_are_stable(spark):
     names = spark.range(3000).select(F.concat(F.lit("VENDOR_"), "id").alias("v"))
     one = dict(rows(surrogate_keys(names, ["v"], "k").select("v", "k")))
