@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from procflow.llm.common import stage, text_bytes
-from procflow.llm.words import small_batches
+from procflow.llm.common import carried_text, stage, text_bytes
+from procflow.llm.words import small_batches, with_texts
 
 WINDOW = 10
 #: A filter has 2 to this power bits.
@@ -173,11 +173,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _looked_up(docs: DataFrame, words: Filter, prefix: Filter, shapes: list[tuple[int, int]], windows: Filter) -> DataFrame:
-    """(row, _r, n_words, places: candidates) of (row, _r, _bytes)."""
+    """(row, _r, n_words, places: candidates) of (row, _r, _bytes), or of (row, _r) if the rows hold the texts."""
+    held = len(docs.columns) == 2
     places_type = pa.list_(pa.struct([("window", pa.binary()), ("first", pa.int32()), ("end", pa.int32())]))
     names = ["window", "first", "end"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = with_texts(batches, "text") if held else batches
         for batch in small_batches(batches, 2, WORD_PIECE):
             n_words, places = [], []
             texts = [words_of(t) for t in batch.column(2).to_pylist()]
@@ -223,7 +225,9 @@ def find_benchmark(docs: DataFrame, items: DataFrame, n: int = WINDOW, carry: li
     # At most n * (n + 1) / 2 shapes.
     shapes = [tuple(s) for s in prefix.select("at", "size").distinct().collect()]
     shaped = prefix.select(_shaped(F.col("word"), F.col("at"), F.col("size")).alias("shaped"))
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_r"), text_bytes().alias("_bytes"))
+    carry = carry or docs.columns
+    held = [] if carried_text(docs, carry) else [text_bytes().alias("_bytes")]
+    rows = docs.select(F.struct(*carry).alias("row"), F.monotonically_increasing_id().alias("_r"), *held)
     found = _looked_up(rows, Filter.of(prefix, "word"), Filter.of(shaped, "shaped"), shapes, Filter.of(windows, "window"))
     found = stage(found, "benchmark-candidates")
     hits = stage(_hits(found, windows), "benchmark-hits")

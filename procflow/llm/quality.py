@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from procflow.llm.common import text_bytes
-from procflow.llm.words import small_batches
+from procflow.llm.common import carried_text, text_bytes
+from procflow.llm.words import small_batches, with_texts
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
@@ -200,11 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, most: int = TRAIN_DO
 
 def score_texts(docs: DataFrame, model: Attention | None, carry: list[str] | None = None) -> DataFrame:
     """(row: struct of ``carry``, by default all columns, score) for every row of ``docs``."""
-    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), text_bytes().alias("_bytes"))
+    carry = carry or docs.columns
+    held = carried_text(docs, carry)
+    rows = docs.select(F.struct(*carry).alias("row"), *([] if held else [text_bytes().alias("_bytes")]))
     if model is None:
         return rows.select("row", F.lit(0.5).alias("score"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = with_texts(batches, "text") if held else batches
         for batch in small_batches(batches, 1, DESCRIBED):
             scores = np.round(model.scores(*describe(batch.column(1).to_pylist())), 9)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "score"])
