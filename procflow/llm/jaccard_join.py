@@ -7,20 +7,25 @@ component of every document, so links inside a component that is known already n
 1. *Far documents.* A set's shingles that no other set has cannot be shared. With more than (100 -
    percent)% of them a document is farther than the threshold from every other one and leaves.
    Shingles are compared in shards of the hash space: per block of documents each distinct shingle
-   is sent once (4 bytes of hash, 2 of place), and per block the counts come back.
+   is sent once (4 bytes of hash, as the step from the one before, and 2 of place; both compressed),
+   and per block the counts come back.
 2. *Copies.* Equal sets become one node.
 3. *Pivots and Voronoi regions.* Two linked sets share a shingle among the (100 - percent)% + 1
-   with the smallest hashes of each. The sets that hold such a shingle are in the region of a
-   pivot, the one of them with the highest (random) priority; sets on the boundary of several
-   regions are replicated to them. A set's home is the pivot with which it shares the most. Its
-   distance to the home is computed, and within the threshold the two are linked.
+   that come first in each, in one order of all shingles: by the number of sets that hold them,
+   as far as a table of the most frequent ones (of bounded size) tells, then by hash. So a common
+   line makes no region of sets that have enough other shingles. The sets that hold such a shingle
+   are in the region of a pivot, the one of them with the highest (random) priority; sets on the
+   boundary of several regions are replicated to them. A set's home is the pivot with which it
+   shares the most. Its distance to the home is computed, and within the threshold the two are
+   linked.
 4. *Regions, exactly.* Regions whose sets all belong to one component by now are finished. The
-   others are joined set by set: a small one in one task; a large one is cut once more, into rings
-   of equal distance to the pivot, and into cells. By the triangle inequality the distances of
-   two linked sets to the pivot differ by the threshold at most, so cells are replicated only to
-   the rings inside that window, and sets of the pivot's component are not compared with each
-   other. Two cells are joined by products of their 0/1 matrices, which
-   give all intersections; of the links found, those that connect components are returned.
+   others are joined set by set: a small one in one task; a large one is cut once more, into
+   classes of set sizes, rings of equal distance to the pivot, and runs of these as cells. Linked
+   sets differ in size by the threshold at most, and by the triangle inequality so do their
+   distances to the pivot; cells are replicated only to those inside both windows, and sets of the
+   pivot's component are not compared with each other. Two cells are joined by products of their
+   0/1 matrices, which give all intersections; of the links found, those that connect components
+   are returned.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; shingles are compared by 64-bit hashes.
 
@@ -32,6 +37,7 @@ gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +45,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procflow.llm.common import NO_ID, id_or_last, keep_ids, power_of_two, stage, text_bytes
@@ -57,12 +63,36 @@ SHARED = 65_535
 CELL_SETS = 500
 CELL_SHINGLES = 1_000_000
 RINGS = 50
+#: Parts of a cell that the weights of its sets are counted in.
+CELL_PARTS = 1_000_000
+#: Frequent shingles that a worker knows (16 bytes each), and the least number of sets that hold one.
+FREQUENT = 1 << 19
+LEAST_SETS = 4
 #: Numbers of a 0/1 matrix at once.
 MATRIX = 4_000_000
 
 PROFILE = np.dtype([("d", "<i8"), ("n", "<i8"), ("shared", "<i8"), ("key", "S16"), ("last", "u1")])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers as bytes: the first byte of each, then the second and so on, each compressed alone."""
+    codec = pa.Codec("zstd", compression_level=1)
+    planes = np.ascontiguousarray(values.view("u1").reshape(len(values), values.itemsize).T)
+    parts = [codec.compress(plane, asbytes=True) for plane in planes]
+    return np.array([len(values), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    """The numbers of ``packed``."""
+    codec, width = pa.Codec("zstd"), np.dtype(kind).itemsize
+    count, *sizes = np.frombuffer(data, "<u4", 1 + width).tolist()
+    at, planes = 4 * (1 + width), []
+    for size in sizes:
+        planes.append(np.frombuffer(codec.decompress(data[at : at + size], count), "u1"))
+        at += size
+    return np.stack(planes, axis=1).reshape(-1).view(kind)
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     """128 bits that stand for a set; none for the empty set."""
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
@@ -98,7 +128,9 @@ def _blocks(docs: DataFrame, bits: int) -> DataFrame:
             cuts = np.append(cuts, len(flat))
             tokens = ((flat << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
             rows = [(-1 - number, number, head.tobytes(), b"")]
-            rows += [(k, number, tokens[a:b].tobytes(), place[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            # Sorted, so the steps from one hash to the next take fewer bytes than the hashes.
+            steps = [np.diff(tokens[a:b], prepend=tokens.dtype.type(0)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            rows += [(k, number, packed(step), packed(place[cuts[k] : cuts[k + 1]])) for k, step in enumerate(steps) if len(step)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in small_batches(batches, 1):
@@ -120,16 +152,18 @@ def _shared_between_blocks(table: pa.Table) -> pa.Table:
     blocks, tokens = table.column("block").to_pylist(), table.column("tokens").to_pylist()
     if table.column("part")[0].as_py() < 0:
         return pa.table({"block": pa.array(blocks, pa.int64()), "head": pa.array(tokens, pa.binary()), "counts": pa.nulls(len(blocks), pa.binary())})
-    values = np.concatenate([np.frombuffer(t, "<u4") for t in tokens])
-    places = np.concatenate([np.frombuffer(p, "<u2") for p in table.column("places").to_pylist()])
-    owner = np.repeat(np.arange(len(blocks)), [len(t) // 4 for t in tokens])
+    tokens = [np.cumsum(unpacked(t, "<u4"), dtype="<u4") for t in tokens]
+    values = np.concatenate(tokens)
+    places = np.concatenate([unpacked(p, "<u2") for p in table.column("places").to_pylist()])
     order = np.argsort(values, kind="stable")
     same = values[order][1:] == values[order][:-1]
     again = np.zeros(len(values), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     again &= places != SHARED
-    counts = [np.bincount(places[(owner == i) & again]).astype("<u4").tobytes() for i in range(len(blocks))]
+    ends = np.cumsum([len(t) for t in tokens])[:-1]
+    parts = zip(np.split(places, ends), np.split(again, ends), strict=True)
+    counts = [np.bincount(place[found]).astype("<u4").tobytes() for place, found in parts]
     return pa.table({"block": pa.array(blocks, pa.int64()), "head": pa.nulls(len(blocks), pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
@@ -168,16 +202,56 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("_d", "_bytes").mapInArrow(build, "_d long, n long, shingles binary")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(t, x, n): the shingles of each set of which linked sets must share one."""
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``FREQUENT`` of the shingles that the most sets hold, sorted, and how many sets hold each.
+
+    All shingles are counted. Those of ``LEAST_SETS`` sets or more are taken by classes of doubled
+    counts, the largest first, as long as a class fits.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2):
+            held = [np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()]
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["t", "n"])
+
+    counts = sets.mapInArrow(cut, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    counts = stage(counts.where(F.col("n") >= LEAST_SETS), "frequent-shingles")
+    kind = F.floor(F.log2("n")).cast("int").alias("kind")
+    least, room = None, FREQUENT
+    for row in counts.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("kind")).collect():
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["kind"]
+    found = counts.where(F.lit(False) if least is None else kind >= least).toArrow()
+    t, n = (found.column(c).to_numpy().astype(np.int64) for c in ("t", "n"))
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def prefixes(sets: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(t, x, n): the shingles of each set of which linked sets must share one, rarer ones first.
+
+    What ``frequent`` does not hold counts as rarer than all that it holds. Any numbers make one
+    order of all shingles, so the result of the join does not depend on them.
+    """
+    known, uses = frequent
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
+        for batch in small_batches(batches, 2):
             n = batch.column(1).to_numpy()
+            flat = np.concatenate([np.frombuffer(s, np.int64) for s in batch.column(2).to_pylist()])
+            owner = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, uses[at], 0)
+            # Stable: shingles of one rank stay in the order of their hashes.
+            flat = flat[np.lexsort((rank, owner))]
             length = n - (n * percent + 99) // 100 + 1
-            heads = [np.frombuffer(s, np.int64, k) for s, k in zip(batch.column(2).to_pylist(), length, strict=True)]
-            flat = np.concatenate(heads)
-            columns = [flat, np.repeat(batch.column(0).to_numpy(), length), np.repeat(n, length)]
+            first = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(length, n)
+            columns = [flat[first], np.repeat(batch.column(0).to_numpy(), length), np.repeat(n, length)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "x", "n"])
 
     return sets.mapInArrow(cut, "t long, x long, n long")
@@ -228,49 +302,56 @@ def _open_regions(members: DataFrame, pivots: DataFrame, links: DataFrame) -> Da
     return stage(rows.join(several, "t", "left_semi").select("p", "x", "n", "c").distinct(), "open-regions")
 
 
-CELL = ["p", "ring", "core", "cell"]
+CELL = ["p", "core", "size", "cell"]
 
 
-def _cells(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """(p, x, c, ring, core, cell): regions cut into cells that one task can join.
+def _cells(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(p, x, n, c, ring, core, size, cell): regions cut into cells that one task can join.
 
-    A small region is one cell. A large one is cut into rings by the distance to its pivot, a ring
-    into the sets of the pivot's component (``core``) and the others, and each of these into as
-    many cells as its sets and shingles need.
+    A small region is one cell. A large one is cut into the sets of the pivot's component (``core``)
+    and the others, these into classes of set sizes, and each class, in the order of the distances
+    to the pivot, into as many cells as its sets and shingles need.
     """
     size = regions.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     large = size.where((F.col("sets") > CELL_SETS) | (F.col("shingles") > CELL_SHINGLES)).select("p")
     large = stage(large, "large-regions")
     zero = F.lit(0)
     small = regions.join(large, "p", "left_anti")
-    small = small.withColumns({"ring": zero, "core": F.lit(False), "cell": zero})
+    small = small.withColumns({"ring": zero, "core": F.lit(False), "size": zero, "cell": zero})
     inside = regions.join(large, "p", "left_semi")
     to_pivot = distances(inside.where("x <> p").select("x", F.col("p").alias("y")), sets)
     apart = F.lit(RINGS) * (_union() - F.col("common")) / _union()
     to_pivot = to_pivot.select("x", F.col("y").alias("p"), F.floor(apart).cast("int").alias("ring"))
     of_pivot = inside.where("x = p").select("p", F.col("c").alias("c_p"))
     inside = inside.join(to_pivot, ["x", "p"], "left").join(of_pivot, "p")
-    inside = inside.withColumns({"ring": F.coalesce("ring", zero), "core": F.col("c") == F.col("c_p")})
+    kind = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int") if 0 < percent < 100 else zero
+    inside = inside.withColumns({"ring": F.coalesce("ring", zero), "core": F.col("c") == F.col("c_p"), "size": kind})
     inside = stage(inside, "rings")
-    need = inside.groupBy("p", "ring", "core").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("cells")
-    )
-    cell = F.pmod(F.xxhash64("x"), F.col("cells")).cast("int")
-    inside = inside.join(need, ["p", "ring", "core"]).withColumn("cell", cell)
-    columns = [*CELL, "x", "c"]
+    weight = F.greatest(F.count(F.lit(1)) / CELL_SETS, F.sum("n") / CELL_SHINGLES) * CELL_PARTS
+    need = inside.groupBy("p", "core", "size", "ring").agg(F.ceil(weight).alias("need"))
+    # One row per ring: a window has 51 rows at most.
+    before = Window.partitionBy("p", "core", "size").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
+    need = need.withColumn("before", F.coalesce(F.sum("need").over(before), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("x"), F.col("need"))
+    inside = inside.join(need, ["p", "core", "size", "ring"]).withColumn("cell", F.floor(place / CELL_PARTS).cast("int"))
+    columns = [*CELL, "x", "n", "c", "ring"]
     return stage(small.select(*columns).unionByName(inside.select(*columns)), "cells")
 
 
 def _cell_pairs(cells: DataFrame, percent: int) -> DataFrame:
     """(*CELL, pair): the pairs of cells that each cell takes part in.
 
-    The distances of two linked sets to one pivot differ by the threshold at most, so only rings
-    that near are paired. Cells of the pivot's component are not paired with each other.
+    The distances of two linked sets to one pivot differ by the threshold at most, and so do their
+    sizes, so only cells that near are paired. Cells of the pivot's component are not paired with
+    each other.
     """
-    one = stage(cells.select(*CELL).distinct(), "cell-list")
-    other = one.select("p", *[F.col(c).alias(f"{c}_b") for c in CELL[1:]])
+    ends = [f(c).alias(f"{name}_{c}") for c in ("ring", "n") for name, f in (("low", F.min), ("high", F.max))]
+    one = stage(cells.groupBy(*CELL).agg(*ends), "cell-list")
+    other = one.select("p", *[F.col(c).alias(f"{c}_b") for c in one.columns if c != "p"])
     reach = (100 - percent) * RINGS // 100 + 1
-    near = F.col("ring_b").between(F.col("ring"), F.col("ring") + reach)
+    near = (F.col("low_ring_b") <= F.col("high_ring") + reach) & (F.col("low_ring") <= F.col("high_ring_b") + reach)
+    for a, b in (("", "_b"), ("_b", "")):
+        near &= F.lit(100) * F.col(f"high_n{a}") >= F.lit(percent) * F.col(f"low_n{b}")
     here, there = (F.struct(*[F.col(f"{c}{end}").alias(c) for c in CELL[1:]]) for end in ("", "_b"))
     pairs = one.join(other, "p").where(near & (here <= there) & ~(F.col("core") & F.col("core_b")))
     pair = F.xxhash64("p", here, there).alias("pair")
@@ -324,12 +405,12 @@ def _joined_cells(percent: int):
 
 def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(x, y): links that connect every component of the similarity graph of ``sets``."""
-    members = stage(prefixes(sets, percent), "region-members")
+    members = stage(prefixes(sets, percent, frequent_shingles(sets)), "region-members")
     pivots = members.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("x"), "x"))["x"].alias("p"))
     pivots = stage(pivots.where("size > 1").select("t", "p"), "pivots")
     links = _home_links(members, pivots, sets, percent)
     regions = _open_regions(members, pivots, links)
-    cells = _cells(regions, sets)
+    cells = _cells(regions, sets, percent)
     keyed = cells.join(_cell_pairs(cells, percent), CELL).select("pair", "x", "c")
     # A set's shingles travel once per pair of cells that it takes part in.
     held = keyed.distinct().join(sets.select(F.col("_d").alias("x"), "shingles"), "x")

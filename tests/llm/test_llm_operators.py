@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -225,6 +226,81 @@ def test_jaccard_join_of_edited_copies(spark, monkeypatch, seed, cell):
     assert order(found) == order(plain.jaccard(rows))
 
 
+@pytest.mark.parametrize(("percent", "frequent", "cell"), [(80, 16, 3), (80, 0, 3), (50, 16, 4), (60, 1 << 19, 2)])
+def test_jaccard_join_of_sizes_and_common_lines(spark, monkeypatch, percent, frequent, cell):
+    """Copies cut to many lengths below a line that all hold; tiny cells and few known frequent shingles."""
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", cell)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    rng = random.Random(percent + cell)
+    line, rows = sentence(rng, 30), []
+    for _ in range(4):
+        text = sentence(rng, 60).split()
+        for _ in range(20):
+            kept = list(text[: rng.randrange(12, 60)])
+            for _ in range(rng.randrange(2)):
+                kept[rng.randrange(len(kept))] = f"n{rng.randrange(5)}"
+            rows.append((len(rows), f"{line}\n{' '.join(kept)}"))
+    found = tuples(jaccard_components(frame(spark, rows), percent), "doc_id", "n_shingles", "component_id")
+    assert order(found) == order(plain.jaccard(rows, percent))
+
+
+def test_common_line_makes_no_region(spark, monkeypatch):
+    """Sets with enough other shingles are in no region of a line that all of them hold."""
+    staged = {}
+
+    def kept(df, name, base=jaccard_join.stage):
+        staged[name] = base(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(jaccard_join, "stage", kept)
+    rng = random.Random(5)
+    line = sentence(rng, 30)
+    texts = [f"{line} " + " ".join(f"d{i}w{j}" for j in range(30)) for i in range(60)]
+    texts += [t + " more" for t in texts[:3]]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_d long, _bytes binary")
+    links = jaccard_join.link_sets(jaccard_join.shingle_sets(docs))
+    assert sorted(sorted(r) for r in links.distinct().collect()) == [[0, 60], [1, 61], [2, 62]]
+    assert staged["pivots"].join(staged["region-members"], "t").select("x").distinct().count() == 6
+    assert staged["open-regions"].count() == 0
+
+
+def test_cells_pair_with_like_sizes_only(spark, monkeypatch):
+    """Sets of a large region travel to cells of sizes in reach, not to all cells of their ring."""
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", 10)
+    own = lambda x, n: [9, *range(1000 * x, 1000 * x + n - 1)]
+    rows = [(x, own(x, 8 << x % 5)) for x in range(1, 201)]
+    sets = [(x, len(s), np.sort(np.array(s, np.uint64)).tobytes()) for x, s in rows]
+    sets = spark.createDataFrame(sets, "_d long, n long, shingles binary")
+    regions = sets.selectExpr("1L as p", "_d as x", "n", "_d as c")
+    cells = jaccard_join._cells(regions, sets, 80)
+    pairs = jaccard_join._cell_pairs(cells, 80)
+    assert cells.select("x").distinct().count() == cells.count() == 200
+    held = cells.join(pairs, jaccard_join.CELL)
+    # Five sizes, each twice the one before, of 40 sets: about five cells for each set, of 21 in all.
+    assert held.count() <= 200 * 7
+    spread = held.groupBy("pair").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    assert spread.where("low < high").count() == 0
+
+
+def test_packed_numbers():
+    for kind, values in (("<u4", [0, 0, 7, 2**32 - 1]), ("<u2", [65_535, 0, 300]), ("<u4", [5]), ("<u2", [])):
+        assert jaccard_join.unpacked(jaccard_join.packed(np.array(values, kind)), kind).tolist() == values
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(common.FREE_SHUFFLES, None)
+    assert common.stage(spark.range(1000).groupBy(F.col("id") % 7).count(), "sevenths").count() == 7
+    end = time.monotonic() + 20
+    while len(shuffles() - before) > 1 and time.monotonic() < end:  # the count above may leave its own
+        time.sleep(0.2)
+    assert len({name.split("_")[1] for name in shuffles() - before}) <= 1
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == setting
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
     assert tuples(jaccard_components(frame(spark, [(4, None)])), "*") == [(4, 0, 4)]
